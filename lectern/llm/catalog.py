@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language, neardup, packing
+from lectern.llm import decontaminate, language, lmscore, neardup, packing, sharding, urls
 from lectern.llm.common import table
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -30,5 +42,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_SHARDING = f"""
+WITH sized AS (
+  SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS hash, coalesce(strlen(text), 0)::BIGINT AS n_bytes
+  FROM documents
+), levels AS (
+  SELECT depth::BIGINT AS depth, hash >> (60 - depth) AS top, sum(n_bytes)::BIGINT AS shard_bytes
+  FROM sized, range(0, 41) r(depth) GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT}
+), best AS (
+  SELECT s.doc_id, s.hash, s.n_bytes, min(l.depth) AS depth
+  FROM sized s JOIN levels l ON s.hash >> (60 - l.depth) = l.top GROUP BY ALL
+)
+SELECT b.doc_id, b.hash, b.n_bytes, left(lpad(bin(b.hash), 60, '0'), b.depth::INT) AS shard, b.depth, 0::BIGINT AS page, l.shard_bytes,
+  (max(b.depth) OVER ())::BIGINT AS global_depth
+FROM best b JOIN levels l ON l.depth = b.depth AND l.top = b.hash >> (60 - b.depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_sharding": _SHARDING}
