@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language, lmscore, neardup, packing, sharding, urls
+from lectern.llm import chat, decontaminate, language, licenses, lmscore, neardup, packing, quality, sharding, urls
 from lectern.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recovered(table(spark, sf_dir, "conversations"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.passages(licenses.votes(table(spark, sf_dir, "documents"))))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
@@ -60,4 +72,4 @@ FROM best b JOIN levels l ON l.depth = b.depth AND l.top = b.hash >> (60 - b.dep
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": _SHARDING}
+    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _SHARDING}
