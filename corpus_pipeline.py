@@ -1,17 +1,38 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, and takes away what it rejects.
+
+Filters that look at one document judge each row and carry its columns, so no text is shuffled for them. Rows with null
+doc_id cannot be matched with a group of copies and go in the near-duplicate stage; rows that repeat a doc_id stay or go
+together there. An empty table gives no rows. Extra columns of documents are carried on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, packing
+from lectern.llm import decontaminate, language, neardup, packing, quality
 from lectern.llm.common import cut, table
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: those without letters and those between two languages."""
+    found = language.identify(docs, language.learn_from_folds(docs), docs.columns)
+    return found.where(f"lang_pred <> '{language.UNDETERMINED}' AND NOT ambiguous").select(docs.columns)
+
+
+def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the quality rules or the likelihood ratio."""
+    return quality.judge(docs, table(spark, sf_dir, "labels"), docs.columns).where("kept").select(docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies."""
+    dropped = neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = decontaminate.digest(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Drops documents in which a benchmark window occurs."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carried=docs.columns)
+    return found.where("size(items) = 0").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +40,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("benchmark decontamination", decontaminated), ("packing", packed)]
+STAGES = [("language id", identified), ("quality rules", judged), ("minhash near-dedup", deduplicated), ("benchmark decontamination", decontaminated), ("packing", packed)]
 
-#: No stage but the filters can be said in SQL; the tests hold the whole against a plain version.
+#: SQL can express neither the classifiers nor the tokenizer; the tests hold the whole against a plain version.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, language, licenses, lmscore, neardup, packing, quality, sharding, urls
 from lectern.llm.common import table
@@ -23,7 +24,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "threshold")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ rows without hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -87,12 +86,12 @@ def _counting(seen: dict[int, _Seen]):
     return run
 
 
-def _matching(found: dict[int, _Seen], prefix: dict[int, list[tuple[int, int]]], wanted: list[tuple[tuple[bytes, ...], list]]):
+def _matching(found: dict[int, _Seen], prefix: dict[int, list[tuple[int, int]]], wanted: list[tuple[tuple[bytes, ...], list]], carried: list[str]):
     """Documents with the words that windows cover and the items whose windows occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
             texts_all = column_bytes(batch, "text")
             n_words = np.zeros(len(texts_all), np.int64)
             spans: list[list[dict]] = [[] for _ in texts_all]
@@ -123,12 +122,12 @@ def _matching(found: dict[int, _Seen], prefix: dict[int, list[tuple[int, int]]],
                             merged.append({"start": start, "end": end})
                     spans[base + d], items[base + d] = merged, sorted(here[d], key=str)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n_words), pa.array(spans, kind), pa.array([[str(x) for x in i] for i in items], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words), pa.array(spans, kind), pa.array([[str(x) for x in i] for i in items], pa.list_(pa.string()))], [*carried, "n_words", "spans", "items"])
 
     return run
 
 
-_RESULT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def _blocks(benchmark: DataFrame, window: int, shingle: int, most: int) -> Iterator[list[tuple[tuple[bytes, ...], list]]]:
@@ -148,11 +147,13 @@ def _blocks(benchmark: DataFrame, window: int, shingle: int, most: int) -> Itera
         yield [(k, sorted(v, key=str)) for k, v in held.items()]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_words, merged word spans covered by benchmark windows, and the items (as strings) that occur."""
-    spark = documents.sparkSession
-    arrow_ready(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES, carried: list[str] | None = None) -> DataFrame:
+    """The carried columns of each document (doc_id, if none are named), n_words, merged word spans covered by benchmark windows, and the items (as strings) that occur."""
+    arrow_ready(documents.sparkSession)
+    carried = ["doc_id"] if carried is None else carried
+    docs = documents.select(*dict.fromkeys([*carried, "text"]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(carried).schema)
     parts = []
     for block in _blocks(benchmark, window, shingle, block_shingles):
         by_width: dict[int, set[int]] = defaultdict(set)
@@ -175,45 +176,40 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         parts.append((found, dict(prefix), block))
     if not parts:
         parts = [({}, {}, [])]
-    results = [docs.mapInArrow(_matching(*p), _RESULT) for p in parts]
-    if len(results) == 1:
-        return results[0]
-    return _joined(docs, parts)
+    if len(parts) == 1:
+        return docs.mapInArrow(_matching(*parts[0], carried), ", ".join(x for x in (own, _FOUND) if x))
+    rows = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for number, part in enumerate(parts):
+        rows = rows.mapInArrow(_adding(_matching(*part, docs.columns)), f"{kinds}, {_FOUND}")
+        if number % 8 == 7:
+            rows = cut(rows, "contamination")
+    return rows.select(*carried, "n_words", "spans", "items")
 
 
-def _joined(docs: DataFrame, parts: list) -> DataFrame:
-    """Several blocks: each pass adds its spans and items to the rows of the pass before, kept in the shared folder."""
-    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for number, part in enumerate(parts):
-        match = _matching(*part)
+def _adding(match):
+    """Several blocks: each pass adds its spans and items to the rows of the pass before."""
 
-        def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                new = next(match(iter([batch])))
-                spans, items = [], []
-                for old, add in zip(batch.column(3).to_pylist(), new.column(2).to_pylist(), strict=True):
-                    merged: list[dict] = []
-                    for x in sorted([*old, *add], key=lambda x: (x["start"], x["end"])):
-                        if merged and x["start"] <= merged[-1]["end"]:
-                            merged[-1]["end"] = max(merged[-1]["end"], x["end"])
-                        else:
-                            merged.append(dict(x))
-                    spans.append(merged)
-                for old, add in zip(batch.column(4).to_pylist(), new.column(3).to_pylist(), strict=True):
-                    items.append(sorted({*old, *add}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), new.column(1), pa.array(spans, new.column(2).type), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = next(match(iter([batch])))
+            k = new.num_columns
+            spans, items = [], []
+            for old, add in zip(batch.column(k - 2).to_pylist(), new.column(k - 2).to_pylist(), strict=True):
+                merged: list[dict] = []
+                for x in sorted([*old, *add], key=lambda x: (x["start"], x["end"])):
+                    if merged and x["start"] <= merged[-1]["end"]:
+                        merged[-1]["end"] = max(merged[-1]["end"], x["end"])
+                    else:
+                        merged.append(dict(x))
+                spans.append(merged)
+            for old, add in zip(batch.column(k - 1).to_pylist(), new.column(k - 1).to_pylist(), strict=True):
+                items.append(sorted({*old, *add}))
+            yield pa.RecordBatch.from_arrays([*new.columns[: k - 2], pa.array(spans, new.column(k - 2).type), pa.array(items, pa.list_(pa.string()))], new.schema.names)
 
-        rows = rows.mapInArrow(run, "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-        if number % 8 == 7:
-            rows = cut(rows, "contamination")
-    return rows.drop("text")
+    return run
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from contamination()'s rows."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def items_digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -168,7 +168,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int
     return fit(x, [r["lang"] for r in rows])
 
 
-def _predicting(model: Model | None):
+def _predicting(model: Model | None, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, ambiguous = [], [], []
@@ -180,18 +180,27 @@ def _predicting(model: Model | None):
                     lang += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
                     score += np.where(known, p, 0.0).tolist()
                     ambiguous += (known & near.astype(bool)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
+            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], [*carried, "lang_pred", "score", "ambiguous"])
 
     return run
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous: a row for each document."""
+def identify(documents: DataFrame, model: Model | None, carried: list[str] | None = None) -> DataFrame:
+    """lang_pred, score, ambiguous after the carried columns of each document (doc_id, if none are named)."""
     arrow_ready(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predicting(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    carried = ["doc_id"] if carried is None else carried
+    docs = documents.select(*dict.fromkeys([*carried, "text"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(carried).schema]
+    return docs.mapInArrow(_predicting(model, carried), ", ".join([*kinds, "lang_pred string", "score double", "ambiguous boolean"]))
+
+
+def learn_from_folds(documents: DataFrame) -> Model | None:
+    """Learns from those four of five documents that are not held out."""
+    return learn(documents.where((fold("doc_id", 5) != 0) & F.col("doc_id").isNotNull()))
 
 
 def predicted(documents: DataFrame) -> DataFrame:
     """Learns from four of five documents and predicts all."""
-    model = learn(documents.where((fold("doc_id", 5) != 0) & F.col("doc_id").isNotNull()))
-    return identify(documents, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+    found = identify(documents, learn_from_folds(documents))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
