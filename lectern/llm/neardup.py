@@ -6,13 +6,17 @@ the slot its permutation has at j, and a slot keeps the least offer. As the offe
 level j, a document stops as soon as every slot is filled by a level reached. Signatures are cut into bands.
 
 1. Documents with equal sets form a class, known by its smallest doc_id; from here on only classes count.
-2. Classes that agree on a band meet in its bucket. Every class of a bucket is compared with the bucket's pivot.
-3. Pairs are verified on their full sets, and links are grouped by union-find inside each partition, then across
-   partitions by the spread of smallest labels with pointer jumping.
-4. While a bucket holds a class outside its main component that was never a pivot, such classes become pivots in turn
-   (four times as many in each round) and are compared with the bucket's classes in other components. So of two classes
-   that share a bucket, either both are in one component, or the pair was verified: no pair is left out, and a bucket
-   of thousands of near copies costs about one comparison for each.
+2. Classes that agree on a band meet in its bucket. The bucket's pivot is the class that meets most others in all its
+   buckets (the centre of a group of copies); every class of the bucket is compared with the pivot on full sets, and is
+   near it or far from it. Near classes are linked.
+3. Links are grouped by union-find inside each partition, then across partitions by the spread of smallest labels with
+   pointer jumping.
+4. Two classes of a bucket that are both near its pivot p are in one group. For other pairs the differences D(x) and
+   D(y) of their sets from p decide: they can only be similar if D(x) and D(y) have at least t elements in common, where
+   t follows from the sizes. So in one order of all elements, prefixes of D(x) and D(y) share an element (the necessary
+   prefixes of a set join). Far classes are joined with all classes of their pivot on these prefixes, and pairs from
+   different groups are verified on full sets. Copies differ from their original in places of their own, so such
+   prefixes are rare where whole sets are nearly alike, and no pair that shares a bucket is left out.
 
 A pair at the threshold shares no bucket with probability (1 - t**rows)**bands: 3e-6 for the defaults.
 
@@ -106,25 +110,40 @@ def _signing(words: int, bands: int, rows: int):
     return run
 
 
-def _verifying(words: int, similarity: int):
+def difference_prefix(s: np.ndarray, t: np.ndarray, both: np.ndarray, near: bool, similarity: int) -> np.ndarray:
+    """The first elements of the difference of s from its pivot t, as 32-bit tokens: added ones first, then missing ones.
+
+    Sets x and y are similar iff |x ^ y| <= k (|x| + |y|), k = (100 - similarity) / (100 + similarity), and
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. With a far x, a near y shares at least (1 - k) / 2 of D(y); a far x
+    shares at least |D(x)| - (100 / similarity - 1) |x| elements with whatever is similar to it."""
+    added, missing = np.setdiff1d(s, both, assume_unique=True), np.setdiff1d(t, both, assume_unique=True)
+    size = len(added) + len(missing)
+    if near:
+        least = -(-size * similarity // (100 + similarity))
+    else:
+        least = size - len(s) * (100 - similarity) // similarity
+    keep = size - max(1, least) + 1
+    tokens = np.concatenate([added >> np.uint64(33), (missing >> np.uint64(33)) | np.uint64(1 << 31)])
+    return tokens[:keep].astype(np.uint32).astype(np.int32)
+
+
+def _comparing(words: int, similarity: int):
+    """Pairs (x, p) to whether their full sets are similar, their sizes and the prefix of their difference."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            a, b = [], []
-            xs, ps = column_bytes(batch, "x_text"), column_bytes(batch, "p_text")
-            for x, p, xt, pt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), xs, ps, strict=True):
+            near, sizes, differ, prefix = [], [], [], []
+            for xt, pt in zip(column_bytes(batch, "x_text"), column_bytes(batch, "p_text"), strict=True):
                 if pt != last[0]:
                     last = (pt, shingle_set(Words([pt], BLANK_BYTES).hashes, words))
                 s, t = shingle_set(Words([xt], BLANK_BYTES).hashes, words), last[1]
-                if not len(s) or not len(t) or 100 * min(len(s), len(t)) < similarity * max(len(s), len(t)):
-                    continue
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                both = int((t[at] == s).sum())
-                if 100 * both >= similarity * (len(s) + len(t) - both):
-                    a.append(x)
-                    b.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "p"])
+                both = np.intersect1d(s, t, assume_unique=True)
+                near.append(bool(len(s) and len(t)) and 100 * len(both) >= similarity * (len(s) + len(t) - len(both)))
+                sizes.append(len(s))
+                differ.append(len(s) + len(t) - 2 * len(both))
+                prefix.append(difference_prefix(s, t, both, near[-1], similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(differ, pa.int64()), pa.array(prefix, pa.list_(pa.int32()))], ["x", "p", "near", "n", "differ", "prefix"])
 
     return run
 
@@ -165,11 +184,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Those of the pairs (x, p) whose full sets are similar."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     with_x = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
     with_p = with_x.join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("p_text")), "p")
-    return with_p.select("x", "p", "x_text", "p_text").mapInArrow(_verifying(words, similarity), "x long, p long")
+    kind = "x long, p long, near boolean, n long, differ long, prefix array<int>"
+    return with_p.select("x", "p", "x_text", "p_text").mapInArrow(_comparing(words, similarity), kind)
+
+
+def _far_pairs(compared: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes with one pivot, in different groups and at least one far from the pivot, that may be similar."""
+    group = labels.select(F.col("node").alias("x"), "component")
+    rows = compared.join(group, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    far_pivots = compared.where("NOT near").select("p").distinct()
+    tokens = rows.join(far_pivots, "p", "left_semi").select("p", "x", "near", "n", "differ", "component", F.posexplode("prefix").alias("at", "token"))
+    y = tokens.select("p", "token", *(F.col(c).alias(f"y_{c}") for c in ("x", "near", "n", "differ", "component", "at")))
+    # of two far classes one order is enough; a near one is met from its far partner only
+    once = (F.col("y_near") | (F.col("x") < F.col("y_x"))) & (F.col("component") != F.col("y_component"))
+    size = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * similarity) & (F.abs(F.col("differ") - F.col("y_differ")) * (100 + similarity) <= (F.col("n") + F.col("y_n")) * (100 - similarity))
+    # if this is the first element that the two differences share, no more than the shorter rest of them is shared
+    first = F.least(F.col("differ") - F.col("at"), F.col("y_differ") - F.col("y_at")) * 2 * (100 + similarity) >= (F.col("differ") + F.col("y_differ")) * (100 + similarity) - (F.col("n") + F.col("y_n")) * (100 - similarity)
+    met = tokens.where("NOT near").join(y, ["p", "token"]).where(once & size & first)
+    return met.select(F.greatest("x", "y_x").alias("x"), F.least("x", "y_x").alias("p")).distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -180,31 +215,22 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int =
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(real.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
     every = classes.select("rep", F.explode("keys").alias("bucket"))
-    heads = every.groupBy("bucket").agg(F.min("rep").alias("p"), F.count("*").alias("n")).where("n > 1").select("bucket", "p")
-    members = cut(every.join(heads, "bucket").select("bucket", "rep", "p"), "members")
-    pairs = cut(members.where("rep <> p").select(F.col("rep").alias("x"), "p").distinct(), "pairs")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(every.join(shared, "bucket").select("bucket", "rep", "n"), "members")
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    ranked = members.select("bucket", "rep").join(met, "rep")
+    pivots = ranked.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("met"), "rep")).alias("s")).select("bucket", F.col("s.rep").alias("p"))
+    pairs = cut(members.join(pivots, "bucket").where("rep <> p").select(F.col("rep").alias("x"), "p").distinct(), "pairs")
     labels = None
     if not pairs.isEmpty():
-        needed = members.select(F.col("rep").alias("doc_id")).distinct()
-        texts = docs.join(needed, "doc_id", "left_semi")
-        links = cut(_verified(pairs, texts, words, similarity), "links")
+        texts = docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        compared = cut(_compared(pairs, texts, words, similarity), "compared")
+        links = compared.where("near").select("x", "p")
         labels = components(links)
-        pivots, tested, many = members.select("bucket", F.col("p").alias("rep")).distinct(), pairs, 1
-        while True:
-            named = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-            groups = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-            main = groups.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "main")
-            open_ = cut(named.join(main, "bucket").where("component <> main").select("bucket", "rep", "component").join(pivots, ["bucket", "rep"], "left_anti"), "open")
-            if open_.isEmpty():
-                break
-            new = cut(open_.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(many)).alias("slot")).agg(F.min_by(F.struct("rep", "component"), "rep").alias("s")).select("bucket", F.col("s.rep").alias("p"), F.col("s.component").alias("p_component")), "pivots")
-            met = named.join(new, "bucket").where("component <> p_component").select(F.greatest("rep", "p").alias("x"), F.least("rep", "p").alias("p")).distinct()
-            pairs = cut(met.join(tested, ["x", "p"], "left_anti"), "pairs")
-            pivots = pivots.unionByName(new.select("bucket", F.col("p").alias("rep")))
-            tested, many = tested.unionByName(pairs), many * 4
-            if not pairs.isEmpty():
-                links = links.unionByName(cut(_verified(pairs, texts, words, similarity), "links"))
-                labels = components(links)
+        more = cut(_far_pairs(compared, labels, similarity), "far")
+        if not more.isEmpty():
+            links = links.unionByName(cut(_compared(more, texts, words, similarity).where("near").select("x", "p"), "links"))
+            labels = components(links)
     return _result(signed, classes, labels)
 
 
