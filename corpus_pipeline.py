@@ -7,20 +7,28 @@ together there. An empty table gives no rows. Extra columns of documents are car
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, language, neardup, packing, quality
 from lectern.llm.common import cut, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """What a filter reads, beside the whole row in one column, whatever its columns are called."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    return docs.select(whole, "doc_id", "text", *(c for c in ("lang",) if c in docs.columns))
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: those without letters and those between two languages."""
-    found = language.identify(docs, language.learn_from_folds(docs), docs.columns)
-    return found.where(f"lang_pred <> '{language.UNDETERMINED}' AND NOT ambiguous").select(docs.columns)
+    rows = _carried(docs)
+    found = language.identify(rows, language.learn_from_folds(rows), ["document"])
+    return found.where(f"lang_pred <> '{language.UNDETERMINED}' AND NOT ambiguous").select("document.*")
 
 
 def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the quality rules or the likelihood ratio."""
-    return quality.judge(docs, table(spark, sf_dir, "labels"), docs.columns).where("kept").select(docs.columns)
+    return quality.judge(_carried(docs), table(spark, sf_dir, "labels"), ["document"]).where("kept").select("document.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +39,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carried=docs.columns)
-    return found.where("size(items) = 0").select(docs.columns)
+    found = decontaminate.contamination(_carried(docs), table(spark, sf_dir, "benchmark"), carried=["document"])
+    return found.where("size(items) = 0").select("document.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

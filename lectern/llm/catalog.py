@@ -73,5 +73,21 @@ FROM best b JOIN levels l ON l.depth = b.depth AND l.top = b.hash >> (60 - b.dep
 """
 
 
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_DECONTAMINATION = f"""
+WITH b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least({decontaminate.WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM s, range(1, (SELECT max(len(w)) + 1 FROM s)) r(i) WHERE i + n - 1 <= len(w)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+spots AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM spots, (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)),
+hit AS (SELECT rid, i, n, item_id FROM g JOIN win USING (n, g)),
+covered AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _SHARDING}
+    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _SHARDING, "op9_decontamination": _DECONTAMINATION}
