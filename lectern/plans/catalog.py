@@ -11,6 +11,7 @@ from lectern.functions import text as T
 from lectern.functions.html import extract_html
 from lectern.operators import chunking, jobs, migrate, providers, status, sync, vector
 from lectern.plans import relational, sqlgate
+from lectern.scratch import new_path
 from lectern.session import read, views
 from lectern.sources import biblio
 from lectern.streaming import queue as streaming
@@ -457,4 +458,19 @@ def stream_tumbling_window(spark, folder):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_queue_available_now(spark, folder):
-    return streaming.latest_by_key(read(spark, folder, "events").select("user_id", "event_type", "event_id"), "user_id", ["event_id"])
+    """The poll loop over all files there are: each micro-batch adds the last transition of its users, the last of all is read at the end."""
+    schema = read(spark, folder, "events").schema
+    stream = streaming.event_stream(spark, f"{folder}/events.parquet*", schema)
+    out = new_path(spark, "transitions")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        last = streaming.latest_by_key(batch.select("user_id", "event_type", "event_id"), "user_id", ["event_id"])
+        last.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that comes again replaces itself
+
+    streaming.poll(stream, handle, new_path(spark, "poll")).awaitTermination()
+    return streaming.latest_by_key(spark.read.parquet(out).drop("batch"), "user_id", ["event_id"])
+
+
+@query("SELECT count(*) AS rows, sum(length(text))::BIGINT AS total_chars, sha256(concat_ws('|', " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8)) + ")) AS sha256 FROM (SELECT text, sha256(doc_id || chr(31) || text || chr(30)) AS h FROM documents)")
+def text_digest_large(spark, folder):
+    return migrate.large_text_digest(read(spark, folder, "documents"), "doc_id", "text")
