@@ -15,12 +15,13 @@ PDF = "application/pdf"
 #: Extensions that a missing MIME type is guessed from (fixed values).
 MIME_BY_EXTENSION = {"pdf": PDF, "html": "text/html", "htm": "text/html", "txt": "text/plain", "md": "text/markdown"}
 
-_EDGES = rf"^{WS}+|{WS}+\z"
+#: The characters of WS.
+_SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def strip(c: Column) -> Column:
-    """Without white space, of any kind, at either end."""
-    return F.regexp_replace(c, _EDGES, "")
+    """Without white space, of any kind, at either end. Only the ends are looked at, as no regular expression would."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank_sql(c: Column) -> Column:
@@ -75,7 +76,7 @@ def sentences(c: Column) -> Column:
 
 
 def _lead(c: Column) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, rf"^{WS}+", ""))
+    return F.length(c) - F.length(F.ltrim(c, F.lit(_SPACES)))
 
 
 def paragraph_spans(c: Column) -> Column:
@@ -139,7 +140,7 @@ def page_range(ends: Column, start: Column, end: Column) -> Column:
 
 
 def looks_like_full_html(c: Column) -> Column:
-    low = F.lower(F.regexp_replace(c, rf"^{WS}+", ""))
+    low = F.lower(F.ltrim(c, F.lit(_SPACES)))
     head = F.substring(low, 1, 2048)
     return F.coalesce(low.startswith("<!doctype html") | low.startswith("<html") | low.startswith("<?xml") | (head.contains("<html") & (head.contains("<body") | head.contains("</html>"))), F.lit(False))
 

@@ -12,7 +12,7 @@ from lectern.functions.html import extract_html
 from lectern.operators import chunking, jobs, migrate, providers, status, sync, vector
 from lectern.plans import relational, sqlgate
 from lectern.scratch import new_path
-from lectern.session import read, views
+from lectern.session import read, spread, views
 from lectern.sources import biblio
 from lectern.streaming import queue as streaming
 
@@ -135,7 +135,7 @@ _BLOCK = STRIP("regexp_replace(regexp_replace(array_to_string(list_filter(list_t
 @query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({_RAW}, '\\r\\n|\\r', chr(10), 'g'), chr(10) || chr(10)), lambda b: {_BLOCK}), lambda b: b <> ''), chr(10) || chr(10)) AS normal FROM documents")
 def text_normalize(spark, folder):
     raw = F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n ")), F.lit("ing "), F.lit("in-\ng\r\n"))
-    return read(spark, folder, "documents").select("doc_id", T.normalize_extracted(raw).alias("normal"))
+    return spread(read(spark, folder, "documents")).select("doc_id", T.normalize_extracted(raw).alias("normal"))
 
 
 _MIMES = [" Application/PDF ", "application/x-pdf", "TEXT/HTML", "", " 　", None]
@@ -163,7 +163,7 @@ _SENTENCES = lambda x: f"list_filter(list_transform(regexp_extract_all({x}, '[^.
 
 @query(f"SELECT doc_id, len({_SENTENCES('text')}) AS n, list_max(list_transform({_SENTENCES('text')}, lambda s: length(s))) AS longest FROM documents")
 def sentence_split_counts(spark, folder):
-    s = read(spark, folder, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    s = spread(read(spark, folder, "documents")).select("doc_id", T.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
@@ -174,7 +174,7 @@ _DOUBLED = "replace(text, chr(10), chr(10) || chr(10))"
 o AS (SELECT doc_id, x, i, coalesce(sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(x) - length(regexp_replace(x, '^{WS}+', '')) AS s FROM p)
 SELECT doc_id, {STRIP('x')} AS piece, s::BIGINT AS start, (s + length({STRIP('x')}))::BIGINT AS stop FROM o WHERE {STRIP('x')} <> ''""")
 def paragraph_spans(spark, folder):
-    d = read(spark, folder, "documents").select("doc_id", F.explode(T.paragraph_spans(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("p"))
+    d = spread(read(spark, folder, "documents")).select("doc_id", F.explode(T.paragraph_spans(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("p"))
     return d.select("doc_id", "p.piece", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("stop"))
 
 
@@ -193,12 +193,12 @@ SELECT doc_id AS id, k::BIGINT AS chunk_index, substr(body, sep + 1) AS content
 
 @query(_chunk_sql("text"))
 def chunk_sentences(spark, folder):
-    return chunking.chunks(read(spark, folder, "documents"), "doc_id", "text").withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return chunking.chunks(spread(read(spark, folder, "documents")), "doc_id", "text").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query(_chunk_sql(_DOUBLED))
 def chunk_paragraphs(spark, folder):
-    d = read(spark, folder, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    d = spread(read(spark, folder, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunks(d, "doc_id", "text").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 

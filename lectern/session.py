@@ -25,3 +25,13 @@ def views(spark: SparkSession, folder: str, *names: str) -> None:
     """Registers tables (all, if none is named) as temporary views; nothing is read but their footers."""
     for name in names or TABLES:
         read(spark, folder, name).createOrReplaceTempView(name)
+
+
+#: Bytes of a table below which it is dealt out anew for work that costs more than a shuffle.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: it may come in a single row group, which is one task. Larger ones stay as they are read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
