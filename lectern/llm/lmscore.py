@@ -302,6 +302,21 @@ def _document_scoring(hot: dict[bytes, tuple[bool, float, float]]):
     return run
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """`most` rows at most: short words in the upper steps of a histogram of counts, as many steps as hold no more.
+
+    A top-k would send that many rows of each partition to the driver."""
+    step = F.floor(F.log2(F.col("c") + F.col("h")) * 16)
+    short = table.where((F.octet_length("word") <= HOT_BYTES) & (F.col("c") + F.col("h") > 0)).withColumn("step", step)
+    least, held = None, 0
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):  # 16 steps for each doubling of counts
+        held += r["n"]
+        if held > most:
+            break
+        least = r["step"]
+    return short.where(F.col("step") >= least) if least is not None else short.limit(0)
+
+
 def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | None = None, hot_words: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), and the vocabulary size V."""
     arrow_ready(documents.sparkSession)
@@ -320,8 +335,7 @@ def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | Non
     pieces = re_estimated(pieces, total, float(ends))
 
     base_of = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
-    frequent = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc(F.col("c") + F.col("h")), "word").limit(hot_words)
-    frequent = [(r["word"], r["c"], r["base"]) for r in frequent.select("word", "c", base_of.alias("base")).collect()]
+    frequent = sorted((r["word"], r["c"], r["base"]) for r in _most_frequent(table, hot_words).select("word", "c", base_of.alias("base")).collect())
     lattice = word_log_probabilities([w for w, _, _ in frequent], pieces) / math.log(10)
     hot = {w.encode(): (c > 0, base, float(p) if w != END else pieces.end / math.log(10)) for (w, c, base), p in zip(frequent, lattice, strict=True)}
 
