@@ -77,6 +77,12 @@ def large_text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sums.select("rows", "total_chars", F.sha2(F.concat_ws("|", *(F.col(f"part{k}").cast("string") for k in range(8))), 256).alias("sha256"))
 
 
+def digest(rows: DataFrame, id_col: str, text_col: str, most: int = ONE_STRING) -> DataFrame:
+    """text_digest() where all texts are `most` characters at most, as one task then holds them; else large_text_digest()."""
+    size = rows.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    return (text_digest if size <= most else large_text_digest)(rows, id_col, text_col)
+
+
 def check_unchanged(before: DataFrame, after: DataFrame) -> None:
     """Raises unless two digests (a row each) are equal."""
     a, b = before.first(), after.first()

@@ -74,11 +74,11 @@ def knn_batch(spark, folder):
     return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_BATCH}) WHERE rank <= 5 AND query_id < 200")
+@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_BATCH}) WHERE rank <= 5")
 def knn_batch_lateral(spark, folder):
     views(spark, folder, "embeddings")
     vector.register(spark, "embeddings")
-    return sqlgate.search(spark, "SELECT q.vec_id AS query_id, n.vec_id AS vec_id, round(n.distance, 6) AS distance FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0 AND vec_id < 200) q, LATERAL knn(CAST(q.embedding AS ARRAY<DOUBLE>), 5) n")
+    return sqlgate.search(spark, "SELECT q.vec_id AS query_id, n.vec_id AS vec_id, round(n.distance, 6) AS distance FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, LATERAL knn(CAST(q.embedding AS ARRAY<DOUBLE>), 5) n")
 
 
 _NEAR = f"(SELECT vec_id, list_distance(embedding::DOUBLE[], {_QUERY}) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 30)"
@@ -119,12 +119,12 @@ def search_rerank_topk(spark, folder):
 
 # ---- text ----
 
-_MESSY = "concat(chr(9), chr(8195), substr(text, 1, 200), chr(160), chr(133), chr(10))"
+_MESSY = "concat(chr(9), chr(8195), text, chr(160), chr(133), chr(10))"
 
 
 @query(f"SELECT doc_id, {STRIP(_MESSY)} AS stripped FROM documents")
 def text_strip_unicode(spark, folder):
-    messy = F.concat(F.lit("\t "), F.substring("text", 1, 200), F.lit(" \u0085\n"))
+    messy = F.concat(F.lit("\t "), F.col("text"), F.lit(" \u0085\n"))
     return read(spark, folder, "documents").select("doc_id", T.strip(messy).alias("stripped"))
 
 
@@ -202,14 +202,18 @@ def chunk_paragraphs(spark, folder):
     return chunking.chunks(d, "doc_id", "text").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query("""WITH pages AS (SELECT doc_id, list_transform(range(0, 4), lambda i: substr(text, 1 + i * 300, 300)) AS ps FROM documents),
-ends AS (SELECT doc_id, list_transform(range(1, 5), lambda i: (list_sum(list_transform(ps[1:i], lambda p: length(p))) + 2 * (i - 1))::BIGINT) AS es FROM pages),
-spans AS (SELECT doc_id, es, i * 250 AS a, i * 250 + 120 + 200 * (i % 2) AS b FROM ends, range(0, 6) r(i))
-SELECT doc_id, a::BIGINT AS start, b::BIGINT AS stop, coalesce(list_min(list_filter([1, 2, 3, 4], lambda p: es[p] > a)), 4)::BIGINT AS page_start, coalesce(list_min(list_filter([1, 2, 3, 4], lambda p: es[p] > b - 1)), 4)::BIGINT AS page_end FROM spans""")
+@query("""WITH pages AS (SELECT doc_id, list_transform(range(0, 1 + length(text) // 300), lambda i: substr(text, 1 + i * 300, 300)) AS ps FROM documents),
+ends AS (SELECT doc_id, list_transform(range(1, len(ps) + 1), lambda i: (list_sum(list_transform(ps[1:i], lambda p: length(p))) + 2 * (i - 1))::BIGINT) AS es FROM pages),
+spans AS (SELECT doc_id, es, unnest(range(0, 1 + es[-1] // 250)) AS i FROM ends),
+placed AS (SELECT doc_id, es, i * 250 AS a, i * 250 + 120 + 200 * (i % 2) AS b FROM spans)
+SELECT doc_id, a::BIGINT AS start, b::BIGINT AS stop, coalesce(list_min(list_filter(range(1, len(es) + 1), lambda p: es[p] > a)), len(es))::BIGINT AS page_start, coalesce(list_min(list_filter(range(1, len(es) + 1), lambda p: es[p] > b - 1)), len(es))::BIGINT AS page_end FROM placed WHERE es[-1] > 0""")
 def chunk_page_ranges(spark, folder):
-    pages = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring(F.col("text"), 1 + i * 300, F.lit(300)))
-    d = read(spark, folder, "documents").select("doc_id", pages.alias("pages"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
-    spans = d.select("doc_id", "pages", (F.col("i") * 250).alias("start"), (F.col("i") * 250 + 120 + 200 * (F.col("i") % 2)).alias("stop"))
+    """Spans of 120 or 320 characters at every 250th, over pages of 300."""
+    d = spread(read(spark, folder, "documents"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 300).cast("int")), lambda i: F.substring(F.col("text"), 1 + i * 300, F.lit(300)))
+    d = d.select("doc_id", pages.alias("pages")).withColumn("size", F.length(F.array_join("pages", "\n\n"))).where("size > 0")
+    at = d.select("doc_id", "pages", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 250).cast("int"))).alias("i"))
+    spans = at.select("doc_id", "pages", (F.col("i") * 250).alias("start"), (F.col("i") * 250 + 120 + 200 * (F.col("i") % 2)).alias("stop"))
     return chunking.with_pages(spans, "pages", "start", "stop").drop("pages").select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start", "stop", "page_start", "page_end")))
 
 
@@ -237,9 +241,9 @@ def annotation_content(spark, folder):
 
 
 @query("""SELECT conv_id AS "itemID", string_agg(CASE WHEN l <> '' AND f <> '' THEN l || ', ' || f WHEN l <> '' THEN l END, '; ' ORDER BY turn) AS authors
-FROM (SELECT conv_id, turn, substr(text, 1, 5) AS f, CASE WHEN role = 'system' THEN '' ELSE role END AS l FROM conversations) GROUP BY conv_id""")
+FROM (SELECT conv_id, turn, turn::VARCHAR AS f, CASE WHEN role = 'system' THEN '' ELSE role END AS l FROM conversations) GROUP BY conv_id""")
 def authors_listagg(spark, folder):
-    c = read(spark, folder, "conversations").select(F.col("conv_id").alias("itemID"), F.col("turn").alias("orderIndex"), F.substring("text", 1, 5).alias("firstName"), F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("role")).alias("lastName"))
+    c = read(spark, folder, "conversations").select(F.col("conv_id").alias("itemID"), F.col("turn").alias("orderIndex"), F.col("turn").cast("string").alias("firstName"), F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("role")).alias("lastName"))
     return biblio.authors(c)
 
 
@@ -253,8 +257,8 @@ def eav_pivot(spark, folder):
 
 # ---- sync ----
 
-_SNAPSHOTS = """old AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 10 <> 9),
-fresh AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE lang END AS lang, source, n_chars FROM documents WHERE doc_id % 11 <> 10),
+_SNAPSHOTS = """old AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE source <> 'src3'),
+fresh AS (SELECT doc_id, CASE WHEN lang = 'es' THEN upper(lang) ELSE lang END AS lang, source, n_chars FROM documents WHERE source <> 'src4'),
 changes AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.lang AS old_lang, n.lang AS new_lang, o.source AS old_source, n.source AS new_source,
   CASE WHEN n.doc_id IS NULL THEN 'absent' WHEN o.doc_id IS NULL THEN 'added' WHEN o.lang IS DISTINCT FROM n.lang OR o.source IS DISTINCT FROM n.source THEN 'updated' ELSE 'unchanged' END AS outcome
   FROM old o FULL OUTER JOIN fresh n ON o.doc_id = n.doc_id)"""
@@ -262,8 +266,8 @@ changes AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.lang AS old_lang, n
 
 def _changes(spark, folder):
     d = read(spark, folder, "documents").select("doc_id", "lang", "source")
-    new = d.where("doc_id % 11 <> 10").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, F.upper("lang")).otherwise(F.col("lang")))
-    return sync.diff(d.where("doc_id % 10 <> 9"), new, ["doc_id"], ["lang", "source"])
+    new = d.where("source <> 'src4'").withColumn("lang", F.when(F.col("lang") == "es", F.upper("lang")).otherwise(F.col("lang")))
+    return sync.diff(d.where("source <> 'src3'"), new, ["doc_id"], ["lang", "source"])
 
 
 @query(f"""WITH {_SNAPSHOTS} SELECT coalesce(artifact, 'Total') AS artifact, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome <> 'unchanged') AS changed
@@ -415,7 +419,7 @@ def migration_apply(spark, folder):
 
 @query("SELECT count(*) AS rows, sum(length(text))::BIGINT AS total_chars, sha256(string_agg(doc_id || chr(31) || text || chr(30), '' ORDER BY doc_id)) AS sha256 FROM documents")
 def text_digest(spark, folder):
-    return migrate.text_digest(read(spark, folder, "documents"), "doc_id", "text")
+    return migrate.digest(read(spark, folder, "documents"), "doc_id", "text")
 
 
 @query("SELECT substr(sha256('180|32|5|5|900'), 1, 16) AS config_hash")

@@ -17,13 +17,13 @@ SAME = {
     "join_inner": f"SELECT n_name, count(*) AS n_orders, {_sum('o_totalprice')} AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     "join_right": "SELECT s_suppkey, count(l_orderkey) AS n_lines FROM lineitem RIGHT JOIN supplier ON l_suppkey = s_suppkey AND l_quantity > 45 GROUP BY s_suppkey",
-    "join_full": "SELECT a.doc_id AS document_id, b.doc_id AS label_id, b.quality AS quality FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) a FULL OUTER JOIN (SELECT doc_id, quality FROM labels) b ON a.doc_id = b.doc_id",
+    "join_full": "SELECT a.doc_id AS document_id, b.doc_id AS label_id, b.quality AS quality FROM (SELECT doc_id FROM documents WHERE lang <> 'en') a FULL OUTER JOIN (SELECT doc_id, quality FROM labels) b ON a.doc_id = b.doc_id",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "join_anti": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')",
     "join_theta": "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
     "join_self": "SELECT a.conv_id AS conv_id, a.turn AS turn, a.role AS role, b.role AS next_role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
-    "join_natural": "SELECT item_id, n FROM (SELECT item_id, length(text) AS n FROM benchmark) a NATURAL JOIN (SELECT item_id FROM benchmark WHERE item_id % 2 = 0) b",
+    "join_natural": "SELECT item_id, n FROM (SELECT item_id, length(text) AS n FROM benchmark) a NATURAL JOIN (SELECT item_id FROM benchmark WHERE length(text) > 150) b",
     "join_using": "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)",
     "agg_group": f"SELECT l_returnflag, l_linestatus, count(*) AS n, {_sum('l_quantity')} AS quantity, {_sum('l_extendedprice')} AS price, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_distinct": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority",
@@ -64,8 +64,8 @@ BOTH = {
     "json_extract_props": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "list_by_group": ("SELECT conv_id, listagg(role, '; ') WITHIN GROUP (ORDER BY turn) AS roles FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, '; ' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id"),
     "null_order": (
-        "SELECT p_partkey, CAST(row_number() OVER (ORDER BY nullif(p_size, 1), p_partkey) AS BIGINT) AS rn FROM part WHERE p_partkey < 300",
-        "SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size, 1) NULLS FIRST, p_partkey) AS rn FROM part WHERE p_partkey < 300",
+        "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 1), p_partkey) AS BIGINT) AS rn FROM part",
+        "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 1) NULLS FIRST, p_partkey) AS rn FROM part",
     ),
     "integer_division": ("SELECT p_partkey, CAST(p_size div 2 AS BIGINT) AS half, try_divide(p_size, p_size - 10) AS q FROM part", "SELECT p_partkey, CAST(p_size // 2 AS BIGINT) AS half, CASE WHEN p_size = 10 THEN NULL ELSE p_size / (p_size - 10) END AS q FROM part"),
 }

@@ -128,6 +128,7 @@ def test_migration(spark):
     assert [r["storage_uri"] for r in new_files.orderBy("id").collect()] == ["/tmp/paper.pdf", "/tmp/other.pdf"]
     assert new_docs.where("id = 5").first()["embedding_error"] == migrate.REPAIRED
     migrate.check_unchanged(migrate.text_digest(docs, "id", "content"), migrate.text_digest(new_docs, "id", "content"))
+    assert migrate.digest(docs, "id", "content", 5).first() == migrate.large_text_digest(docs, "id", "content").first()
     with pytest.raises(ValueError):
         migrate.check_unchanged(migrate.large_text_digest(docs, "id", "content"), migrate.large_text_digest(docs.withColumn("content", F.lit("x")), "id", "content"))
 
