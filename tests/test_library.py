@@ -207,7 +207,7 @@ def test_gate_lets_through(gate, sql):
 @pytest.mark.parametrize("sql", [
     "INSERT INTO nation VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO nation SELECT * FROM a", "CREATE TABLE t (a INT)", "DROP TABLE nation", "CREATE VIEW v AS SELECT 1", "ALTER TABLE nation ADD COLUMN x INT", "SET a=1", "PRAGMA writable_schema = ON", "CALL p()", "EXECUTE IMMEDIATE 'SELECT 1'", "ADD JAR 'x'",
     "TRUNCATE TABLE nation", "DELETE FROM nation", "UPDATE nation SET n_name = ''", "MERGE INTO nation USING region ON true WHEN MATCHED THEN DELETE", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT reflect('java.lang.Math', 'abs', 1)", "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
-    "SELECT (SELECT count(*) FROM text.`/etc/passwd`)", "SELECT * FROM nation WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)", "SHOW TABLES", "DESCRIBE nation", "CACHE TABLE nation", "REFRESH TABLE nation", "USE other", "SELECT * FROM unknown_view", "SELECT 1; SELECT 2", "",
+    "SELECT (SELECT count(*) FROM text.`/etc/passwd`)", "SELECT * FROM nation WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)", "SELECT " + ", ".join(f"{i} AS c{i}" for i in range(60)) + ", java_method('java.lang.Math', 'abs', 1)", "SELECT 1 WHERE 1 IN (" + ", ".join(map(str, range(60))) + ", (SELECT count(*) FROM text.`/etc/passwd`))", "SHOW TABLES", "DESCRIBE nation", "CACHE TABLE nation", "REFRESH TABLE nation", "USE other", "SELECT * FROM unknown_view", "SELECT 1; SELECT 2", "",
 ])
 def test_gate_denies(gate, sql):
     with pytest.raises((ValueError, ParseException)):
