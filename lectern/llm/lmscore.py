@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z) and taken as its words, each with a word mark before it, and one end token. The pieces of an
 existing vocabulary give every word a lattice of segmentations. Weights of pieces start from the vocabulary's own scores
-(its order, read as a Zipf law) and are estimated once more from the training documents: expected counts of pieces over
+(its order, read as a Zipf law) and are estimated anew, ROUNDS times, from the training documents: expected counts of pieces over
 all segmentations of all training words, smoothed by the starting weights. A word's marginal probability is the sum over
 all its segmentations, by a forward recursion in log space; as no piece crosses a word mark, the document's is the
 product over its words and the end token. Characters that the vocabulary lacks are spelt by its byte pieces, so each text
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANK_BYTES, arrow_ready, column_bytes, cut, mix, steps
+from lectern.llm.common import BLANK_BYTES, Words, arrow_ready, column_bytes, cut, mix, steps
 
 MARK = "▁"
 #: The key of the end token in tables of words; no word has a blank.
@@ -43,6 +43,8 @@ FLUSH = 150_000
 STEP_WORDS = 8192
 PRIOR = 2000.0
 ZIPF = 30.0
+#: Times that the weights are estimated anew.
+ROUNDS = 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -263,41 +265,48 @@ def _word_scoring(v: Pieces):
         for batch in batches:
             words = batch.column(0).to_pylist()
             lattice = word_log_probabilities(words, v) / math.log(10)
-            lattice[[w == END for w in words]] = v.end / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice)], ["word", "c", "lattice"])
 
     return run
 
 
-def _document_scoring(hot: dict[bytes, tuple[bool, float, float]]):
-    """A row for each document with what its hot words sum to, and a row for each distinct other word of it."""
+def _document_scoring(hot: list[tuple[str, bool, float, float]], end: tuple[bool, float, float]):
+    """A row for each document with what its hot words and its end token sum to, and a row for each distinct other word of it."""
+    hashes = Words([" ".join(w for w, *_ in hot).encode()], BLANK_BYTES).hashes if hot else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    hashes, values = hashes[order], np.array([(k, base, score) for _, k, base, score in hot], float).reshape(-1, 3)[order]
+    bits = np.zeros(_SLOTS, bool)
+    bits[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for name, text in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), column_bytes(batch, "text"), strict=True):
-                row += 1
-                words = text.translate(BLANK_BYTES).split()
-                words.append(b" ")
-                known, base, score, rest = 0, 0.0, 0.0, []
-                for w, n in Counter(words).items():
-                    if (found := hot.get(w)) is not None:
-                        known += n * found[0]
-                        base += n * found[1]
-                        score += n * found[2]
-                    else:
-                        rest.append((w.decode(), n))
-                # this key is no word, and so matches nothing
-                for column, values in zip(out, ([row], [name], [f" {row}"], [0], [len(words)], [known], [base], [score]), strict=True):
-                    column += values
-                if rest:
-                    k = len(rest)
-                    for column, values in zip(out, ([row] * k, [name] * k, [w for w, _ in rest], [n for _, n in rest], [0] * k, [0] * k, [0.0] * k, [0.0] * k), strict=True):
-                        column += values
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names)
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for at, texts in steps(column_bytes(batch, "text")):
+                w = Words(texts, BLANK_BYTES)
+                n, rows = len(texts), row + 1 + np.arange(len(texts))
+                row += n
+                docs = np.repeat(np.arange(n), w.counts)
+                maybe = np.flatnonzero(bits[(w.hashes & np.uint64(_SLOTS - 1)).astype(np.int64)])
+                index = np.searchsorted(hashes, w.hashes[maybe])
+                index[index == len(hashes)] = 0
+                real = hashes[index] == w.hashes[maybe] if len(hashes) else np.zeros(0, bool)
+                sums = [np.bincount(docs[maybe[real]], values[index[real], k], n) + float(end[k]) for k in range(3)]
+                other = np.ones(len(w.hashes), bool)
+                other[maybe[real]] = False
+                other = np.flatnonzero(other)
+                rest = Counter(zip(docs[other].tolist(), map(w.word, other.tolist()), strict=True))
+                # a document's own key is no word, and so matches nothing
+                keys = [f" {r}" for r in rows.tolist()] + [x.decode() for _, x in rest]
+                zeros = np.zeros(len(rest), np.int64)
+                place = np.concatenate([np.arange(n), np.array([d for d, _ in rest], np.int64)])
+                columns = [
+                    pa.array(rows[place]), ids.slice(at, n).take(pa.array(place)), pa.array(keys, pa.string()), pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rest.values(), np.int64, len(rest))])),
+                    pa.array(np.concatenate([w.counts + 1, zeros])), pa.array(np.concatenate([sums[0].astype(np.int64), zeros])), pa.array(np.concatenate([sums[1], zeros.astype(float)])), pa.array(np.concatenate([sums[2], zeros.astype(float)])),
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -307,7 +316,7 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
     A top-k would send that many rows of each partition to the driver."""
     step = F.floor(F.log2(F.col("c") + F.col("h")) * 16)
-    short = table.where((F.octet_length("word") <= HOT_BYTES) & (F.col("c") + F.col("h") > 0)).withColumn("step", step)
+    short = table.where((F.col("word") != END) & (F.octet_length("word") <= HOT_BYTES) & (F.col("c") + F.col("h") > 0)).withColumn("step", step)
     least, held = None, 0
     for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):  # 16 steps for each doubling of counts
         held += r["n"]
@@ -317,7 +326,7 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     return short.where(F.col("step") >= least) if least is not None else short.limit(0)
 
 
-def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | None = None, hot_words: int = HOT) -> DataFrame:
+def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | None = None, hot_words: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), and the vocabulary size V."""
     arrow_ready(documents.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
@@ -328,19 +337,23 @@ def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | Non
     n, v, ends = seen["n"] or 0, seen["v"] or 0, seen["ends"] or 0
 
     pieces = load(vocabulary)
-    estimated = table.where(f"c > 0 AND word <> '{END}'").select("word", "c").mapInArrow(_estimating(pieces), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    total = np.zeros(len(pieces.logp))
-    for r in estimated.collect():  # a row for each piece of the vocabulary at most
-        total[r["piece"]] = r["n"]
-    pieces = re_estimated(pieces, total, float(ends))
+    learnt = table.where(f"c > 0 AND word <> '{END}'").select("word", "c")
+    start = pieces
+    for _ in range(rounds):
+        expected = learnt.mapInArrow(_estimating(pieces), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        total = np.zeros(len(pieces.logp))
+        for r in expected.collect():  # a row for each piece of the vocabulary at most
+            total[r["piece"]] = r["n"]
+        pieces = re_estimated(start, total, float(ends))
 
     base_of = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
     frequent = sorted((r["word"], r["c"], r["base"]) for r in _most_frequent(table, hot_words).select("word", "c", base_of.alias("base")).collect())
     lattice = word_log_probabilities([w for w, _, _ in frequent], pieces) / math.log(10)
-    hot = {w.encode(): (c > 0, base, float(p) if w != END else pieces.end / math.log(10)) for (w, c, base), p in zip(frequent, lattice, strict=True)}
+    hot = [(w, c > 0, base, float(p)) for (w, c, base), p in zip(frequent, lattice, strict=True)]
+    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), pieces.end / math.log(10))
 
     scored = table.select("word", "c").mapInArrow(_word_scoring(pieces), "word string, c long, lattice double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice")
-    rows = docs.mapInArrow(_document_scoring(hot), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double")
+    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double")
     joined = rows.join(scored, "word", "left")
 
     def total_of(own: str, by_word: str) -> Column:
