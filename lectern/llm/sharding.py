@@ -65,6 +65,8 @@ def assign(documents: DataFrame, limit: int = LIMIT, cell: int = CELL) -> DataFr
             parts.append(_chains(rows, limit))
             break
         rows, done = cut(rows, "oversized"), upto
+    if len(parts) > 1:
+        parts = [cut(p, "placed") for p in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
