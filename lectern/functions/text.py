@@ -82,14 +82,25 @@ def _lead(c: Column) -> Column:
 def paragraph_spans(c: Column) -> Column:
     """array<struct<piece, start, end>> of paragraphs, stripped, blank ones left out; code points, end exclusive."""
     parts = F.split(c, r"\n\n")
-    before = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, p: F.struct((a["at"] + F.length(p) + 2).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"],
-    )
+    before = _starts(parts, 2)
     spans = F.zip_with(parts, before, lambda p, at: F.struct(strip(p).alias("piece"), (at + _lead(p)).alias("start"), (at + _lead(p) + F.length(strip(p))).alias("end")))
     return F.filter(spans, lambda s: s["piece"] != "")
 
 
+def _starts(parts: Column, gap: int) -> Column:
+    """Offset of each part of a text whose parts stand `gap` characters apart."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p) + gap).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+
+
+def sentence_spans(c: Column, base: Column | None = None) -> Column:
+    """array<struct<piece, start, end>> of sentences; offsets count from `base`."""
+    parts = F.regexp_extract_all(c, F.lit(SENTENCE), 0)
+    base = F.lit(0) if base is None else base
+    spans = F.zip_with(parts, _starts(parts, 0), lambda p, at: F.struct(strip(p).alias("piece"), (base + at + _lead(p)).alias("start"), (base + at + _lead(p) + F.length(strip(p))).alias("end")))
+    return F.filter(spans, lambda x: x["piece"] != "")
+
+
 def pieces(c: Column, target_tokens: int = TARGET_TOKENS) -> Column:
     """array<struct<s, sep, f>> that the chunker packs: paragraphs that fit, or the sentences of those that do not (f on the first of these)."""
     most = int(target_tokens * CHARS_PER_TOKEN)
@@ -104,6 +115,19 @@ def pieces(c: Column, target_tokens: int = TARGET_TOKENS) -> Column:
     return F.flatten(F.transform(paragraphs, of))
 
 
+def located_pieces(c: Column, target_tokens: int = TARGET_TOKENS) -> Column:
+    """As pieces(), with the offsets at which each stands in the text."""
+    most = int(target_tokens * CHARS_PER_TOKEN)
+    kind = "array<struct<s:string,sep:int,f:boolean,start:int,end:int>>"
+
+    def of(p: Column) -> Column:
+        whole = F.array(F.struct(p["piece"].alias("s"), F.lit(2).alias("sep"), F.lit(False).alias("f"), p["start"].alias("start"), p["end"].alias("end"))).cast(kind)
+        cut = F.transform(sentence_spans(p["piece"], p["start"]), lambda s, i: F.struct(s["piece"].alias("s"), F.lit(1).alias("sep"), (i == 0).alias("f"), s["start"].alias("start"), s["end"].alias("end"))).cast(kind)
+        return F.when(F.length(p["piece"]) <= most, whole).otherwise(cut)
+
+    return F.flatten(F.transform(paragraph_spans(c), of))
+
+
 def chunk_numbers(packed: Column, target_tokens: int = TARGET_TOKENS) -> Column:
     """For each piece the number of its chunk: a new one starts where a piece must, or where it would not fit any more."""
     most = int(target_tokens * CHARS_PER_TOKEN)

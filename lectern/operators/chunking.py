@@ -14,40 +14,49 @@ from lectern.functions import text as T
 MOST_PIECES = 4000
 
 
-def chunks(documents: DataFrame, id_col: str, text_col: str, target_tokens: int = T.TARGET_TOKENS) -> DataFrame:
-    """id, chunk_index, content. A text that fits is one chunk, as it is; null texts give none."""
+def chunks(documents: DataFrame, id_col: str, text_col: str, target_tokens: int = T.TARGET_TOKENS, spans: bool = False) -> DataFrame:
+    """id, chunk_index, content, and with spans also start and end (of the first and the last piece, in the text). A text that fits is one chunk, as it is; null texts give none."""
     most = int(target_tokens * T.CHARS_PER_TOKEN)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    short = docs.where(F.length("t") <= most).select("id", F.lit(0).alias("chunk_index"), F.col("t").alias("content"))
-    cut = docs.where(F.length("t") > most).select("id", T.pieces(F.col("t"), target_tokens).alias("ps"))
+    whole = [F.lit(0).alias("start"), F.length("t").alias("end")] if spans else []
+    short = docs.where(F.length("t") <= most).select("id", F.lit(0).alias("chunk_index"), F.col("t").alias("content"), *whole)
+    cut = docs.where(F.length("t") > most).select("id", (T.located_pieces if spans else T.pieces)(F.col("t"), target_tokens).alias("ps"))
     few = cut.where(F.size("ps") <= MOST_PIECES).select("id", "ps", T.chunk_numbers(F.col("ps"), target_tokens).alias("ks"))
-    # one pass inside the row: texts of the chunk's pieces with their separators, the first without
     numbers = F.when(F.size("ks") > 0, F.sequence(F.lit(0), F.element_at("ks", -1))).otherwise(F.array().cast("array<int>"))
     zipped = few.select("id", "ps", "ks", F.posexplode(numbers).alias("chunk_index", "k"))
     first, size = F.array_position("ks", F.col("k")).cast("int"), F.size(F.filter("ks", lambda x: x == F.col("k")))
-    own = F.slice("ps", first, size)
-    body = F.array_join(F.transform(own, lambda x, i: F.concat(F.when(i == 0, F.lit("")).when(x["sep"] == 2, F.lit("\n\n")).otherwise(F.lit(" ")), x["s"])), "")
-    long = zipped.select("id", "chunk_index", body.alias("content"))
+    zipped = zipped.select("id", "chunk_index", F.slice("ps", first, size).alias("own"))
+    # texts of the chunk's pieces with their separators, the first without
+    body = F.array_join(F.transform("own", lambda x, i: F.concat(F.when(i == 0, F.lit("")).when(x["sep"] == 2, F.lit("\n\n")).otherwise(F.lit(" ")), x["s"])), "")
+    edges = [F.element_at("own", 1)["start"].alias("start"), F.element_at("own", -1)["end"].alias("end")] if spans else []
+    long = zipped.select("id", "chunk_index", body.alias("content"), *edges)
     many = cut.where(F.size("ps") > MOST_PIECES)
     kind = many.schema["id"].dataType.simpleString()
-    return short.unionByName(long).unionByName(many.mapInArrow(_packing(most), f"id {kind}, chunk_index int, content string"))
+    return short.unionByName(long).unionByName(many.mapInArrow(_packing(most, spans), f"id {kind}, chunk_index int, content string" + ", start int, end int" * spans))
 
 
-def _packing(most: int):
+def _packing(most: int, spans: bool):
+    def packed(pieces: list[dict]) -> Iterator[tuple[str, int, int]]:
+        size, held = 0, []
+        for x in pieces:
+            if held and (x["f"] or size + x["sep"] + len(x["s"]) > most):
+                yield "".join(held), first, last
+                size, held = 0, []
+            if held:
+                held.append("\n\n" if x["sep"] == 2 else " ")
+                size += x["sep"]
+            else:
+                first = x.get("start", 0)
+            held.append(x["s"])
+            size, last = size + len(x["s"]), x.get("end", 0)
+        if held:
+            yield "".join(held), first, last
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, texts = [], [], []
-            for name, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size, open_, k = 0, [], 0
-                for x in pieces:
-                    if size and (x["f"] or size + x["sep"] + len(x["s"]) > most):
-                        ids, numbers, texts, k = [*ids, name], [*numbers, k], [*texts, "".join(open_)], k + 1
-                        size, open_ = 0, []
-                    open_ += ["\n\n" if x["sep"] == 2 else " ", x["s"]] if size else [x["s"]]
-                    size += (x["sep"] if size else 0) + len(x["s"])
-                if open_:
-                    ids, numbers, texts = [*ids, name], [*numbers, k], [*texts, "".join(open_)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["id", "chunk_index", "content"])
+            rows = [(name, k, *c) for name, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in enumerate(packed(pieces))]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32()][: 5 if spans else 3]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["id", "chunk_index", "content", "start", "end"][: len(kinds)])
 
     return run
 

@@ -94,7 +94,20 @@ _EMBED = re.compile(r"\bembed\s*\(\s*'((?:[^']|'')*)'\s*\)", re.IGNORECASE)
 _MATCH = re.compile(r"\bFROM\s+(?P<view>\w+)\s+WHERE\s+embedding\s+MATCH\s+(?P<q>array\([^()]*\))\s+AND\s+k\s*=\s*(?P<k>\d+)", re.IGNORECASE)
 
 
+#: Codes of strftime to patterns of date_format (fixed values).
+_DATES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
+_STRFTIME = re.compile(r"\bstrftime\s*\(\s*'([^']*)'\s*,\s*([^()]+|[^()]*\([^()]*\))\s*\)", re.IGNORECASE)
+
+
+def other_names(sql: str) -> str:
+    """Aggregates and formats of other engines that no SQL function can stand for."""
+    sql = re.sub(r"\bgroup_concat\s*\(", "listagg(", sql, flags=re.IGNORECASE)
+    sql = re.sub(r"\btotal\s*\(([^()]*)\)", r"coalesce(sum(\1), 0D)", sql, flags=re.IGNORECASE)
+    return _STRFTIME.sub(lambda m: f"date_format({m[2]}, '{re.sub('%.', lambda c: _DATES.get(c[0], c[0]), m[1])}')", sql)
+
+
 def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",)) -> str:
+    sql = other_names(sql)
     if embedder is not None:
         sql = _EMBED.sub(lambda m: "array(" + ", ".join(f"{float(x)!r}D" for x in embedder.embed([m[1].replace("''", "'")])[0]) + ")", sql)
 
