@@ -11,7 +11,8 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("lectern")
     if master:
         builder = builder.master(master)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    # unions that keep their inputs' partitioning fail where adaptive execution has changed one of them
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.unionOutputPartitioning": "false", "spark.ui.showConsoleProgress": "false"}
     for k, v in {**base, **settings}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
