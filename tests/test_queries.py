@@ -35,7 +35,7 @@ def test_others_have_a_row_for_each(spark, small, name):
 
 
 def test_contract(spark):
-    assert entry.entry(spark).count() == 10
+    assert 0 < entry.entry(spark).count() <= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
