@@ -336,3 +336,23 @@ def test_schema_evolution(spark):
 
 def test_scratch(spark):
     assert scratch.cut(spark.range(3), "x").count() == 3
+
+
+def test_only_small_tables_are_dealt_out(spark, small, monkeypatch):
+    from lectern import session
+
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    dealt = lambda d: "Exchange" in d._jdf.queryExecution().executedPlan().toString()
+    assert dealt(session.spread(df))
+    monkeypatch.setattr(session, "SMALL", 10)
+    assert not dealt(session.spread(df))
+
+
+def test_files_are_located(spark, tmp_path):
+    from lectern.sources import files
+
+    rows = spark.createDataFrame([("local", "/a", None), ("s3", "/a", None), ("local", "", "/b"), (None, None, None)], "storage_kind string, file_path string, storage_uri string")
+    assert [(r["path"], r["error_class"]) for r in files.located(rows).collect()] == [("/a", None), (None, "permanent_unsupported"), ("/b", None), (None, "permanent_not_found")]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "one.pdf").write_bytes(b"1")
+    assert [(r["path"], bytes(r["content"])) for r in files.contents(spark, str(tmp_path), pattern="*.pdf").collect()] == [(str(tmp_path / "x" / "one.pdf"), b"1")]
