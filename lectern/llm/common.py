@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.scratch import cut, release, shared_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step takes; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Rows of an Arrow batch that Spark hands to a Python operator.
 BATCH_ROWS = 512
 
@@ -44,16 +44,34 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        size = max(n, 2 * STEP_BYTES)
-        factor = np.full(size, _BASE if which == "up" else _INVERSE, np.uint64)
-        factor[0] = 1
-        _powers[which] = np.cumprod(factor, dtype=np.uint64)
-    return _powers[which][:n]
+    """The first n powers; those for a usual step are kept."""
+    if len(_powers[which]) >= n:
+        return _powers[which][:n]
+    factor = np.full(max(n, STEP_BYTES + 2), _BASE if which == "up" else _INVERSE, np.uint64)
+    factor[0] = 1
+    np.cumprod(factor, out=factor)
+    if n <= STEP_BYTES + 2:
+        _powers[which] = factor
+    return factor[:n]
 
 
 def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the blank-separated words of one translated byte string."""
+    """Starts, ends and 64-bit hashes of the blank-separated words of one translated byte string. A long one is taken
+    in parts that end between words, so that what is held beside it does not grow with it."""
+    if len(data) <= STEP_BYTES + 1:
+        return _words_of_part(data)
+    found, at = [], 0
+    while at < len(data):
+        stop = data.rfind(b" ", at, at + STEP_BYTES) + 1
+        if not stop:
+            stop = data.find(b" ", at + STEP_BYTES) + 1 or len(data)
+        starts, ends, hashes = _words_of_part(data[at:stop])
+        found.append((starts + at, ends + at, hashes))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _words_of_part(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
     if not len(a):
         none = np.zeros(0, np.int64)

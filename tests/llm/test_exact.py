@@ -455,3 +455,11 @@ def test_pipeline_against_plain_stages(spark, small):
         assert after == want
     final = corpus_pipeline.run(spark, small)
     assert {r["doc_id"] for r in final.select("doc_id").distinct().collect()} == after
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    data = b"abc de  fghi " * 300 + b"x" * 900 + b" tail of words "
+    whole = common.words_in(data)
+    monkeypatch.setattr(common, "STEP_BYTES", 64)
+    for a, b in zip(whole, common.words_in(data), strict=True):
+        assert (a == b).all()
