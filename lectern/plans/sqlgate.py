@@ -1,7 +1,7 @@
 """Read-only SQL: a statement is parsed, its plan is held against an allow-list, and only then analysed and run.
 
 Two forms are rewritten first: embed('literal') becomes a constant vector, computed once on the driver, and
-`WHERE embedding MATCH <vector> AND k = <n>` over a registered vector view becomes the table function knn."""
+`WHERE embedding MATCH <vector> AND k = <n>` over a registered vector view becomes the n rows nearest to it, with distance."""
 
 from __future__ import annotations
 
@@ -91,7 +91,7 @@ def _allow(node) -> None:
 
 
 _EMBED = re.compile(r"\bembed\s*\(\s*'((?:[^']|'')*)'\s*\)", re.IGNORECASE)
-_MATCH = re.compile(r"\bFROM\s+(?P<view>\w+)\s+WHERE\s+embedding\s+MATCH\s+(?P<q>array\([^()]*\))\s+AND\s+k\s*=\s*(?P<k>\d+)", re.IGNORECASE)
+_MATCH = re.compile(r"\bFROM\s+(?P<view>\w+)(?:\s+(?:AS\s+)?(?!WHERE\b)(?P<alias>\w+))?\s+WHERE\s+(?:\w+\.)?embedding\s+MATCH\s+(?P<q>array\([^()]*\))\s+AND\s+k\s*=\s*(?P<k>\d+)", re.IGNORECASE)
 
 
 #: Codes of strftime to patterns of date_format (fixed values).
@@ -106,7 +106,7 @@ def other_names(sql: str) -> str:
     return _STRFTIME.sub(lambda m: f"date_format({m[2]}, '{re.sub('%.', lambda c: _DATES.get(c[0], c[0]), m[1])}')", sql)
 
 
-def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",)) -> str:
+def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",), id_col: str = "vec_id") -> str:
     sql = other_names(sql)
     if embedder is not None:
         sql = _EMBED.sub(lambda m: "array(" + ", ".join(f"{float(x)!r}D" for x in embedder.embed([m[1].replace("''", "'")])[0]) + ")", sql)
@@ -114,14 +114,16 @@ def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str,
     def searched(m: re.Match) -> str:
         if m["view"].lower() not in vector_views:
             raise Denied(f"{m['view']} is no vector view")
-        return f"FROM knn({m['q']}, {m['k']})"
+        # a limit with an order is a top-k of each task; a rank over all rows would be one task
+        near = f"SELECT *, l2_distance(CAST(embedding AS ARRAY<DOUBLE>), {m['q']}) AS distance FROM {m['view']} ORDER BY distance, {id_col} LIMIT {m['k']}"
+        return f"FROM ({near}) AS {m['alias'] or m['view']}"
 
     return _MATCH.sub(searched, sql)
 
 
-def search(spark: SparkSession, sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",)) -> DataFrame:
+def search(spark: SparkSession, sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",), id_col: str = "vec_id") -> DataFrame:
     """The rows of a read-only statement."""
-    sql = rewrite(sql, embedder, vector_views)
+    sql = rewrite(sql, embedder, vector_views, id_col)
     check(spark, sql)
     return spark.sql(sql)
 

@@ -220,8 +220,11 @@ def test_shape_and_rewrites(gate, small):
     model = providers.HashingEmbedder(64)
     vector.register(gate, "embeddings")
     sql = sqlgate.rewrite("SELECT vec_id FROM embeddings WHERE embedding MATCH embed('it''s') AND k = 3", model, ("embeddings",))
-    assert "knn(array(" in sql and "embed(" not in sql
+    assert "LIMIT 3" in sql and "embed(" not in sql and "MATCH" not in sql
     got = sqlgate.search(gate, "SELECT vec_id FROM embeddings WHERE embedding MATCH embed('a topic') AND k = 3", model, ("embeddings",))
+    assert "TakeOrderedAndProject" in got._jdf.queryExecution().executedPlan().toString()
+    joined = "SELECT d.doc_id, v.distance FROM (SELECT * FROM embeddings e WHERE e.embedding MATCH embed('a topic') AND k = 3) v JOIN documents d ON d.doc_id = v.vec_id ORDER BY 2"
+    assert [r["doc_id"] for r in sqlgate.search(gate, joined, model, ("embeddings",)).collect()] == [r["vec_id"] for r in vector.knn(gate.table("embeddings"), model.embed(["a topic"])[0], 3).collect() if r["vec_id"] < 200]
     want = vector.knn(gate.table("embeddings"), model.embed(["a topic"])[0], 3)
     assert {r["vec_id"] for r in got.collect()} == {r["vec_id"] for r in want.collect()}
     with pytest.raises(sqlgate.Denied):
