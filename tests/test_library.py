@@ -310,7 +310,7 @@ def test_settings_and_documentation():
     env = {"EMBED_DISABLED": "Yes", "QUEUE_LEASE_SECONDS": "3", "QUEUE_BATCH_SIZE": "x", "QUEUE_MAX_ATTEMPTS": "${N}", "EXTRACTION_BACKEND": " "}
     s = settings.load(env)
     assert s.embed_disabled and s.policy.lease_seconds == 15 and s.policy.batch_size == 32 and s.policy.max_attempts == 5 and s.extraction_backend == "local"
-    assert "knn" in documentation.text("workflows") and "workflows" in documentation.text("?")
+    assert "MATCH" in documentation.text("workflows") and "workflows" in documentation.text("?")
 
 
 def test_previews(spark):
