@@ -6,9 +6,9 @@ never seen hands over to the next shorter one. A URL's score is the difference o
 The threshold is calibrated on accepted URLs that were not fitted on: the largest value of a fixed grid, at most 0, below
 which no more than `REFUSED` of them fall.
 
-Labels come from the rules (a URL that a rule decides is an example for that verdict; what rules speak of, as many
-labels at the host's end and segments at the path's start as the longest of them names, is not read by the models, which
-would only learn to stretch the rules) and from `SEEDS`, a short list of
+The models read the whole host, path and query of every URL that no rule decides. Labels come from the rules (a URL that
+a rule decides is an example for that verdict; the host's end and the path's start that this very rule names are not read
+in it, as the models would only learn to stretch the rules) and from `SEEDS`, a short list of
 address forms that a filter is meant to catch or to let through. A bounded, hash-chosen sample of about `per_class`
 distinct URLs of each verdict is fitted. A rule's verdict always stands; the models judge the rest.
 
@@ -122,18 +122,18 @@ class Ratio:
         return out
 
 
-def spoken_of(rules: list[tuple[str, str, str]]) -> tuple[int, int]:
-    """Labels of a host and segments of a path that the longest rules name."""
-    return max((h.count(".") + 1 for _, h, _ in rules), default=0), max((len([x for x in p.split("/") if x]) for _, _, p in rules), default=0)
-
-
-def comparable(url: bytes, labels: int, segments: int) -> bytes:
-    """What the models read: host and path without what rules speak of; A-Z lower-cased, digits alike."""
-    rest = url.split(b"://", 1)[-1].split(b"#", 1)[0].split(b"?", 1)[0]
-    host, _, path = rest.lower().translate(bytes(0x30 if 0x30 <= c <= 0x39 else c for c in range(256))).partition(b"/")
-    known = host.split(b".")
-    host = b".".join(known[: max(0, len(known) - labels)])
-    return host + b"/" + b"/".join(path.split(b"/")[segments:])
+def comparable(url: bytes, rule: str | None = None) -> bytes:
+    """What the models read: the whole host, path and query, A-Z lower-cased, digits alike; of a URL that a rule decides, without that rule's own labels and start of the path."""
+    rest = url.split(b"://", 1)[-1].split(b"#", 1)[0].lower().translate(bytes(0x30 if 0x30 <= c <= 0x39 else c for c in range(256)))
+    if not rest:
+        return b""
+    end = next((i for i, c in enumerate(rest) if c in b"/?"), len(rest))
+    host, tail = rest[:end], rest[end:]
+    if rule is not None:
+        labels, slash, path = rule.partition("/")
+        host = host[: max(0, len(host) - len(labels.encode()))].rstrip(b".")
+        tail = tail[len((slash + path).encode()) :]
+    return host + (tail if tail.startswith(b"/") else b"/" + tail)
 
 
 def fit(labelled: list[tuple[bytes, str]]) -> Ratio | None:
@@ -155,10 +155,11 @@ def fit(labelled: list[tuple[bytes, str]]) -> Ratio | None:
     return out
 
 
-def _judging(model: Ratio | None, labels: int, segments: int):
+def _judging(model: Ratio | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = [comparable(u, labels, segments) if u else b"" for u in column_bytes(batch, "url")]
+            rules = batch.column(4).to_pylist()
+            urls = [comparable(u, r) if u else b"" for u, r in zip(column_bytes(batch, "url"), rules, strict=True)]
             s = model.scores(urls) if model else np.zeros(len(urls))
             passed = s >= model.threshold if model else np.ones(len(urls), bool)
             passed |= np.array([not u for u in urls], bool)
@@ -176,12 +177,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, per
     host, path = parts("url")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     ruled = rows.select("*", _rule(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]).alias("rule"), _rule(F.col("host"), F.col("path"), rules, lambda r: r[0]).alias("ruled"))
-    labelled = ruled.where("ruled IS NOT NULL AND octet_length(url) <= 4096").select("url", "ruled")
+    labelled = ruled.where("ruled IS NOT NULL AND octet_length(url) <= 4096").select("url", "rule", "ruled")
     sizes = {r["ruled"]: r["n"] for r in labelled.groupBy("ruled").agg(F.count("*").alias("n")).collect()}
     sample = []
     for verdict, n in sorted(sizes.items()):
         share = min(1.0, per_class / n)
         # the hash chooses among rows first, so that only chosen URLs are shuffled to tell them apart
-        rows_of = labelled.where((F.col("ruled") == verdict) & (F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("url").distinct()
-        sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), *spoken_of(rules)), verdict) for r in rows_of.limit(2 * per_class).collect()]
-    return ruled.mapInArrow(_judging(fit(sample), *spoken_of(rules)), "page_id long, host string, path string, rule string, verdict string, ratio double")
+        rows_of = labelled.where((F.col("ruled") == verdict) & (F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("url", "rule").distinct()
+        sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), r["rule"]), verdict) for r in rows_of.limit(2 * per_class).collect()]
+    return ruled.mapInArrow(_judging(fit(sample)), "page_id long, host string, path string, rule string, verdict string, ratio double")

@@ -431,6 +431,16 @@ def test_spam_hosts_are_refused(spark):
     assert (got[2000], got[2001]) == ("block", "allow")
 
 
+def test_registrable_domains_paths_and_queries_are_read(spark):
+    good = [(i, f"http://{a}.org/fr/{i}") for i, a in enumerate(["library", "museum", "wiki"] * 30)]
+    bad = [(500 + i, f"http://{a}.net/p/{i}") for i, a in enumerate(["casino-bonus", "cheap-pills", "spam-farm"] * 30)]
+    asked = {"http://casino-bonus.com/": "block", "https://cheap-pills.info/shop?x=y": "block", "http://a.info/?q=cheap-pills": "block", "http://library.edu": "allow", "http://museum.info/": "allow"}
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame([*good, *bad, *((1000 + i, u) for i, u in enumerate(asked))], "page_id long, url string")).collect()}
+    assert [got[1000 + i]["verdict"] for i in range(len(asked))] == list(asked.values())
+    assert len({got[1000 + i]["ratio"] for i in range(len(asked))}) == len(asked)
+    assert urls.comparable(b"http://A.Spam.net/x/7?q#f", "net/") == b"a.spam/x/0?q" and urls.comparable(b"http://Spam.com?q=1", None) == b"spam.com/?q=0"
+
+
 # ---- the pipeline ----
 
 
