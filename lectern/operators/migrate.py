@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +20,6 @@ REASONS = {
     "empty": "documents.fulltext_chunk has pending rows with empty content",
 }
 REPAIRED = "legacy repair: empty fulltext chunk"
-#: Texts of more characters in all than this are digested in two levels.
-ONE_STRING = 500_000_000
 
 
 def _blank(c: str) -> Column:
@@ -60,12 +63,23 @@ def change_counts(documents: DataFrame, files: DataFrame) -> DataFrame:
     return d.withColumn("one", F.lit(1)).join(F.broadcast(f.withColumn("one", F.lit(1))), "one").drop("one")
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sha, rows, chars = hashlib.sha256(), 0, 0
+    for batch in batches:
+        rows += batch.num_rows
+        chars += pc.sum(batch.column(1)).as_py() or 0
+        for record in batch.column(0):
+            sha.update(record.as_py() or b"")
+    yield pa.RecordBatch.from_pydict({"rows": [rows], "total_chars": [chars], "sha256": [sha.hexdigest()]})
+
+
 def text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rows, total_chars and the SHA-256 of id, 0x1F, text, 0x1E of all rows in the order of ids. One string: for tables under ONE_STRING characters."""
+    """rows, total_chars and the SHA-256 of id, 0x1F, text, 0x1E of all rows in the order of ids, at any size: one task sorts the records, on disk if need be, and hashes them one by one, as this hash can only be taken in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     record = F.concat(F.col(id_col).cast("string"), F.lit("\x1f"), text, F.lit("\x1e"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), record.alias("r")))), lambda x: x["r"]), "")
-    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("total_chars"), F.sha2(joined, 256).alias("sha256"))
+    records = rows.select(F.col(id_col).alias("i"), record.cast("binary").alias("r"), F.length(text).cast("long").alias("n"))
+    found = records.repartition(1).sortWithinPartitions("i", "r").select("r", "n").mapInArrow(_hashed, "rows long, total_chars long, sha256 string")
+    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("total_chars"), F.lit(0)).alias("total_chars"), F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))
 
 
 def large_text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,8 +91,10 @@ def large_text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sums.select("rows", "total_chars", F.sha2(F.concat_ws("|", *(F.col(f"part{k}").cast("string") for k in range(8))), 256).alias("sha256"))
 
 
-def digest(rows: DataFrame, id_col: str, text_col: str, most: int = ONE_STRING) -> DataFrame:
-    """text_digest() where all texts are `most` characters at most, as one task then holds them; else large_text_digest()."""
+def digest(rows: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
+    """text_digest(); only a caller that asks for it by `most` gets large_text_digest(), which is another digest, for texts of more characters."""
+    if most is None:
+        return text_digest(rows, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
     return (text_digest if size <= most else large_text_digest)(rows, id_col, text_col)
 

@@ -1,6 +1,8 @@
 """Queue, sync, migration, sources, gate, models, streams and the store."""
 
+import hashlib
 import json
+import random
 import sqlite3
 from datetime import datetime, timedelta
 
@@ -11,7 +13,7 @@ from pyspark.sql.utils import ParseException
 from lectern import cli, schema, scratch, settings
 from lectern.operators import jobs as J
 from lectern.operators import migrate, providers, status, sync, vector
-from lectern.plans import documentation, library, pages, sqlgate
+from lectern.plans import catalog, documentation, library, pages, sqlgate
 from lectern.plans.store import Store
 from lectern.sources import biblio
 from lectern.streaming import queue as S
@@ -133,6 +135,17 @@ def test_migration(spark):
         migrate.check_unchanged(migrate.large_text_digest(docs, "id", "content"), migrate.large_text_digest(docs.withColumn("content", F.lit("x")), "id", "content"))
 
 
+def test_the_text_digest_query_has_one_definition(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} é" * (i % 7)) for i in random.Random(3).sample(range(3000), 3000)] + [(3000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(migrate, "ONE_STRING", 5, raising=False)
+    monkeypatch.setattr(migrate.digest, "__defaults__", tuple(5 if x == 500_000_000 else x for x in migrate.digest.__defaults__))
+    want = hashlib.sha256("".join(f"{i}\x1f{t or ''}\x1e" for i, t in sorted(rows, key=lambda r: r[0])).encode()).hexdigest()
+    got = catalog.QUERIES["text_digest"](spark, str(tmp_path))
+    assert tuple(got.first()) == (3001, sum(len(t or "") for _, t in rows), want) and [t for _, t in got.dtypes] == ["bigint", "bigint", "string"]
+    assert tuple(migrate.text_digest(spark.createDataFrame([], "id long, t string"), "id", "t").first()) == (0, 0, hashlib.sha256().hexdigest())
+
+
 def test_status(spark):
     files = spark.createDataFrame([(1, None, "pending", None), (2, "", "ready", None), (3, "application/pdf", "error", "bad")], "id long, mime_type string, extraction_status string, extraction_error string")
     docs = spark.createDataFrame([(1, "note", "error", "e", NOW), (2, "note", None, None, None)], "id long, kind string, embedding_status string, embedding_error string, embedding_updated_at timestamp")
