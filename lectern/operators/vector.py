@@ -2,7 +2,8 @@
 
 The distance is computed in double. For one query the k nearest are a top-k over the scan (each task keeps k). For many
 queries, they are a bounded set handed to every task, where each block of vectors is compared with all of them by one
-matrix product, and only k rows for each query leave a task."""
+matrix product. Rows that this product, within its rounding, leaves in question get the distance itself, in the same
+order of additions as l2(), and only the k first rows by (distance, vec_id) for each query leave a task."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Queries that a pass over the vectors takes at once; more are taken in further passes.
 QUERIES_AT_ONCE = 1024
+#: Vectors that one matrix product takes.
+BLOCK = 1024
 
 
 def _doubles(c: Column) -> Column:
@@ -51,39 +54,57 @@ def vector_of(vectors: DataFrame, vec_id: int, id_col: str = "vec_id") -> list[f
     return list(row["embedding"])
 
 
-def _nearest(query_ids: list[int], queries: np.ndarray, k: int):
+def _distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distance of each row of v to the same row of q, as l2() adds it up."""
+    total = np.zeros(len(v))
+    for x, y in zip(v.T, q.T, strict=True):
+        total += (x - y) * (x - y)
+    return np.sqrt(total)
+
+
+def _nearest(queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.zeros((len(query_ids), 0), np.int64)
-        best = np.zeros((len(query_ids), 0))
+        at, ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = np.full(len(queries), np.inf)
+        size = (queries**2).sum(1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.array(batch.column(0).to_pylist(), np.int64)
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            square = np.maximum((queries**2).sum(1)[:, None] - 2 * queries @ v.T + (v**2).sum(1)[None], 0)
-            ids = np.hstack([ids, np.tile(own, (len(queries), 1))])
-            best = np.hstack([best, square])
-            if best.shape[1] > k:
-                # a margin of k more, as the product's last digits are not those of the distance that decides
-                keep = np.argpartition(best, min(2 * k, best.shape[1]) - 1, axis=1)[:, : 2 * k]
-                ids, best = np.take_along_axis(ids, keep, 1), np.take_along_axis(best, keep, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, ids.shape[1]), pa.int64()), pa.array(ids.reshape(-1), pa.int64())], ["query_id", "vec_id"])
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                own = np.array(part.column(0).to_pylist(), np.int64)
+                v = np.array(part.column(1).to_pylist(), np.float64)
+                norm = (v**2).sum(1)
+                square = size[:, None] - 2 * queries @ v.T + norm[None]
+                # what rounding can change in this square, in that of l2() and by its root
+                error = np.finfo(float).eps * (4 * v.shape[1] + 16) * (np.sqrt(size)[:, None] + np.sqrt(norm)[None]) ** 2
+                most = limit**2 * (1 + 1e-12)
+                if len(own) > k:
+                    most = np.fmin(most, np.partition(square + error, k - 1, axis=1)[:, k - 1])
+                # not "<=": a distance that is no number stays, and comes last
+                i, j = np.nonzero(~(square - error > most[:, None]))
+                exact = np.concatenate([_distances(v[j[c : c + 65536]], queries[i[c : c + 65536]]) for c in range(0, len(j), 65536)] or [best[:0]])
+                at, ids, best = np.concatenate([at, i]), np.concatenate([ids, own[j]]), np.concatenate([best, exact])
+                order = np.lexsort((ids, best, at))
+                at, ids, best = at[order], ids[order], best[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                last = place == k - 1
+                limit[at[last]] = np.where(np.isnan(best[last]), np.inf, best[last])
+                at, ids, best = at[place < k], ids[place < k], best[place < k]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids), pa.array(best)], ["asked", "vec_id", "distance"])
 
     return run
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, distance, rank: the k nearest vectors of every query (vec_id, embedding)."""
+    """query_id, vec_id, distance, rank: the k nearest vectors of every query (vec_id, embedding), ties by vec_id."""
     spark, parts, held = vectors.sparkSession, [], []
     stored = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
     def search() -> None:
-        ids = [int(r["vec_id"]) for r in held]
-        near = stored.mapInArrow(_nearest(ids, np.array([list(r["embedding"]) for r in held], float), k), "query_id long, vec_id long")
-        asked = spark.createDataFrame([(i, list(map(float, r["embedding"]))) for i, r in zip(ids, held, strict=True)], "query_id long, q array<double>")
-        exact = near.join(stored, "vec_id").join(F.broadcast(asked), "query_id").select("query_id", "vec_id", l2(F.col("embedding"), F.col("q")).alias("distance"))
-        order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        parts.append(exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        near = stored.mapInArrow(_nearest(np.array([list(r["embedding"]) for r in held], float), k), "asked long, vec_id long, distance double")
+        names = spark.createDataFrame([(i, int(r["vec_id"])) for i, r in enumerate(held)], "asked long, query_id long")
+        order = Window.partitionBy("asked").orderBy("distance", "vec_id")
+        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        parts.append(ranked.join(F.broadcast(names), "asked").select("query_id", "vec_id", "distance", "rank"))
         held.clear()
 
     for row in queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator():

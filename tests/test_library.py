@@ -265,6 +265,18 @@ def test_batch_search_beyond_one_block(spark, small, monkeypatch):
     assert sorted(map(tuple, vector.knn_batch(e, q, 4).collect())) == want and vector.knn_batch(e, q.limit(0), 4).count() == 0
 
 
+def test_batch_search_breaks_ties_by_id_in_large_groups_of_copies(spark):
+    rng = random.Random(4)
+    near, far = [0.1, 0.3, 0.7], [rng.random() + 5 for _ in range(3)]
+    rows = [(i, near if i < 2000 else far) for i in rng.sample(range(3000), 3000)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = e.where("vec_id IN (5, 2999)")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vector.knn_batch(e, q, 10).collect())
+    assert got == [(5, n + 1, n) for n in range(10)] + [(2999, n + 1, 2000 + n) for n in range(10)]
+    twice = vector.knn_batch(e.where("vec_id < 3").unionByName(e.where("vec_id < 3")), q, 4).where("query_id = 5").orderBy("rank").collect()
+    assert [r["vec_id"] for r in twice] == [0, 0, 1, 1]
+
+
 def test_extraction_isolates_bad_files(spark):
     files = spark.createDataFrame([("a", b"page one\x0cpage two"), ("b", b"\xff\xfe"), ("c", b"-")], "path string, content binary")
     got = {r["path"]: (r["extraction_status"], r["extracted_text"], r["error_class"]) for r in S.extracted(files, providers.PlainTextExtractor).collect()}
