@@ -17,6 +17,7 @@ packed each. An empty table gives no pieces. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -115,21 +116,23 @@ class Packer:
         return out
 
 
-def byte_bpe(path: str):
-    """ids of texts by the public byte-level vocabulary: its ranks in the faster of the two libraries, which give the same ids."""
+def byte_bpe(path: str, added: str):
+    """ids of texts by the public byte-level vocabulary: its ranks in the faster of the two libraries, which give the same ids once texts are split at the added tokens of the other's file."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    core = coder._core_bpe
-    return lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, set()), np.uint32)
+    with open(added, "rb") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
+    core, names = coder._core_bpe, set(special)
+    return lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, names), np.uint32)
 
 
-def _packing(limits: Limits, vocabulary: str, end: int):
+def _packing(limits: Limits, vocabulary: str, added: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = byte_bpe(vocabulary)
+        ids_of = byte_bpe(vocabulary, added)
         packer = Packer(limits)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -152,7 +155,8 @@ def pack_documents(documents: DataFrame, limits: Limits | None = None, vocabular
 
     arrow_ready(documents.sparkSession)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packing(limits or Limits(), path, end), SCHEMA)
+    added = public_tokenizers.path("byte_bpe_50k.json")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packing(limits or Limits(), path, added, end), SCHEMA)
 
 
 def _placing(limits: Limits):

@@ -311,6 +311,19 @@ def test_packing_round_trip(spark, small, texts):
     assert max(sizes) <= 2048 and packing.padding(sizes) < 0.02 * sum(sizes)
 
 
+def test_added_tokens_have_their_own_ids(spark, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    rows = ["a " + mark + " b", mark, mark * 3, "x" + mark + "\n\n" + mark + "  y", "<|endoftext|", "a  " + mark + "é🙂", *(x[:50] + mark + x[50:300] for x in list(texts.values())[:100] if x)]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(rows)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    for r in packing.pack_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect():
+        own = np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert r["doc_tokens"] == len(want[r["doc_id"]]) and zlib.crc32(own.tobytes()) == r["ids_crc32"]
+
+
 def test_three_limits_hold_at_once(spark):
     rng = random.Random(2)
     rows = [(i, n, rng.randrange(n + 1)) for i, n in enumerate(rng.choice((3, 40, 700, 2000, 5000)) for _ in range(400))]
