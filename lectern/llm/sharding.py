@@ -48,9 +48,10 @@ def _round(sized: DataFrame, done: int, cell: int, limit: int) -> DataFrame:
     return cells.select("prefix").join(shards.select("prefix", "depth", "shard_bytes"), "prefix", "left")
 
 
-def assign(documents: DataFrame, limit: int = LIMIT, cell: int = CELL) -> DataFrame:
-    """doc_id, hash, n_bytes, shard (its bits, and the page of a chain), depth, page, shard_bytes, global_depth."""
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), hash_bits(F.col("doc_id")).alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
+def assign(documents: DataFrame, limit: int = LIMIT, cell: int = CELL, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, hash, n_bytes, shard (its bits, and the page of a chain), depth, page, shard_bytes, global_depth, after the carried columns (none, if none are named)."""
+    own = [f"`{c}`" for c in carried or []]
+    sized = documents.select(*own, F.col("doc_id").cast("long").alias("doc_id"), hash_bits(F.col("doc_id")).alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
     sized = cut(sized, "sized")
     rows, done, parts = sized, 0, []
     while True:
@@ -62,7 +63,7 @@ def assign(documents: DataFrame, limit: int = LIMIT, cell: int = CELL) -> DataFr
             break
         rows = placed.where("depth IS NULL").drop("depth", "shard_bytes")
         if upto == BITS:
-            parts.append(_chains(rows, limit))
+            parts.append(_chains(rows, limit, own))
             break
         rows, done = cut(rows, "oversized"), upto
     if len(parts) > 1:
@@ -72,10 +73,10 @@ def assign(documents: DataFrame, limit: int = LIMIT, cell: int = CELL) -> DataFr
         out = out.unionByName(p)
     deepest = out.agg(F.max("depth").alias("d")).first()["d"]
     name = F.substring(F.lpad(F.bin("hash"), BITS, "0"), F.lit(1), F.col("depth").cast("int"))
-    return out.select("doc_id", "hash", "n_bytes", F.concat(name, F.when(F.col("page") > 0, F.concat(F.lit("."), F.col("page"))).otherwise(F.lit(""))).alias("shard"), F.col("depth").cast("long").alias("depth"), F.col("page").cast("long").alias("page"), F.col("shard_bytes").cast("long").alias("shard_bytes"), F.lit(deepest).cast("long").alias("global_depth"))
+    return out.select(*own, "doc_id", "hash", "n_bytes", F.concat(name, F.when(F.col("page") > 0, F.concat(F.lit("."), F.col("page"))).otherwise(F.lit(""))).alias("shard"), F.col("depth").cast("long").alias("depth"), F.col("page").cast("long").alias("page"), F.col("shard_bytes").cast("long").alias("shard_bytes"), F.lit(deepest).cast("long").alias("global_depth"))
 
 
-def _chains(rows: DataFrame, limit: int) -> DataFrame:
+def _chains(rows: DataFrame, limit: int, own: list[str]) -> DataFrame:
     """Pages for rows with one hash: rows are dealt by a salt into so many pages as make each fit twice over; a page that is still too large is dealt again."""
     parts, n = [], 0
     sums = rows.groupBy("hash").agg(F.sum("n_bytes").alias("all"))
@@ -83,18 +84,18 @@ def _chains(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         n += 1
         pages = F.ceil(F.col("all") * 2 / F.lit(limit)).cast("long")
-        dealt = cut(rows.select("doc_id", "hash", "n_bytes", "crc", "first", pages.alias("pages"), (F.col("first") + F.pmod(F.xxhash64("crc", "n_bytes", F.monotonically_increasing_id(), F.lit(n)), pages)).alias("page")), "dealt")
+        dealt = cut(rows.select(*own, "doc_id", "hash", "n_bytes", "crc", "first", pages.alias("pages"), (F.col("first") + F.pmod(F.xxhash64("crc", "n_bytes", F.monotonically_increasing_id(), F.lit(n)), pages)).alias("page")), "dealt")
         total = dealt.groupBy("hash", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("held"))
         placed = dealt.join(total, ["hash", "page"])
         small = F.expr(f"shard_bytes <= {limit} OR held = 1")
-        columns = ["doc_id", "hash", "n_bytes", "crc", F.lit(BITS).alias("depth"), "shard_bytes", "page"]
+        columns = [*own, "doc_id", "hash", "n_bytes", "crc", F.lit(BITS).alias("depth"), "shard_bytes", "page"]
         parts.append(placed.where(small).select(*columns))
         rows = placed.where(~small)
         if rows.isEmpty():
             break
         over = rows.select("hash", "page", "shard_bytes").distinct().groupBy("hash").agg(F.sum("shard_bytes").alias("all"))
         last = dealt.groupBy("hash").agg(F.max(F.col("first") + F.col("pages")).alias("next"))
-        rows = rows.join(over, "hash").join(last, "hash").select("doc_id", "hash", "n_bytes", "crc", "all", F.col("next").alias("first"))
+        rows = rows.join(over, "hash").join(last, "hash").select(*own, "doc_id", "hash", "n_bytes", "crc", "all", F.col("next").alias("first"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -102,6 +103,10 @@ def _chains(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes each shard's documents under its own folder shard=<bits>; large documents tables are joined by id, not collected."""
-    placed = assign(documents, limit).select("doc_id", "shard").distinct()
-    documents.join(placed, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes each row of documents once, under the folder shard=<bits> of its shard; rows are named by a key of their own, as doc_ids can be null or repeated, and joined by it, not collected."""
+    key = "row_key"
+    while key in map(str.lower, documents.columns):
+        key += "_"
+    keyed = cut(documents.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    placed = assign(keyed, limit, carried=[key]).select(F.col(f"`{key}`"), "shard")
+    keyed.join(placed, key).drop(key).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -368,6 +368,17 @@ def test_one_hot_id_overflows_into_pages(spark):
     assert len(got) == 900 and max(size.values()) <= 500
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 7L WHEN id % 10 = 1 THEN NULL ELSE id END AS doc_id", "repeat('x', CAST(id % 50 AS INT)) AS text", "id AS row_key")
+    sharding.write_shards(docs, f"{tmp_path}/shards", 500)
+    got = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/shards").select(*docs.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
+    size = Counter()
+    for r in spark.read.schema("doc_id long, text string, row_key long, shard string").parquet(f"{tmp_path}/shards").collect():
+        size[r["shard"]] += len(r["text"])
+    assert max(size.values()) <= 500
+
+
 # ---- licenses, chat, urls ----
 
 
