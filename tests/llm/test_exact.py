@@ -270,6 +270,16 @@ def test_quality_tells_junk(spark):
     assert kept[1] > 0.98 and kept[0] < 0.25
 
 
+def test_toxic_documents_are_not_trusted(spark):
+    rng = random.Random(6)
+    prose = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    clean, rude = [f"clean{i}" for i in range(200)], [f"rude{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, prose(rude if i % 5 == 0 else clean)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None if i % 15 == 0 else 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert {i for i, kept in got.items() if kept} == {i for i in range(400) if i % 5}
+
+
 # ---- languages ----
 
 
