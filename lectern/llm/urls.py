@@ -178,10 +178,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, per
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     ruled = rows.select("*", _rule(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]).alias("rule"), _rule(F.col("host"), F.col("path"), rules, lambda r: r[0]).alias("ruled"))
     labelled = ruled.where("ruled IS NOT NULL AND octet_length(url) <= 4096").select("url", "rule", "ruled")
-    sizes = {r["ruled"]: r["n"] for r in labelled.groupBy("ruled").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["ruled"]: r["n"] for r in labelled.groupBy("ruled").agg(F.approx_count_distinct("url").alias("n")).collect()}
     sample = []
     for verdict, n in sorted(sizes.items()):
-        share = min(1.0, per_class / n)
+        # of distinct URLs, so that repeated rows do not change what is fitted
+        share = min(1.0, per_class / max(1, n))
         # the hash chooses among rows first, so that only chosen URLs are shuffled to tell them apart
         rows_of = labelled.where((F.col("ruled") == verdict) & (F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("url", "rule").distinct()
         sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), r["rule"]), verdict) for r in rows_of.limit(2 * per_class).collect()]

@@ -475,6 +475,15 @@ def test_registrable_domains_paths_and_queries_are_read(spark):
     assert urls.comparable(b"http://A.Spam.net/x/7?q#f", "net/") == b"a.spam/x/0?q" and urls.comparable(b"http://Spam.com?q=1", None) == b"spam.com/?q=0"
 
 
+def test_repeated_urls_do_not_change_verdicts(spark):
+    hosts = ["library", "museum", "wiki"], ["casino-bonus", "cheap-pills", "spam-farm"]
+    pages = [f"http://{hosts[i % 2][i % 3]}.{'net/p' if i % 2 else 'org/fr'}/{chr(97 + i % 26)}{i}" for i in range(120)] + ["http://cheap-pills.info/", "http://wiki.info/"]
+    once = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    often = once.crossJoin(spark.range(3000)).select("page_id", "url")
+    told = [{tuple(r) for r in urls.judge(df, per_class=40).select("page_id", "verdict", "ratio").distinct().collect()} for df in (once, often)]
+    assert told[0] == told[1] and {(120, "block"), (121, "allow")} <= {r[:2] for r in told[1]}
+
+
 # ---- the pipeline ----
 
 
