@@ -1,8 +1,8 @@
 """The corpus pipeline: each stage works on all that its predecessor kept, and takes away what it rejects.
 
-Filters that look at one document judge each row and carry its columns, so no text is shuffled for them. Rows with null
-doc_id cannot be matched with a group of copies and go in the near-duplicate stage; rows that repeat a doc_id stay or go
-together there. An empty table gives no rows. Extra columns of documents are carried on."""
+Filters that look at one document judge each row and carry its columns, so no text is shuffled for them. The
+near-duplicate stage knows rows by a key of their own, so rows with null or repeated doc_id are matched by text like all
+others, and one row of each group stays. An empty table gives no rows. Extra columns of documents are carried on."""
 
 from __future__ import annotations
 
@@ -32,9 +32,16 @@ def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    dropped = neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near copies: of those with the smallest doc_id (nulls are last), the first."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("k"), "component_id")
+    members = keyed.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("k")).alias("place")).join(found, "k")
+    groups = members.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = members.join(groups, "component_id").where("k <> first.k").select(F.col("k").alias(key))
+    return keyed.join(dropped, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,15 @@ def test_pipeline_with_odd_rows(spark, docs, none, labels, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
 
 
+def test_one_row_of_each_group_of_copies_stays(spark):
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(7, PROSE), (None, PROSE), (3, PROSE), (3, PROSE), (3, other), (None, LONG[:3000]), (None, LONG[:3000]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("x"))
+    got = corpus_pipeline.deduplicated(spark, docs, "")
+    want = [(3, PROSE), (3, other), (None, LONG[:3000]), (None, None)]
+    assert got.columns == docs.columns and sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "User: hi\nthere"), (1, 1, None), (1, None, "System: be kind"), (None, 0, "A: yes"), (2, 0, ""), (1, 0, "User: hi\nthere"), (3, 5, "y\n" * 5000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("block", F.lit("x")).withColumn("entry", F.lit("x"))
