@@ -6,11 +6,16 @@ more a seeded random code with rows far apart. Decoding is loss-weighted: the di
 bits of the logistic loss of the bit's margin, each weighted by how well that bit's classifier did for that language on
 a fold that it was not fitted on. The nearest codeword wins; a text whose two nearest ones are close is ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows: about `per_language` of each language and `most_rows`
-in all, chosen by a hash of doc_id. Prediction looks at whole texts and at nothing else.
-
-Nulls: a null text, or one without a letter, is `und` with score 0 and not ambiguous; a null lang is no label. Without
-any labelled row every text is `und`. Repeated rows are predicted each. Extra columns are ignored.
+The classifiers are fitted on a bounded sample of labelled documents: of each language the `per_language` documents with
+the smallest hashes of their doc_id, fewer if there are so many languages that these would be more than `most_rows` in all, but never
+fewer than four. So each language is learnt, however many rows it has; of more than `most_rows` / 4 languages, the ones
+with the most documents. Prediction looks at whole texts and at nothing else.
+
+Nulls: a null text, or one without a letter, is `und` with score 0 and not ambiguous; a null lang is no label. A row with
+null doc_id is predicted like others, is not held out and is not learnt from. Without any labelled row every text is
+`und`. Repeated rows are predicted each; in fitting, rows with one doc_id and lang count once (the text that sorts first).
+Ties: of languages that are equally near, the one that sorts first wins, and the text is ambiguous. Very long texts are
+read whole, one at a time. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_ready, column_bytes, steps
+from lectern.llm.common import arrow_ready, column_bytes, part_of, steps
 
 PER_LANGUAGE = 400
 MOST_ROWS = 6000
@@ -147,25 +153,40 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int16())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "lang", "at", "value"])
 
 
+def _sample(labelled: DataFrame, per_language: int, most_rows: int) -> DataFrame | None:
+    """doc_id, lang, text of the documents to fit on, `per_language` of each language at most."""
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "lang", "text")
+    most = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, most_rows // 4))
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
+    if not sizes:
+        return None
+    each = min(per_language, max(4, most_rows // len(sizes)))
+    # a hash leaves out most rows where they are read; only then are repeated ones told apart and the rest counted off
+    hashed, bands = F.xxhash64("doc_id"), {}
+    for lang, n in sizes.items():
+        bands.setdefault(max(each, 1 << max(0, n - 1).bit_length()), []).append(lang)
+    wanted = F.lit(False)
+    for n, languages in bands.items():
+        wanted = wanted | (F.col("lang").isin(languages) & part_of(hashed, 2 * each, n))
+    once = rows.where(wanted).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("doc_id", "lang", "text")
+
+
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model | None:
     """Fits a model on a bounded, hash-chosen sample of rows (doc_id, text, lang)."""
     arrow_ready(labelled.sparkSession)
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows // 4).collect()}
-    if not sizes:
+    chosen = _sample(labelled, per_language, most_rows)
+    if chosen is None:
         return None
-    each = min(per_language, max(4, most_rows // len(sizes)))
-    share = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, int(1_000_000 * min(1, each / n)))))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
-    chosen = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text").mapInArrow(_featured, "doc_id string, lang string, at array<short>, value array<float>")
-    rows = [r for r in chosen.limit(2 * most_rows).collect() if r["at"]]  # the hash chooses fewer; the limit is what holds whatever the ids are
-    if not rows:
+    found = chosen.mapInArrow(_featured, "doc_id string, lang string, at array<short>, value array<float>").toArrow()  # most_rows rows, or four of each language
+    found = found.filter(pc.greater(pc.list_value_length(found["at"]), 0)).sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    if not found.num_rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["at"], r["value"]))
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r["at"]] = r["value"]
-    return fit(x, [r["lang"] for r in rows])
+    counts = pc.list_value_length(found["at"]).to_numpy()
+    x = np.zeros((found.num_rows, BUCKETS), np.float32)
+    x[np.repeat(np.arange(found.num_rows), counts), pc.list_flatten(found["at"]).to_numpy()] = pc.list_flatten(found["value"]).to_numpy()
+    return fit(x, found["lang"].to_pylist())
 
 
 def _predicting(model: Model | None, carried: list[str]):

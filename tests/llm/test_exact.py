@@ -289,6 +289,45 @@ def test_language_accuracy(spark):
     assert rows.where("lang = lang_pred").count() / rows.count() > 0.99
 
 
+def test_each_language_is_learnt_however_many_rows_it_has(spark):
+    words = {"en": ["the", "thing", "wheather"], "de": ["und", "schön", "übung"], "fr": ["été", "quelle", "eaux"], "es": ["niño", "años", "que"]}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(12)), k) for i, k in enumerate(rng.choices(list(words), (90, 5, 4, 1), k=4000))]
+    rows += [(50_000, "the hot thing", "en")] * 2000  # one id with a third of all rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = Counter(r["lang"] for r in language._sample(docs, 5, 16).collect())
+    assert sample == dict.fromkeys(words, 4)  # never fewer than four
+    assert Counter(r["lang"] for r in language._sample(docs, 30, 6000).collect()) == dict.fromkeys(words, 30)
+    model = language.learn(docs, 30)
+    got = language.identify(docs, model, ["lang"]).where("lang = lang_pred").count()
+    assert model.languages == sorted(words) and got > 0.99 * len(rows)
+
+
+def test_hash_parts_hold_what_is_wanted_at_any_size(spark):
+    for wanted, of in ((1, 10**12), (4, 5 * 10**11), (400, 5 * 10**8), (400, 300)):
+        limit = common.part_limit(wanted, of)
+        assert limit / (1 << 63) * of >= min(wanted, of) * 0.999 and limit < 1 << 63
+    for wanted, of in ((50, 40_000), (400, 40_000)):
+        n = spark.range(of).where(common.part_of(F.xxhash64("id"), wanted, of)).count()
+        assert wanted <= n <= wanted + 12 * wanted**0.5 + 36
+
+
+def test_decoding_is_loss_weighted_by_hand():
+    rng = np.random.default_rng(4)
+    languages = ["a", "b", "c", "d"]
+    code = language.codewords(4)
+    model = language.Model(languages, code, rng.normal(size=(9, code.shape[1])).astype(np.float32), rng.random(code.shape))
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    best, score, near = model.decode(x)
+    for i in range(40):
+        margins = [sum(float(x[i, k]) * float(model.weights[k, b]) for k in range(8)) + float(model.weights[8, b]) for b in range(code.shape[1])]
+        far = [sum(model.trust[k, b] * math.log1p(math.exp(-m * code[k, b])) for b, m in enumerate(margins)) * code.shape[1] for k in range(4)]
+        order = sorted(range(4), key=lambda k: far[k])
+        parts = [math.exp(-f) for f in far]
+        assert best[i] == order[0] and math.isclose(score[i], parts[order[0]] / sum(parts), rel_tol=1e-4)
+        assert near[i] == (parts[order[1]] / (parts[order[0]] + parts[order[1]]) > language.AMBIGUOUS)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 9, 20):
         code = language.codewords(n)
