@@ -11,18 +11,25 @@ level j, a document stops as soon as every slot is filled by a level reached. Si
    near it or far from it. Near classes are linked.
 3. Links are grouped by union-find inside each partition, then across partitions by the spread of smallest labels with
    pointer jumping.
-4. Two classes of a bucket that are both near its pivot p are in one group. For other pairs the differences D(x) and
-   D(y) of their sets from p decide: they can only be similar if D(x) and D(y) have at least t elements in common, where
-   t follows from the sizes. So in one order of all elements, prefixes of D(x) and D(y) share an element (the necessary
-   prefixes of a set join). Far classes are joined with all classes of their pivot on these prefixes, and pairs from
-   different groups are verified on full sets. Copies differ from their original in places of their own, so such
-   prefixes are rare where whole sets are nearly alike, and no pair that shares a bucket is left out.
+4. Classes that were compared with one pivot p, and are in different groups so far, may still be similar if one of them is
+   far from p. What they have in common does not tell them apart, so sets are written as their differences D from the
+   centre of p's classes (the elements that more than half of them have): |x ^ y| = |D(x) ^ D(y)|. With the reach
+   R(x) = |D(x)| - k |x|, k = (100 - similarity) / (100 + similarity), x and y are similar iff they share at least
+   (R(x) + R(y)) / 2 elements of D(x) and D(y). If that is 0 or less, both are similar to the class with the smallest
+   reach, which is enough to group them. All others must share an element, and then, in one order of all elements by
+   rarity among p's classes, an element of the necessary prefixes of D(x) and D(y) (those of a set join; the shorter ones
+   for the class with the smaller reach). Classes are joined on these, and pairs that pass the size and positional bounds
+   are verified on full sets. No element of more than half of the classes is in any D, those of one class or one group
+   alone are not joined, and the commonest come last, so what a template repeats meets nobody; no pair that shares a bucket
+   is left out.
 
 A pair at the threshold shares no bucket with probability (1 - t**rows)**bands: 3e-6 for the defaults.
 
 Nulls: a null, empty or blank text has an empty set and is linked with nothing; a row with null doc_id is linked with
 nothing, has no component and is not kept. Rows that share a doc_id count as one document when links are followed, but
-each row gets its own result. Extra columns are ignored. An empty table gives an empty result.
+each row gets its own result. Ties: of classes that meet equally many others the smallest id is the pivot; which one it is
+changes what is compared, not what is linked. Very long texts are read whole, words in parts. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import BLANK_BYTES, Words, arrow_ready, column_bytes, cut, mix, steps, windows
@@ -110,40 +117,22 @@ def _signing(words: int, bands: int, rows: int):
     return run
 
 
-def difference_prefix(s: np.ndarray, t: np.ndarray, both: np.ndarray, near: bool, similarity: int) -> np.ndarray:
-    """The first elements of the difference of s from its pivot t, as 32-bit tokens: added ones first, then missing ones.
-
-    Sets x and y are similar iff |x ^ y| <= k (|x| + |y|), k = (100 - similarity) / (100 + similarity), and
-    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. With a far x, a near y shares at least (1 - k) / 2 of D(y); a far x
-    shares at least |D(x)| - (100 / similarity - 1) |x| elements with whatever is similar to it."""
-    added, missing = np.setdiff1d(s, both, assume_unique=True), np.setdiff1d(t, both, assume_unique=True)
-    size = len(added) + len(missing)
-    if near:
-        least = -(-size * similarity // (100 + similarity))
-    else:
-        least = size - len(s) * (100 - similarity) // similarity
-    keep = size - max(1, least) + 1
-    tokens = np.concatenate([added >> np.uint64(33), (missing >> np.uint64(33)) | np.uint64(1 << 31)])
-    return tokens[:keep].astype(np.uint32).astype(np.int32)
-
-
 def _comparing(words: int, similarity: int):
-    """Pairs (x, p) to whether their full sets are similar, their sizes and the prefix of their difference."""
+    """Pairs (x, p) to whether their full sets are similar, the size of x's and the elements in which they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            near, sizes, differ, prefix = [], [], [], []
+            near, sizes, differ = [], [], []
             for xt, pt in zip(column_bytes(batch, "x_text"), column_bytes(batch, "p_text"), strict=True):
                 if pt != last[0]:
                     last = (pt, shingle_set(Words([pt], BLANK_BYTES).hashes, words))
                 s, t = shingle_set(Words([xt], BLANK_BYTES).hashes, words), last[1]
-                both = np.intersect1d(s, t, assume_unique=True)
-                near.append(bool(len(s) and len(t)) and 100 * len(both) >= similarity * (len(s) + len(t) - len(both)))
+                apart = np.setxor1d(s, t, assume_unique=True)
+                near.append(bool(len(s) and len(t)) and (100 + similarity) * len(apart) <= (100 - similarity) * (len(s) + len(t)))
                 sizes.append(len(s))
-                differ.append(len(s) + len(t) - 2 * len(both))
-                prefix.append(difference_prefix(s, t, both, near[-1], similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(differ, pa.int64()), pa.array(prefix, pa.list_(pa.int32()))], ["x", "p", "near", "n", "differ", "prefix"])
+                differ.append(apart.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(differ, pa.list_(pa.int64()))], ["x", "p", "near", "n", "differ"])
 
     return run
 
@@ -187,24 +176,58 @@ def components(links: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     with_x = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
     with_p = with_x.join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("p_text")), "p")
-    kind = "x long, p long, near boolean, n long, differ long, prefix array<int>"
+    kind = "x long, p long, near boolean, n long, differ array<long>"
     return with_p.select("x", "p", "x_text", "p_text").mapInArrow(_comparing(words, similarity), kind)
 
 
-def _far_pairs(compared: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes with one pivot, in different groups and at least one far from the pivot, that may be similar."""
+def _centred(compared: DataFrame, labels: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of pivots that some class is far from, with their differences from the centre (p, x, n, component, reach,
+    apart; reach in units of 1 / (100 + similarity)), and how many classes hold an element that more than one does (p, token, held, size)."""
+    pivots = compared.groupBy("p").agg(F.count("*").alias("size"), F.max(~F.col("near")).alias("far")).where("far AND size > 1").select("p", "size")
+    members = compared.join(pivots, "p").select("p", "x", "n", "size", "differ")
+    counts = cut(members.select("p", "size", F.explode("differ").alias("token")).groupBy("p", "token").agg(F.count("*").alias("held"), F.max("size").alias("size")).where("held > 1"), "counts")
+    # the pivot is one of the classes; an array is no longer than twice the mean difference
+    common = counts.where("2 * held > size + 1").groupBy("p").agg(F.collect_list("token").alias("common"))
     group = labels.select(F.col("node").alias("x"), "component")
-    rows = compared.join(group, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    far_pivots = compared.where("NOT near").select("p").distinct()
-    tokens = rows.join(far_pivots, "p", "left_semi").select("p", "x", "near", "n", "differ", "component", F.posexplode("prefix").alias("at", "token"))
-    y = tokens.select("p", "token", *(F.col(c).alias(f"y_{c}") for c in ("x", "near", "n", "differ", "component", "at")))
-    # of two far classes one order is enough; a near one is met from its far partner only
-    once = (F.col("y_near") | (F.col("x") < F.col("y_x"))) & (F.col("component") != F.col("y_component"))
-    size = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * similarity) & (F.abs(F.col("differ") - F.col("y_differ")) * (100 + similarity) <= (F.col("n") + F.col("y_n")) * (100 - similarity))
-    # if this is the first element that the two differences share, no more than the shorter rest of them is shared
-    first = F.least(F.col("differ") - F.col("at"), F.col("y_differ") - F.col("y_at")) * 2 * (100 + similarity) >= (F.col("differ") + F.col("y_differ")) * (100 + similarity) - (F.col("n") + F.col("y_n")) * (100 - similarity)
-    met = tokens.where("NOT near").join(y, ["p", "token"]).where(once & size & first)
-    return met.select(F.greatest("x", "y_x").alias("x"), F.least("x", "y_x").alias("p")).distinct()
+    moved = F.concat(F.array_except("differ", "common"), F.array_except("common", "differ"))
+    apart = F.when(F.col("common").isNull(), F.col("differ")).otherwise(moved)
+    rows = members.join(common, "p", "left").join(group, "x", "left").select("p", "x", "n", F.coalesce("component", "x").alias("component"), apart.alias("apart"))
+    reach = F.size("apart") * (100 + similarity) - F.col("n") * (100 - similarity)
+    return cut(rows.select("p", "x", "n", "component", reach.alias("reach"), "apart"), "centred"), counts
+
+
+def _prefixes(centred: DataFrame, counts: DataFrame, similarity: int) -> DataFrame:
+    """Elements of necessary prefixes that classes of different groups hold: p, token, x, n, component, reach, differ (how many), at, short (whether in the shorter prefix)."""
+    tokens = centred.select("p", "x", "n", "component", "reach", F.size("apart").alias("differ"), F.explode("apart").alias("token"))
+    # elements of one class alone come first, as the rarest, and meet nothing; they only count for the places of others
+    met = tokens.join(counts.select("p", "token", F.least("held", F.col("size") + 1 - F.col("held")).alias("often")), ["p", "token"])
+    own = Window.partitionBy("p", "x")
+    met = met.withColumn("at", F.col("differ") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "token")) - 1)
+    least = F.greatest(F.lit(1), F.col("differ") - F.floor(F.col("n") * (100 - similarity) / similarity))
+    shorter = F.greatest(F.lit(1), F.ceil(F.col("reach") / (100 + similarity)))
+    kept = met.where(F.col("at") <= F.col("differ") - least).withColumn("short", F.col("at") <= F.col("differ") - shorter).drop("often")
+    rows = cut(kept, "prefixes")
+    mixed = rows.groupBy("p", "token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("short").alias("any")).where("a <> b AND any").select("p", "token")
+    return cut(rows.join(mixed, ["p", "token"], "left_semi"), "mixed")
+
+
+def _meetings(prefixes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes that meet in a prefix element and pass the size and positional bounds, a row for each such element."""
+    y = prefixes.where("short").select("p", "token", *(F.col(c).alias(f"y_{c}") for c in ("x", "n", "component", "reach", "differ", "at")))
+    once = (F.col("component") != F.col("y_component")) & ((F.col("y_reach") < F.col("reach")) | ((F.col("y_reach") == F.col("reach")) & (F.col("y_x") < F.col("x"))))
+    size = F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * similarity
+    # if this is the first element that the two share, no more than the shorter rest of them is shared
+    shared = F.least(F.col("differ") - F.col("at"), F.col("y_differ") - F.col("y_at"))
+    return prefixes.join(y, ["p", "token"]).where(once & size & (shared * 2 * (100 + similarity) >= F.col("reach") + F.col("y_reach")))
+
+
+def _far_pairs(compared: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes that were compared with one pivot, are in different groups and may be similar."""
+    centred, counts = _centred(compared, labels, similarity)
+    first = centred.groupBy("p").agg(F.min(F.struct("reach", "x", "component")).alias("first"))
+    sure = centred.drop("apart").join(first, "p").where((F.col("reach") + F.col("first.reach") <= 0) & (F.col("component") != F.col("first.component"))).select("x", F.col("first.x").alias("y_x"))
+    pairs = sure.unionByName(_meetings(_prefixes(centred, counts, similarity), similarity).select("x", "y_x"))
+    return pairs.select(F.greatest("x", "y_x").alias("x"), F.least("x", "y_x").alias("p")).distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -223,7 +246,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: int =
     pairs = cut(members.join(pivots, "bucket").where("rep <> p").select(F.col("rep").alias("x"), "p").distinct(), "pairs")
     labels = None
     if not pairs.isEmpty():
-        texts = docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        # one row of each id and text, however often it is repeated
+        texts = cut(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct(), "texts")
         compared = cut(_compared(pairs, texts, words, similarity), "compared")
         links = compared.where("near").select("x", "p")
         labels = components(links)

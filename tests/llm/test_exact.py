@@ -124,6 +124,38 @@ def test_near_duplicates_of_families(spark, seed, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def template_family(n, seed=9):
+    """Pages of one template, seven tenths of their words, with bodies of their own; a tenth of them are near copies of others."""
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    template, out = [word(6) for _ in range(180)], []
+    for k in range(n):
+        if k % 10 == 9:
+            copy = out[rng.randrange(len(out))].split()
+            copy[rng.randrange(len(copy))] = word(7)
+            out.append(" ".join(copy))
+        else:
+            out.append(" ".join([*template[:90], *(word(6) for _ in range(rng.randrange(45, 75))), *template[90:]]))
+    return dict(enumerate(out))
+
+
+def test_what_a_template_repeats_meets_nobody(spark, monkeypatch):
+    joined = []
+    meetings = neardup._meetings
+
+    def counting(prefixes, similarity):
+        rows = prefixes.groupBy("p", "token").agg(F.count("*").alias("all"), F.count_if("short").alias("short")).selectExpr("sum(all * short) AS n").first()["n"]
+        joined.append((rows or 0, prefixes.count()))
+        return meetings(prefixes, similarity)
+
+    monkeypatch.setattr(neardup, "_meetings", counting)
+    for n in (200, 800):
+        docs = template_family(n)
+        got = neardup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), words=4).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_by_hand(docs, 4)
+    assert len(joined) == 2 and joined[1][0] <= 8 * max(joined[0][0], 500), joined
+
+
 def test_near_duplicates_of_the_corpus(spark, small, texts):
     got = catalog.op10_near_duplicates(spark, small).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_by_hand(texts, 4)
