@@ -150,5 +150,13 @@ def part_of(hashed: Column, wanted: int, of: int) -> Column:
     return F.shiftrightunsigned(hashed, 1) <= F.lit(part_limit(wanted, of))
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, or a longer one if a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,16 +2,20 @@
 
 Every benchmark item is cut into windows of `window` consecutive words (a shorter item is one window). A window's
 shingles are its runs of `shingle` words. Shingles are ordered by rarity, counted over all documents; as only exact
-containment counts, a window's necessary prefix is its one rarest shingle. Documents are joined on the prefix shingles;
-a match at word p of a shingle that stands at word o of a window must let the whole window fit at p - o (the length and
-positional bounds), and is then verified word by word.
+containment counts, a window's necessary prefix is its one rarest shingle, and a window with a shingle that no document has
+needs none. Documents are joined on the prefix shingles; a match at word p of a shingle that stands at word o of a window
+must let the whole window fit at p - o (the length and positional bounds), and is then verified word by word.
 
-The benchmark is handled in blocks of at most `block_shingles` shingles, so what each task holds has a fixed bound
-whatever the benchmark's size; each block is matched against all documents.
+The benchmark's windows, their shingles and the counts are tables on the executors. What each task gets is a bit table of
+fixed size, which says of most shingles of documents that the benchmark has none like them. The prefix table is sent to all
+tasks if it has `most_bytes` at most, counted before; no text is shuffled then. A larger one is joined with the shingles
+that pass a bit table of the prefixes, which carry the words around them, and documents are joined with what was found.
+Either way documents are read twice, however large the benchmark is, and both give the same rows.
 
 Nulls: a null text has no words; a benchmark row with null item_id or without words matches nothing. Repeated document
-rows each get their row; repeated item rows count once. Extra columns are ignored. Empty tables give empty results, or
-rows without hits.
+rows, and rows with one doc_id or none, each get their row; repeated item rows count once. Ties: of a window's equally rare
+shingles the one with the smallest hash, then the first, is its prefix; any would find the same. Very long texts are read
+whole, words in parts. Extra columns are ignored. Empty tables give empty results, or rows without hits.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import RULE_BYTES, Words, arrow_ready, column_bytes, cut, steps, windows
+from lectern.llm.common import RULE_BYTES, Words, arrow_ready, column_bytes, cut, steps, unused, windows
 
 WINDOW = 10
 SHINGLE = 5
-#: Shingles of the benchmark that a task holds at once (16 bytes each, and about 200 for a window's words).
-BLOCK_SHINGLES = 200_000
+#: Bytes of the prefix table (words, items and 64 for each row) up to which it is sent to every task.
+MOST_BYTES = 16 << 20
+#: Shingles and windows that a task holds before it hands them on.
+FLUSH = 1 << 16
 _SLOTS = 1 << 22
+#: Slots of the bit table, as a power of two; a shingle has two.
+_BITS = 25
 
 
 class _Seen:
@@ -54,44 +62,142 @@ class _Seen:
         return at[real], index[real]
 
 
-def item_windows(text: bytes, window: int) -> list[tuple[bytes, ...]]:
-    """The distinct windows of an item, each a tuple of words."""
-    words = text.translate(RULE_BYTES).split()
-    if not words:
-        return []
-    return list(dict.fromkeys(tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))))
+def _cutting(window: int, shingle: int):
+    """Windows of each item (words with a blank between, as many as `n`) with the hashes of their shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
+                w = Words([text], RULE_BYTES)
+                total = len(w.hashes)
+                n, width = min(window, total), min(shingle, total)
+                hashes = windows(w.hashes, width).astype(np.int64) if total else np.zeros(0, np.int64)
+                each = n - width + 1
+                for first in range(0, total - n + 1 if total else 0, FLUSH):
+                    starts = range(first, min(first + FLUSH, total - n + 1))
+                    words = [b" ".join(w.word(k) for k in range(i, i + n)) for i in starts]
+                    grams = pa.ListArray.from_arrays(pa.array(range(0, len(words) * each + 1, each), pa.int32()), pa.array(np.concatenate([hashes[i : i + each] for i in starts])))
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array([n] * len(words), pa.int32()), grams], ["item", "words", "n", "shingles"])
+
+    return run
+
+
+def _bit_table(shingles: DataFrame) -> np.ndarray:
+    """Two bits for each of the hashes (column shingle), in 1 << _BITS slots: 1 << (_BITS - 6) numbers at most are sent to the driver."""
+    mask = (1 << _BITS) - 1
+    slots = shingles.select(F.explode(F.array(F.col("shingle").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("shingle", _BITS).bitwiseAND(F.lit(mask)))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint64)
+    return out
+
+
+class _Maybe:
+    """Which hashes a bit table may hold: a small table in a task's cache answers for most, two bits for the rest."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+        self.near = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, _SLOTS).any(0)
+
+    def _bit(self, slot: np.ndarray) -> np.ndarray:
+        return (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.near[(h & np.uint64(_SLOTS - 1)).astype(np.int64)])
+        mask, h = np.uint64((1 << _BITS) - 1), h[at]
+        return at[self._bit(h & mask) & self._bit((h >> np.uint64(_BITS)) & mask)]
 
-def _window_shingles(words: tuple[bytes, ...], shingle: int) -> np.ndarray:
-    return windows(Words([b" ".join(words)], RULE_BYTES).hashes, min(shingle, len(words)))
 
+def _passing(w: Words, maybe: _Maybe, widths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each width, places, documents and hashes of the shingles that pass and do not cross into the next text."""
+    for width in widths:
+        h = windows(w.hashes, width)
+        at = maybe.find(h)
+        docs = np.searchsorted(w.first, at, "right") - 1
+        inside = at + width <= w.first[docs + 1]
+        yield at[inside], docs[inside], h[at[inside]]
 
-def _counting(seen: dict[int, _Seen]):
-    """Occurrences of the benchmark's shingles in a partition of documents."""
+
+def _counting(bits: np.ndarray, widths: list[int]):
+    """Occurrences, in parts, of the shingles of a partition of documents that the bit table lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {w: np.zeros(len(s.keys), np.int64) for w, s in seen.items()}
+        maybe, held, size = _Maybe(bits), [], 0
+
+        def summed() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["shingle", "n"])
+
         for batch in batches:
             for _, texts in steps(column_bytes(batch, "text")):
+                for _, _, h in _passing(Words(texts, RULE_BYTES), maybe, widths):
+                    held.append(h)
+                    size += len(h)
+                if size > FLUSH:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
+
+    return run
+
+
+def _candidates(bits: np.ndarray, widths: list[int], window: int):
+    """Shingles that may be prefixes: row, at (their place in the document), shingle, and the words around them, of which `left` stand before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = _Maybe(bits)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for base, texts in steps(column_bytes(batch, "text")):
                 w = Words(texts, RULE_BYTES)
-                for width, s in seen.items():
-                    at, index = s.find(windows(w.hashes, width))
-                    inside = np.searchsorted(w.first, at, "right") == np.searchsorted(w.first, at + width - 1, "right")
-                    np.add.at(totals[width], index[inside], 1)
-        for width, n in totals.items():
-            some = np.flatnonzero(n)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(seen[width].keys[some].astype(np.int64)), pa.array(n[some])], ["shingle", "n"])
+                for at, docs, h in _passing(w, maybe, widths):
+                    low, high = np.maximum(at - window + 1, w.first[docs]), np.minimum(at + window, w.first[docs + 1])
+                    for k in range(0, len(at), FLUSH):
+                        here = slice(k, k + FLUSH)
+                        around = [b" ".join(w.word(j) for j in range(a, b)) for a, b in zip(low[here].tolist(), high[here].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys[base + docs[here]]), pa.array(at[here] - w.first[docs[here]]), pa.array(h[here].astype(np.int64)), pa.array((at - low)[here].astype(np.int32)), pa.array(around, pa.binary()).cast(pa.string())],
+                            ["row", "at", "shingle", "left", "around"],
+                        )
 
     return run
 
 
-def _matching(found: dict[int, _Seen], prefix: dict[int, list[tuple[int, int]]], wanted: list[tuple[tuple[bytes, ...], list]], carried: list[str]):
-    """Documents with the words that windows cover and the items whose windows occur."""
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans that touch or overlap as one."""
+    out: list[dict] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(end, out[-1]["end"])
+        else:
+            out.append({"start": start, "end": end})
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def _matching(rows: list, carried: list[str]):
+    """Documents with the words that windows cover and the items whose windows occur, from the rows of a prefix table that a task can hold."""
+    numbers: dict[str, int] = {}
+    wanted: list[tuple[list[bytes], list[str]]] = []
+    prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    chosen: dict[int, set[int]] = defaultdict(set)
+    for r in rows:
+        if r["words"] not in numbers:
+            number = numbers[r["words"]] = len(wanted)
+            wanted.append((r["words"].encode("utf-8", "surrogatepass").split(b" "), []))
+            shingle = r["shingle"] & ((1 << 64) - 1)
+            prefix[shingle].append((number, r["offset"]))
+            chosen[r["width"]].add(shingle)
+        wanted[numbers[r["words"]]][1].append(r["item"])
+    found = {width: _Seen(np.array(sorted(k), np.uint64)) for width, k in chosen.items()}
+    prefix = dict(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
             texts_all = column_bytes(batch, "text")
             n_words = np.zeros(len(texts_all), np.int64)
             spans: list[list[dict]] = [[] for _ in texts_all]
@@ -114,99 +220,62 @@ def _matching(found: dict[int, _Seen], prefix: dict[int, list[tuple[int, int]]],
                                 places[d].add((int(start - w.first[d]), int(end - w.first[d])))
                                 here[d].update(names)
                 for d, got in places.items():
-                    merged: list[dict] = []
-                    for start, end in sorted(got):
-                        if merged and start <= merged[-1]["end"]:
-                            merged[-1]["end"] = max(end, merged[-1]["end"])
-                        else:
-                            merged.append({"start": start, "end": end})
-                    spans[base + d], items[base + d] = merged, sorted(here[d], key=str)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words), pa.array(spans, kind), pa.array([[str(x) for x in i] for i in items], pa.list_(pa.string()))], [*carried, "n_words", "spans", "items"])
+                    spans[base + d], items[base + d] = _merged(got), sorted(here[d])
+            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], [*carried, "n_words", "spans", "items"])
 
     return run
 
 
-_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+def _finishing(carried: list[str], spans: str, items: str):
+    """Documents with the spans and items that were joined to them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            n_words = [int(n) for _, texts in steps(column_bytes(batch, "text")) for n in Words(texts, RULE_BYTES).counts]
+            merged = [_merged([(s["start"], s["end"]) for s in x or []]) for x in column(spans).to_pylist()]
+            names = [sorted(x or []) for x in column(items).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*map(column, carried), pa.array(n_words, pa.int64()), pa.array(merged, _SPANS), pa.array(names, pa.list_(pa.string()))], [*carried, "n_words", "spans", "items"])
 
-def _blocks(benchmark: DataFrame, window: int, shingle: int, most: int) -> Iterator[list[tuple[tuple[bytes, ...], list]]]:
-    """Windows with their items, in blocks of bounded size, read one benchmark partition at a time."""
-    held: dict[tuple[bytes, ...], set] = {}
-    size = 0
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    for row in rows.toLocalIterator():
-        for words in item_windows(row["text"].encode("utf-8", "surrogatepass"), window):
-            if words not in held:
-                size += max(1, len(words) - shingle + 1)
-            held.setdefault(words, set()).add(row["item_id"])
-        if size >= most:
-            yield [(k, sorted(v, key=str)) for k, v in held.items()]
-            held, size = {}, 0
-    if held:
-        yield [(k, sorted(v, key=str)) for k, v in held.items()]
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES, carried: list[str] | None = None) -> DataFrame:
+    return run
+
+
+def _joined(docs: DataFrame, prefixes: DataFrame, widths: list[int], window: int, carried: list[str], kinds: str) -> DataFrame:
+    """The same for a prefix table of any size, by joins on prefix shingles and on a key of each row."""
+    key, spans, items = (unused(docs.columns, c) for c in ("row_key", "found_spans", "found_items"))
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    bits = _bit_table(prefixes.select("shingle").distinct())
+    met = keyed.select(key, "text").mapInArrow(_candidates(bits, widths, window), "row long, at long, shingle long, left int, around string").join(prefixes, "shingle")
+    begin = F.col("left") - F.col("offset")
+    same = (begin >= 0) & (F.array_join(F.slice(F.split("around", " "), F.greatest(begin, F.lit(0)) + 1, F.col("n")), " ") == F.col("words"))
+    start = F.col("at") - F.col("offset")
+    hits = met.where(same).select("row", F.struct(start.cast("long").alias("start"), (start + F.col("n")).cast("long").alias("end")).alias("span"), "item")
+    found = hits.groupBy(F.col("row").alias(key)).agg(F.collect_set("span").alias(spans), F.collect_set("item").alias(items))
+    return keyed.join(found, key, "left").mapInArrow(_finishing(carried, spans, items), kinds)
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, most_bytes: int = MOST_BYTES, carried: list[str] | None = None) -> DataFrame:
     """The carried columns of each document (doc_id, if none are named), n_words, merged word spans covered by benchmark windows, and the items (as strings) that occur."""
     arrow_ready(documents.sparkSession)
     carried = ["doc_id"] if carried is None else carried
     docs = documents.select(*dict.fromkeys([*carried, "text"]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(carried).schema)
-    parts = []
-    for block in _blocks(benchmark, window, shingle, block_shingles):
-        by_width: dict[int, set[int]] = defaultdict(set)
-        grams = []
-        for words, _ in block:
-            g = [int(x) for x in _window_shingles(words, shingle)]
-            grams.append(g)
-            by_width[min(shingle, len(words))].update(g)
-        seen = {w: _Seen(np.array(sorted(k), np.uint64)) for w, k in by_width.items()}
-        counted = docs.select("text").mapInArrow(_counting(seen), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        rarity = {r["shingle"] & ((1 << 64) - 1): r["n"] for r in counted.toLocalIterator()}  # a row for each of the block's shingles at most
-        prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        chosen: dict[int, set[int]] = defaultdict(set)
-        for number, ((words, _), g) in enumerate(zip(block, grams, strict=True)):
-            offset = min(range(len(g)), key=lambda i: (rarity.get(g[i], 0), g[i], i))
-            if rarity.get(g[offset], 0):  # a shingle that no document has needs no join
-                prefix[g[offset]].append((number, offset))
-                chosen[min(shingle, len(words))].add(g[offset])
-        found = {w: _Seen(np.array(sorted(k), np.uint64)) for w, k in chosen.items()}
-        parts.append((found, dict(prefix), block))
-    if not parts:
-        parts = [({}, {}, [])]
-    if len(parts) == 1:
-        return docs.mapInArrow(_matching(*parts[0], carried), ", ".join(x for x in (own, _FOUND) if x))
-    rows = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for number, part in enumerate(parts):
-        rows = rows.mapInArrow(_adding(_matching(*part, docs.columns)), f"{kinds}, {_FOUND}")
-        if number % 8 == 7:
-            rows = cut(rows, "contamination")
-    return rows.select(*carried, "n_words", "spans", "items")
-
-
-def _adding(match):
-    """Several blocks: each pass adds its spans and items to the rows of the pass before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = next(match(iter([batch])))
-            k = new.num_columns
-            spans, items = [], []
-            for old, add in zip(batch.column(k - 2).to_pylist(), new.column(k - 2).to_pylist(), strict=True):
-                merged: list[dict] = []
-                for x in sorted([*old, *add], key=lambda x: (x["start"], x["end"])):
-                    if merged and x["start"] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], x["end"])
-                    else:
-                        merged.append(dict(x))
-                spans.append(merged)
-            for old, add in zip(batch.column(k - 1).to_pylist(), new.column(k - 1).to_pylist(), strict=True):
-                items.append(sorted({*old, *add}))
-            yield pa.RecordBatch.from_arrays([*new.columns[: k - 2], pa.array(spans, new.column(k - 2).type), pa.array(items, pa.list_(pa.string()))], new.schema.names)
-
-    return run
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(carried).schema), _FOUND])
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    cuts = cut(items.mapInArrow(_cutting(window, shingle), "item string, words string, n int, shingles array<long>"), "windows")
+    once = cuts.dropDuplicates(["words"])
+    grams = once.select("words", "n", F.posexplode("shingles").alias("offset", "shingle"))
+    widths = sorted(r["width"] for r in once.select(F.least("n", F.lit(shingle)).alias("width")).distinct().collect())  # `shingle` of them at most
+    rows = []
+    if widths:
+        counted = docs.select("text").mapInArrow(_counting(_bit_table(grams.select("shingle")), widths), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("seen"))
+        rarest = grams.join(counted, "shingle", "left").groupBy("words", "n").agg(F.min(F.struct("seen", "shingle", "offset")).alias("s"), F.count_if(F.col("seen").isNull()).alias("unseen")).where("unseen = 0")
+        prefixes = rarest.select("words", "n", F.least("n", F.lit(shingle)).alias("width"), "s.shingle", "s.offset").join(cuts.select("words", "item").distinct(), "words")
+        prefixes = cut(prefixes, "prefixes")
+        if (prefixes.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 64).alias("n")).first()["n"] or 0) > most_bytes:
+            return _joined(docs, prefixes, widths, window, carried, kinds)
+        rows = prefixes.collect()  # most_bytes at most
+    return docs.mapInArrow(_matching(rows, carried), kinds)
 
 
 def digest(found: DataFrame) -> DataFrame:

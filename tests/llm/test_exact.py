@@ -208,8 +208,8 @@ def contamination_by_hand(text, items, window=10):
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_SHINGLES, 6])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("most", [decontaminate.MOST_BYTES, 0])
+def test_contamination(spark, most):
     rng = random.Random(4)
     vocabulary = ["a", "b", "c", "The", "of", "ö"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -217,10 +217,25 @@ def test_contamination(spark, block):
     docs = {i: text(rng.randrange(200)) for i in range(60)} | {100: items[9][1] + ". " + items[9][1], 101: "x " + items[8][1], 102: "", 103: None}
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     b = spark.createDataFrame([*items, (None, "a b"), (30, None)], "item_id long, text string")
-    got = decontaminate.digest(decontaminate.contamination(d, b, block_shingles=block)).collect()
+    got = decontaminate.digest(decontaminate.contamination(d, b, most_bytes=most)).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: contamination_by_hand(t, items) for i, t in docs.items()}
 
 
+def test_large_benchmarks_are_joined_in_the_same_two_readings(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(10, 80))) for i in range(400)}
+    items = [(f"i{k}", " ".join([*(rng.choice(words) for _ in range(5)), *texts[k % 400].split()[: rng.randrange(8, 40)]])) for k in range(600)]
+    items.append(("long", " ".join(rng.choice(words) for _ in range(30_000))))
+    monkeypatch.setattr(decontaminate, "FLUSH", 1000)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, row_key string")
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumns({c: F.lit("extra") for c in ("words", "n", "shingles", "doc_id")})
+    few, many = (decontaminate.contamination(docs, bench, most_bytes=most, carried=["doc_id", "row_key"]).orderBy("doc_id").collect() for most in (1 << 30, 0))
+    assert few == many and sum(bool(r["items"]) for r in few) > 150
+    by_id = {r["doc_id"]: decontaminate.digest(spark.createDataFrame([r], "doc_id long, row_key string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")).first() for r in few[:12]}
+    assert {i: tuple(r)[1:] for i, r in by_id.items()} == {i: contamination_by_hand(texts[i], items) for i in by_id}
+
+
 # ---- language-model scoring ----
 
 
