@@ -4,14 +4,17 @@ Every template is a list of words. All rolling word k-grams of all documents are
 the templates' k-grams; a gram at word p that equals a template's gram at word t votes for the diagonal p - t. Votes are
 summed up by document, template and diagonal; diagonals of one template that are at most `gap` apart belong to one
 passage with inserted or dropped words, and are merged. A merged passage is verified by the share of the template's grams
-that it holds: all of a short template's, three quarters of a longer one's. A diagonal that holds all grams of a template
-is an exact place. Hashes only find candidates: the join also compares the words.
+that it holds in the template's order, each at most `gap` diagonals from the one before: all of a short template's, three
+quarters of a longer one's. A diagonal that holds all grams of a template is an exact place. Hashes only find candidates:
+the join also compares the words.
 
 The templates are a fixed, small table (their number is checked), so their side is broadcast and the grams of the
 corpus are never shuffled; only votes and a row for each document are.
 
 Nulls: a null text has no words, no places and score 0. Repeated rows, and rows with one doc_id or none, get their own
-row each. Extra columns are ignored.
+row each. Ties: a gram that stands in a template more than once, or in several templates, votes for each. Very long texts are
+read whole; a step of the verification looks at a template's grams, so it takes time in proportion to a passage's votes.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,12 +98,33 @@ def passages(found: DataFrame, k: int = K, gap: int = GAP) -> DataFrame:
     grouped = lines.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
     grouped = grouped.withColumn("passage", F.sum("new").over(order)).withColumn("exact", F.col("votes") == F.col("length") - (k - 1))
     spans = grouped.groupBy("row", "doc_id", "template", "label", "base", "length", "passage").agg(
-        F.max("n_words").alias("n_words"), F.min("first").alias("start"), (F.max("last") + k).alias("stop"), F.bit_count(F.bit_or("mask")).alias("held"),
+        F.max("n_words").alias("n_words"), F.min("first").alias("start"), (F.max("last") + k).alias("stop"), F.bit_count(F.bit_or("mask")).alias("held"), F.collect_list(F.struct("diagonal", "mask")).alias("lines"),
         F.count_if("exact").alias("places"), F.min(F.when(F.col("exact"), F.col("diagonal"))).alias("first_place"), F.max(F.when(F.col("exact"), F.col("diagonal"))).alias("last_place"),
     )
-    coverage = F.col("held") / (F.col("length") - (k - 1))
+    grams = F.col("length") - (k - 1)
     needed = F.when(F.col("length") <= SHORT, F.lit(1.0)).otherwise(F.lit(SHARE))
-    return spans.withColumn("coverage", coverage).withColumn("accepted", F.coalesce(coverage >= needed, F.lit(False)))
+    # on one line grams are in order; of several lines that hold too few in any order nothing more is asked
+    open_ = (F.size("lines") > 1) & (F.col("places") == 0) & (F.col("held") >= needed * grams)
+    held = F.when(open_, in_order(F.col("lines"), grams, gap)).otherwise(F.col("held"))
+    spans = spans.withColumn("coverage", held / grams).drop("lines")
+    return spans.withColumn("accepted", F.coalesce(F.col("coverage") >= needed, F.lit(False)))
+
+
+def in_order(lines: Column, grams: Column, gap: int) -> Column:
+    """Of votes given by diagonal and mask of template positions, the most that follow each other: in the order of the text, each at
+    a later position of the template, and at most `gap` diagonals from the last vote there was for the position before it."""
+    placed = lambda x: F.transform(F.filter(F.sequence(F.lit(0), grams - 1), lambda t: F.getbit(x["mask"], t) == 1), lambda t: F.struct((x["diagonal"] + t).alias("pos"), (-t).alias("down"), x["diagonal"].alias("diagonal")))
+    votes = F.array_sort(F.flatten(F.transform(lines, placed)))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("diagonal"))
+    start = F.struct(F.lit(0).alias("best"), F.transform(F.sequence(F.lit(0), grams - 1), lambda _: none).alias("ends"))
+
+    def step(a: Column, v: Column) -> Column:
+        before = F.filter(F.slice(a["ends"], F.lit(1), -v["down"]), lambda e: (e["n"] > 0) & (F.abs(e["diagonal"] - v["diagonal"]) <= gap))
+        n = F.coalesce(F.array_max(F.transform(before, lambda e: e["n"])), F.lit(0)) + 1
+        ends = F.transform(a["ends"], lambda e, t: F.when(t == -v["down"], F.struct(n.alias("n"), v["diagonal"].alias("diagonal"))).otherwise(e))
+        return F.struct(F.greatest(a["best"], n).alias("best"), ends.alias("ends"))
+
+    return F.aggregate(votes, start, step, lambda a: a["best"])
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -123,19 +147,32 @@ def oracle_sql() -> str:
     """The same, in DuckDB's SQL, without hashes."""
     known = ", ".join(f"({n}, '{p}', '{label}', {str(n < len(BASE)).lower()})" for n, (p, label) in enumerate([*BASE, *NOTICES]))
     return rf"""
-WITH t AS (SELECT template, label, base, string_split(phrase, ' ') AS tw FROM (VALUES {known}) v(template, phrase, label, base)),
+WITH RECURSIVE t AS (SELECT template, label, base, string_split(phrase, ' ') AS tw FROM (VALUES {known}) v(template, phrase, label, base)),
 tg AS (SELECT template, label, base, len(tw) AS length, i - 1 AS place, tw[i] AS t0, tw[i + 1] AS t1 FROM t, range(1, 64) r(i) WHERE i < len(tw)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT rid, unnest(w) AS w0, unnest(w[2:]) AS w1, unnest(range(0, len(w))) AS pos FROM d),
-votes AS (SELECT rid, template, label, base, length, pos - place AS diagonal, count(*) AS votes, bit_or(1::BIGINT << place) AS mask FROM p JOIN tg ON w0 = t0 AND w1 = t1 GROUP BY ALL),
+met AS MATERIALIZED (SELECT rid, template, label, base, length, pos, place, pos - place AS diagonal FROM p JOIN tg ON w0 = t0 AND w1 = t1),
+votes AS (SELECT rid, template, label, base, length, diagonal, count(*) AS votes, bit_or(1::BIGINT << place) AS mask FROM met GROUP BY ALL),
 marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {GAP} THEN 0 ELSE 1 END AS fresh FROM votes WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS passage FROM marked),
-spans AS (
-  SELECT rid, template, label, base, length, passage, bit_count(bit_or(mask)) / (length - 1) AS coverage, count(*) FILTER (votes = length - 1) AS places,
+numbered AS MATERIALIZED (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal)::BIGINT AS passage FROM marked),
+spans AS MATERIALIZED (
+  SELECT rid, template, label, base, length, passage, bit_count(bit_or(mask)) AS held, count(*) AS lines, count(*) FILTER (votes = length - 1) AS places, CASE WHEN length <= {SHORT} THEN 1.0 ELSE {SHARE} END AS needed,
     min(diagonal) FILTER (votes = length - 1) AS first_place, max(diagonal) FILTER (votes = length - 1) AS last_place
   FROM numbered GROUP BY rid, template, label, base, length, passage
 ),
-told AS (SELECT *, base AND places > 0 AS place, (base AND places > 0) OR coverage >= CASE WHEN length <= {SHORT} THEN 1.0 ELSE {SHARE} END AS good FROM spans)
+unsure AS (
+  SELECT rid, template, passage, m.length - 1 AS grams, m.place, m.diagonal, row_number() OVER (PARTITION BY rid, template, passage ORDER BY m.pos, m.place DESC) AS number
+  FROM spans JOIN numbered n USING (rid, template, passage) JOIN met m USING (rid, template, diagonal) WHERE lines > 1 AND places = 0 AND held >= needed * (m.length - 1)
+),
+walk AS (
+  SELECT rid, template, passage, 0::BIGINT AS number, 0::BIGINT AS best, list_transform(range(0, grams), lambda i: 0::BIGINT) AS ends, list_transform(range(0, grams), lambda i: 0::BIGINT) AS lines FROM unsure WHERE number = 1
+  UNION ALL
+  SELECT rid, template, passage, number, greatest(best, n), list_transform(range(0, grams), lambda i: CASE WHEN i = place THEN n ELSE ends[i + 1] END), list_transform(range(0, grams), lambda i: CASE WHEN i = place THEN diagonal ELSE lines[i + 1] END)
+  FROM (SELECT u.*, w.best, w.ends, w.lines, 1 + coalesce(list_max(list_transform(list_filter(range(0, u.place), lambda i: w.ends[i + 1] > 0 AND abs(w.lines[i + 1] - u.diagonal) <= {GAP}), lambda i: w.ends[i + 1])), 0) AS n
+    FROM walk w JOIN unsure u ON u.rid = w.rid AND u.template = w.template AND u.passage = w.passage AND u.number = w.number + 1)
+),
+ordered AS (SELECT rid, template, passage, max(best) AS best FROM walk GROUP BY ALL),
+told AS (SELECT *, base AND places > 0 AS place, (base AND places > 0) OR coverage >= needed AS good FROM (SELECT s.*, coalesce(best, held) / (length - 1) AS coverage FROM spans s LEFT JOIN ordered USING (rid, template, passage)))
 SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, coalesce(sum(places) FILTER (place), 0)::BIGINT AS n_base,
   (min(first_place) FILTER (place))::BIGINT AS first_word, (max(last_place) FILTER (place))::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (place)), ','), '') AS base_labels,

@@ -486,6 +486,46 @@ def test_changed_notices_are_found_by_neighbouring_diagonals(spark):
     assert [tuple(r) for r in spans] == [(1, "mit", 2, 2 + len(changed))]
 
 
+def in_order_by_hand(words, template, gap=licenses.GAP):
+    """Whether the template's pairs of words, or three quarters of a long one's, stand in a text in the template's order."""
+    pairs = list(zip(template, template[1:], strict=False))
+    votes = sorted((p, -t) for t, g in enumerate(pairs) for p in range(len(words) - 1) if (words[p], words[p + 1]) == g)
+    ends, best = {}, 0
+    for p, down in votes:
+        t, line = -down, p + down
+        n = 1 + max((ends[u][0] for u in range(t) if u in ends and abs(ends[u][1] - line) <= gap), default=0)
+        ends[t], best = (n, line), max(best, n)
+    return best >= len(pairs) * (1 if len(template) <= licenses.SHORT else licenses.SHARE)
+
+
+def test_words_of_a_license_out_of_order_are_none(spark):
+    texts = ["commons attribution creative commons", "sa by sa cc by", "creative commons attribution", "x cc by sa y", "public license mozilla public", "cc by nc and more of it by sa cc by 4 0"]
+    rng = random.Random(12)
+    pool = sorted({w for phrase, _ in (*licenses.BASE, *licenses.NOTICES) for w in phrase.split()} | {"zzz"})
+    for phrase, _ in licenses.NOTICES * 6:
+        words = phrase.split()
+        for _ in range(rng.randrange(4)):
+            where = rng.randrange(len(words))
+            if rng.random() < 0.4:
+                words.insert(where, rng.choice(pool))
+            elif rng.random() < 0.5:
+                del words[where]
+            else:
+                words = words[where:] + words[:where]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.digest(licenses.passages(licenses.votes(docs))).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["", "", "cc-by", "cc-by-sa", "", "cc-by,cc-by-nc"] and got[0]["score"] == 0
+    for i, text in enumerate(texts):
+        want = {label for phrase, label in (*licenses.BASE, *licenses.NOTICES) if in_order_by_hand(text.split(), phrase.split())}
+        assert set(filter(None, got[i]["labels"].split(","))) == want, text
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    found = c.execute(licenses.oracle_sql())
+    names = [x[0] for x in found.description]
+    assert sorted(map(tuple, found.fetchall())) == sorted(tuple(r[n] for n in names) for r in got.values())
+
+
 def test_transcripts_in_blocks_are_read_as_in_one_pass(spark, small, monkeypatch):
     talk = table(spark, small, "conversations")
     written = chat.as_written(talk).collect()
