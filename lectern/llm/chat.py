@@ -1,31 +1,40 @@
 """Transcripts to turns: a hidden Markov model recovers who speaks, and turns are rendered in one canonical form.
 
 States are a role with "begins a turn" or "goes on". A line that is not blank is observed by its speaker marker (if it
-starts with one), whether a blank line stands before it, its length and whether it asks. Viterbi's best path gives every
-line its state; a state that begins a turn starts one, and its marker is taken off.
+starts with one), whether a blank line stands before it, whether it is the first of its segment, its length and whether it
+asks. Viterbi's best path gives every line its state; a state that begins a turn starts one, and its marker is taken off.
 
-A transcript comes in segments (rows of conv_id and turn, in the order of turn, then text; null turns first). Segments
-are dealt by conversation and `SEGMENTS` neighbouring turn numbers, so that one endless conversation is many groups. For
-each group the best score from every entry state to every exit state is found first; these small matrices are chained
-along each conversation, which fixes each group's entry and exit state; groups are then decoded on their own. The path
-is the one that a single pass over the whole transcript would find.
+A transcript comes in segments (rows of conv_id and turn, in the order of turn, null turns first; rows with one turn in the
+order of a hash of their texts). Rows are dealt out by ranges of that order, so that one endless conversation, whatever
+its turn numbers are, is in many partitions, and each partition is cut as it streams by into blocks of one conversation, of `SEGMENTS`
+segments or `BLOCK_BYTES` bytes. For a block that may not be a whole conversation the best score from every entry state to every
+exit state is found in the same pass. These small matrices are multiplied up by partition, chained along each conversation, and
+chained again inside each partition, which fixes each block's entry and exit state; blocks are then decoded on their
+own. The path is the one that a single pass over the whole transcript would find.
 
 Nulls: a null text has no lines; a conversation without lines gives no turns; null conv_id is a conversation of its own.
-Repeated rows are repeated segments. Ties between paths go to the state that comes first. Extra columns are ignored.
+Repeated rows are repeated segments. Ties between paths go to the state that comes first. A very long text is a block of its
+own, read whole. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import arrow_ready, cut
 
+#: Segments and bytes of text at which a block ends.
 SEGMENTS = 64
+BLOCK_BYTES = 1 << 20
 ROLES = ["system", "user", "assistant"]
 STATES = [(r, begins) for r in ROLES for begins in (True, False)]
 #: Speaker names as transcripts write them.
@@ -44,7 +53,9 @@ NEXT_ROLE = {None: (0.25, 0.7, 0.05), "system": (0.02, 0.93, 0.05), "user": (0.0
 #: inside a turn looks like a marker; that a blank line stands before a first line, or inside.
 LAST_LINE = {"system": 0.5, "user": 0.4, "assistant": 0.25}
 MARKED, MISMARKED, INSIDE_MARKED = 0.72, 0.001, 0.002
-BLANK_BEFORE, BLANK_INSIDE = 0.9, 0.06
+BLANK_BEFORE, BLANK_INSIDE = 0.6, 0.06
+#: Chance that a turn's first line, or one inside a turn, is the first of its segment.
+OPENS, OPENS_INSIDE = 0.8, 0.005
 #: Chances of lines under 80 characters, under 300 and longer; and of a question mark at the end.
 LENGTHS = {"system": (0.4, 0.45, 0.15), "user": (0.45, 0.4, 0.15), "assistant": (0.3, 0.4, 0.3)}
 ASKS = {"system": 0.01, "user": 0.25, "assistant": 0.04}
@@ -67,166 +78,237 @@ def _transitions() -> tuple[np.ndarray, np.ndarray]:
 FIRST, THEN = _transitions()
 
 
-def emission(line: str, after_blank: bool) -> np.ndarray:
-    """log chances of the line's features in each state."""
-    marker = marked_role(line)
-    size = 0 if len(line) < 80 else 1 if len(line) < 300 else 2
-    asks = line.rstrip().endswith("?")
-    out = np.empty(len(STATES))
-    for j, (role, begins) in enumerate(STATES):
-        if begins:
-            p = MARKED if marker == role else MISMARKED if marker else 1 - MARKED - 2 * MISMARKED
-            p *= BLANK_BEFORE if after_blank else 1 - BLANK_BEFORE
-        else:
-            p = INSIDE_MARKED / 3 if marker else 1 - INSIDE_MARKED
-            p *= BLANK_INSIDE if after_blank else 1 - BLANK_INSIDE
-        out[j] = np.log(p * LENGTHS[role][size] * (ASKS[role] if asks else 1 - ASKS[role]))
+def _emissions() -> np.ndarray:
+    """log chances in each state (columns) of each code of features (rows, see code_of)."""
+    out = np.empty((4 * 2 * 2 * 3 * 2, len(STATES)))
+    for code, (marker, blank, opens, size, asks) in enumerate(itertools.product((None, *ROLES), (0, 1), (0, 1), range(3), (0, 1))):
+        for j, (role, begins) in enumerate(STATES):
+            if begins:
+                p = MARKED if marker == role else MISMARKED if marker else 1 - MARKED - 2 * MISMARKED
+                p *= (BLANK_BEFORE if blank else 1 - BLANK_BEFORE) * (OPENS if opens else 1 - OPENS)
+            else:
+                p = INSIDE_MARKED / 3 if marker else 1 - INSIDE_MARKED
+                p *= (BLANK_INSIDE if blank else 1 - BLANK_INSIDE) * (OPENS_INSIDE if opens else 1 - OPENS_INSIDE)
+            out[code, j] = np.log(p * LENGTHS[role][size] * (ASKS[role] if asks else 1 - ASKS[role]))
     return out
 
 
+EMISSIONS = _emissions()
+_emitted, _first = EMISSIONS.tolist(), FIRST.tolist()
+_end = [[math.log(LAST_LINE[a] * p) for p in NEXT_ROLE[a]] for a in ROLES]
+_stay = [math.log(1 - LAST_LINE[a]) for a in ROLES]
+
+
+def code_of(line: str, after_blank: bool, opens: bool) -> int:
+    """A line's features as one number."""
+    head = line[:40]
+    role = marked_role(line) if ":" in head or "]" in head or ">" in head or "#" in head else None
+    marker = 0 if role is None else 1 + ROLES.index(role)
+    size = 0 if len(line) < 80 else 1 if len(line) < 300 else 2
+    return (((marker * 2 + after_blank) * 2 + opens) * 3 + size) * 2 + line.rstrip().endswith("?")
+
+
+def emission(line: str, after_blank: bool, opens: bool) -> np.ndarray:
+    """log chances of the line's features in each state."""
+    return EMISSIONS[code_of(line, after_blank, opens)]
+
+
 def marked_role(line: str) -> str | None:
     m = MARKER.match(line)
     return _role_of[next(g for g in m.groups() if g).lower()] if m else None
 
 
-def lines_of(segments: list[str | None]) -> list[tuple[int, str, bool]]:
-    """(segment, line, whether a blank line stands before) of the lines that are not blank; a blank line counts in its own segment only."""
+def lines_of(segments: list[str | None]) -> list[tuple[int, str, bool, bool]]:
+    """(segment, line, whether a blank line stands before, whether it is the segment's first) of the lines that are not blank; a blank line counts in its own segment only."""
     out = []
     for k, text in enumerate(segments):
-        blank = False
+        blank, opens = False, True
         for line in (text or "").split("\n"):
-            if line.strip():
-                out.append((k, line, blank))
-                blank = False
+            if line and not line.isspace():
+                out.append((k, line, blank, opens))
+                blank = opens = False
             else:
                 blank = True
     return out
 
 
-def best_scores(emitted: np.ndarray, first: bool) -> np.ndarray:
+def codes_of(lines: list[tuple[int, str, bool, bool]]) -> list[int]:
+    return [code_of(line, blank, opens) for _, line, blank, opens in lines]
+
+
+def best_scores(codes: list[int], first: bool) -> np.ndarray:
     """Best score from each entry state (before the first line) to each exit state; at the start of a transcript all entries are alike."""
     score = np.tile(FIRST, (len(STATES), 1)) if first else THEN.copy()
-    score = score + emitted[0]
-    for e in emitted[1:]:
-        score = (score[:, :, None] + THEN[None]).max(1) + e
+    score = score + EMISSIONS[codes[0]]
+    for c in codes[1:]:
+        score = (score[:, :, None] + THEN[None]).max(1) + EMISSIONS[c]
     return score
 
 
-def best_path(emitted: np.ndarray, entry: int | None, leave: int | None) -> list[int]:
-    """Viterbi's states, given the state before the first line and the last state (None: free)."""
-    score = (FIRST if entry is None else THEN[entry]) + emitted[0]
+def best_path(codes: list[int], entry: int | None, leave: int | None) -> list[int]:
+    """Viterbi's states, given the state before the first line and the last state (None: free). What a state leads to depends on its role alone, so each step first takes the better of a role's two states."""
+    score = [a + b for a, b in zip(_first if entry is None else THEN[entry].tolist(), _emitted[codes[0]], strict=True)]
     back = []
-    for e in emitted[1:]:
-        options = score[:, None] + THEN
-        back.append(options.argmax(0))
-        score = options.max(0) + e
-    path = [int(score.argmax()) if leave is None else leave]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
+    for c in codes[1:]:
+        e = _emitted[c]
+        from_ = [2 * r if score[2 * r] >= score[2 * r + 1] else 2 * r + 1 for r in range(3)]
+        a, b, d = (score[i] for i in from_)
+        new, came = [0.0] * 6, [0] * 6
+        for r in range(3):
+            x, y, z = a + _end[0][r], b + _end[1][r], d + _end[2][r]
+            new[2 * r], came[2 * r] = (x + e[2 * r], from_[0]) if x >= y and x >= z else (y + e[2 * r], from_[1]) if y >= z else (z + e[2 * r], from_[2])
+            new[2 * r + 1], came[2 * r + 1] = score[from_[r]] + _stay[r] + e[2 * r + 1], from_[r]
+        score = new
+        back.append(came)
+    path = [score.index(max(score)) if leave is None else leave]
+    for came in reversed(back):
+        path.append(came[path[-1]])
     return path[::-1]
 
 
 def decode(segments: list[str | None]) -> list[int]:
     """States of a whole transcript's lines, in one pass."""
     lines = lines_of(segments)
-    return best_path(np.array([emission(x, b) for _, x, b in lines]), None, None) if lines else []
-
-
-def render(role: str, text: str) -> str:
-    return f"<|{role}|>\n{text}\n<|end|>\n"
-
-
-def _rows(t: pa.Table) -> list[dict]:
-    rows = t.to_pylist()
-    return sorted(rows, key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["text"] or ""))
-
-
-def _summarise(t: pa.Table) -> pa.Table:
-    rows = _rows(t)
-    lines = lines_of([r["text"] for r in rows])
-    emitted = np.array([emission(x, b) for _, x, b in lines])
-    made = [best_scores(emitted, f).reshape(-1).tolist() if lines else None for f in (True, False)]
-    return pa.table({"conv_id": pa.array([rows[0]["conv_id"]], pa.int64()), "block": pa.array([rows[0]["block"]], pa.int64()), "opening": pa.array([made[0]], pa.list_(pa.float64())), "inner": pa.array([made[1]], pa.list_(pa.float64()))})
-
-
-def _chain(t: pa.Table) -> pa.Table:
-    rows = sorted((r for r in t.to_pylist() if r["inner"] is not None), key=lambda r: r["block"])
+    return best_path(codes_of(lines), None, None) if lines else []
+
+
+_BLOCKS = "conv_id long, part long, block long, turns array<long>, texts array<string>, opening array<double>, inner array<double>"
+
+
+def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order to blocks, one row each; those that may not be a whole conversation with their best scores."""
+    part, number, ready, size = TaskContext.get().partitionId(), 0, [], 0
+    conv, turns, texts, held, whole = None, [], [], 0, False  # whole: what has been read of this conversation is all there was before
+
+    def closed(alone: bool) -> None:
+        nonlocal number, turns, texts, size, held
+        codes = [] if alone else codes_of(lines_of(texts))
+        made = [best_scores(codes, f).reshape(-1).tolist() if codes else None for f in (True, False)]
+        ready.append((conv, part, number, turns, texts, *made))
+        number, size = number + 1, size + held
+        turns, texts, held = [], [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*ready, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCKS.split(", ")])
+
+    seen = False
+    for batch in batches:
+        for c, turn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if not seen or c != conv:
+                if turns:
+                    closed(whole)
+                # the first conversation of a partition may have begun in the one before
+                conv, whole, seen = c, seen, True
+            elif len(turns) >= SEGMENTS or held >= BLOCK_BYTES:
+                closed(False)
+                whole = False
+            turns.append(turn)
+            texts.append(text)
+            held += len(text or "")
+        if size >= BLOCK_BYTES or len(ready) > 4096:
+            yield batch_of()
+            ready, size = [], 0
+    if turns:
+        closed(False)  # the last one may go on in the next
+    if ready:
+        yield batch_of()
+
+
+def _chain(rows: list[dict], entry: int | None, leave: int | None) -> list[tuple[int | None, int]]:
+    """Entry and exit state of each of several blocks (or parts) that follow each other."""
     n, score, kept = len(STATES), None, []
     for r in rows:
-        m = np.array(r["opening"] if score is None else r["inner"]).reshape(n, n)
-        options = m if score is None else score[:, None] + m
+        if score is None and entry is None:
+            options = np.array(r["opening"]).reshape(n, n)
+        else:
+            m = np.array(r["inner"]).reshape(n, n)
+            options = np.where(np.arange(n)[:, None] == entry, m, -np.inf) if score is None else score[:, None] + m
         kept.append(options)
         score = options.max(0)
-    state, out = (int(score.argmax()) if rows else None), []
+    state, out = (int(score.argmax()) if leave is None else leave) if rows else None, []
     for options in reversed(kept):
-        entry = int(options[:, state].argmax())
-        out.append((entry, state))
-        state = entry
+        at = int(options[:, state].argmax())
+        out.append((at, state))
+        state = at
     out.reverse()
-    columns = {"block": [r["block"] for r in rows], "entry": [None if i == 0 else e for i, (e, _) in enumerate(out)], "leave": [x for _, x in out]}
-    return pa.table({"conv_id": pa.array([r["conv_id"] for r in rows], pa.int64())} | {k: pa.array(v, pa.int64()) for k, v in columns.items()})
-
-
-def _turns(t: pa.Table) -> pa.Table:
-    rows = _rows(t)
-    lines = lines_of([r["text"] for r in rows])
-    out = []
-    if lines:
-        path = best_path(np.array([emission(x, b) for _, x, b in lines]), rows[0]["entry"], rows[0]["leave"])
-        for (k, line, _), s in zip(lines, path, strict=True):
-            role, begins = STATES[s]
-            if begins:
-                line = MARKER.sub("", line, count=1) if marked_role(line) == role else line
-            if begins or not out:
-                out.append({"segment": rows[k]["turn"], "role": role, "lines": [], "n_lines": 0, "continues": not begins, "segments": []})
-            if line or not begins:
-                out[-1]["lines"].append(line)
-            out[-1]["n_lines"] += 1
-            out[-1]["segments"].append(rows[k]["turn"])
-    columns = {
-        "conv_id": pa.array([rows[0]["conv_id"]] * len(out), pa.int64()), "block": pa.array([rows[0]["block"]] * len(out), pa.int64()), "number": pa.array(range(len(out)), pa.int64()),
-        "role": pa.array([x["role"] for x in out], pa.string()), "text": pa.array(["\n".join(x["lines"]) for x in out], pa.string()), "continues": pa.array([x["continues"] for x in out], pa.bool_()),
-        "n_lines": pa.array([x["n_lines"] for x in out], pa.int64()), "segments": pa.array([x["segments"] for x in out], pa.list_(pa.int64())),
-    }
-    return pa.table(columns)
+    return [(entry if i == 0 else at, x) for i, (at, x) in enumerate(out)]
+
+
+def _multiplied(t: pa.Table) -> pa.Table:
+    """A conversation's blocks in one partition as one matrix."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
+    n, products = len(STATES), []
+    for first in ("opening", "inner"):
+        m = np.array(rows[0][first]).reshape(n, n)
+        for r in rows[1:]:
+            m = (m[:, :, None] + np.array(r["inner"]).reshape(1, n, n)).max(1)
+        products.append(m.reshape(-1).tolist())
+    return pa.table({"conv_id": pa.array([rows[0]["conv_id"]], pa.int64()), "part": pa.array([rows[0]["part"]], pa.int64()), "opening": pa.array([products[0]], pa.list_(pa.float64())), "inner": pa.array([products[1]], pa.list_(pa.float64()))})
+
+
+def _over_parts(t: pa.Table) -> pa.Table:
+    rows = sorted(t.to_pylist(), key=lambda r: r["part"])
+    ends = _chain(rows, None, None)
+    return pa.table({"conv_id": pa.array([r["conv_id"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()), "entry": pa.array([e for e, _ in ends], pa.int64()), "leave": pa.array([x for _, x in ends], pa.int64())})
+
+
+def _inside(t: pa.Table) -> pa.Table:
+    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
+    ends = _chain(rows, rows[0]["entry"], rows[0]["leave"])
+    return pa.table({"part": pa.array([r["part"] for r in rows], pa.int64()), "block": pa.array([r["block"] for r in rows], pa.int64()), "entry": pa.array([e for e, _ in ends], pa.int64()), "leave": pa.array([x for _, x in ends], pa.int64())})
+
+
+_TURNS = "conv_id long, block long, number long, role string, text string, continues boolean, n_lines long, segments array<long>"
+
+
+def _decoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to turns."""
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            lines = lines_of(r["texts"])
+            if not lines:
+                continue
+            codes, turns = codes_of(lines), []
+            for (k, line, _, _), c, s in zip(lines, codes, best_path(codes, r["entry"], r["leave"]), strict=True):
+                role, begins = STATES[s]
+                if begins and c >= len(EMISSIONS) // 4 and marked_role(line) == role:
+                    line = MARKER.sub("", line, count=1)
+                if begins or not turns:
+                    turns.append((role, [], not begins, []))
+                if line or not begins:
+                    turns[-1][1].append(line)
+                turns[-1][3].append(r["turns"][k])
+            out += [(r["conv_id"], r["part"] << 32 | r["block"], i, role, "\n".join(kept), goes_on, len(at), at) for i, (role, kept, goes_on, at) in enumerate(turns)]
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _TURNS.split(", ")])
 
 
 def parse(segments: DataFrame) -> DataFrame:
     """From (conv_id, turn, text): recovered turns as conv_id, block, number (of the turn in its block), role, text, continues (the turn began in an earlier block), n_lines, segments (the input turn of each line)."""
-    rows = segments.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / SEGMENTS), F.lit(-(1 << 40))))
-    summary = rows.groupBy("conv_id", "block").applyInArrow(_summarise, "conv_id long, block long, opening array<double>, inner array<double>")
-    ends = cut(summary.groupBy("conv_id").applyInArrow(_chain, "conv_id long, block long, entry long, leave long"), "ends")
-    same = rows["conv_id"].eqNullSafe(ends["conv_id"]) & (rows["block"] == ends["block"])
-    placed = rows.join(ends, same).select(rows["conv_id"], rows["block"], "turn", "text", "entry", "leave")
-    return placed.groupBy("conv_id", "block").applyInArrow(_turns, "conv_id long, block long, number long, role string, text string, continues boolean, n_lines long, segments array<long>")
-
-
-#: How transcripts of the query write a speaker: for each style, the text before a turn of each role.
-STYLES = [
-    {"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
-    {"system": "[SYSTEM] ", "user": "[HUMAN] ", "assistant": "[AI] "},
-    {"system": "### System:\n", "user": "### Instruction:\n", "assistant": "### Response:\n"},
-    {"system": "**System**: ", "user": "**Q**: ", "assistant": "**A**: "},
-]
-
-
-def as_written(conversations: DataFrame) -> DataFrame:
-    """Conversations as transcripts whose roles are only to be seen from markers, in one of four styles; one turn in four has none."""
-    style = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % len(STYLES)
-    head = F.lit("")
-    for k, names in enumerate(STYLES):
-        for role, text in names.items():
-            head = F.when((style == k) & (F.col("role") == role), F.lit(text)).otherwise(head)
-    bare = F.crc32(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) % 4 == 0
-    return conversations.select("conv_id", "turn", F.concat(F.lit("\n"), F.when(bare, F.lit("")).otherwise(head), F.coalesce("text", F.lit(""))).alias("text"))
+    arrow_ready(segments.sparkSession)
+    rows = segments.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("salt"))
+    order = ["conv_id", "turn", "h", "salt"]  # the last tells equal rows apart, so that no number of them has to stay together
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "text")
+    blocks = cut(ordered.mapInArrow(_cutting, _BLOCKS), "blocks")
+    open_ = blocks.where("inner IS NOT NULL").select("conv_id", "part", "block", "opening", "inner")
+    matrix = "opening array<double>, inner array<double>"
+    parts = open_.groupBy("conv_id", "part").applyInArrow(_multiplied, f"conv_id long, part long, {matrix}")
+    placed = parts.groupBy("conv_id").applyInArrow(_over_parts, "conv_id long, part long, entry long, leave long").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "entry", "leave")
+    known = open_.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
+    ends = cut(known.groupBy("conv_id", "part").applyInArrow(_inside, "part long, block long, entry long, leave long"), "ends")
+    return blocks.select("conv_id", "part", "block", "turns", "texts").join(ends, ["part", "block"], "left").mapInArrow(_decoding, _TURNS)
+
+
+def rendered(turns: DataFrame) -> DataFrame:
+    """parse()'s turns with `rendered`: what stands in the canonical transcript, which is these one after the other, by block and number."""
+    head = F.when(F.col("continues"), F.lit("")).otherwise(F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n")))
+    return turns.withColumn("rendered", F.concat(head, "text", F.lit("\n")))
 
 
 def recovered(conversations: DataFrame) -> DataFrame:
-    """The query: recovered and rendered turns of the transcripts, with the role that the table has for the line where each begins."""
-    turns = parse(as_written(conversations))
-    told = conversations.where("turn IS NOT NULL").groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("segment")).agg(F.min("role").alias("role_told"))
-    turns = turns.withColumn("segment", F.col("segments")[0])
-    same = turns["conv_id"].eqNullSafe(told["conv_id"]) & (turns["segment"] == told["segment"])
-    rendered = F.when(F.col("continues"), F.col("text")).otherwise(F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n")))
-    return turns.join(told, same, "left").select(turns["conv_id"], "block", "number", turns["segment"], "role", "role_told", "continues", "n_lines", rendered.alias("rendered"))
+    """The query: recovered and rendered turns of the conversations' texts; their roles are not looked at."""
+    turns = rendered(parse(conversations.select("conv_id", "turn", "text")))
+    return turns.select("conv_id", "block", "number", F.col("segments")[0].alias("segment"), "role", "continues", "n_lines", "rendered")

@@ -108,6 +108,7 @@ def test_chat_edges(spark):
     assert {r["conv_id"] for r in got} == {1, 3, None} and sum(r["n_lines"] for r in got if r["conv_id"] == 3) == 5000
     assert chat.parse(df.limit(0)).count() == 0
     assert chat.recovered(spark.createDataFrame([(1, 0, None, "x"), (None, None, "user", None)], "conv_id long, turn long, role string, text string")).count() == 1
+    assert chat.recovered(df.limit(0)).count() == 0
 
 
 def test_url_edges(spark):
