@@ -8,13 +8,15 @@ which no more than `REFUSED` of them fall.
 
 The models read the whole host, path and query of every URL that no rule decides. Labels come from the rules (a URL that
 a rule decides is an example for that verdict; the host's end and the path's start that this very rule names are not read
-in it, as the models would only learn to stretch the rules) and from `SEEDS`, a short list of
-address forms that a filter is meant to catch or to let through. A bounded, hash-chosen sample of about `per_class`
-distinct URLs of each verdict is fitted. A rule's verdict always stands; the models judge the rest.
+in it, as the models would only learn to stretch the rules) and from examples that the caller may pass. Of each verdict
+the `per_class` distinct URLs with the smallest hashes are fitted, of longer URLs the first `FIT_CHARS` characters. A rule's
+verdict always stands; the models judge the rest, and what they know is what rules and examples show.
 
 Nulls: a null URL, or one without `://`, has an empty host and path, no rule, and is judged by its characters (none for
-null). A URL without characters has ratio 0 and passes. Without both classes of labels everything is allowed. Repeated
-rows are judged each. Extra columns are ignored.
+null). A URL without characters has ratio 0 and passes. Without both classes of labels everything is allowed, with ratio
+and threshold 0. Examples with a null url, or another verdict than allow or block, are ignored. Repeated rows are judged
+each and fitted once. Ties: of rules of one length that fit, the one that sorts first decides; a ratio equal to the
+threshold passes. Very long URLs are judged whole. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,21 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_ready, column_bytes, mix
+from lectern.llm.common import arrow_ready, column_bytes, mix, part_of
 
 ORDER = 5
 PER_CLASS = 20_000
 SLOTS = 1 << 17
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: How often each seed counts in fitting, at least; among many URLs, a two-hundredth of them.
-SEED_WEIGHT = 20
+#: Characters of a labelled URL that are fitted.
+FIT_CHARS = 4096
 #: Share of accepted URLs that the calibrated threshold may refuse.
 REFUSED = 0.05
-SEEDS = {
-    "block": ["spam-farm", "cheap-pills", "cheap-meds", "online-casino", "casino-bonus", "free-money", "win-prizes", "payday-loans", "hot-singles", "adult-dating", "xxx-videos", "replica-watches", "buy-viagra", "click-bait", "download-crack", "torrent-warez", "link-farm", "poker-online", "seo-backlinks", "fake-news", "malware-host", "phishing-login"],
-    "allow": ["www", "blog", "news", "docs", "wiki", "library", "journal", "archive", "museum", "university", "school", "science", "research", "press", "open-data", "community", "forum", "health-service", "city-council", "book-review"],
-}
 
 
 def parts(url: str) -> tuple[Column, Column]:
@@ -70,13 +68,12 @@ class Counts:
     kinds: np.ndarray
 
     @classmethod
-    def of(cls, urls: list[bytes], weight: list[int], order: int = ORDER) -> Counts:
+    def of(cls, urls: list[bytes], order: int = ORDER) -> Counts:
         pairs, contexts, chars = _slots(urls, order)
-        w = np.repeat(np.array(weight, float), [len(u) + 1 for u in urls])
         out = cls(*(np.zeros((order + 1, SLOTS), np.float32) for _ in range(3)))
         for k in range(order + 1):
-            out.pair[k] = np.bincount(pairs[k], w, SLOTS)
-            out.context[k] = np.bincount(contexts[k], w, SLOTS)
+            out.pair[k] = np.bincount(pairs[k], minlength=SLOTS)
+            out.context[k] = np.bincount(contexts[k], minlength=SLOTS)
             different = np.unique(contexts[k].astype(np.int64) * 256 + chars) // 256
             out.kinds[k] = np.bincount(different, minlength=SLOTS)
         return out
@@ -144,9 +141,7 @@ def fit(labelled: list[tuple[bytes, str]]) -> Ratio | None:
         return None
     models = {}
     for verdict in ("allow", "block"):
-        urls = [u for u, v in used if v == verdict]
-        forms = [f.encode() + end for f in SEEDS[verdict] for end in (b".", b"/")]
-        models[verdict] = Counts.of(urls + forms, [1] * len(urls) + [max(SEED_WEIGHT, len(urls) // 200)] * len(forms))
+        models[verdict] = Counts.of([u for u, v in used if v == verdict])
     out = Ratio(models["allow"], models["block"])
     if good := [u for u, v in chosen[::5] if v == "allow"]:
         s, grid = out.scores(good), np.linspace(-1, 0, 101)
@@ -165,25 +160,27 @@ def _judging(model: Ratio | None):
             passed |= np.array([not u for u in urls], bool)
             said = ["allow" if x else "block" for x in passed]
             kept = [r if r is not None else v for r, v in zip(batch.column(5).to_pylist(), said, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4)), pa.array(kept, pa.string()), pa.array(s)], ["page_id", "host", "path", "rule", "verdict", "ratio"])
+            limit = pa.array(np.full(len(urls), model.threshold if model else 0.0))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4)), pa.array(kept, pa.string()), pa.array(s), limit], ["page_id", "host", "path", "rule", "verdict", "ratio", "threshold"])
 
     return run
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, per_class: int = PER_CLASS) -> DataFrame:
-    """page_id, host, path, rule, verdict, ratio: a row for each row of pages (page_id, url)."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, per_class: int = PER_CLASS, examples: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, ratio, threshold: a row for each row of pages (page_id, url). Examples: (url, verdict)."""
     arrow_ready(pages.sparkSession)
     rules = RULES if rules is None else rules
     host, path = parts("url")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     ruled = rows.select("*", _rule(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]).alias("rule"), _rule(F.col("host"), F.col("path"), rules, lambda r: r[0]).alias("ruled"))
-    labelled = ruled.where("ruled IS NOT NULL AND octet_length(url) <= 4096").select("url", "rule", "ruled")
-    sizes = {r["ruled"]: r["n"] for r in labelled.groupBy("ruled").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    labelled = ruled.where("ruled IS NOT NULL").select("url", "rule", "ruled")
+    if examples is not None:
+        labelled = labelled.unionByName(examples.where("url IS NOT NULL AND verdict IN ('allow', 'block')").select("url", F.lit(None).cast("string").alias("rule"), F.col("verdict").alias("ruled")))
+    labelled = labelled.withColumn("h", F.xxhash64("url"))
+    sizes = {r["ruled"]: r["n"] for r in labelled.groupBy("ruled").agg(F.approx_count_distinct("h").alias("n")).collect()}
     sample = []
     for verdict, n in sorted(sizes.items()):
-        # of distinct URLs, so that repeated rows do not change what is fitted
-        share = min(1.0, per_class / max(1, n))
         # the hash chooses among rows first, so that only chosen URLs are shuffled to tell them apart
-        rows_of = labelled.where((F.col("ruled") == verdict) & (F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("url", "rule").distinct()
-        sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), r["rule"]), verdict) for r in rows_of.limit(2 * per_class).collect()]
-    return ruled.mapInArrow(_judging(fit(sample)), "page_id long, host string, path string, rule string, verdict string, ratio double")
+        chosen = labelled.where((F.col("ruled") == verdict) & part_of(F.col("h"), per_class, n)).select("h", F.substring("url", 1, FIT_CHARS).alias("url"), "rule").distinct()
+        sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), r["rule"]), verdict) for r in chosen.orderBy("h", "url", "rule").limit(per_class).collect()]
+    return ruled.mapInArrow(_judging(fit(sample)), "page_id long, host string, path string, rule string, verdict string, ratio double, threshold double")

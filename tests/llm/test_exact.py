@@ -643,8 +643,60 @@ def test_url_parts_and_rules(spark):
         assert not fits or got[i]["verdict"] == max(fits)[2]
 
 
+def witten_bell_by_hand(training, url, order):
+    """log P of a URL and its end: each context's estimate is mixed with the next shorter one's by how many characters followed it."""
+    after = defaultdict(Counter)
+    padded = lambda u: [None] * order + [*u, 0]
+    for u in training:
+        s = padded(u)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                after[tuple(s[i - k : i])][s[i]] += 1
+    total, s = 0.0, padded(url)
+    for i in range(order, len(s)):
+        p = 1 / 256
+        for k in range(order + 1):
+            seen = after.get(tuple(s[i - k : i]))
+            if seen:
+                n, t = sum(seen.values()), len(seen)
+                p = (seen[s[i]] + t * p) / (n + t)
+        total += math.log(p)
+    return total
+
+
+def test_url_ratio_is_that_of_two_markov_models(monkeypatch):
+    monkeypatch.setattr(urls, "SLOTS", 1 << 21)
+    good, bad = [b"library/a", b"museum/b?x=0", b"wiki/c"], [b"pills/a", b"casino/b0", b"casino/c"]
+    asked = [b"library/b", b"casino", b"pills/wiki", b"zq", b"museum/b?x=0"]
+    model = urls.Ratio(urls.Counts.of(good), urls.Counts.of(bad))
+    for u, got in zip(asked, model.scores(asked), strict=True):
+        want = (witten_bell_by_hand(good, u, urls.ORDER) - witten_bell_by_hand(bad, u, urls.ORDER)) / (len(u) + 1)
+        assert math.isclose(got, want, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_the_threshold_spares_accepted_urls():
+    rng = random.Random(3)
+    labelled = [(f"{rng.choice(('library', 'museum', 'wiki'))}/{rng.randrange(10**6)}".encode(), "allow") for _ in range(300)] + [(f"{rng.choice(('pills', 'casino'))}/{rng.randrange(10**6)}".encode(), "block") for _ in range(300)]
+    model = urls.fit(labelled)
+    good = [u for u, v in sorted(set(labelled))[::5] if v == "allow"]
+    s = model.scores(good)
+    assert -1 <= model.threshold <= 0 and (s < model.threshold).mean() <= urls.REFUSED
+    assert model.threshold == 0 or (s < model.threshold + 0.01).mean() > urls.REFUSED
+    assert (model.scores([u for u, v in labelled if v == "block"]) < model.threshold).mean() > 0.95
+
+
+def test_examples_teach_what_no_rule_says(spark):
+    good = [(i, f"http://{a}.org/fr/{i}") for i, a in enumerate(["library", "museum", "wiki"] * 30)]
+    bad = [(500 + i, f"http://x{i}.net/p/{i}") for i in range(90)]
+    new = [(1000, "http://lottery.info/"), (1001, "http://museum.info/")]
+    pages = spark.createDataFrame([*good, *bad, *new], "page_id long, url string")
+    examples = spark.createDataFrame([(f"http://lottery-{i}.com/win" + "n" * 10_000 * (i == 3), "block", 1) for i in range(60)] + [(None, "block", 1), ("http://lottery.org", "?", 1)], "url string, verdict string, ruled int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, examples=examples).collect()}
+    assert (got[1000], got[1001]) == ("block", "allow")
+
+
 def test_url_models_are_distributions():
-    c = urls.Counts.of([b"abcab", b"abd"], [1, 2])
+    c = urls.Counts.of([b"abcab", b"abd", b"abd"])
     pairs, contexts, _ = urls._slots([b"ab" + bytes([x]) for x in range(256)], urls.ORDER)
     last = np.cumsum([4] * 256) - 2
     assert abs(np.exp(c.log_likelihood([p[last] for p in pairs], [p[last] for p in contexts])).sum() - 1) < 0.02
