@@ -5,7 +5,7 @@ existing vocabulary give every word a lattice of segmentations. Weights of piece
 (its order, read as a Zipf law) and are estimated anew, ROUNDS times, from the training documents: expected counts of pieces over
 all segmentations of all training words, smoothed by the starting weights. A word's marginal probability is the sum over
 all its segmentations, by a forward recursion in log space; as no piece crosses a word mark, the document's is the
-product over its words and the end token. Characters that the vocabulary lacks are spelt by its byte pieces, so each text
+product over its words and the end token. The score under the starting weights alone is given beside it. Characters that the vocabulary lacks are spelt by its byte pieces, so each text
 has a positive probability, and with the end token the probabilities of all texts sum to at most one.
 
 The base score is an add-0.1 unigram model over words, from the same table of counts. That table covers every word of
@@ -14,7 +14,9 @@ sum their scores where the documents are read; all other words are joined by a s
 
 Nulls: a null text is empty, and so is scored as the end token alone. Null doc_id is held in (training, not held out
 by its remainder, which is null: held_out is false). Repeated rows get a row each. Extra columns are ignored. Without
-training documents c, N and V are 0.
+training documents c, N and V are 0. Ties: words of equal counts go to the tasks all or none, as a step of the histogram of
+counts does; this changes where a score is summed, not the score. Very long texts and words are read whole, in steps. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -190,16 +192,21 @@ def _forward(g: _Lattice, w: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def word_log_probabilities(words: list[str], v: Pieces) -> np.ndarray:
-    """Natural-log marginal probability of each word, with its mark, over all its segmentations."""
-    out = np.zeros(len(words))
+def lattice_scores(words: list[str], v: Pieces, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Natural-log marginal probability of each word, with its mark, over all its segmentations, under each set of weights."""
+    out = [np.zeros(len(words)) for _ in weights]
     for i in range(0, len(words), STEP_WORDS):
         part = words[i : i + STEP_WORDS]
         g = _lattice(part, v)
-        out[i : i + len(part)] = _forward(g, _weights(g, v.logp))[g.last]
+        for scores, logp in zip(out, weights, strict=True):
+            scores[i : i + len(part)] = _forward(g, _weights(g, logp))[g.last]
     return out
 
 
+def word_log_probabilities(words: list[str], v: Pieces) -> np.ndarray:
+    return lattice_scores(words, v, [v.logp])[0]
+
+
 def expected_counts(words: list[str], weights: np.ndarray, v: Pieces) -> np.ndarray:
     """Expected number of each piece over all segmentations of words that occur `weights` times."""
     out = np.zeros(len(v.logp))
@@ -260,28 +267,28 @@ def _estimating(v: Pieces):
     return run
 
 
-def _word_scoring(v: Pieces):
+def _word_scoring(v: Pieces, start: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            lattice = word_log_probabilities(words, v) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice)], ["word", "c", "lattice"])
+            scores = [pa.array(x / math.log(10)) for x in lattice_scores(words, v, [v.logp, start])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores], ["word", "c", "lattice", "first"])
 
     return run
 
 
-def _document_scoring(hot: list[tuple[str, bool, float, float]], end: tuple[bool, float, float]):
+def _document_scoring(hot: list[tuple[str, bool, float, float, float]], end: tuple[bool, float, float, float]):
     """A row for each document with what its hot words and its end token sum to, and a row for each distinct other word of it."""
     hashes = Words([" ".join(w for w, *_ in hot).encode()], BLANK_BYTES).hashes if hot else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
-    hashes, values = hashes[order], np.array([(k, base, score) for _, k, base, score in hot], float).reshape(-1, 3)[order]
+    hashes, values = hashes[order], np.array([x[1:] for x in hot], float).reshape(-1, 4)[order]
     bits = np.zeros(_SLOTS, bool)
     bits[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score", "start"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for at, texts in steps(column_bytes(batch, "text")):
@@ -293,7 +300,7 @@ def _document_scoring(hot: list[tuple[str, bool, float, float]], end: tuple[bool
                 index = np.searchsorted(hashes, w.hashes[maybe])
                 index[index == len(hashes)] = 0
                 real = hashes[index] == w.hashes[maybe] if len(hashes) else np.zeros(0, bool)
-                sums = [np.bincount(docs[maybe[real]], values[index[real], k], n) + float(end[k]) for k in range(3)]
+                sums = [np.bincount(docs[maybe[real]], values[index[real], k], n) + float(end[k]) for k in range(4)]
                 other = np.ones(len(w.hashes), bool)
                 other[maybe[real]] = False
                 other = np.flatnonzero(other)
@@ -304,7 +311,7 @@ def _document_scoring(hot: list[tuple[str, bool, float, float]], end: tuple[bool
                 place = np.concatenate([np.arange(n), np.array([d for d, _ in rest], np.int64)])
                 columns = [
                     pa.array(rows[place]), ids.slice(at, n).take(pa.array(place)), pa.array(keys, pa.string()), pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rest.values(), np.int64, len(rest))])),
-                    pa.array(np.concatenate([w.counts + 1, zeros])), pa.array(np.concatenate([sums[0].astype(np.int64), zeros])), pa.array(np.concatenate([sums[1], zeros.astype(float)])), pa.array(np.concatenate([sums[2], zeros.astype(float)])),
+                    pa.array(np.concatenate([w.counts + 1, zeros])), pa.array(np.concatenate([sums[0].astype(np.int64), zeros])), *(pa.array(np.concatenate([sums[k], zeros.astype(float)])) for k in (1, 2, 3)),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
@@ -327,7 +334,7 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
 
 def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | None = None, hot_words: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), and the vocabulary size V."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score (under the starting weights; all log10), and the number of distinct training tokens V."""
     arrow_ready(documents.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -348,16 +355,16 @@ def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | Non
 
     base_of = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
     frequent = sorted((r["word"], r["c"], r["base"]) for r in _most_frequent(table, hot_words).select("word", "c", base_of.alias("base")).collect())
-    lattice = word_log_probabilities([w for w, _, _ in frequent], pieces) / math.log(10)
-    hot = [(w, c > 0, base, float(p)) for (w, c, base), p in zip(frequent, lattice, strict=True)]
-    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), pieces.end / math.log(10))
+    lattice = [x / math.log(10) for x in lattice_scores([w for w, _, _ in frequent], pieces, [pieces.logp, start.logp])]
+    hot = [(w, c > 0, base, float(p), float(q)) for (w, c, base), p, q in zip(frequent, *lattice, strict=True)]
+    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), pieces.end / math.log(10), start.end / math.log(10))
 
-    scored = table.select("word", "c").mapInArrow(_word_scoring(pieces), "word string, c long, lattice double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice")
-    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double")
+    scored = table.select("word", "c").mapInArrow(_word_scoring(pieces, start.logp), "word string, c long, lattice double, first double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice", "first")
+    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double, start double")
     joined = rows.join(scored, "word", "left")
 
     def total_of(own: str, by_word: str) -> Column:
         return F.sum(F.col(own) + F.coalesce(F.col("times") * F.col(by_word), F.lit(0)))
 
-    summed = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), total_of("known", "k").alias("n_known"), total_of("base", "b").alias("base_score"), total_of("score", "lattice").alias("score"))
-    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.lit(v).cast("long").alias("train_types"))
+    summed = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), total_of("known", "k").alias("n_known"), total_of("base", "b").alias("base_score"), total_of("score", "lattice").alias("score"), total_of("start", "first").alias("vocabulary_score"))
+    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score", F.lit(v).cast("long").alias("train_types"))

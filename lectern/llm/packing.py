@@ -11,7 +11,8 @@ that made it), with a bounded set of open sequences; identifiers hold the partit
 again gives the same rows.
 
 Nulls and empty texts are documents of the end token alone. Null doc_id stays null in its piece. Repeated rows are
-packed each. An empty table gives no pieces. Extra columns are ignored.
+packed each. Ties: of sequences with equal dot products the one in the first place is taken. Very long texts are tokenised
+whole, one at a time. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,13 +101,13 @@ class Packer:
     def pieces(self, tokens: int, no_loss: int = 0) -> list[tuple[int, int, int, int, int]]:
         """(start, length, sequence, offset, loss) of an example whose first `no_loss` tokens bear no loss."""
         out, start = [], 0
-        whole = min(self.limits.tokens, self.limits.loss)
 
         def loss_of(a: int, n: int) -> int:
             return n - max(0, min(no_loss, a + n) - a)
 
         while tokens - start:
             rest = tokens - start
+            whole = min(self.limits.tokens, max(0, no_loss - start) + self.limits.loss)
             size = min(rest, whole)
             if size < whole and not self.can_hold(size, loss_of(start, size)) and (gap := self.gap(size)):
                 size = gap
@@ -116,21 +117,21 @@ class Packer:
         return out
 
 
-def byte_bpe(path: str, added: str):
-    """ids of texts by the public byte-level vocabulary: its ranks in the faster of the two libraries, which give the same ids once texts are split at the added tokens of the other's file."""
+def byte_bpe(path: str | None = None, added: str | None = None):
+    """ids of texts by the public byte-level vocabulary: its ranks in the faster of the two libraries, which give the same ids once texts are split at the added tokens of the other's file. Paths that are not given are looked up where this runs."""
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    with open(added, "rb") as f:
+    with open(added or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
     core, names = coder._core_bpe, set(special)
     return lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, names), np.uint32)
 
 
-def _packing(limits: Limits, vocabulary: str, added: str, end: int):
+def _packing(limits: Limits, vocabulary: str | None, added: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = byte_bpe(vocabulary, added)
         packer = Packer(limits)
@@ -149,14 +150,39 @@ def _packing(limits: Limits, vocabulary: str, added: str, end: int):
     return run
 
 
-def pack_documents(documents: DataFrame, limits: Limits | None = None, vocabulary: str | None = None, end: int = END) -> DataFrame:
+def pack_documents(documents: DataFrame, limits: Limits | None = None, vocabulary: str | None = None, added: str | None = None, end: int = END) -> DataFrame:
     """A row for each piece of each document; every token bears loss."""
-    import public_tokenizers
-
     arrow_ready(documents.sparkSession)
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    added = public_tokenizers.path("byte_bpe_50k.json")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packing(limits or Limits(), path, added, end), SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packing(limits or Limits(), vocabulary, added, end), SCHEMA)
+
+
+#: Limits for instruction data, of whose tokens only answers bear loss.
+INSTRUCTIONS = Limits(tokens=2048, segments=8, loss=1024)
+
+
+def _turns(limits: Limits, vocabulary: str | None, added: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = byte_bpe(vocabulary, added)
+        packer, base = Packer(limits), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "turn", "answers")), strict=True)
+            rows = []
+            for (conv, turn, answers), text in zip(keys, column_bytes(batch, "text"), strict=True):
+                n = len(ids_of(text.decode("utf-8", "replace"))) + 1
+                rows += [(conv, turn, start, length, n, base + seq, offset, loss) for start, length, seq, offset, loss in packer.pieces(n, 0 if answers else n)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], [c.split()[0] for c in _PLACED.split(", ")])
+
+    return run
+
+
+_PLACED = "conv_id long, turn long, start long, length long, turn_tokens long, sequence_id long, offset long, loss_tokens long"
+
+
+def pack_turns(conversations: DataFrame, limits: Limits = INSTRUCTIONS, vocabulary: str | None = None, added: str | None = None) -> DataFrame:
+    """A row for each piece of each turn (conv_id, turn, role, text); tokens of the assistant's turns, and their ends, bear loss, a null role is not the assistant."""
+    arrow_ready(conversations.sparkSession)
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("answers"), "text")
+    return rows.mapInArrow(_turns(limits, vocabulary, added), _PLACED)
 
 
 def _placing(limits: Limits):

@@ -12,7 +12,8 @@ chain of numbered pages, over which its rows are dealt by a salt until every pag
 the limit has a page of its own.
 
 Nulls: a null text has 0 bytes; rows with null doc_id share the hash of the word `null`. Repeated rows each get their
-row. Extra columns are ignored. An empty table gives no rows.
+row. Ties: rows of one hash share a bucket; on a chain any of them may be on any page. Very long texts are sized, not read
+into anything. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, unused
 
 LIMIT = 32 << 20
 #: Bits of the hash; the first 15 hexadecimal digits of md5.
@@ -104,9 +105,7 @@ def _chains(rows: DataFrame, limit: int, own: list[str]) -> DataFrame:
 
 def write_shards(documents: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Writes each row of documents once, under the folder shard=<bits> of its shard; rows are named by a key of their own, as doc_ids can be null or repeated, and joined by it, not collected."""
-    key = "row_key"
-    while key in map(str.lower, documents.columns):
-        key += "_"
+    key = unused(documents.columns, "row_key")
     keyed = cut(documents.withColumn(key, F.monotonically_increasing_id()), "keyed")
     placed = assign(keyed, limit, carried=[key]).select(F.col(f"`{key}`"), "shard")
     keyed.join(placed, key).drop(key).repartition("shard").write.partitionBy("shard").parquet(path)

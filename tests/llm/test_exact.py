@@ -274,6 +274,11 @@ def test_scores(spark, small, texts):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+    # under the vocabulary's own weights
+    v0, some = lmscore.load(), sorted(texts)[:20]
+    for i in some:
+        want = (sum(lmscore.word_log_probabilities(tokens[i][:-1], v0)) + v0.end) / math.log(10)
+        assert math.isclose(got[i]["vocabulary_score"], want, rel_tol=1e-9)
     # the share of words that are sent to the tasks changes nothing
     other = {r["doc_id"]: r["score"] for r in lmscore.score_documents(table(spark, small, "documents")).collect()}
     assert all(math.isclose(other[i], got[i]["score"], rel_tol=1e-9) for i in other)
@@ -301,7 +306,7 @@ def quality_by_hand(text):
 def test_quality_figures(spark, small, texts):
     extra = {900_000: "a b c d e f g h " * 5, 900_001: "a\na\n\n \nb\na", 900_002: "one two three four five six seven eight", 900_003: "x y " * 30 + "end", 900_004: None}
     docs = table(spark, small, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))
-    got = quality.judge(docs, table(spark, small, "labels")).collect()
+    got = quality.judge(docs, table(spark, small, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "threshold").collect()
     want = {i: quality_by_hand(t) for i, t in (texts | extra).items()}
     assert {r["doc_id"]: tuple(r)[1:6] for r in got} == want
     for r in got:
@@ -309,6 +314,36 @@ def test_quality_figures(spark, small, texts):
         assert r["kept"] == (not r["base_failed"] and r["ratio"] >= r["threshold"])
 
 
+def test_the_ratio_is_that_of_two_multinomials(spark, small, monkeypatch):
+    monkeypatch.setattr(quality, "TARGET_ROWS", 25)
+    monkeypatch.setattr(quality, "CALIBRATION_ROWS", 20)
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    told = defaultdict(list)
+    for r in labels.collect():
+        told[r["doc_id"]].append((r["quality"], r["toxic"]))
+    good = {i: all(q == 1 and not t for q, t in v) for i, v in told.items() if all(q is not None or t for q, t in v)}
+    words = {i: BLANK_WORD.findall(t or "") for i, t in texts.items()}
+    keys = spark.createDataFrame([(w,) for w in sorted({w for ws in words.values() for w in ws})], "w string")
+    hashes = {r["w"]: r["h"] for r in keys.select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({(hashes[a], hashes[b]) for ws in words.values() for a, b in zip(ws, ws[1:], strict=False)})
+    two = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    order = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in texts], "i long").select("i", F.xxhash64("i", F.lit(17)).alias("h")).collect()}
+    first = lambda ids, n: sorted(ids, key=order.get)[:n]
+    part = lambda i: zlib.crc32(str(i).encode()) % 4
+    target = first([i for i in good if good[i] and part(i) and i in texts], 25)
+    grams = {i: ([hashes[w] % quality.BUCKETS for w in ws], [two[hashes[a], hashes[b]] % quality.BUCKETS for a, b in zip(ws, ws[1:], strict=False)]) for i, ws in words.items()}
+    raw, trusted = [[Counter(g for i in ids for g in grams[i][k]) for k in (0, 1)] for ids in (texts, target)]
+    log_p = lambda c, g: math.log((c[g] + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * quality.BUCKETS))
+    ratio = {i: sum(log_p(trusted[k], g) - log_p(raw[k], g) for k in (0, 1) for g in gs[k]) / max(1, len(gs[0]) + len(gs[1])) for i, gs in grams.items()}
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert all(math.isclose(got[i]["ratio"], ratio[i], rel_tol=1e-9, abs_tol=1e-12) for i in texts)
+    sample = [first([i for i in good if good[i] == g and (not g or not part(i))], 10) for g in (True, False)]
+    scores = [[ratio[i] for i in ids if words.get(i)] for ids in sample]
+    low, middle = np.percentile(scores[0], 100 * quality.SPARED), np.percentile(scores[1], 50)
+    assert math.isclose(got[0]["threshold"], (low + middle) / 2 if middle < low else low - quality.MARGIN, rel_tol=1e-9)
+
+
 def test_quality_tells_junk(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -436,6 +471,27 @@ def test_three_limits_hold_at_once(spark):
     assert {i: tuple(v) for i, v in done.items()} == {i: (n, loss) for i, n, loss in rows}
 
 
+def test_three_limits_bind_for_turns(spark, small):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    talk = {(r["conv_id"], r["turn"]): (r["role"], len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in table(spark, small, "conversations").collect()}
+    talk[10**6, 0], talk[10**6, 1], talk[10**6, 2] = ("assistant", 5001), ("user", 5001), (None, 1)
+    long = spark.createDataFrame([(10**6, 0, "assistant", " a" * 5000), (10**6, 1, "user", " a" * 5000), (10**6, 2, None, None)], "conv_id long, turn long, role string, text string")
+    got = packing.pack_turns(table(spark, small, "conversations").select(long.columns).unionByName(long)).collect()
+    per, done = defaultdict(list), defaultdict(list)
+    for r in got:
+        per[r["sequence_id"]].append((r["offset"], r["length"], r["loss_tokens"]))
+        done[r["conv_id"], r["turn"]].append((r["start"], r["length"], r["loss_tokens"]))
+    limits = packing.INSTRUCTIONS
+    for pieces in per.values():
+        assert sum(x[1] for x in pieces) <= limits.tokens and len(pieces) <= limits.segments and sum(x[2] for x in pieces) <= limits.loss
+        assert [a + n for a, n, _ in sorted(pieces)][:-1] == [a for a, *_ in sorted(pieces)][1:]
+    assert any(sum(x[2] for x in p) == limits.loss for p in per.values()) and any(len(p) == limits.segments for p in per.values())
+    for key, (role, n) in talk.items():
+        assert sum(x[1] for x in done[key]) == n and sum(x[2] for x in done[key]) == n * (role == "assistant")
+
+
 # ---- sharding ----
 
 
