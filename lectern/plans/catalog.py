@@ -12,7 +12,7 @@ from lectern.functions.html import extract_html
 from lectern.operators import chunking, jobs, migrate, providers, status, sync, vector
 from lectern.plans import relational, sqlgate
 from lectern.scratch import new_path
-from lectern.session import read, spread, views
+from lectern.session import TABLES, read, spread, views
 from lectern.sources import biblio
 from lectern.streaming import queue as streaming
 
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 def _statement(text: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        views(spark, folder)
+        views(spark, folder, *sorted(sqlgate.relations(spark, text) & set(TABLES)))  # what the statement names, and no more
         return sqlgate.search(spark, text)
 
     return run

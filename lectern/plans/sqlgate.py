@@ -1,12 +1,14 @@
-"""Read-only SQL: a statement is parsed, its plan is held against an allow-list, and only then analysed and run.
+"""Read-only SQL: a statement is parsed, its plan and its functions are held against allow-lists, and only then analysed and run.
 
-Two forms are rewritten first: embed('literal') becomes a constant vector, computed once on the driver, and
-`WHERE embedding MATCH <vector> AND k = <n>` over a registered vector view becomes the n rows nearest to it, with distance."""
+Some forms are rewritten first, outside of literals, quoted names and comments: embed('literal') becomes a constant vector,
+computed once on the driver; `WHERE embedding MATCH <vector> AND k = <n>` over a registered vector view becomes the n rows
+nearest to it, with distance; and names of other engines that no SQL function can stand for become Spark's."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,99 +19,172 @@ ALLOWED = frozenset((
     "Project", "Filter", "Aggregate", "Sort", "Distinct", "Deduplicate", "Join", "LateralJoin", "Union", "Intersect", "Except", "GlobalLimit", "LocalLimit", "Offset", "SubqueryAlias", "OneRowRelation", "LocalRelation", "Range", "Window", "WithWindowDefinition", "Generate", "Expand", "Pivot", "Unpivot", "Sample",
     "UnresolvedRelation", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedSubqueryColumnAliases", "UnresolvedInlineTable", "ResolvedInlineTable", "UnresolvedWith", "UnresolvedHaving", "UnresolvedHint", "UnionLoop",
 ))
-#: Functions that reach outside the data.
-DENIED_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect", "input_file_name", "read_files", "raise_error"))
+#: Groups of built-in functions that compute from their arguments alone, and the few of the miscellaneous group that do.
+FUNCTION_GROUPS = frozenset(f"{g}_funcs" for g in ("agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "datetime", "generator", "hash", "json", "lambda", "map", "math", "predicate", "string", "struct", "url", "variant", "window", "xml"))
+MISC_FUNCTIONS = frozenset(("typeof", "uuid", "version", "user", "current_user", "session_user", "monotonically_increasing_id", "bitmap_count", "hll_sketch_estimate"))
+TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"))
 
 
 class Denied(ValueError):
     """The statement is not one that only reads registered views."""
 
 
-def _name(node) -> str:
-    return str(node.nodeName()).split(" ")[0]
+def parse(spark: SparkSession, sql: str):
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+
 
+def _each(seq) -> Iterator:
+    for i in range(seq.size()):
+        yield seq.apply(i)
 
-def _plans(node):
+
+def _plans(node) -> Iterator:
+    """All nodes of a parsed plan, with those of its subqueries and common tables."""
     yield node
+    if node.getClass().getSimpleName() == "UnresolvedWith":
+        for relation in _each(node.cteRelations()):
+            yield from _plans(relation._2())
     for group in (node.children(), node.innerChildren()):
-        for i in range(group.size()):
-            child = group.apply(i)
+        for child in _each(group):
             if hasattr(child, "nodeName"):
                 yield from _plans(child)
 
 
-def parse(spark: SparkSession, sql: str):
-    return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+def _expressions(expression) -> Iterator:
+    yield expression
+    for child in _each(expression.children()):
+        yield from _expressions(child)
+
 
+def _named(node) -> list[str]:
+    return [str(x).lower() for x in _each(node)]
 
-def _whole_text(spark: SparkSession, plan) -> str:
-    """The plan with all its expressions; as a rule Spark leaves out those of long lists."""
-    key = "spark.sql.debug.maxToStringFields"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "2147483647")
-    try:
-        return plan.treeString()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """Lower-cased names of the tables that a statement names, those of its own common tables left out."""
+    found, own = set(), set()
+    for node in _plans(parse(spark, sql)):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            found.add(".".join(_named(node.multipartIdentifier())))
+        elif kind == "UnresolvedWith":
+            own |= {str(r._1()).lower() for r in _each(node.cteRelations())}
+    return found - own
 
-def _views(spark: SparkSession) -> set[str]:
-    return {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+
+def _allowed_function(spark: SparkSession, parts: list[str]) -> bool:
+    """Built-in functions by their group; others only if this session registered them."""
+    state = spark._jsparkSession.sessionState()
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(parts[-1])
+    if len(parts) > 1 or not state.catalog().isTemporaryFunction(identifier):
+        found = state.functionRegistry().lookupFunction(identifier)
+        if len(parts) > 1 or found.isEmpty():
+            return False
+        return found.get().getGroup() in FUNCTION_GROUPS or parts[-1] in MISC_FUNCTIONS
+    return True
 
 
 def check(spark: SparkSession, sql: str) -> None:
     """Raises Denied, or Spark's own error if the statement does not parse."""
     if not sql or not sql.strip():
         raise ValueError("the statement is empty")
-    plan = parse(spark, sql)
-    views, names = _views(spark), set()
-    for node in _plans(plan):
-        name = _name(node)
-        if name.startswith("'"):
-            name = name[1:]
-        if name == "UnresolvedWith":
-            relations = node.cteRelations()
-            for i in range(relations.size()):
-                names.add(str(relations.apply(i)._1()).lower())
-                check_plan = relations.apply(i)._2()
-                for inner in _plans(check_plan):
-                    _allow(inner)
-        _allow(node)
-    text = _whole_text(spark, plan)
-    for found in re.finditer(r"UnresolvedRelation \[([^\]]*)\]", text):
-        parts = [x.strip().strip("`").lower() for x in found[1].split(",")]
-        if len(parts) > 1 or parts[0] not in views | names:
+    catalog = spark._jsparkSession.sessionState().catalog()
+    common, tables, functions = set(), [], set()
+    for node in _plans(parse(spark, sql)):
+        kind = node.getClass().getSimpleName()
+        if kind not in ALLOWED:
+            raise Denied(f"{kind} is not a read-only operation")
+        if kind == "UnresolvedWith":
+            common |= {str(r._1()).lower() for r in _each(node.cteRelations())}
+        elif kind == "UnresolvedRelation":
+            tables.append(_named(node.multipartIdentifier()))
+        elif kind == "UnresolvedTableValuedFunction":
+            name = _named(node.name())
+            if len(name) > 1 or name[0] not in TABLE_FUNCTIONS and not catalog.isTemporaryFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name[0])):
+                raise Denied(f"table function {'.'.join(name)} is not allowed")
+        for top in _each(node.expressions()):
+            functions |= {tuple(_named(e.nameParts())) for e in _expressions(top) if e.getClass().getSimpleName() == "UnresolvedFunction"}
+        if kind == "Generate" and node.generator().getClass().getSimpleName() == "UnresolvedGenerator":
+            functions.add((str(node.generator().name().funcName()).lower(),))
+    for parts in tables:
+        if len(parts) > 1 or not (parts[0] in common or catalog.getRawTempView(parts[0]).isDefined()):
             raise Denied(f"not a registered view: {'.'.join(parts)}")
-    for call in re.finditer(r"(\w+)\(", text):
-        if call[1].lower() in DENIED_FUNCTIONS:
-            raise Denied(f"function {call[1]} is not allowed")
-
+    for parts in sorted(functions):
+        if not _allowed_function(spark, list(parts)):
+            raise Denied(f"function {'.'.join(parts)} is not allowed")
+
+
+#: String literals, quoted names and comments, as Spark reads them.
+_QUOTED = re.compile(r"""[rR]'[^']*'|[rR]"[^"]*"|'(?:\\.|''|[^'\\])*'|"(?:\\.|""|[^"\\])*"|`(?:``|[^`])*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+_HIDDEN = re.compile("\x00([0-9]+)\x01")
+
+
+class _Code:
+    """A statement with what is quoted put away, so that what is left can be rewritten as code."""
+
+    def __init__(self, sql: str) -> None:
+        self.kept: list[str] = []
+        self.text = _QUOTED.sub(self._put_away, sql.replace("\x00", "").replace("\x01", ""))
+
+    def _put_away(self, m: re.Match) -> str:
+        self.kept.append(m[0])
+        return f"\x00{len(self.kept) - 1}\x01"
+
+    def shown(self, text: str) -> str:
+        return _HIDDEN.sub(lambda m: self.kept[int(m[1])], text)
+
+    def literal(self, text: str) -> str | None:
+        """The value of what is a plain string literal and nothing else."""
+        m = _HIDDEN.fullmatch(text.strip())
+        quoted = self.kept[int(m[1])] if m else ""
+        return quoted[1:-1].replace("''", "'") if quoted.startswith("'") else None
+
+    def calls(self, name: str, change: Callable[[list[str]], str | None]) -> None:
+        """Replaces each call of a function by change(arguments), where that is not None; arguments may hold further calls."""
+        at = 0
+        while m := re.compile(rf"(?<![\w.]){name}\s*\(", re.IGNORECASE).search(self.text, at):
+            depth, start, parts, i = 1, m.end(), [], m.end()
+            while i < len(self.text) and depth:
+                c = self.text[i]
+                depth += (c in "([") - (c in ")]")
+                if not depth or depth == 1 and c == ",":
+                    parts.append(self.text[start:i])
+                    start = i + 1
+                i += 1
+            new = change(parts) if not depth else None
+            if new is not None:
+                self.text = self.text[: m.start()] + new + self.text[i:]
+            at = m.start() + 1
 
-def _allow(node) -> None:
-    if _name(node).lstrip("'") not in ALLOWED:
-        raise Denied(f"{_name(node)} is not a read-only operation")
 
-
-_EMBED = re.compile(r"\bembed\s*\(\s*'((?:[^']|'')*)'\s*\)", re.IGNORECASE)
+#: Codes of strftime to patterns of date_format (fixed values).
+_DATES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
 _MATCH = re.compile(r"\bFROM\s+(?P<view>\w+)(?:\s+(?:AS\s+)?(?!WHERE\b)(?P<alias>\w+))?\s+WHERE\s+(?:\w+\.)?embedding\s+MATCH\s+(?P<q>array\([^()]*\))\s+AND\s+k\s*=\s*(?P<k>\d+)", re.IGNORECASE)
 
 
-#: Codes of strftime to patterns of date_format (fixed values).
-_DATES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
-_STRFTIME = re.compile(r"\bstrftime\s*\(\s*'([^']*)'\s*,\s*([^()]+|[^()]*\([^()]*\))\s*\)", re.IGNORECASE)
+def _other_names(code: _Code) -> None:
+    """Aggregates, formats and conditionals of other engines that no SQL function can stand for."""
+    code.calls("group_concat", lambda a: f"listagg({', '.join(a)})")
+    code.calls("total", lambda a: f"coalesce(sum({a[0]}), 0D)" if len(a) == 1 else None)
+    code.calls("iif", lambda a: f"if({', '.join(a)})" if len(a) == 3 else None)
 
+    def dated(a: list[str]) -> str | None:
+        pattern = code.literal(a[0])
+        return None if pattern is None or len(a) != 2 else f"date_format({a[1]}, '{re.sub('%.', lambda c: _DATES.get(c[0], c[0]), pattern)}')"
 
-def other_names(sql: str) -> str:
-    """Aggregates and formats of other engines that no SQL function can stand for."""
-    sql = re.sub(r"\bgroup_concat\s*\(", "listagg(", sql, flags=re.IGNORECASE)
-    sql = re.sub(r"\btotal\s*\(([^()]*)\)", r"coalesce(sum(\1), 0D)", sql, flags=re.IGNORECASE)
-    return _STRFTIME.sub(lambda m: f"date_format({m[2]}, '{re.sub('%.', lambda c: _DATES.get(c[0], c[0]), m[1])}')", sql)
+    code.calls("strftime", dated)
 
 
 def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",), id_col: str = "vec_id") -> str:
-    sql = other_names(sql)
+    code = _Code(sql)
+    _other_names(code)
     if embedder is not None:
-        sql = _EMBED.sub(lambda m: "array(" + ", ".join(f"{float(x)!r}D" for x in embedder.embed([m[1].replace("''", "'")])[0]) + ")", sql)
+
+        def vector(a: list[str]) -> str | None:
+            text = code.literal(a[0]) if len(a) == 1 else None
+            return None if text is None else "array(" + ", ".join(f"{float(x)!r}D" for x in embedder.embed([text])[0]) + ")"
+
+        code.calls("embed", vector)
 
     def searched(m: re.Match) -> str:
         if m["view"].lower() not in vector_views:
@@ -118,7 +193,7 @@ def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str,
         near = f"SELECT *, l2_distance(CAST(embedding AS ARRAY<DOUBLE>), {m['q']}) AS distance FROM {m['view']} ORDER BY distance, {id_col} LIMIT {m['k']}"
         return f"FROM ({near}) AS {m['alias'] or m['view']}"
 
-    return _MATCH.sub(searched, sql)
+    return code.shown(_MATCH.sub(searched, code.text))
 
 
 def search(spark: SparkSession, sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",), id_col: str = "vec_id") -> DataFrame:
@@ -144,11 +219,13 @@ def register_names(spark: SparkSession) -> None:
         "json_extract(doc STRING, path STRING) RETURNS STRING": "get_json_object(doc, path)",
         "julianday(t TIMESTAMP) RETURNS DOUBLE": "unix_micros(t) / 86400e6D + 2440587.5D",
         "unixepoch(t TIMESTAMP) RETURNS BIGINT": "unix_timestamp(t)",
-        "iif(c BOOLEAN, a STRING, b STRING) RETURNS STRING": "if(c, a, b)",
         "likely(c BOOLEAN) RETURNS BOOLEAN": "c",
         "glob(pattern STRING, s STRING) RETURNS BOOLEAN": "s RLIKE concat('^', replace(replace(regexp_replace(pattern, '([.+^$(){}|\\\\\\\\])', '\\\\\\\\$1'), '*', '.*'), '?', '.'), '$')",
-        "total_of(x DOUBLE) RETURNS DOUBLE": "coalesce(x, 0D)",
+        "vec_length(v ARRAY<DOUBLE>) RETURNS INT": "size(v)",
+        "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING": "to_json(v)",
+        "json_each(doc STRING) RETURNS TABLE(key STRING, value STRING)": (
+            "SELECT key, value FROM (SELECT explode(CASE WHEN startswith(ltrim(doc), '[') THEN map_from_entries(transform(from_json(doc, 'array<string>'), (x, i) -> struct(CAST(i AS STRING), x))) ELSE from_json(doc, 'map<string,string>') END) AS (key, value))"
+        ),
     }
     for head, body in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-

@@ -23,8 +23,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def views(spark: SparkSession, folder: str, *names: str) -> None:
-    """Registers tables (all, if none is named) as temporary views; nothing is read but their footers."""
-    for name in names or TABLES:
+    """Registers the named tables as temporary views; nothing is read but their footers."""
+    for name in names:
         read(spark, folder, name).createOrReplaceTempView(name)
 
 

@@ -203,9 +203,9 @@ def test_database_discovery(tmp_path):
 
 @pytest.fixture
 def gate(spark, small):
-    from lectern.session import views
+    from lectern.session import TABLES, views
 
-    views(spark, small)
+    views(spark, small, *TABLES)
     return spark
 
 
@@ -227,6 +227,30 @@ def test_gate_denies(gate, sql):
         sqlgate.search(gate, sql)
 
 
+def test_literals_names_and_comments_are_left_alone(gate):
+    sqlgate.register_names(gate)
+    row = sqlgate.search(gate, "SELECT 'total(x)' AS a, \"group_concat(y)\" AS b, 'it''s strftime(''%Y'', z) and iif(1, 2, 3)' AS c, r_name AS `total(n)`, 'reflect(x)' AS d /* iif(1,2,3) */ FROM region LIMIT 1 -- total(x)").first()
+    assert tuple(row)[:3] == ("total(x)", "group_concat(y)", "it's strftime('%Y', z) and iif(1, 2, 3)") and row["d"] == "reflect(x)" and "total(n)" in row.asDict()
+    row = sqlgate.search(gate, "SELECT total(CASE WHEN abs(n_nationkey) > (1 + 1) THEN 1 ELSE 0 END) AS t, iif(max(n_nationkey) > 1, 1, 2) AS i, iif(false, 'a', iif(true, 'b', 'c')) AS s, group_concat(lower(n_name), ',') AS g FROM nation").first()
+    assert (row["t"], row["i"], row["s"]) == (22.0, 1, "b") and len(row["g"].split(",")) == 25
+    assert [tuple(r) for r in sqlgate.search(gate, "SELECT key, value FROM json_each('{\"a\": 1, \"b\": \"x\"}') ORDER BY key").collect()] == [("a", "1"), ("b", "x")]
+    assert [tuple(r) for r in sqlgate.search(gate, "SELECT t.n_nationkey, j.key, j.value FROM nation t, LATERAL json_each('[7, 8]') j WHERE t.n_nationkey = 3 ORDER BY 2").collect()] == [(3, "0", "7"), (3, "1", "8")]
+    assert tuple(sqlgate.search(gate, "SELECT vec_length(array(1D, 2D)) AS n, vec_to_json(array(1D, 2.5D)) AS j").first()) == (2, "[1.0,2.5]")
+
+
+@pytest.mark.parametrize("sql", ["SELECT input_file_name() FROM nation", "SELECT raise_error('x')", "SELECT from_protobuf(X'00', 'm', '/etc/passwd')", "WITH a AS (SELECT reflect('java.lang.Math', 'random') AS x) SELECT x FROM a", "SELECT n_name FROM nation WHERE n_name IN (SELECT java_method('a', 'b'))", "SELECT some.other(1)", "SELECT * FROM python_worker_logs()", "SELECT nothing_like_it(1)"])
+def test_functions_that_nobody_allowed(gate, sql):
+    with pytest.raises(sqlgate.Denied):
+        sqlgate.search(gate, sql)
+
+
+def test_statements_register_what_they_name(spark, small):
+    for name in spark.catalog.listTables():
+        spark.catalog.dropTempView(name.name)
+    catalog.QUERIES["cte_chain"](spark, small)
+    assert {t.name for t in spark.catalog.listTables() if t.isTemporary} == {"orders", "customer"}
+
+
 def test_shape_and_rewrites(gate, small):
     df = gate.sql("SELECT 1 AS a, 2 AS a, X'00' AS b, array(CAST(1 AS FLOAT)) AS v, 'é' AS t")
     assert sqlgate.shaped(df) == [{"a": 2, "b": "<blob>", "v": "<blob>", "t": "é"}] and json.loads(sqlgate.as_json(df))[0]["t"] == "é"
@@ -243,7 +267,7 @@ def test_shape_and_rewrites(gate, small):
     with pytest.raises(sqlgate.Denied):
         sqlgate.rewrite("SELECT 1 FROM nation WHERE embedding MATCH array(1) AND k = 3")
     sqlgate.register_names(gate)
-    row = gate.sql("SELECT json_extract('{\"a\": {\"b\": 1}}', '$.a.b') AS j, iif(true, 'x', 'y') AS i, glob('a*c', 'abc') AS g, julianday(TIMESTAMP '2000-01-01 12:00:00') AS d").first()
+    row = gate.sql("SELECT json_extract('{\"a\": {\"b\": 1}}', '$.a.b') AS j, if(true, 'x', 'y') AS i, glob('a*c', 'abc') AS g, julianday(TIMESTAMP '2000-01-01 12:00:00') AS d").first()
     assert tuple(row) == ("1", "x", True, 2451545.0)
 
 
