@@ -8,7 +8,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from lectern.operators import jobs, migrate, status
+from lectern.operators import jobs, status
+from lectern.plans.migration import migrated
 from lectern.plans.store import Store
 from lectern.session import session
 from lectern.settings import load
@@ -22,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--master")
     sub = p.add_subparsers(dest="command", required=True)
     requeue = sub.add_parser("requeue-dead")
-    requeue.add_argument("--limit", type=int, default=1 << 30)
+    requeue.add_argument("--limit", type=int, help="the most recently updated ones only")
     requeue.add_argument("--reset-attempts", action="store_true")
     cancel = sub.add_parser("cancel")
     cancel.add_argument("--job-type")
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("status")
     migration = sub.add_parser("migrate")
     migration.add_argument("--dry-run", action="store_true")
+    migration.add_argument("--no-jobs", action="store_true", help="do not seed the queue with what is pending")
     return p
 
 
@@ -47,7 +49,7 @@ def run(args: argparse.Namespace, now: datetime | None = None) -> dict:
     if args.command == "status":
         return status.library_status(*(store.read(t) for t in ("references", "documents", "document_files", "jobs", "worker_runs", "job_attempts")))
     if args.command == "migrate":
-        return _migrate(store, args.dry_run)
+        return migrated(store, now, policy, args.dry_run, not args.no_jobs)
     if args.command == "requeue-dead":
         new = jobs.requeue_dead(table, now, args.limit, args.reset_attempts, args.queue)
     elif args.command == "cancel":
@@ -62,17 +64,5 @@ def run(args: argparse.Namespace, now: datetime | None = None) -> dict:
     return {"changed": changed}
 
 
-def _migrate(store: Store, dry_run: bool) -> dict:
-    docs, files = store.read("documents"), store.read("document_files")
-    out = {"reasons": migrate.reasons(docs, files).first()["reasons"], **migrate.change_counts(docs, files).first().asDict()}
-    if not dry_run and out["reasons"]:
-        new_docs, new_files = migrate.migrated_documents(docs), migrate.migrated_files(files)
-        chunks = "kind IN ('pdf_chunk', 'fulltext_chunk')"
-        migrate.check_unchanged(migrate.large_text_digest(docs.where(chunks), "id", "content"), migrate.large_text_digest(new_docs.where(chunks), "id", "content"))
-        migrate.check_unchanged(migrate.large_text_digest(files, "id", "extracted_text"), migrate.large_text_digest(new_files, "id", "extracted_text"))
-        store.commit(documents=new_docs, document_files=new_files)
-    return out
-
-
 if __name__ == "__main__":
     print(json.dumps(run(parser().parse_args()), indent=2, default=str))

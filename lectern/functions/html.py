@@ -17,29 +17,33 @@ BREAKS = frozenset(("p", "br", "div", "li", "ul", "ol", "section", "article", "h
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("mode", T.StringType())])
 
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
+class _Events(HTMLParser):
+    """What markup holds, in order: (whether it is a tag, its name or the character data)."""
+
+    def __init__(self, markup: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
+        self.found: list[tuple[bool, str]] = []
+        self.feed(markup)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BREAKS:
-            self.out.append("\n")
+    def _tag(self, name: str, *_) -> None:
+        self.found.append((True, name))
 
-    handle_endtag = lambda self, tag: self.handle_starttag(tag, [])
+    handle_starttag = handle_endtag = _tag
 
     def handle_data(self, data: str) -> None:
-        self.out.append(data)
+        self.found.append((False, data))
+
+
+#: White space that is put right, one rule after the other (fixed values).
+TIDY = [(re.compile(r"[ \t]+\n"), "\n"), (re.compile(r"\n{3,}"), "\n\n")]
 
 
 def html_to_text(html: str | None) -> str | None:
     """None for None and for what holds no text."""
-    if not html:
-        return None
-    reader = _Reader()
-    reader.feed(html)
-    text = re.sub(r"[ \t]+\n", "\n", "".join(reader.out))
-    return re.sub(r"\n{3,}", "\n\n", text).strip() or None
+    text = "".join("\n" if tag else value for tag, value in _Events(html or "").found if not tag or value in BREAKS)
+    for pattern, by in TIDY:
+        text = pattern.sub(by, text)
+    return text.strip() or None
 
 
 @F.pandas_udf(RESULT)
@@ -64,6 +68,23 @@ class Article(Protocol):
     def recall(self, html: str) -> str | None: ...
 
 
+#: Ways to the text of HTML by the mode that is reported, best first; the first two need an article extractor, for whole pages.
+WAYS: list[tuple[str, bool, Callable[[Article, str], str | None]]] = [
+    ("trafilatura_markdown", True, lambda article, html: article.markdown(html)),
+    ("trafilatura_recall", True, lambda article, html: article.recall(html)),
+    ("html_fallback", False, lambda _, html: html_to_text(html)),
+]
+
+
+def _by_article(article: Article, html: str | None, always: bool) -> tuple[str | None, str]:
+    whole = bool(html) and (always or is_full_html(html))
+    for mode, pages_only, way in WAYS:
+        text = (way(article, html) or "").strip() if html and (whole or not pages_only) else ""
+        if text:
+            return text, mode
+    return None, "empty"
+
+
 def with_article(make: Callable[[], Article], always: bool = False):
     """As extract_html, but whole pages (or, if asked, all HTML) go to an article extractor first; the mode says what the text came from."""
 
@@ -71,12 +92,7 @@ def with_article(make: Callable[[], Article], always: bool = False):
     def extract(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         article = make()
         for series in parts:
-            rows = []
-            for html in series:
-                tries = [("trafilatura_markdown", article.markdown), ("trafilatura_recall", article.recall)] if html and (always or is_full_html(html)) else []
-                found = ((mode, text.strip()) for mode, f in [*tries, ("html_fallback", html_to_text)] if (text := f(html)) and text.strip())
-                rows.append(next(found, ("empty", None)))
-            yield pd.DataFrame({"text": [t for _, t in rows], "mode": [m for m, _ in rows]})
+            yield pd.DataFrame([_by_article(article, html, always) for html in series], columns=["text", "mode"])
 
     return extract
 

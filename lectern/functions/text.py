@@ -1,9 +1,13 @@
-"""Text as columns: white space, normalisation, sentences, paragraphs, chunks and page ranges, all in Spark expressions."""
+"""Text as columns: white space, normalisation, sentences, paragraphs and page ranges, in Spark expressions. Only running sums of
+lengths leave them, as an expression can only build an array by copying it at each element."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode text knows it, and line breaks (fixed values).
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -79,76 +83,33 @@ def _lead(c: Column) -> Column:
     return F.length(c) - F.length(F.ltrim(c, F.lit(_SPACES)))
 
 
-def paragraph_spans(c: Column) -> Column:
-    """array<struct<piece, start, end>> of paragraphs, stripped, blank ones left out; code points, end exclusive."""
-    parts = F.split(c, r"\n\n")
-    before = _starts(parts, 2)
-    spans = F.zip_with(parts, before, lambda p, at: F.struct(strip(p).alias("piece"), (at + _lead(p)).alias("start"), (at + _lead(p) + F.length(strip(p))).alias("end")))
-    return F.filter(spans, lambda s: s["piece"] != "")
-
-
-def _starts(parts: Column, gap: int) -> Column:
-    """Offset of each part of a text whose parts stand `gap` characters apart."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p) + gap).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
-
-
-def sentence_spans(c: Column, base: Column | None = None) -> Column:
-    """array<struct<piece, start, end>> of sentences; offsets count from `base`."""
-    parts = F.regexp_extract_all(c, F.lit(SENTENCE), 0)
-    base = F.lit(0) if base is None else base
-    spans = F.zip_with(parts, _starts(parts, 0), lambda p, at: F.struct(strip(p).alias("piece"), (base + at + _lead(p)).alias("start"), (base + at + _lead(p) + F.length(strip(p))).alias("end")))
-    return F.filter(spans, lambda x: x["piece"] != "")
-
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def running(sizes: pd.Series) -> pd.Series:
+    """Running sums of each array; null for null."""
+    return sizes.map(lambda x: None if x is None else np.cumsum(x))
 
-def pieces(c: Column, target_tokens: int = TARGET_TOKENS) -> Column:
-    """array<struct<s, sep, f>> that the chunker packs: paragraphs that fit, or the sentences of those that do not (f on the first of these)."""
-    most = int(target_tokens * CHARS_PER_TOKEN)
-    paragraphs = F.filter(F.transform(F.split(c, r"\n\n"), strip), lambda p: p != "")
-    kind = "array<struct<s:string,sep:int,f:boolean>>"
 
-    def of(p: Column) -> Column:
-        whole = F.array(F.struct(p.alias("s"), F.lit(2).alias("sep"), F.lit(False).alias("f"))).cast(kind)
-        cut = F.transform(sentences(p), lambda s, i: F.struct(s.alias("s"), F.lit(1).alias("sep"), (i == 0).alias("f"))).cast(kind)
-        return F.when(F.length(p) <= most, whole).otherwise(cut)
-
-    return F.flatten(F.transform(paragraphs, of))
-
-
-def located_pieces(c: Column, target_tokens: int = TARGET_TOKENS) -> Column:
-    """As pieces(), with the offsets at which each stands in the text."""
-    most = int(target_tokens * CHARS_PER_TOKEN)
-    kind = "array<struct<s:string,sep:int,f:boolean,start:int,end:int>>"
-
-    def of(p: Column) -> Column:
-        whole = F.array(F.struct(p["piece"].alias("s"), F.lit(2).alias("sep"), F.lit(False).alias("f"), p["start"].alias("start"), p["end"].alias("end"))).cast(kind)
-        cut = F.transform(sentence_spans(p["piece"], p["start"]), lambda s, i: F.struct(s["piece"].alias("s"), F.lit(1).alias("sep"), (i == 0).alias("f"), s["start"].alias("start"), s["end"].alias("end"))).cast(kind)
-        return F.when(F.length(p["piece"]) <= most, whole).otherwise(cut)
-
-    return F.flatten(F.transform(paragraph_spans(c), of))
+def _spans(parts: Column, gap: int) -> Column:
+    """array<struct<piece, start, end>> of the stripped parts of a text that stand `gap` characters apart, blank ones left out; code points, end exclusive."""
+    after = running(F.transform(parts, lambda p: (F.length(p) + gap).cast("long")))
+    at = lambda p, end: end - gap - F.length(p) + _lead(p)
+    spans = F.zip_with(parts, after, lambda p, end: F.struct(strip(p).alias("piece"), at(p, end).alias("start"), (at(p, end) + F.length(strip(p))).alias("end")))
+    return F.filter(spans, lambda s: s["piece"] != "")
 
 
-def chunk_numbers(packed: Column, target_tokens: int = TARGET_TOKENS) -> Column:
-    """For each piece the number of its chunk: a new one starts where a piece must, or where it would not fit any more."""
-    most = int(target_tokens * CHARS_PER_TOKEN)
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("ks"))
+def paragraph_spans(c: Column) -> Column:
+    """array<struct<piece, start, end>> of paragraphs."""
+    return _spans(F.split(c, r"\n\n"), 2)
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["c"] > 0) & (x["f"] | (a["c"] + x["sep"] + F.length(x["s"]) > most))
-        k = a["k"] + fresh.cast("int")
-        size = F.when(fresh | (a["c"] == 0), F.length(x["s"])).otherwise(a["c"] + x["sep"] + F.length(x["s"]))
-        return F.struct(size.alias("c"), k.alias("k"), F.concat(a["ks"], F.array(k)).alias("ks"))
 
-    return F.aggregate(packed, start, step, lambda a: a["ks"])
+def sentence_spans(c: Column) -> Column:
+    """array<struct<piece, start, end>> of sentences."""
+    return _spans(F.regexp_extract_all(c, F.lit(SENTENCE), 0), 0)
 
 
 def page_ends(pages: Column) -> Column:
     """array<struct<p, e>>: for each page the first offset of "\\n\\n".join(pages) that is past it; the gap after a page is the next one's."""
-    ends = F.aggregate(
-        pages, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("es")),
-        lambda a, p: F.struct((a["at"] + F.length(p) + 2).alias("at"), F.concat(a["es"], F.array(a["at"] + F.length(p))).alias("es")), lambda a: a["es"],
-    )
-    return F.transform(ends, lambda e, i: F.struct((i + 1).alias("p"), e.alias("e")))
+    return F.transform(running(F.transform(pages, lambda p: (F.length(p) + 2).cast("long"))), lambda e, i: F.struct((i + 1).alias("p"), (e - 2).alias("e")))
 
 
 def page_of(ends: Column, offset: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,55 +11,74 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-#: Texts with more pieces are packed row by row outside the expression, whose array of chunk numbers is copied at each piece.
-MOST_PIECES = 4000
+_SENTENCE = re.compile(T.SENTENCE.replace(r"\z", r"\Z"))
+
+
+def _stripped(part: str, start: int) -> tuple[str, int]:
+    text = part.strip()
+    return text, start + len(part) - len(part.lstrip()) if text else start
+
+
+def pieces(text: str, most: int) -> Iterator[tuple[str, str, bool, int]]:
+    """What the packer packs: paragraphs that fit, or the sentences of those that do not, each with its separator, whether a chunk must start there, and its place."""
+    at = 0
+    for part in text.split("\n\n"):
+        paragraph, start = _stripped(part, at)
+        at += len(part) + 2
+        if not paragraph:
+            continue
+        if len(paragraph) <= most:
+            yield paragraph, "\n\n", False, start
+            continue
+        first = True
+        for m in _SENTENCE.finditer(paragraph):
+            sentence, place = _stripped(m[0], start + m.start())
+            if sentence:
+                yield sentence, " ", first, place
+                first = False
+
+
+def packed(text: str, most: int) -> Iterator[tuple[str, int, int]]:
+    """(content, start, end) of a text's chunks: a new one starts where a piece must, or where it would not fit any more. A text that fits is one chunk, as it is."""
+    if len(text) <= most:
+        yield text, 0, len(text)
+        return
+    held, size, begin, end = [], 0, 0, 0
+    for piece, gap, must, start in pieces(text, most):
+        if held and (must or size + len(gap) + len(piece) > most):
+            yield "".join(held), begin, end
+            held, size = [], 0
+        if held:
+            held.append(gap)
+            size += len(gap)
+        else:
+            begin = start
+        held.append(piece)
+        size, end = size + len(piece), start + len(piece)
+    if held:
+        yield "".join(held), begin, end
 
 
 def chunks(documents: DataFrame, id_col: str, text_col: str, target_tokens: int = T.TARGET_TOKENS, spans: bool = False) -> DataFrame:
-    """id, chunk_index, content, and with spans also start and end (of the first and the last piece, in the text). A text that fits is one chunk, as it is; null texts give none."""
+    """id, chunk_index, content, and with spans also start and end (of the first and the last piece, in the text; code points). Null texts give none.
+
+    One pass over the texts, each by itself: where a chunk ends depends on where the one before did, which an expression can only
+    follow by copying what it has at each piece."""
     most = int(target_tokens * T.CHARS_PER_TOKEN)
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    whole = [F.lit(0).alias("start"), F.length("t").alias("end")] if spans else []
-    short = docs.where(F.length("t") <= most).select("id", F.lit(0).alias("chunk_index"), F.col("t").alias("content"), *whole)
-    cut = docs.where(F.length("t") > most).select("id", (T.located_pieces if spans else T.pieces)(F.col("t"), target_tokens).alias("ps"))
-    few = cut.where(F.size("ps") <= MOST_PIECES).select("id", "ps", T.chunk_numbers(F.col("ps"), target_tokens).alias("ks"))
-    numbers = F.when(F.size("ks") > 0, F.sequence(F.lit(0), F.element_at("ks", -1))).otherwise(F.array().cast("array<int>"))
-    zipped = few.select("id", "ps", "ks", F.posexplode(numbers).alias("chunk_index", "k"))
-    first, size = F.array_position("ks", F.col("k")).cast("int"), F.size(F.filter("ks", lambda x: x == F.col("k")))
-    zipped = zipped.select("id", "chunk_index", F.slice("ps", first, size).alias("own"))
-    # texts of the chunk's pieces with their separators, the first without
-    body = F.array_join(F.transform("own", lambda x, i: F.concat(F.when(i == 0, F.lit("")).when(x["sep"] == 2, F.lit("\n\n")).otherwise(F.lit(" ")), x["s"])), "")
-    edges = [F.element_at("own", 1)["start"].alias("start"), F.element_at("own", -1)["end"].alias("end")] if spans else []
-    long = zipped.select("id", "chunk_index", body.alias("content"), *edges)
-    many = cut.where(F.size("ps") > MOST_PIECES)
-    kind = many.schema["id"].dataType.simpleString()
-    return short.unionByName(long).unionByName(many.mapInArrow(_packing(most, spans), f"id {kind}, chunk_index int, content string" + ", start int, end int" * spans))
-
-
-def _packing(most: int, spans: bool):
-    def packed(pieces: list[dict]) -> Iterator[tuple[str, int, int]]:
-        size, held = 0, []
-        for x in pieces:
-            if held and (x["f"] or size + x["sep"] + len(x["s"]) > most):
-                yield "".join(held), first, last
-                size, held = 0, []
-            if held:
-                held.append("\n\n" if x["sep"] == 2 else " ")
-                size += x["sep"]
-            else:
-                first = x.get("start", 0)
-            held.append(x["s"])
-            size, last = size + len(x["s"]), x.get("end", 0)
-        if held:
-            yield "".join(held), first, last
+    names = ["id", "chunk_index", "content", "start", "end"][: 5 if spans else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(name, k, *c) for name, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in enumerate(packed(pieces))]
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32()][: 5 if spans else 3]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["id", "chunk_index", "content", "start", "end"][: len(kinds)])
+            ids, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = list(enumerate(packed(text, most)))
+                ids += [i] * len(own)
+                rows += [(k, *c) for k, c in own]
+            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *columns[: len(names) - 1]], names)
 
-    return run
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, chunk_index int, content string" + ", start int, end int" * spans)
 
 
 def chunk_or_error(documents: DataFrame, id_col: str, text_col: str, target_tokens: int = T.TARGET_TOKENS) -> DataFrame:

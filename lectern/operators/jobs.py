@@ -50,6 +50,12 @@ def new_jobs(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     return candidates.dropDuplicates(["dedupe_key"]).join(jobs.select("dedupe_key"), "dedupe_key", "left_anti").select(candidates.columns)
 
 
+def queued(candidates: DataFrame, now, policy: Policy = Policy()) -> DataFrame:
+    """Candidates as queued jobs, whose id is their dedupe_key."""
+    stamp = {"id": F.col("dedupe_key"), "status": F.lit("queued"), "priority": F.lit(100), "available_at": instant(now), "attempts": F.lit(0), "max_attempts": F.lit(policy.max_attempts), "created_at": instant(now), "updated_at": instant(now)}
+    return candidates.withColumns(stamp)
+
+
 def claimable(jobs: DataFrame, now, policy: Policy = Policy(), queue: str | None = None) -> DataFrame:
     ready = jobs.where(F.col("status").isin("queued", "retry") & (F.col("available_at") <= instant(now)) & (F.col("attempts") < _limit(policy)))
     ready = ready.where(F.col("queue_name") == queue) if queue else ready
@@ -104,13 +110,19 @@ def attempt_outcomes(jobs: DataFrame, completions: DataFrame) -> DataFrame:
     return rows.select("id", outcome.alias("outcome"), F.when(~own, F.lit("stale_claim")).otherwise(F.col("error_class")).alias("error_class"))
 
 
-def requeue_dead(jobs: DataFrame, now, limit: int, reset_attempts: bool = False, queue: str | None = None) -> DataFrame:
-    """The most recently updated dead jobs go to retry; without a reset, one that used up its attempts stays unclaimable."""
-    dead = jobs.where(F.col("status") == "dead")
-    dead = dead.where(F.col("queue_name") == queue) if queue else dead
-    top = dead.orderBy(F.desc("updated_at"), "id").limit(limit).select("id", F.lit(True).alias("taken"))
-    rows = jobs.join(F.broadcast(top), "id", "left")
+#: Rows of a top-k that are sent to every task; a longer one is joined.
+SENT = 10_000
+
+
+def requeue_dead(jobs: DataFrame, now, limit: int | None = None, reset_attempts: bool = False, queue: str | None = None) -> DataFrame:
+    """Dead jobs, or the `limit` most recently updated ones, go to retry; without a reset, one that used up its attempts stays unclaimable."""
+    wanted = F.col("status") == "dead"
+    wanted = wanted & (F.col("queue_name") == queue) if queue else wanted
     changed = {"status": F.lit("retry"), "available_at": instant(now)} | ({"attempts": F.lit(0)} if reset_attempts else {})
+    if limit is None:
+        return _updated(jobs, wanted, now, **changed)
+    top = jobs.where(wanted).orderBy(F.desc("updated_at"), "id").limit(limit).select("id", F.lit(True).alias("taken"))
+    rows = jobs.join(F.broadcast(top) if limit <= SENT else top, "id", "left")
     return _updated(rows, F.coalesce("taken", F.lit(False)), now, **changed).drop("taken")
 
 

@@ -73,30 +73,23 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"rows": [rows], "total_chars": [chars], "sha256": [sha.hexdigest()]})
 
 
-def text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rows, total_chars and the SHA-256 of id, 0x1F, text, 0x1E of all rows in the order of ids, at any size: one task sorts the records, on disk if need be, and hashes them one by one, as this hash can only be taken in order."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    record = F.concat(F.col(id_col).cast("string"), F.lit("\x1f"), text, F.lit("\x1e"))
-    records = rows.select(F.col(id_col).alias("i"), record.cast("binary").alias("r"), F.length(text).cast("long").alias("n"))
-    found = records.repartition(1).sortWithinPartitions("i", "r").select("r", "n").mapInArrow(_hashed, "rows long, total_chars long, sha256 string")
-    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("total_chars"), F.lit(0)).alias("total_chars"), F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))
+def _record(id_col: str, text_col: str) -> Column:
+    return F.concat(F.col(id_col).cast("string"), F.lit("\x1f"), F.coalesce(F.col(text_col), F.lit("")), F.lit("\x1e"))
 
 
-def large_text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same invariant at any size: sums, modulo 2**64, of each row's own hashes, in which no order and no group matters."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    record = F.sha2(F.concat(F.col(id_col).cast("string"), F.lit("\x1f"), text, F.lit("\x1e")), 256)
+def text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rows, total_chars and a digest of all ids and texts at any size: sums of the eight parts of each row's own SHA-256, in which no order and no group matters, hashed once more."""
+    record = F.sha2(_record(id_col, text_col), 256)
     parts = [F.sum(F.conv(F.substring(record, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).alias(f"part{k}") for k in range(8)]
-    sums = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("total_chars"), *parts)
+    sums = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("long").alias("total_chars"), *parts)
     return sums.select("rows", "total_chars", F.sha2(F.concat_ws("|", *(F.col(f"part{k}").cast("string") for k in range(8))), 256).alias("sha256"))
 
 
-def digest(rows: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
-    """text_digest(); only a caller that asks for it by `most` gets large_text_digest(), which is another digest, for texts of more characters."""
-    if most is None:
-        return text_digest(rows, id_col, text_col)
-    size = rows.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    return (text_digest if size <= most else large_text_digest)(rows, id_col, text_col)
+def ordered_text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rows, total_chars and the SHA-256 of id, 0x1F, text, 0x1E of all rows in the order of ids. This hash can only be taken in order, so one task sorts the records, on disk if need be, and hashes them one by one: for comparisons with digests that were taken so, not for large tables."""
+    records = rows.select(F.col(id_col).alias("i"), _record(id_col, text_col).cast("binary").alias("r"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"))
+    found = records.repartition(1).sortWithinPartitions("i", "r").select("r", "n").mapInArrow(_hashed, "rows long, total_chars long, sha256 string")
+    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("total_chars"), F.lit(0)).alias("total_chars"), F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))
 
 
 def check_unchanged(before: DataFrame, after: DataFrame) -> None:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from typing import Protocol
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -48,7 +48,7 @@ class HashingEmbedder:
         for row, text in zip(out, texts, strict=True):
             words = text.lower().split()
             for gram in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-                h = crc32(gram.encode())
+                h = int.from_bytes(md5(gram.encode(), usedforsecurity=False).digest()[:4], "big")
                 row[h % self.dim] += 1 if h & (1 << 31) else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).astype(np.float32).tolist()

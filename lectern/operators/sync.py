@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import normalize_content
+from lectern.functions.text import PDF, guessed_mime, normalize_content
 
 OUTCOMES = ("added", "updated", "unchanged")
 
@@ -15,10 +15,17 @@ def differs(old: Column, new: Column) -> Column:
     return ~F.nullif(old.cast("string"), F.lit("")).eqNullSafe(new.cast("string"))
 
 
-def diff(stored: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
-    """Full outer join on the natural key: keys, old_* and new_* of the compared columns, and the outcome (absent: only stored)."""
+def last_of(rows: DataFrame, keys: list[str], values: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key: the one that comes last by `order`; without one, or where that is equal, the one with the largest values."""
+    held = F.struct(*(F.col(c) for c in values))
+    picked = F.max(held) if order is None else F.max_by(held, F.struct(F.col(order), held))
+    return rows.groupBy(*keys).agg(picked.alias("last_row")).select(*keys, *(F.col(f"last_row.{c}").alias(c) for c in values))
+
+
+def diff(stored: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str], order: str | None = None) -> DataFrame:
+    """Full outer join on the natural key: keys, old_* and new_* of the compared columns, and the outcome (absent: only stored). Of incoming rows with one key the last counts."""
     old = stored.select(*keys, *(F.col(c).alias(f"old_{c}") for c in compared), F.lit(True).alias("in_stored"))
-    new = incoming.dropDuplicates(keys).select(*keys, *(F.col(c).alias(f"new_{c}") for c in compared), F.lit(True).alias("in_new"))
+    new = last_of(incoming, keys, compared, order).select(*keys, *(F.col(c).alias(f"new_{c}") for c in compared), F.lit(True).alias("in_new"))
     rows = old.join(new, keys, "full_outer")
     changed = F.lit(False)
     for c in compared:
@@ -60,6 +67,12 @@ def item_documents(items: DataFrame) -> DataFrame:
     return rows.select(F.col("key").alias("source_id"), "kind", content.alias("content"), F.when(content.isNotNull(), F.lit("pending")).otherwise(F.lit("skipped")).alias("embedding_status"))
 
 
+def extraction_candidates(files: DataFrame, mime_types: tuple[str, ...] = (PDF,)) -> DataFrame:
+    """Jobs for files to extract: those of a type that can be, whose extraction is pending or failed."""
+    wanted = files.where(F.col("extraction_status").isin("pending", "error") & guessed_mime(F.col("mime_type"), F.col("file_path")).isin(*mime_types))
+    return wanted.select(F.lit("extraction").alias("queue_name"), F.lit("extract_file").alias("job_type"), F.lit("document_file").alias("entity_type"), F.col("id").alias("entity_id"), F.concat_ws(":", F.lit("extract_file"), F.col("id").cast("string")).alias("dedupe_key"))
+
+
 def embedding_candidates(documents: DataFrame) -> DataFrame:
     """Jobs for documents to embed; the key holds the content's hash, so that a changed text is embedded again."""
     wanted = documents.where(F.col("embedding_status").isin("pending", "error") & (F.coalesce(F.trim("content"), F.lit("")) != ""))
@@ -74,5 +87,6 @@ def replace_chunks(documents: DataFrame, new_chunks: DataFrame, file_col: str =
     return kept.unionByName(new_chunks, allowMissingColumns=True)
 
 
-def upsert_vectors(vectors: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    return vectors.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def upsert_vectors(vectors: DataFrame, new: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """Stored vectors with new ones in the place of those with their key; of new rows with one key the last counts."""
+    return vectors.join(new.select(key), key, "left_anti").unionByName(last_of(new, [key], [c for c in vectors.columns if c != key], order))

@@ -211,10 +211,11 @@ def chunk_page_ranges(spark, folder):
     """Spans of 120 or 320 characters at every 250th, over pages of 300."""
     d = spread(read(spark, folder, "documents"))
     pages = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 300).cast("int")), lambda i: F.substring(F.col("text"), 1 + i * 300, F.lit(300)))
-    d = d.select("doc_id", pages.alias("pages")).withColumn("size", F.length(F.array_join("pages", "\n\n"))).where("size > 0")
-    at = d.select("doc_id", "pages", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 250).cast("int"))).alias("i"))
-    spans = at.select("doc_id", "pages", (F.col("i") * 250).alias("start"), (F.col("i") * 250 + 120 + 200 * (F.col("i") % 2)).alias("stop"))
-    return chunking.with_pages(spans, "pages", "start", "stop").drop("pages").select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start", "stop", "page_start", "page_end")))
+    # ends of pages once for each document, not for each of its spans
+    d = d.select("doc_id", pages.alias("pages")).withColumn("size", F.length(F.array_join("pages", "\n\n"))).where("size > 0").select("doc_id", "size", T.page_ends(F.col("pages")).alias("ends"))
+    at = d.select("doc_id", "ends", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 250).cast("int"))).alias("i"))
+    spans = at.select("doc_id", "ends", (F.col("i") * 250).alias("start"), (F.col("i") * 250 + 120 + 200 * (F.col("i") % 2)).alias("stop"))
+    return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), T.page_range(F.col("ends"), F.col("start"), F.col("stop")).alias("r")).select("doc_id", "start", "stop", F.col("r.page_start").cast("long").alias("page_start"), F.col("r.page_end").cast("long").alias("page_end"))
 
 
 @query(f"""SELECT page_id, starts_with(l, '<!doctype html') OR starts_with(l, '<html') OR starts_with(l, '<?xml') OR (contains(substr(l, 1, 2048), '<html') AND (contains(substr(l, 1, 2048), '<body') OR contains(substr(l, 1, 2048), '</html>'))) AS full_html
@@ -417,9 +418,17 @@ def migration_apply(spark, folder):
     return migrate.migrated_documents(_legacy(spark, folder)[0]).select("id", "kind", "embedding_status", "embedding_error")
 
 
-@query("SELECT count(*) AS rows, sum(length(text))::BIGINT AS total_chars, sha256(string_agg(doc_id || chr(31) || text || chr(30), '' ORDER BY doc_id)) AS sha256 FROM documents")
+_SHARED_DIGEST = "SELECT count(*) AS rows, sum(length(text))::BIGINT AS total_chars, sha256(concat_ws('|', " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8)) + ")) AS sha256 FROM (SELECT text, sha256(doc_id || chr(31) || text || chr(30)) AS h FROM documents)"
+
+
+@query(_SHARED_DIGEST)
 def text_digest(spark, folder):
-    return migrate.digest(read(spark, folder, "documents"), "doc_id", "text")
+    return migrate.text_digest(read(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("SELECT count(*) AS rows, sum(length(text))::BIGINT AS total_chars, sha256(string_agg(doc_id || chr(31) || text || chr(30), '' ORDER BY doc_id)) AS sha256 FROM documents")
+def text_digest_ordered(spark, folder):
+    return migrate.ordered_text_digest(read(spark, folder, "documents"), "doc_id", "text")
 
 
 @query("SELECT substr(sha256('180|32|5|5|900'), 1, 16) AS config_hash")
@@ -431,10 +440,19 @@ def config_hash(spark, folder):
 # ---- models, pipelines, streams ----
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM g),
+c AS (SELECT doc_id, h % 384 AS slot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM h GROUP BY ALL),
+s AS (SELECT doc_id, sqrt(sum(n * n)) AS size, count(*) FILTER (n <> 0) AS used, sum(abs(n)) AS total, coalesce(max(n) FILTER (slot = 0), 0) AS a, coalesce(max(n) FILTER (slot = 383), 0) AS z FROM c GROUP BY doc_id)
+SELECT w.doc_id, (CASE WHEN text_is_empty THEN 0 ELSE 384 END)::BIGINT AS dim, coalesce(used, 0)::BIGINT AS used, round(coalesce(total / nullif(size, 0), 0)::DOUBLE, 3) AS total, round(coalesce(a / nullif(size, 0), 0)::DOUBLE, 4) AS first, round(coalesce(z / nullif(size, 0), 0)::DOUBLE, 4) AS last
+FROM w LEFT JOIN s USING (doc_id) JOIN (SELECT doc_id, coalesce(text, '') = '' AS text_is_empty FROM documents) e USING (doc_id)""")
 def embed_udf_rows(spark, folder):
-    d = read(spark, folder, "documents")
-    return d.select("doc_id", providers.embed_column(providers.HashingEmbedder)(F.col("text")).alias("embedding"))
+    """Vectors of all documents, by what tells them apart."""
+    v = read(spark, folder, "documents").select("doc_id", providers.embed_column(providers.HashingEmbedder)(F.col("text")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    place = lambda i: F.round(F.coalesce(F.try_element_at("v", F.lit(i)), F.lit(0.0)).cast("double"), 4)
+    return v.select("doc_id", F.size("v").cast("long").alias("dim"), F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("used"), F.round(total, 3).alias("total"), place(1).alias("first"), place(384).alias("last"))
 
 
 class _Poisoned:
@@ -457,7 +475,10 @@ def poison_row_isolation(spark, folder):
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY ALL")
 def stream_tumbling_window(spark, folder):
-    return streaming.tumbling_counts(read(spark, folder, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """A stream over all files there are, in micro-batches."""
+    stream = streaming.event_stream(spark, f"{folder}/events.parquet*", read(spark, folder, "events").schema)
+    found = streaming.counted(stream, new_path(spark, "windows"), new_path(spark, "counting"), late=None)
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -473,8 +494,3 @@ def stream_queue_available_now(spark, folder):
 
     streaming.poll(stream, handle, new_path(spark, "poll")).awaitTermination()
     return streaming.latest_by_key(spark.read.parquet(out).drop("batch"), "user_id", ["event_id"])
-
-
-@query("SELECT count(*) AS rows, sum(length(text))::BIGINT AS total_chars, sha256(concat_ws('|', " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8)) + ")) AS sha256 FROM (SELECT text, sha256(doc_id || chr(31) || text || chr(30)) AS h FROM documents)")
-def text_digest_large(spark, folder):
-    return migrate.large_text_digest(read(spark, folder, "documents"), "doc_id", "text")

@@ -59,6 +59,18 @@ def _documents(source: Source) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _files(source: Source) -> DataFrame:
+    """Attachments as files: owner, file_path and what a synchronisation says of them."""
+    a = source.attachments
+    if a is None:
+        a = source.items.limit(0).select("key", F.lit("").alias("parent_key"), F.lit("").alias("mime_type"), F.lit("").alias("file_path"))
+    extra = {c: F.col(c) if c in a.columns else F.lit(None).cast("long") for c in ("item_id", "link_mode")}
+    told = T.canonical_json(schema_version=F.lit(1), attachment_key=F.col("key"), attachment_item_id=extra["item_id"], link_mode=extra["link_mode"])
+    return a.select(
+        F.col("parent_key").alias("owner"), "file_path", T.canonical_mime(F.col("mime_type")).alias("mime_type"), F.lit(SYSTEM).alias("source_system"), F.col("key").alias("source_id"), F.lit("local").alias("storage_kind"), F.col("file_path").alias("storage_uri"), told.alias("metadata_json"),
+    )
+
+
 def _kept(old: DataFrame, columns: list[str]) -> DataFrame:
     """Missing columns of a stored table as null."""
     return old.select(*(F.col(c) if c in old.columns else F.lit(None).cast("string").alias(c) for c in columns))
@@ -74,18 +86,20 @@ def synchronize(source: Source, references: DataFrame, files: DataFrame, documen
     new_docs = _documents(source)
     doc_changes = cut(sync.diff(_kept(documents, ["source_id", "kind", *doc_cols]), new_docs, ["source_id", "kind"], doc_cols), "documents")
 
-    file_cols = ["mime_type", "source_id"]
-    new_files = (source.attachments if source.attachments is not None else source.items.limit(0).select("key", F.lit("").alias("parent_key"), F.lit("").alias("mime_type"), F.lit("").alias("file_path"))).select(F.col("parent_key").alias("owner"), "file_path", T.canonical_mime(F.col("mime_type")).alias("mime_type"), F.col("key").alias("source_id"))
-    file_changes = cut(sync.diff(_kept(files, ["owner", "file_path", *file_cols]), new_files, ["owner", "file_path"], file_cols), "files")
+    file_cols = ["mime_type", "source_system", "source_id", "storage_kind", "storage_uri", "metadata_json", "extraction_status"]
+    old_files = _kept(files, ["owner", "file_path", "extracted_text", *file_cols])
+    # a file without text is pending whatever its state says, one with text keeps its state
+    state = old_files.select("owner", "file_path", F.when(F.col("extracted_text").isNotNull(), F.coalesce("extraction_status", F.lit("pending"))).alias("kept_status"))
+    new_files = _files(source).join(state, ["owner", "file_path"], "left").withColumn("extraction_status", F.coalesce("kept_status", F.lit("pending"))).drop("kept_status")
+    file_changes = cut(sync.diff(old_files, new_files, ["owner", "file_path"], file_cols), "files")
 
     next_refs = sync.merged(ref_changes, ["source_id"], ref_cols, mirror).drop("outcome").withColumn("id", stable_id("source_id")).withColumn("source_system", F.lit(SYSTEM))
     state = documents.select("source_id", "kind", F.col("embedding_status").alias("status_before")) if "embedding_status" in documents.columns else documents.select("source_id", "kind", F.lit(None).cast("string").alias("status_before"))
     next_docs = sync.merged(doc_changes, ["source_id", "kind"], doc_cols, mirror).join(state, ["source_id", "kind"], "left")
     fresh = F.when(F.col("content").isNotNull(), F.lit("pending")).otherwise(F.lit("skipped"))
     next_docs = next_docs.withColumn("embedding_status", F.when(F.col("outcome").isin("added", "updated"), fresh).otherwise(F.coalesce("status_before", fresh))).drop("outcome", "status_before").withColumn("id", stable_id("kind", "source_id")).withColumn("reference_id", stable_id("owner")).withColumn("source_system", F.lit(SYSTEM))
-    old_files = _kept(files, ["owner", "file_path", "extracted_text", "extraction_status"])
-    next_files = sync.merged(file_changes, ["owner", "file_path"], file_cols, mirror).join(old_files, ["owner", "file_path"], "left")
-    next_files = next_files.withColumn("extraction_status", F.when(F.col("extracted_text").isNull(), F.lit("pending")).otherwise(F.col("extraction_status"))).drop("outcome").withColumn("id", stable_id("owner", "file_path")).withColumn("reference_id", stable_id("owner")).withColumn("storage_kind", F.lit("local")).withColumn("storage_uri", F.col("file_path"))
+    next_files = sync.merged(file_changes, ["owner", "file_path"], file_cols, mirror).join(old_files.select("owner", "file_path", "extracted_text"), ["owner", "file_path"], "left")
+    next_files = next_files.drop("outcome").withColumn("id", stable_id("owner", "file_path")).withColumn("reference_id", stable_id("owner"))
 
     kind = F.when(F.col("kind") == "annotation", F.lit("Annotations")).when(F.col("kind") == "note", F.lit("Notes")).otherwise(F.lit("Documents"))
     told = ref_changes.select(F.lit("References").alias("artifact"), "outcome").unionByName(doc_changes.select(kind.alias("artifact"), "outcome")).unionByName(file_changes.select(F.lit("Document files").alias("artifact"), "outcome"))

@@ -75,8 +75,7 @@ def extract(jobs: DataFrame, files: DataFrame, documents: DataFrame, contents: D
     jobs_done, attempts = _finished(after, mine, told, now, worker, backend, policy)
     wanted = sync.embedding_candidates(new)
     fresh = cut(J.new_jobs(wanted, jobs_done), "jobs")
-    stamp = {"id": F.col("dedupe_key"), "status": F.lit("queued"), "priority": F.lit(100), "available_at": J.instant(now), "attempts": F.lit(0), "max_attempts": F.lit(policy.max_attempts), "created_at": J.instant(now), "updated_at": J.instant(now)}
-    jobs_next = jobs_done.unionByName(fresh.withColumns(stamp), allowMissingColumns=True).select(jobs.columns)
+    jobs_next = jobs_done.unionByName(J.queued(fresh, now, policy), allowMissingColumns=True).select(jobs.columns)
 
     told_file = result.select("id", F.col("extracted_text").alias("new_text"), F.col("extraction_status").alias("new_status"), F.col("error_message").alias("new_error"), F.lit(True).alias("told"))
     change: dict[str, Column] = {"extracted_text": F.col("new_text"), "extraction_status": F.col("new_status"), "extraction_error": F.col("new_error"), "extraction_backend": F.lit(backend)}

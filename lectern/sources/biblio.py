@@ -106,7 +106,7 @@ def pivoted(item_data: DataFrame, values: DataFrame) -> DataFrame:
 
 def items(t: dict[str, DataFrame]) -> DataFrame:
     """item_id, key, title, abstract_note, year, authors, date_modified of items that are no children of others."""
-    own = t["items"].join(F.broadcast(t["itemTypes"]), "itemTypeID").where(~F.col("typeName").isin(*CHILDREN))  # item types are a few dozen
+    own = t["items"].join(t["itemTypes"], "itemTypeID").where(~F.col("typeName").isin(*CHILDREN))
     people = authors(t["itemCreators"].join(t["creators"], "creatorID"))
     rows = own.join(pivoted(t["itemData"], t["itemDataValues"]), "itemID", "left").join(people, "itemID", "left")
     return rows.select(F.col("itemID").alias("item_id"), "key", "title", "abstract_note", F.substring("date", 1, 4).alias("year"), "authors", F.col("dateModified").alias("date_modified"))
@@ -124,7 +124,7 @@ def attachments(t: dict[str, DataFrame], database: str, existing: DataFrame | No
     rows = _with_parent(t["itemAttachments"].where(F.col("contentType").isin(*mime_types) & F.col("path").isNotNull()), t)
     base, home = str(Path(database).parent), str(Path.home())
     path = F.when(F.col("path").startswith("storage:"), F.concat_ws("/", F.lit(base), F.lit("storage"), "key", F.expr("substring(path, 9)"))).when(F.col("path").startswith("~/"), F.concat(F.lit(home), F.expr("substring(path, 2)"))).otherwise(F.col("path"))
-    rows = rows.select("key", "parent_key", F.col("contentType").alias("mime_type"), path.alias("file_path"))
+    rows = rows.select("key", "parent_key", F.col("contentType").alias("mime_type"), path.alias("file_path"), F.col("itemID").alias("item_id"), F.col("linkMode").alias("link_mode"))
     return rows if existing is None else rows.join(existing.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
 
 

@@ -17,13 +17,22 @@ def event_stream(spark: SparkSession, folder: str, schema, files_at_once: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
-def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
-    """Events and their sum of value by window; late ones count until the watermark passes."""
+def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None = "2 hours", by: str = "event_type") -> DataFrame:
+    """Events and their sum of value by window; late ones count until the watermark passes, or always without one."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
+    timed = timed.withWatermark("ts", late) if events.isStreaming and late else timed
     return timed.groupBy(F.window("ts", width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value")).select(F.col("w.start").alias("window_start"), by, "n", F.col("value").cast("double").alias("value"))
 
 
+def counted(stream: DataFrame, out: str, checkpoint: str, late: str | None = "2 hours", by: str = "event_type") -> DataFrame:
+    """tumbling_counts() of all that a stream has so far. Each micro-batch writes the windows that it changed under its number, so one that comes again replaces itself; of each window the last count is read."""
+    windows = tumbling_counts(stream, late=late, by=by)
+    writer = windows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")).start().awaitTermination()
+    told = stream.sparkSession.read.schema(f"{windows.schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, batch long").parquet(out)
+    return told.groupBy("window_start", by).agg(F.max_by(F.struct("n", "value"), "batch").alias("s")).select("window_start", by, "s.n", "s.value")
+
+
 def latest_by_key(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of many transitions of a job in a batch, the last."""
     columns = [c for c in updates.columns if c != key]

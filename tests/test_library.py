@@ -13,7 +13,7 @@ from pyspark.sql.utils import ParseException
 from lectern import cli, schema, scratch, settings
 from lectern.operators import jobs as J
 from lectern.operators import migrate, providers, status, sync, vector
-from lectern.plans import catalog, documentation, library, pages, sqlgate
+from lectern.plans import catalog, documentation, library, migration, pages, sqlgate
 from lectern.plans.store import Store
 from lectern.sources import biblio
 from lectern.streaming import queue as S
@@ -130,20 +130,60 @@ def test_migration(spark):
     assert [r["storage_uri"] for r in new_files.orderBy("id").collect()] == ["/tmp/paper.pdf", "/tmp/other.pdf"]
     assert new_docs.where("id = 5").first()["embedding_error"] == migrate.REPAIRED
     migrate.check_unchanged(migrate.text_digest(docs, "id", "content"), migrate.text_digest(new_docs, "id", "content"))
-    assert migrate.digest(docs, "id", "content", 5).first() == migrate.large_text_digest(docs, "id", "content").first()
     with pytest.raises(ValueError):
-        migrate.check_unchanged(migrate.large_text_digest(docs, "id", "content"), migrate.large_text_digest(docs.withColumn("content", F.lit("x")), "id", "content"))
+        migrate.check_unchanged(migrate.text_digest(docs, "id", "content"), migrate.text_digest(docs.withColumn("content", F.lit("x")), "id", "content"))
 
 
-def test_the_text_digest_query_has_one_definition(spark, tmp_path, monkeypatch):
+def test_digests_of_texts(spark, tmp_path):
     rows = [(i, f"text {i} é" * (i % 7)) for i in random.Random(3).sample(range(3000), 3000)] + [(3000, None)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
-    monkeypatch.setattr(migrate, "ONE_STRING", 5, raising=False)
-    monkeypatch.setattr(migrate.digest, "__defaults__", tuple(5 if x == 500_000_000 else x for x in migrate.digest.__defaults__))
-    want = hashlib.sha256("".join(f"{i}\x1f{t or ''}\x1e" for i, t in sorted(rows, key=lambda r: r[0])).encode()).hexdigest()
-    got = catalog.QUERIES["text_digest"](spark, str(tmp_path))
-    assert tuple(got.first()) == (3001, sum(len(t or "") for _, t in rows), want) and [t for _, t in got.dtypes] == ["bigint", "bigint", "string"]
-    assert tuple(migrate.text_digest(spark.createDataFrame([], "id long, t string"), "id", "t").first()) == (0, 0, hashlib.sha256().hexdigest())
+    chars = sum(len(t or "") for _, t in rows)
+    records = [f"{i}\x1f{t or ''}\x1e".encode() for i, t in sorted(rows, key=lambda r: r[0])]
+    want = hashlib.sha256(b"".join(records)).hexdigest()
+    got = catalog.QUERIES["text_digest_ordered"](spark, str(tmp_path))
+    assert tuple(got.first()) == (3001, chars, want) and [t for _, t in got.dtypes] == ["bigint", "bigint", "string"]
+    none = spark.createDataFrame([], "id long, t string")
+    assert tuple(migrate.ordered_text_digest(none, "id", "t").first()) == (0, 0, hashlib.sha256().hexdigest())
+    sums = [sum(int(hashlib.sha256(r).hexdigest()[8 * k : 8 * k + 8], 16) for r in records) for k in range(8)]
+    assert tuple(catalog.QUERIES["text_digest"](spark, str(tmp_path)).first()) == (3001, chars, hashlib.sha256("|".join(map(str, sums)).encode()).hexdigest())
+    assert migrate.text_digest(none, "id", "t").first()["rows"] == 0
+
+
+def test_of_rows_with_one_key_the_last_counts(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(1, "x", 5), (1, "a", 9), (2, "c", 1), (2, "b", 0), (3, "p", 1), (3, "q", 1)], "k int, v string, seen int")
+    got = {r["k"]: (r["outcome"], r["new_v"]) for r in sync.diff(old, new, ["k"], ["v"], order="seen").collect()}
+    assert got == {1: ("unchanged", "a"), 2: ("updated", "c"), 3: ("added", "q")}
+    assert {r["k"]: r["new_v"] for r in sync.diff(old, new, ["k"], ["v"]).collect()} == {1: "x", 2: "c", 3: "q"}
+    v = spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<float>")
+    twice = spark.createDataFrame([(1, [5.0], 1), (1, [2.0], 2)], "doc_id long, embedding array<float>, at int")
+    assert [r["embedding"][0] for r in sync.upsert_vectors(v, twice, order="at").collect()] == [2.0]
+
+
+def test_requeue_without_a_limit_joins_nothing(spark):
+    table = job(spark, rows=[{"id": f"j{i}", "status": "dead", "queue_name": "embedding" if i % 2 else "extraction", "updated_at": NOW - timedelta(minutes=i)} for i in range(6)])
+    every = J.requeue_dead(table, NOW, queue="embedding")
+    assert {r["id"] for r in every.where("status = 'retry'").collect()} == {"j1", "j3", "j5"} and "Join" not in every._jdf.queryExecution().executedPlan().toString()
+    many = J.requeue_dead(table, NOW, J.SENT + 1)
+    assert "broadcast" not in many._jdf.queryExecution().logical().toString() and many.where("status = 'retry'").count() == 6
+
+
+def test_files_change_in_any_of_seven_columns(spark):
+    items = spark.createDataFrame([("K", "t", None, "2024", "x")], "key string, title string, abstract_note string, year string, authors string")
+    files = spark.createDataFrame([("A", "K", "application/pdf", "/a.pdf", 7, 1)], "key string, parent_key string, mime_type string, file_path string, item_id long, link_mode long")
+    empty = lambda s: spark.createDataFrame([], s)
+    first = library.synchronize(library.Source(items, files), empty("source_id string"), empty("owner string, file_path string"), empty("source_id string, kind string, content string"))
+    row = first.files.first()
+    assert (row["storage_kind"], row["storage_uri"], row["extraction_status"], json.loads(row["metadata_json"])["link_mode"]) == ("local", "/a.pdf", "pending", 1)
+    changed = {"mime_type": "text/html", "source_system": "other", "source_id": "B", "storage_kind": "s3", "storage_uri": "/b.pdf", "metadata_json": "{}", "extraction_status": "ready"}
+    for column, value in [(None, None), *changed.items()]:
+        stored = first.files if column is None else first.files.withColumn(column, F.lit(value))
+        told = library.synchronize(library.Source(items, files), first.references, stored, first.documents)
+        assert {r["artifact"]: r["updated"] for r in told.counts.collect()}["Document files"] == (column is not None), column
+        assert told.files.select(*changed).first() == first.files.select(*changed).first()
+    done = first.files.withColumn("extracted_text", F.lit("text")).withColumn("extraction_status", F.lit("ready"))
+    kept = library.synchronize(library.Source(items, files), first.references, done, first.documents)
+    assert kept.files.first()["extraction_status"] == "ready" and kept.files.first()["extracted_text"] == "text"
 
 
 def test_status(spark):
@@ -351,10 +391,22 @@ def test_command_line(spark, tmp_path):
     assert go("requeue-dead", "--limit", "5") == {"changed": 1} and go("cleanup-leases", "--queue", "embedding") == {"changed": 1} and go("cancel", "--entity-id", "1") == {"changed": 3}
     docs, files = legacy(spark)
     store.commit(documents=docs, document_files=files)
-    assert len(go("migrate")["reasons"]) == 5 and go("migrate")["reasons"] == []
+    assert go("migrate", "--dry-run")["reasons"] == go("migrate", "--dry-run")["reasons"] != []
+    done = go("migrate")
+    assert len(done["reasons"]) == 5 and done["jobs"] == {"embedding": 1, "extraction": 1} and go("migrate")["reasons"] == []
+    assert store.read("jobs").where("job_type = 'extract_file'").first()["status"] == "queued"
     assert go("status")["summary"]["documents"] == 5
 
 
+def test_opening_a_store_migrates_it(spark, tmp_path):
+    root = f"file://{tmp_path}/lib"
+    docs, files = legacy(spark)
+    Store(spark, root).commit(documents=docs, document_files=files)
+    store, report = migration.opened(spark, root, NOW)
+    assert len(report["reasons"]) == 5 and "jobs" not in report and store.read("jobs").count() == 0
+    assert store.read("documents").where("kind = 'pdf_chunk'").count() == 0 and migration.opened(spark, root, NOW)[1]["reasons"] == []
+
+
 def test_settings_and_documentation():
     env = {"EMBED_DISABLED": "Yes", "QUEUE_LEASE_SECONDS": "3", "QUEUE_BATCH_SIZE": "x", "QUEUE_MAX_ATTEMPTS": "${N}", "EXTRACTION_BACKEND": " "}
     s = settings.load(env)
@@ -388,6 +440,19 @@ def test_schema_evolution(spark):
 
 def test_scratch(spark):
     assert scratch.cut(spark.range(3), "x").count() == 3
+    path = scratch.new_path(spark, "x")
+    assert spark.sparkContext.applicationId in path
+
+
+def test_only_own_tables_are_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    other = tmp_path / "lectern" / "another-application"
+    other.mkdir(parents=True)
+    scratch.cut(spark.range(3), "x")
+    own = tmp_path / "lectern" / spark.sparkContext.applicationId
+    assert own.exists()
+    scratch.release(spark)
+    assert not own.exists() and other.exists()
 
 
 def test_only_small_tables_are_dealt_out(spark, small, monkeypatch):

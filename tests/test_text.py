@@ -69,11 +69,18 @@ def test_chunks_of_any_text(spark, texts):
         assert [r["content"] for r in got if r["id"] == i] == plain_chunks(t, 20)
 
 
-def test_many_pieces_take_the_other_way(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "One two. " * 300), (2, "a\n\nb " * 200), (3, None)], "id int, t string")
-    native = chunking.chunks(df, "id", "t", 10).collect()
-    monkeypatch.setattr(chunking, "MOST_PIECES", 3)
-    assert sorted(native) == sorted(chunking.chunks(df, "id", "t", 10).collect())
+def test_many_pieces_take_time_in_proportion(spark):
+    df = spark.createDataFrame([(1, "One two. " * 200_000), (2, "a\n\nb " * 100_000), (3, None)], "id int, t string")
+    got = chunking.chunks(df, "id", "t", 10).collect()
+    assert {r["id"] for r in got} == {1, 2} and all(len(r["content"]) <= 40 for r in got)
+    spans = df.select("id", F.size(T.paragraph_spans(F.col("t"))).alias("p"), F.size(T.sentence_spans(F.col("t"))).alias("s")).collect()
+    assert {r["id"]: (r["p"], r["s"]) for r in spans if r["id"] < 3} == {1: (1, 200_000), 2: (100_001, 1)}
+
+
+def test_sentence_spans(spark):
+    raw = " One two. Three!  four"
+    got = [tuple(s) for s in one(spark, T.sentence_spans(F.col("t")), t=raw)]
+    assert [g[0] for g in got] == ["One two.", "Three!", "four"] and all(raw[b:e] == p for p, b, e in got)
 
 
 def test_blank_is_an_error_row(spark):

@@ -78,21 +78,19 @@ def test_blank_documents_fail(spark):
     assert done.documents.first()["embedding_status"] == "error" and done.jobs.first()["status"] == "dead" and done.vectors.count() == 0
 
 
-def test_spans_are_where_the_pieces_stand(spark, monkeypatch):
+def test_spans_are_where_the_pieces_stand(spark):
     texts = ["alpha beta.\n\ngamma delta.", "  One two three. Four! \n\n\n Five six?  seven " * 4, "short", "x" * 50, "", "a.b.c.d " * 9]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    for most in (chunking.MOST_PIECES, 2):
-        monkeypatch.setattr(chunking, "MOST_PIECES", most)
-        rows = chunking.chunks(df, "id", "t", 5, spans=True).orderBy("id", "chunk_index").collect()
-        for i, t in enumerate(texts):
-            own = [r for r in rows if r["id"] == i]
-            assert [r["content"] for r in own] == plain_chunks(t, 20)
-            covered = set()
-            for r in own:
-                assert "".join(t[r["start"] : r["end"]].split()) == "".join(r["content"].split())
-                assert covered.isdisjoint(range(r["start"], r["end"]))
-                covered |= set(range(r["start"], r["end"]))
-            assert all(k in covered or t[k].isspace() for k in range(len(t)))
+    rows = chunking.chunks(df, "id", "t", 5, spans=True).orderBy("id", "chunk_index").collect()
+    for i, t in enumerate(texts):
+        own = [r for r in rows if r["id"] == i]
+        assert [r["content"] for r in own] == plain_chunks(t, 20)
+        covered = set()
+        for r in own:
+            assert "".join(t[r["start"] : r["end"]].split()) == "".join(r["content"].split())
+            assert covered.isdisjoint(range(r["start"], r["end"]))
+            covered |= set(range(r["start"], r["end"]))
+        assert all(k in covered or t[k].isspace() for k in range(len(t)))
 
 
 def test_articles_come_first_for_whole_pages(spark):
