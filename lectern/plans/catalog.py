@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.html import extract_html
+from lectern.functions.html import BREAKS, extract_html, note_text
 from lectern.operators import chunking, jobs, migrate, providers, status, sync, vector
-from lectern.plans import relational, sqlgate
+from lectern.plans import library, relational, sqlgate
 from lectern.scratch import new_path
 from lectern.session import TABLES, read, spread, views
 from lectern.sources import biblio
@@ -34,6 +34,7 @@ def query(sql: str | None = None):
 def _statement(text: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         views(spark, folder, *sorted(sqlgate.relations(spark, text) & set(TABLES)))  # what the statement names, and no more
+        sqlgate.register_names(spark)
         return sqlgate.search(spark, text)
 
     return run
@@ -225,7 +226,21 @@ def is_full_html(spark, folder):
     return read(spark, folder, "pages").select("page_id", T.looks_like_full_html(h).alias("full_html"))
 
 
-@query()
+def _plain_html(x: str) -> str:
+    """Markup without its tags, in SQL: break tags are line breaks, the rest of them and comments are nothing."""
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    x = f"regexp_replace({x}, '(?i)</?({'|'.join(sorted(BREAKS))})(\\s[^>]*)?/?>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, character in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{character}')"
+    return x
+
+
+_HTML = f"array_to_string(list_transform(ps, lambda p, i: CASE WHEN i % 2 = 1 THEN {_plain_html('p')} ELSE p END), '')"
+_HTML = f"regexp_replace(regexp_replace({_HTML}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT page_id, nullif({STRIP('t')}, '') AS text, CASE WHEN {STRIP('t')} = '' THEN 'empty' ELSE 'html_fallback' END AS mode FROM (SELECT page_id, {_HTML} AS t FROM (SELECT page_id, string_split_regex(html, '(?i)</?(script|style)[^>]*>') AS ps FROM pages))")
 def html_fallback_text(spark, folder):
     return read(spark, folder, "pages").select("page_id", extract_html(F.col("html")).alias("x")).select("page_id", "x.text", "x.mode")
 
@@ -437,6 +452,156 @@ def config_hash(spark, folder):
     return spark.range(1).select(F.substring(F.sha2(F.concat_ws("|", *(F.lit(x).cast("string") for x in (p.lease_seconds, p.batch_size, p.max_attempts, p.backoff_base_seconds, p.backoff_max_seconds))), 256), 1, 16).alias("config_hash"))
 
 
+# ---- a small bibliography, made of other tables ----
+
+#: Books are parts; attachments, notes and annotations are orders, lines up to the second and suppliers. One parent in seven does not exist.
+_CHILD = 10_000_000
+_PARENT = "CASE WHEN {0} % 7 = 0 THEN -1 ELSE {1} END"
+
+
+def _bibliography(spark, folder):
+    views(spark, folder, "part", "orders", "supplier")
+    books, files, notes, marks = 0, _CHILD, 2 * _CHILD, 3 * _CHILD
+    tables = {
+        "items": f"SELECT CAST(p_partkey AS BIGINT) AS itemID, concat('B', p_partkey) AS key, IF(p_size = 9, 3L, 1L) AS itemTypeID, '2024' AS dateModified FROM part UNION ALL SELECT o_orderkey + {files}, concat('F', o_orderkey), 2L, '2024' FROM orders"
+        f" UNION ALL SELECT o_orderkey + {notes}, concat('N', o_orderkey), 3L, '2024' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT s_suppkey + {marks}, concat('A', s_suppkey), 4L, '2024' FROM supplier",
+        "itemTypes": "SELECT * FROM VALUES (1L, 'book'), (2L, 'attachment'), (3L, 'note'), (4L, 'annotation') AS t(itemTypeID, typeName)",
+        "itemData": "SELECT CAST(p_partkey AS BIGINT) AS itemID, f.fieldID, p_partkey * 10 + f.fieldID AS valueID FROM part, VALUES (1L), (2L), (6L), (8L) AS f(fieldID) WHERE NOT (f.fieldID = 2 AND p_size > 10)",
+        "itemDataValues": "SELECT p_partkey * 10 + f.fieldID AS valueID, CASE f.fieldID WHEN 1 THEN p_name WHEN 2 THEN p_type WHEN 6 THEN concat(1950 + p_size, '-05-06') ELSE 'other' END AS value FROM part, VALUES (1L), (2L), (6L), (8L) AS f(fieldID)",
+        "itemCreators": "SELECT CAST(p_partkey AS BIGINT) AS itemID, CAST(p_size AS BIGINT) AS creatorID, 0L AS orderIndex FROM part UNION ALL SELECT p_partkey, p_size + 1L, 1L FROM part WHERE p_size < 30",
+        "creators": "SELECT id AS creatorID, concat('First', id) AS firstName, IF(id % 5 = 0, '', concat('Last', id)) AS lastName FROM range(0, 60)",
+        "itemAttachments": f"SELECT o_orderkey + {files} AS itemID, {_PARENT.format('o_orderkey', 'o_custkey')} AS parentItemID, 0L AS linkMode, IF(o_orderstatus = 'O', 'text/html', 'application/pdf') AS contentType, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('storage:', o_orderkey, '.pdf') ELSE concat('/abs/', o_orderkey, '.pdf') END AS path FROM orders",
+        "itemAnnotations": f"SELECT s_suppkey + {marks} AS itemID, s_suppkey + {files} AS parentItemID, 1L AS type, s_name AS authorName, s_name AS text, CAST(NULL AS STRING) AS comment, 'red' AS color, '3' AS pageLabel, 's' AS sortIndex, '{{}}' AS position, 0L AS isExternal FROM supplier",
+        "itemNotes": f"SELECT o_orderkey + {notes} AS itemID, {_PARENT.format('o_orderkey', 'o_custkey')} AS parentItemID, concat('<p>', o_orderpriority, '</p>') AS note, o_orderstatus AS title FROM orders WHERE o_orderkey % 3 = 0",
+    }
+    return {name: spark.sql(sql) for name, sql in tables.items()}
+
+
+_NAME = "CASE WHEN {0} % 5 <> 0 THEN 'Last' || {0} || ', First' || {0} END"
+_BOOKS = f"""books AS (SELECT p_partkey AS id, 'B' || p_partkey AS key, p_name AS title, CASE WHEN p_size <= 10 THEN p_type END AS abstract_note, (1950 + p_size)::VARCHAR AS year, nullif(concat_ws('; ', {_NAME.format('p_size')}, CASE WHEN p_size < 30 THEN {_NAME.format('(p_size + 1)')} END), '') AS authors FROM part WHERE p_size <> 9)"""
+
+
+@query(f"WITH {_BOOKS} SELECT key, title, abstract_note, year, authors FROM books")
+def bibliography_items(spark, folder):
+    return biblio.items(_bibliography(spark, folder)).select("key", "title", "abstract_note", "year", "authors")
+
+
+@query(f"""WITH {_BOOKS} SELECT 'F' || o_orderkey AS key, b.key AS parent_key, 'application/pdf' AS mime_type, CASE o_orderkey % 4 WHEN 1 THEN '/lib/storage/F' || o_orderkey || '/' || o_orderkey || '.pdf' ELSE '/abs/' || o_orderkey || '.pdf' END AS file_path, o_orderkey + {_CHILD} AS item_id, 0::BIGINT AS link_mode
+FROM orders JOIN books b ON b.id = {_PARENT.format('o_orderkey', 'o_custkey')} WHERE o_orderstatus <> 'O' AND o_orderkey % 4 <> 0""")
+def bibliography_attachments(spark, folder):
+    return biblio.attachments(_bibliography(spark, folder), "/lib/zotero.sqlite")
+
+
+@query(f"""WITH {_BOOKS} SELECT 'A' || s_suppkey AS key, b.key AS parent_key, 'F' || o_orderkey AS attachment_key, s_name AS text, 'Highlighted text:' || chr(10) || '> ' || s_name AS content, '{{"attachment_key":"F' || o_orderkey || '","color":"red"}}' AS metadata_json
+FROM supplier JOIN orders ON o_orderkey = s_suppkey JOIN books b ON b.id = {_PARENT.format('o_orderkey', 'o_custkey')}""")
+def bibliography_annotations(spark, folder):
+    found = biblio.annotations(_bibliography(spark, folder))
+    return found.select("key", "parent_key", "attachment_key", "text", T.annotation_content(F.col("text"), F.col("comment")).alias("content"), T.canonical_json(color=F.col("color"), attachment_key=F.col("attachment_key")).alias("metadata_json"))
+
+
+@query(f"""WITH {_BOOKS} SELECT 'N' || o_orderkey AS key, b.key AS parent_key, o_orderstatus AS title, o_orderpriority AS content FROM orders JOIN books b ON b.id = {_PARENT.format('o_orderkey', 'o_custkey')} WHERE o_orderkey % 3 = 0""")
+def bibliography_notes(spark, folder):
+    return biblio.notes(_bibliography(spark, folder)).select("key", "parent_key", "title", T.normalize_content(note_text(F.col("note"))).alias("content"))
+
+
+@query(f"""WITH {_BOOKS}, files AS (SELECT o_orderkey AS k FROM orders JOIN books b ON b.id = {_PARENT.format('o_orderkey', 'o_custkey')} WHERE o_orderstatus <> 'O' AND o_orderkey % 4 <> 0),
+notes AS (SELECT o_orderkey AS k FROM orders JOIN books b ON b.id = {_PARENT.format('o_orderkey', 'o_custkey')} WHERE o_orderkey % 3 = 0), marks AS (SELECT s_suppkey AS k FROM supplier JOIN orders ON o_orderkey = s_suppkey JOIN books b ON b.id = {_PARENT.format('o_orderkey', 'o_custkey')}),
+n AS (SELECT 'References' AS artifact, count(*) AS added FROM books UNION ALL SELECT 'Documents', 2 * count(*) FROM books UNION ALL SELECT 'Document files', count(*) FROM files UNION ALL SELECT 'Annotations', count(*) FROM marks UNION ALL SELECT 'Notes', count(*) FROM notes)
+SELECT artifact, added FROM n UNION ALL SELECT 'Total', sum(added)::BIGINT FROM n""")
+def library_first_sync(spark, folder):
+    t = _bibliography(spark, folder)
+    source = library.Source(biblio.items(t), biblio.attachments(t, "/lib/zotero.sqlite"), biblio.annotations(t), biblio.notes(t))
+    none = lambda s: spark.createDataFrame([], s)
+    return library.synchronize(source, none("source_id string"), none("owner string, file_path string"), none("source_id string, kind string, content string")).counts.select("artifact", "added")
+
+
+# ---- sinks, workers and further rules ----
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'application/pdf' WHEN page_id % 4 = 1 THEN 'text/html' WHEN page_id % 3 = 0 THEN 'text/plain' WHEN page_id % 3 = 1 THEN 'application/pdf' END AS mime FROM pages")
+def mime_guessed(spark, folder):
+    p = F.col("page_id")
+    mime = F.when(p % 4 == 0, F.lit(" Application/X-PDF ")).when(p % 4 == 1, F.lit("text/HTML")).when(p % 4 == 2, F.lit("  "))
+    path = F.concat(F.lit("/a.b/"), F.col("page_id").cast("string"), F.when(p % 3 == 0, F.lit(".TXT")).when(p % 3 == 1, F.lit(".pdf")).otherwise(F.lit("")))
+    return read(spark, folder, "pages").select("page_id", T.guessed_mime(mime, path).alias("mime"))
+
+
+_PAGE = f"array_to_string(list_filter(list_transform(string_split(regexp_replace(p, '\\r\\n|\\r', chr(10), 'g'), chr(10) || chr(10)), lambda b: {_BLOCK}), lambda b: b <> ''), chr(10) || chr(10))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(string_split({_RAW}, 'the'), lambda p: {_PAGE}), chr(10) || chr(10)) AS normal FROM documents")
+def pages_normalize(spark, folder):
+    """Texts as documents whose pages are what stands between their articles."""
+    raw = F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n ")), F.lit("ing "), F.lit("in-\ng\r\n"))
+    pages = T.normalize_pages(F.split(raw, "the"))
+    return spread(read(spark, folder, "documents")).select("doc_id", F.array_join(pages, "\n\n").alias("normal"))
+
+
+@query(f"SELECT conv_id, turn, nullif({STRIP('regexp_replace(regexp_replace(text || chr(10) || chr(10) || turn, $$[ \t]+\n$$, chr(10), $$g$$), $$\n{3,}$$, chr(10) || chr(10), $$g$$)')}, '') AS note FROM conversations")
+def note_texts(spark, folder):
+    html = F.concat(F.lit("<div>"), "text", F.lit("</div><p>"), F.col("turn").cast("string"), F.lit("</p>"))
+    return read(spark, folder, "conversations").select("conv_id", "turn", note_text(html).alias("note"))
+
+
+@query("SELECT conv_id, turn, '{\"n\":' || length(text) || ',\"role\":\"' || role || '\",\"turn\":' || CASE WHEN turn = 0 THEN 'null' ELSE turn::VARCHAR END || '}' AS json FROM conversations")
+def json_canonical(spark, folder):
+    c = read(spark, folder, "conversations")
+    return c.select("conv_id", "turn", T.canonical_json(turn=F.when(F.col("turn") != 0, F.col("turn")), role=F.col("role"), n=F.length("text")).alias("json"))
+
+
+@query(f"{_CTE} SELECT id, CASE WHEN id = '7' AND status = 'claimed' THEN {_NOW} + INTERVAL '180' SECOND ELSE claim_expires_at END AS claim_expires_at FROM jobs WHERE status = 'claimed'")
+def job_renew(spark, folder):
+    renewed = jobs.renew(job_table(spark, folder), NOW, "7", "token7").where("status = 'claimed'")
+    return renewed.select("id", F.col("claim_expires_at").cast("timestamp_ntz").alias("claim_expires_at"))
+
+
+@query(f"SELECT 's' || s_suppkey AS worker_id, CASE WHEN s_nationkey % 2 = 0 AND s_suppkey % 3 > 0 THEN 'stopped' WHEN s_suppkey % 3 > 0 THEN 'running' ELSE 'failed' END AS status, CASE WHEN s_suppkey = 2 THEN {_NOW} END AS beat FROM supplier UNION ALL SELECT 'new', 'running', {_NOW}")
+def worker_register(spark, folder):
+    s = read(spark, folder, "supplier")
+    kind = F.when(F.col("s_nationkey") % 2 == 0, F.lit("embedding")).otherwise(F.lit("extraction"))
+    table = s.select(F.concat(F.lit("s"), "s_suppkey").alias("worker_id"), kind.alias("worker_type"), F.when(F.col("s_suppkey") % 3 > 0, F.lit("running")).otherwise(F.lit("failed")).alias("status"), F.lit(None).cast("timestamp").alias("last_heartbeat_at"), F.lit("x").alias("backend_name"))
+    after = jobs.register_worker(table, NOW, "new", "embedding", "x")
+    beat = after.where("worker_id = 's2'").select("status").first()
+    after = jobs.heartbeat(after, NOW, "s2", beat["status"]) if beat else after
+    return after.select("worker_id", "status", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("beat"))
+
+
+@query("SELECT vec_id AS doc_id, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS parts, round((CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1])::DOUBLE, 5) AS first FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+def vector_upsert(spark, folder):
+    e = read(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    new = e.where("doc_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    after = sync.upsert_vectors(e.where("doc_id % 2 = 0"), new.unionByName(new))
+    return after.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("parts"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 3 THEN 'fulltext_chunk' ELSE 'note' END AS kind, doc_id % 10 AS document_file_id, 'old' AS origin FROM documents WHERE NOT (doc_id % 4 = 3 AND doc_id % 10 < 5) UNION ALL SELECT -conv_id - 1, 'fulltext_chunk', conv_id % 5, 'new' FROM (SELECT DISTINCT conv_id FROM conversations)")
+def chunk_replace(spark, folder):
+    d = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 3, F.lit("fulltext_chunk")).otherwise(F.lit("note")).alias("kind"), (F.col("doc_id") % 10).alias("document_file_id"), F.lit("old").alias("origin"))
+    new = read(spark, folder, "conversations").select("conv_id").distinct().select((-F.col("conv_id") - 1).alias("id"), F.lit("fulltext_chunk").alias("kind"), (F.col("conv_id") % 5).alias("document_file_id"), F.lit("new").alias("origin"))
+    return sync.replace_chunks(d, new)
+
+
+@query(f"SELECT doc_id, round(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower('{_TEXT}'), '{WS}+'), lambda x: x <> '')), list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> ''))) / 4, 6) AS score FROM documents")
+def rerank_scores(spark, folder):
+    score = providers.rerank_column(providers.OverlapReranker)(F.lit(_TEXT), F.col("text"))
+    return read(spark, folder, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query("SELECT 'extract_file:' || page_id AS dedupe_key, page_id AS entity_id FROM pages WHERE page_id % 3 < 2 AND page_id % 2 = 0 AND page_id % 5 > 0")
+def seed_extraction_jobs(spark, folder):
+    p = F.col("page_id")
+    files = read(spark, folder, "pages").select(p.alias("id"), F.when(p % 2 == 0, F.lit("application/x-pdf")).otherwise(F.lit("text/html")).alias("mime_type"), F.lit("/f").alias("file_path"), F.when(p % 3 == 0, F.lit("pending")).when(p % 3 == 1, F.lit("error")).otherwise(F.lit("ready")).alias("extraction_status"))
+    held = files.where("id % 5 = 0").select(F.concat(F.lit("extract_file:"), F.col("id").cast("string")).alias("dedupe_key"))
+    return jobs.new_jobs(sync.extraction_candidates(files), held).select("dedupe_key", "entity_id")
+
+
+@query("SELECT doc_id, lang AS kind, source AS error FROM (SELECT doc_id, lang, source, doc_id % 50 AS moment FROM documents WHERE doc_id % 4 = 1) ORDER BY moment DESC, doc_id DESC LIMIT 5")
+def last_embedding_errors(spark, folder):
+    n = F.col("doc_id")
+    d = read(spark, folder, "documents").select(n.alias("id"), F.col("lang").alias("kind"), F.when(n % 4 == 1, F.lit("error")).otherwise(F.lit("ready")).alias("embedding_status"), F.col("source").alias("embedding_error"), F.timestamp_seconds(n % 50).alias("embedding_updated_at"))
+    return status.embedding_errors(d)
+
+
 # ---- models, pipelines, streams ----
 
 

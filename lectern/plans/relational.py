@@ -68,4 +68,12 @@ BOTH = {
         "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 1) NULLS FIRST, p_partkey) AS rn FROM part",
     ),
     "integer_division": ("SELECT p_partkey, CAST(p_size div 2 AS BIGINT) AS half, try_divide(p_size, p_size - 10) AS q FROM part", "SELECT p_partkey, CAST(p_size // 2 AS BIGINT) AS half, CASE WHEN p_size = 10 THEN NULL ELSE p_size / (p_size - 10) END AS q FROM part"),
+    "collate_nocase": ("SELECT p_brand COLLATE UTF8_LCASE = lower(p_brand) AS same, count(*) AS n FROM part GROUP BY 1", "SELECT p_brand COLLATE NOCASE = lower(p_brand) AS same, count(*) AS n FROM part GROUP BY 1"),
+    "other_names": (
+        "SELECT conv_id, group_concat(iif(turn > 1, upper(role), role), ',') AS roles, total(CASE WHEN turn > 99 THEN turn END) AS none, iif(count(*) > 2, 1, 0) AS long, 'total(x)' AS kept FROM (SELECT * FROM conversations WHERE turn < 1) GROUP BY conv_id",
+        "SELECT conv_id, string_agg(CASE WHEN turn > 1 THEN upper(role) ELSE role END, ',') AS roles, 0::DOUBLE AS none, 0 AS long, 'total(x)' AS kept FROM conversations WHERE turn < 1 GROUP BY conv_id",
+    ),
+    "strftime_names": ("SELECT event_id, strftime('%Y/%m-%d', ts) AS day, CAST(julianday(CAST(ts AS TIMESTAMP)) * 10 AS BIGINT) AS tenth FROM events", "SELECT event_id, strftime(ts, '%Y/%m-%d') AS day, CAST(floor((epoch(ts) / 86400.0 + 2440587.5) * 10) AS BIGINT) AS tenth FROM events"),
+    "json_each_props": ("SELECT e.event_id, j.key, j.value FROM events e, LATERAL json_each(e.props) j", "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
+    "vector_functions": ("SELECT vec_id, vec_length(CAST(embedding AS ARRAY<DOUBLE>)) AS n, substring(vec_to_json(array(1.5D, CAST(vec_id AS DOUBLE))), 1, 5) AS j FROM embeddings", "SELECT vec_id, len(embedding)::INT AS n, '[1.5,' AS j FROM embeddings"),
 }

@@ -214,7 +214,9 @@ def as_json(df: DataFrame) -> str:
 
 
 def register_names(spark: SparkSession) -> None:
-    """Names of other SQL engines that Spark lacks."""
+    """Names of other SQL engines that Spark lacks; nothing is done in a session that has them."""
+    if spark._jsparkSession.sessionState().catalog().isTemporaryFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier("vec_to_json")):
+        return
     functions = {
         "json_extract(doc STRING, path STRING) RETURNS STRING": "get_json_object(doc, path)",
         "julianday(t TIMESTAMP) RETURNS DOUBLE": "unix_micros(t) / 86400e6D + 2440587.5D",
@@ -222,10 +224,10 @@ def register_names(spark: SparkSession) -> None:
         "likely(c BOOLEAN) RETURNS BOOLEAN": "c",
         "glob(pattern STRING, s STRING) RETURNS BOOLEAN": "s RLIKE concat('^', replace(replace(regexp_replace(pattern, '([.+^$(){}|\\\\\\\\])', '\\\\\\\\$1'), '*', '.*'), '?', '.'), '$')",
         "vec_length(v ARRAY<DOUBLE>) RETURNS INT": "size(v)",
-        "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING": "to_json(v)",
         "json_each(doc STRING) RETURNS TABLE(key STRING, value STRING)": (
             "SELECT key, value FROM (SELECT explode(CASE WHEN startswith(ltrim(doc), '[') THEN map_from_entries(transform(from_json(doc, 'array<string>'), (x, i) -> struct(CAST(i AS STRING), x))) ELSE from_json(doc, 'map<string,string>') END) AS (key, value))"
         ),
+        "vec_to_json(v ARRAY<DOUBLE>) RETURNS STRING": "to_json(v)",
     }
     for head, body in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
