@@ -29,11 +29,12 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(1, 1, 0), (5, 1, 0), (9, 0, 0), (9, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (9, 0, 0), (9, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    return rows.select("*", *(F.lit("extra").alias(c) for c in ("text", "good", "trusted", "bucket", "ratio", "h")))
 
 
 def runs(spark, docs, labels):
-    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string").select("*", *(F.lit("extra").alias(c) for c in ("doc_id", "words", "n", "shingles", "item", "seen")))
     return {
         "licenses": lambda: licenses.digest(licenses.passages(licenses.votes(docs))),
         "lmscore": lambda: lmscore.score_documents(docs),
