@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from base64 import b64encode
 from collections.abc import Callable, Iterator
 from hashlib import md5
 from typing import Protocol
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
@@ -98,12 +102,19 @@ def register(spark: SparkSession, embedder: Callable[[], Embedder] = HashingEmbe
 ERROR_CLASS = [(FileNotFoundError, "permanent_not_found"), (NotImplementedError, "permanent_unsupported"), (TimeoutError, "retryable_timeout"), (ValueError, "permanent_validation"), (OSError, "retryable_io")]
 
 
+#: HTTP status to error class; other 4xx are refusals for good, the rest may be tried again.
+STATUS_CLASS = {429: "retryable_rate_limit", 408: "retryable_timeout", 504: "retryable_timeout", 404: "permanent_not_found", 415: "permanent_unsupported"}
+
+
 def error_class(e: BaseException) -> str:
+    if isinstance(e, HTTPError):
+        return STATUS_CLASS.get(e.code, "permanent_validation" if 400 <= e.code < 500 else "retryable_io")
     return next((name for kind, name in ERROR_CLASS if isinstance(e, kind)), "retryable_io")
 
 
 def http_error_class(status: Column) -> Column:
-    return F.when(status == 429, F.lit("retryable_rate_limit")).when(status.isin(408, 504), F.lit("retryable_timeout")).when(status == 404, F.lit("permanent_not_found")).when(status == 415, F.lit("permanent_unsupported")).when(status.between(400, 499), F.lit("permanent_validation")).otherwise(F.lit("retryable_io"))
+    named = F.coalesce(*(F.when(status == code, F.lit(name)) for code, name in STATUS_CLASS.items()))
+    return F.coalesce(named, F.when(status.between(400, 499), F.lit("permanent_validation")), F.lit("retryable_io"))
 
 
 def is_permanent(name: Column) -> Column:
@@ -140,3 +151,24 @@ class PlainTextExtractor:
             return content.decode("utf-8").split("\f")
         except UnicodeDecodeError:
             raise ValueError(f"not a text: {path}") from None
+
+
+class RemoteExtractor:
+    """A model behind an HTTP service of the generateContent form, asked for a document's text as Markdown: one request a file, which holds the file. What it answers is one page."""
+
+    name = "remote"
+    ASK = "Give the whole text of this document as Markdown, with its headings, lists, tables and formulas, and nothing else."
+
+    def __init__(self, endpoint: str, model: str, key: str, mime_type: str = "application/pdf", seconds: float = 300) -> None:
+        self.url = f"{endpoint.rstrip('/')}/models/{model}:generateContent"
+        self.key, self.mime_type, self.seconds = key, mime_type, seconds
+
+    def extract(self, path: str, content: bytes) -> list[str]:
+        parts = [{"inline_data": {"mime_type": self.mime_type, "data": b64encode(content).decode()}}, {"text": self.ASK}]
+        body = json.dumps({"contents": [{"role": "user", "parts": parts}]}).encode()
+        with urlopen(Request(self.url, body, {"Content-Type": "application/json", "x-goog-api-key": self.key}), timeout=self.seconds) as answer:
+            told = json.load(answer)
+        texts = [p["text"] for c in (told.get("candidates") or [])[:1] for p in c.get("content", {}).get("parts", []) if p.get("text")]
+        if not texts:
+            raise ValueError(f"no text for {path}")
+        return ["\n".join(texts)]

@@ -1,7 +1,11 @@
 """Rounds of the workers, chunk spans, and what the SQL front end rewrites."""
 
+import base64
 import json
+import threading
+import zlib
 from datetime import datetime, timedelta
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from pyspark.sql import functions as F
 from test_text import plain_chunks
@@ -110,3 +114,65 @@ def test_names_of_other_engines(spark):
     spark.createDataFrame([("a", 1), ("b", None)], "k string, v int").createOrReplaceTempView("kv")
     row = sqlgate.search(spark, "SELECT group_concat(k, '-') AS g, total(v) AS t, strftime('%Y/%m', max(TIMESTAMP '2024-03-01 00:00:00')) AS d FROM kv").first()
     assert (sorted(row["g"].split("-")), row["t"], row["d"]) == (["a", "b"], 1.0, "2024/03")
+
+
+def pdf(pages, packed=False):
+    """A small PDF: one Latin font, and one with a map to Unicode."""
+    chart = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00E9> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<6F22> <5B57>] endbfrange"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Kids [%s] >>" % b" ".join(b"%d 0 R" % (10 + i) for i in range(len(pages))), 3: b"<< /Type /Font >>", 4: b"<< /Type /Font /ToUnicode 5 0 R >>", 5: b"<< >>\nstream\n" + chart + b"\nendstream"}
+    for i, content in enumerate(pages):
+        objects[10 + i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (100 + i)
+        objects[100 + i] = b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(content) + b"\nendstream"
+    if packed:
+        some = {k: objects.pop(k) for k in (1, 2, 3)}
+        head, body = b"", b""
+        for k, v in some.items():
+            head, body = head + b"%d %d " % (k, len(body)), body + v + b" "
+        objects[200] = b"<< /Type /ObjStm /N 3 /First %d /Filter /FlateDecode >>\nstream\n" % len(head) + zlib.compress(head + body) + b"\nendstream"
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"%%EOF"
+
+
+def test_pdf_texts(spark):
+    from lectern.sources.pdf import PdfTextExtractor
+    from lectern.streaming.queue import extracted
+
+    one = rb"BT /F1 12 Tf 72 700 Td (Hello \(a\) w\366rld) Tj 0 -14 Td [(sec) -20 (ond) -300 (line)] TJ T* <4142> Tj ET"
+    two = b"BT /F2 9 Tf 1 0 0 1 0 0 Tm <0010001100120001> Tj 5 0 Td <00200021> Tj ET"
+    want = ["Hello (a) wörld\nsecond line\nAB", "abcé 漢字"]
+    for packed in (False, True):
+        assert PdfTextExtractor().extract("x", pdf([one, two], packed)) == want
+    files = spark.createDataFrame([("a", pdf([one, two])), ("b", b"plain"), ("c", pdf([]))], "path string, content binary")
+    got = {r["path"]: (r["extraction_status"], r["extracted_text"], r["error_message"]) for r in extracted(files, PdfTextExtractor).collect()}
+    assert got["a"] == ("ready", "Hello (a) wörld second line AB\n\nabcé 漢字", None)
+    assert got["b"] == ("error", None, "not a PDF") and got["c"][0] == "error"
+
+
+def test_remote_extraction(spark):
+    from lectern.operators.providers import RemoteExtractor, extract_or_error
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            content = base64.b64decode(body["contents"][0]["parts"][0]["inline_data"]["data"])
+            asked.append((self.path, self.headers["x-goog-api-key"], content))
+            code = {b"busy": 429, b"bad": 400, b"gone": 404, b"down": 503}.get(content, 200)
+            parts = [] if content == b"none" else [{"text": "# Title"}, {"text": content.decode()}]
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"candidates": [{"content": {"parts": parts}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        address = f"http://127.0.0.1:{server.server_port}/v1beta/"
+        files = spark.createDataFrame([(c.decode(), c) for c in (b"fine", b"busy", b"bad", b"gone", b"down", b"none")], "path string, content binary").coalesce(1)
+        got = {r["path"]: (r["page_texts"], r["error_class"]) for r in extract_or_error(files, lambda: RemoteExtractor(address, "m", "secret")).collect()}
+    finally:
+        server.shutdown()
+    assert got["fine"] == (["# Title\nfine"], None) and asked[0] == ("/v1beta/models/m:generateContent", "secret", b"fine")
+    assert {k: v[1] for k, v in got.items() if v[1]} == {"busy": "retryable_rate_limit", "bad": "permanent_validation", "gone": "permanent_not_found", "down": "retryable_io", "none": "permanent_validation"}
