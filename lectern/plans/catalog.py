@@ -75,11 +75,20 @@ def knn_batch(spark, folder):
     return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_BATCH}) WHERE rank <= 5")
-def knn_batch_lateral(spark, folder):
+@query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_QUERY}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_QUERY}), vec_id LIMIT 5")
+def knn_table_function(spark, folder):
+    """The table function for one query, which is a top-k of each task; many queries are knn_batch()."""
     views(spark, folder, "embeddings")
     vector.register(spark, "embeddings")
-    return sqlgate.search(spark, "SELECT q.vec_id AS query_id, n.vec_id AS vec_id, round(n.distance, 6) AS distance FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, LATERAL knn(CAST(q.embedding AS ARRAY<DOUBLE>), 5) n")
+    asked = ", ".join(f"{float(x)!r}D" for x in vector.vector_of(spark.table("embeddings"), 7))
+    return sqlgate.search(spark, f"SELECT vec_id, round(distance, 6) AS distance FROM knn(array({asked}), 5)")
+
+
+@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_BATCH}) WHERE rank <= 5")
+def knn_batch_lateral(spark, folder):
+    """What the table function gives in a lateral join, for queries too many to compare with all rows one by one: in blocks, like knn_batch."""
+    e = read(spark, folder, "embeddings")
+    return vector.knn_batch(e, e.where("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 _NEAR = f"(SELECT vec_id, list_distance(embedding::DOUBLE[], {_QUERY}) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 30)"

@@ -302,6 +302,11 @@ def test_shape_and_rewrites(gate, small):
     assert "TakeOrderedAndProject" in got._jdf.queryExecution().executedPlan().toString()
     joined = "SELECT d.doc_id, v.distance FROM (SELECT * FROM embeddings e WHERE e.embedding MATCH embed('a topic') AND k = 3) v JOIN documents d ON d.doc_id = v.vec_id ORDER BY 2"
     assert [r["doc_id"] for r in sqlgate.search(gate, joined, model, ("embeddings",)).collect()] == [r["vec_id"] for r in vector.knn(gate.table("embeddings"), model.embed(["a topic"])[0], 3).collect() if r["vec_id"] < 200]
+    one = catalog.QUERIES["knn_table_function"](gate, small)
+    assert "TakeOrderedAndProject" in one._jdf.queryExecution().executedPlan().toString()
+    lateral = "SELECT q.vec_id AS a, n.vec_id AS b FROM (SELECT * FROM embeddings WHERE vec_id IN (7, 9)) q, LATERAL knn(CAST(q.embedding AS ARRAY<DOUBLE>), 5) n"
+    found = sqlgate.search(gate, lateral).collect()
+    assert [r["b"] for r in found if r["a"] == 7] == [r["vec_id"] for r in one.collect()] and len(found) == 10
     want = vector.knn(gate.table("embeddings"), model.embed(["a topic"])[0], 3)
     assert {r["vec_id"] for r in got.collect()} == {r["vec_id"] for r in want.collect()}
     with pytest.raises(sqlgate.Denied):
