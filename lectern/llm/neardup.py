@@ -183,11 +183,13 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -
 def _centred(compared: DataFrame, labels: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     """Classes of pivots that some class is far from, with their differences from the centre (p, x, n, component, reach,
     apart; reach in units of 1 / (100 + similarity)), and how many classes hold an element that more than one does (p, token, held, size)."""
-    pivots = compared.groupBy("p").agg(F.count("*").alias("size"), F.max(~F.col("near")).alias("far")).where("far AND size > 1").select("p", "size")
+    # what is joined by pivot is stored first: its size is known then, so a small one is sent to all tasks, and with a large one a
+    # pivot of many classes can be split
+    pivots = cut(compared.groupBy("p").agg(F.count("*").alias("size"), F.max(~F.col("near")).alias("far")).where("far AND size > 1").select("p", "size"), "pivots")
     members = compared.join(pivots, "p").select("p", "x", "n", "size", "differ")
     counts = cut(members.select("p", "size", F.explode("differ").alias("token")).groupBy("p", "token").agg(F.count("*").alias("held"), F.max("size").alias("size")).where("held > 1"), "counts")
     # the pivot is one of the classes; an array is no longer than twice the mean difference
-    common = counts.where("2 * held > size + 1").groupBy("p").agg(F.collect_list("token").alias("common"))
+    common = cut(counts.where("2 * held > size + 1").groupBy("p").agg(F.collect_list("token").alias("common")), "common")
     group = labels.select(F.col("node").alias("x"), "component")
     moved = F.concat(F.array_except("differ", "common"), F.array_except("common", "differ"))
     apart = F.when(F.col("common").isNull(), F.col("differ")).otherwise(moved)
@@ -224,7 +226,7 @@ def _meetings(prefixes: DataFrame, similarity: int) -> DataFrame:
 def _far_pairs(compared: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     """Pairs of classes that were compared with one pivot, are in different groups and may be similar."""
     centred, counts = _centred(compared, labels, similarity)
-    first = centred.groupBy("p").agg(F.min(F.struct("reach", "x", "component")).alias("first"))
+    first = cut(centred.groupBy("p").agg(F.min(F.struct("reach", "x", "component")).alias("first")), "first")
     sure = centred.drop("apart").join(first, "p").where((F.col("reach") + F.col("first.reach") <= 0) & (F.col("component") != F.col("first.component"))).select("x", F.col("first.x").alias("y_x"))
     pairs = sure.unionByName(_meetings(_prefixes(centred, counts, similarity), similarity).select("x", "y_x"))
     return pairs.select(F.greatest("x", "y_x").alias("x"), F.least("x", "y_x").alias("p")).distinct()
