@@ -66,9 +66,24 @@ def sharding_of_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARDS)
 
 
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4's figures without the ratio, and what the base rules make of them."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3's counts and its unigram score over words."""
+    return op3_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"), "train_types")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8's parts of URLs, and the verdicts that its rules give."""
+    return op8_url_filter(spark, sf_dir).where("rule IS NOT NULL").select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
-    return found | {f.__name__: f for f in (packing_of_instructions, sharding_of_small_shards)}
+    return found | {f.__name__: f for f in (packing_of_instructions, sharding_of_small_shards, quality_base_figures, lm_base_scores, url_rules)}
 
 
 def _sharding(limit: int) -> str:
@@ -105,5 +120,39 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACED = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_SPACED.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+often AS (SELECT rid, g FROM g GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + 8)) AS at_word FROM g JOIN often USING (rid, g)) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN hit USING (rid)
+"""
+
+#: crc32 has no name in that engine: its table, and the sum over a text's bytes.
+_CRC_TABLE = "SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+_LM = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC} % 10 = 0 AS held_out, list_concat({_SPACED.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")}, [' ']) AS w FROM documents, crc),
+tokens AS (SELECT rid, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
+s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score FROM tokens LEFT JOIN c USING (word), n GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 4) AS base_score, v AS train_types FROM d JOIN s USING (rid), n
+"""
+
+_HOST = f"translate(regexp_extract(after, '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
+_FITS = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+_URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after FROM pages),
+h AS (SELECT page_id, {_HOST} AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE WHEN {_FITS('example.net', '/en/')} THEN 'example.net/en/' WHEN {_FITS('example.com', '/de/')} THEN 'example.com/de/' WHEN {_FITS('org', '/fr/')} THEN 'org/fr/' WHEN {_FITS('net', '/')} THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r WHERE rule IS NOT NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION}
+    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS}
