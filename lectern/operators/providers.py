@@ -117,10 +117,6 @@ def http_error_class(status: Column) -> Column:
     return F.coalesce(named, F.when(status.between(400, 499), F.lit("permanent_validation")), F.lit("retryable_io"))
 
 
-def is_permanent(name: Column) -> Column:
-    return name.startswith("permanent_")
-
-
 def extract_or_error(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
     """path, page_texts, error_class, error_message of binary files (path, content): a bad file is a row with an error and never fails the others."""
 

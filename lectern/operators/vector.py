@@ -20,10 +20,6 @@ QUERIES_AT_ONCE = 1024
 BLOCK = 1024
 
 
-def _doubles(c: Column) -> Column:
-    return F.transform(c, lambda x: x.cast("double"))
-
-
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
