@@ -108,11 +108,6 @@ def code_of(line: str, after_blank: bool, opens: bool) -> int:
     return (((marker * 2 + after_blank) * 2 + opens) * 3 + size) * 2 + line.rstrip().endswith("?")
 
 
-def emission(line: str, after_blank: bool, opens: bool) -> np.ndarray:
-    """log chances of the line's features in each state."""
-    return EMISSIONS[code_of(line, after_blank, opens)]
-
-
 def marked_role(line: str) -> str | None:
     m = MARKER.match(line)
     return _role_of[next(g for g in m.groups() if g).lower()] if m else None

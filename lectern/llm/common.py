@@ -22,8 +22,6 @@ _lower_or_digit = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B))
 BLANK_BYTES = bytes(_upper.get(c, 0x20 if 9 <= c <= 13 else c) for c in range(256))
 #: A-Z become a-z; every ASCII byte that is no letter or digit becomes a blank.
 RULE_BYTES = bytes(_upper.get(c, c if c >= 0x80 or c in _lower_or_digit else 0x20) for c in range(256))
-#: The same without lower-casing, for operators that look at case.
-PLAIN_BYTES = bytes(0x20 if 9 <= c <= 13 else c for c in range(256))
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -44,6 +44,8 @@ def _round(sized: DataFrame, done: int, cell: int, limit: int) -> DataFrame:
     cells = sized.groupBy(_prefix(F.col("hash"), cell).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
     levels = cells.select("prefix", "bytes", F.explode(F.sequence(F.lit(done), F.lit(cell))).alias("depth")).withColumn("top", F.expr(f"shiftright(prefix, {cell} - depth)"))
     fits = levels.groupBy("depth", "top").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
+    if not done:  # 2 ** (cell + 1) rows at most: every task can hold them, and no prefix's cells have to meet in one
+        fits = F.broadcast(fits)
     best = levels.join(fits, ["depth", "top"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
     shards = best.withColumn("top", F.expr(f"shiftright(prefix, {cell} - depth)")).join(fits, ["depth", "top"])
     return cells.select("prefix").join(shards.select("prefix", "depth", "shard_bytes"), "prefix", "left")
