@@ -39,7 +39,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("k"), "component_id")
     members = keyed.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("k")).alias("place")).join(found, "k")
-    groups = members.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # stored before they are joined, so that a group of many copies can be split or a small table of groups sent to all tasks
+    members = cut(members, "members")
+    groups = cut(members.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
     dropped = members.join(groups, "component_id").where("k <> first.k").select(F.col("k").alias(key))
     return keyed.join(dropped, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
