@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, language, licenses, lmscore, neardup, packing, quality, sharding, urls
+from lectern.llm import alignment, chat, decontaminate, infill, language, licenses, lmscore, neardup, packing, quality, sharding, urls
 from lectern.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def packing_of_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 where its three limits bind: turns of conversations, of which only answers bear loss."""
     return packing.pack_turns(table(spark, sf_dir, "conversations"))
@@ -155,4 +163,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS}
+    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS, "op13_fill_in_middle": infill.oracle_sql()}
