@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import jobs, status
 from lectern.plans.migration import migrated
 from lectern.plans.store import Store
+from lectern.scratch import cut
 from lectern.session import session
 from lectern.settings import load
 
@@ -50,18 +51,20 @@ def run(args: argparse.Namespace, now: datetime | None = None) -> dict:
         return status.library_status(*(store.read(t) for t in ("references", "documents", "document_files", "jobs", "worker_runs", "job_attempts")))
     if args.command == "migrate":
         return migrated(store, now, policy, args.dry_run, not args.no_jobs)
-    if args.command == "requeue-dead":
-        new = jobs.requeue_dead(table, now, args.limit, args.reset_attempts, args.queue)
-    elif args.command == "cancel":
-        new = jobs.cancel(table, now, args.queue, args.job_type, args.entity_id, args.include_claimed)
-    else:
-        own = table.where(F.col("queue_name") == args.queue) if args.queue else table
-        new = jobs.reclaim_expired(own, now, policy)
-        if args.queue:
-            new = new.unionByName(table.where(F.col("queue_name") != args.queue))
-    changed = new.alias("n").join(table.alias("o"), "id").where("NOT n.status <=> o.status").count()
-    store.write("jobs", new)
-    return {"changed": changed}
+
+    def changes(table):
+        if args.command == "requeue-dead":
+            return jobs.requeue_dead(table, now, args.limit, args.reset_attempts, args.queue, changed=True)
+        if args.command == "cancel":
+            return jobs.cancel(table, now, args.queue, args.job_type, args.entity_id, args.include_claimed, changed=True)
+        return jobs.reclaim_expired(table.where(F.col("queue_name") == args.queue) if args.queue else table, now, policy, changed=True)
+
+    def merge(t):
+        new = cut(changes(t.read("jobs")), "changes")
+        t.merge("jobs", new)
+        return new.count()
+
+    return {"changed": store.update(merge)}
 
 
 if __name__ == "__main__":

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -89,7 +89,27 @@ def chunk_or_error(documents: DataFrame, id_col: str, text_col: str, target_toke
     return blank.unionByName(good.select("id", "chunk_index", "content", none.alias("error_class"), none.alias("error_message")))
 
 
-def with_pages(spans: DataFrame, pages_col: str, start_col: str, end_col: str) -> DataFrame:
-    """Adds page_start and page_end to spans over the joined pages."""
-    located = spans.withColumn("page_ends", T.page_ends(F.col(pages_col)))
-    return located.withColumn("at", T.page_range(F.col("page_ends"), F.col(start_col), F.col(end_col))).select(*spans.columns, "at.page_start", "at.page_end")
+def page_rows(documents: DataFrame, id_col: str, pages_col: str) -> DataFrame:
+    """id, page and stop: of each page the first offset of the joined pages that is past it. Only lengths of pages go on from here."""
+    return documents.select(F.col(id_col).alias("id"), F.inline(T.page_ends(F.col(pages_col)))).select("id", F.col("p").alias("page"), F.col("e").alias("stop"))
+
+
+def page_ranges(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """id, start, end, page_start, page_end of distinct spans (id, start, end) over pages (id, page, stop): null without pages or for an empty span.
+
+    One merge of both, sorted by place from the end of each document: the last page that was passed before an offset holds it,
+    and past the last page's end it is that page. The cost is in spans plus pages."""
+    ends = F.array(F.struct(F.lit(True).alias("first"), F.col("start").cast("long").alias("place")), F.struct(F.lit(False).alias("first"), (F.col("end") - 1).cast("long").alias("place")))
+    offsets = spans.select("id", "start", "end").distinct().select("id", "start", "end", F.inline(ends))
+    rows = offsets.unionByName(pages.select("id", F.col("stop").cast("long").alias("place"), "page"), allowMissingColumns=True)
+    so_far = Window.partitionBy("id").orderBy(F.desc("place"), F.col("page").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("id")
+    at = F.coalesce(F.last("page", ignorenulls=True).over(so_far), F.max("page").over(whole))
+    found = rows.withColumn("at", at).withColumn("size", F.max(F.when(F.col("page").isNotNull(), F.col("place"))).over(whole)).where("first IS NOT NULL")
+    some = lambda first: F.max(F.when((F.col("size") > 0) & (F.col("end") > F.col("start")) & (F.col("first") == first), F.col("at")))
+    return found.groupBy("id", "start", "end").agg(some(True).alias("page_start"), some(False).alias("page_end"))
+
+
+def with_pages(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds page_start and page_end to spans (id, start, end and others)."""
+    return spans.join(page_ranges(spans, pages), ["id", "start", "end"], "left").select(*spans.columns, "page_start", "page_end")

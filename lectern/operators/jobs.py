@@ -1,11 +1,11 @@
-"""The job queue as data: every transition takes the jobs table and gives the next one. The clock is an argument."""
+"""The job queue as data: every transition takes the jobs table and gives the next one, or with `changed` only the rows that it changes, to be merged into a store. The clock is an argument."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,42 +62,43 @@ def claimable(jobs: DataFrame, now, policy: Policy = Policy(), queue: str | None
     return ready.orderBy("priority", "created_at", "id").limit(policy.batch_size)
 
 
-def claim(jobs: DataFrame, now, worker: str, policy: Policy = Policy(), queue: str | None = None) -> DataFrame:
+def claim(jobs: DataFrame, now, worker: str, policy: Policy = Policy(), queue: str | None = None, changed: bool = False) -> DataFrame:
     """The jobs table after a worker claimed its batch (at most batch_size rows, which every task can hold)."""
-    taken = claimable(jobs, now, policy, queue).select("id", F.lit(True).alias("taken"))
-    rows = jobs.join(F.broadcast(taken), "id", "left")
+    top = claimable(jobs, now, policy, queue)
+    rows = top.withColumn("taken", F.lit(True)) if changed else jobs.join(F.broadcast(top.select("id", F.lit(True).alias("taken"))), "id", "left")
     token = F.sha2(F.concat_ws("|", "id", F.lit(worker), F.col("attempts") + 1), 256)
-    return _updated(rows, F.coalesce("taken", F.lit(False)), now, status=F.lit("claimed"), claimed_by=F.lit(worker), claim_token=token, claim_expires_at=later(instant(now), F.lit(policy.lease_seconds)), attempts=F.col("attempts") + 1).drop("taken")
+    return _updated(rows, F.coalesce("taken", F.lit(False)), now, status=F.lit("claimed"), claimed_by=F.lit(worker), claim_token=token, claim_expires_at=later(instant(now), F.lit(policy.lease_seconds)), attempts=F.col("attempts") + 1).select(jobs.columns)
 
 
-def _updated(rows: DataFrame, when: Column, now, **columns: Column) -> DataFrame:
+def _updated(rows: DataFrame, when: Column, now, only: bool = False, **columns: Column) -> DataFrame:
     columns.setdefault("updated_at", instant(now))
+    rows = rows.where(when) if only else rows
     return rows.select(*(F.when(when, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def renew(jobs: DataFrame, now, job_id: str, token: str, policy: Policy = Policy()) -> DataFrame:
+def renew(jobs: DataFrame, now, job_id: str, token: str, policy: Policy = Policy(), changed: bool = False) -> DataFrame:
     own = (F.col("id") == job_id) & (F.col("status") == "claimed") & F.coalesce(F.col("claim_token") == token, F.lit(False))
-    return _updated(jobs, own, now, claim_expires_at=later(instant(now), F.lit(policy.lease_seconds)))
+    return _updated(jobs, own, now, changed, claim_expires_at=later(instant(now), F.lit(policy.lease_seconds)))
 
 
-def reclaim_expired(jobs: DataFrame, now, policy: Policy = Policy()) -> DataFrame:
+def reclaim_expired(jobs: DataFrame, now, policy: Policy = Policy(), changed: bool = False) -> DataFrame:
     """Claims whose lease ran out go back to retry, or to dead at the limit of attempts."""
     expired = (F.col("status") == "claimed") & F.coalesce(F.col("claim_expires_at") <= instant(now), F.lit(False))
     spent = F.col("attempts") >= _limit(policy)
     none = F.lit(None).cast("string")
-    return _updated(jobs, expired, now, status=F.when(spent, F.lit("dead")).otherwise(F.lit("retry")), claimed_by=none, claim_token=none, claim_expires_at=F.lit(None).cast("timestamp"))
+    return _updated(jobs, expired, now, changed, status=F.when(spent, F.lit("dead")).otherwise(F.lit("retry")), claimed_by=none, claim_token=none, claim_expires_at=F.lit(None).cast("timestamp"))
 
 
-def complete(jobs: DataFrame, completions: DataFrame, now, policy: Policy = Policy()) -> DataFrame:
-    """Applies completions (id, token, error_class: null for success, error_message). One with a stale token leaves its job alone."""
-    told = completions.dropDuplicates(["id"]).select("id", F.col("token").alias("told_token"), "error_class", "error_message")
-    rows = jobs.join(told, "id", "left")
-    own = (F.col("status") == "claimed") & F.coalesce(F.col("claim_token") == F.col("told_token"), F.lit(False))
+def complete(jobs: DataFrame, completions: DataFrame, now, policy: Policy = Policy(), changed: bool = False) -> DataFrame:
+    """Applies completions (id, token, error_class: null for success, error_message). One with a stale token leaves its job alone, whatever else comes with it; of several with the same token a success counts, else the first by class and message."""
+    told = completions.where("id IS NOT NULL AND token IS NOT NULL").groupBy("id", F.col("token").alias("claim_token")).agg(F.min(F.struct("error_class", "error_message")).alias("told"))
+    rows = jobs.join(told.select("id", "claim_token", "told.*", F.lit(True).alias("told")), ["id", "claim_token"], "inner" if changed else "left")
+    own = (F.col("status") == "claimed") & F.coalesce("told", F.lit(False))
     again = ~F.col("error_class").startswith("permanent_") & (F.col("attempts") < _limit(policy))
     status = F.when(F.col("error_class").isNull(), F.lit("succeeded")).when(again, F.lit("retry")).otherwise(F.lit("dead"))
     next_at = F.when(F.col("error_class").isNotNull() & again, later(instant(now), backoff_seconds(F.col("attempts"), policy, F.col("id"))))
     none = F.lit(None).cast("string")
-    out = _updated(rows, own, now, status=status, available_at=F.coalesce(next_at, F.col("available_at")), last_error=F.coalesce("error_message", "last_error"), claimed_by=none, claim_token=none, claim_expires_at=F.lit(None).cast("timestamp"))
+    out = _updated(rows, own, now, changed, status=status, available_at=F.coalesce(next_at, F.col("available_at")), last_error=F.coalesce("error_message", "last_error"), claimed_by=none, claim_token=none, claim_expires_at=F.lit(None).cast("timestamp"))
     return out.select(jobs.columns)
 
 
@@ -114,25 +115,37 @@ def attempt_outcomes(jobs: DataFrame, completions: DataFrame) -> DataFrame:
 SENT = 10_000
 
 
-def requeue_dead(jobs: DataFrame, now, limit: int | None = None, reset_attempts: bool = False, queue: str | None = None) -> DataFrame:
+def requeue_dead(jobs: DataFrame, now, limit: int | None = None, reset_attempts: bool = False, queue: str | None = None, changed: bool = False) -> DataFrame:
     """Dead jobs, or the `limit` most recently updated ones, go to retry; without a reset, one that used up its attempts stays unclaimable."""
     wanted = F.col("status") == "dead"
     wanted = wanted & (F.col("queue_name") == queue) if queue else wanted
-    changed = {"status": F.lit("retry"), "available_at": instant(now)} | ({"attempts": F.lit(0)} if reset_attempts else {})
+    new = {"status": F.lit("retry"), "available_at": instant(now)} | ({"attempts": F.lit(0)} if reset_attempts else {})
     if limit is None:
-        return _updated(jobs, wanted, now, **changed)
-    top = jobs.where(wanted).orderBy(F.desc("updated_at"), "id").limit(limit).select("id", F.lit(True).alias("taken"))
-    rows = jobs.join(F.broadcast(top) if limit <= SENT else top, "id", "left")
-    return _updated(rows, F.coalesce("taken", F.lit(False)), now, **changed).drop("taken")
+        return _updated(jobs, wanted, now, changed, **new)
+    top = _newest(jobs.where(wanted).select("id", "updated_at"), limit).select("id", F.lit(True).alias("taken"))
+    rows = jobs.join(F.broadcast(top) if limit <= SENT else top, "id", "inner" if changed else "left")
+    return _updated(rows, F.coalesce("taken", F.lit(False)), now, **new).select(jobs.columns)
+
+
+def _newest(rows: DataFrame, limit: int) -> DataFrame:
+    """The `limit` most recently updated rows, ties by id: a top-k, or for a long one those after the last second that does not fit and the first ids of that second."""
+    if limit <= SENT:
+        return rows.orderBy(F.desc("updated_at"), "id").limit(limit)
+    seconds = rows.groupBy("updated_at").agg(F.count("*").alias("n"))
+    so_far = seconds.withColumn("later", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("updated_at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.join(so_far.where(F.col("later") < limit), "updated_at")
+    whole = placed.where(F.col("later") + F.col("n") <= limit)
+    part = placed.where(F.col("later") + F.col("n") > limit).withColumn("place", F.row_number().over(Window.partitionBy("updated_at").orderBy("id"))).where(F.col("later") + F.col("place") <= limit)
+    return whole.select(rows.columns).unionByName(part.select(rows.columns))
 
 
-def cancel(jobs: DataFrame, now, queue: str | None = None, job_type: str | None = None, entity_id: int | None = None, with_claimed: bool = False) -> DataFrame:
+def cancel(jobs: DataFrame, now, queue: str | None = None, job_type: str | None = None, entity_id: int | None = None, with_claimed: bool = False, changed: bool = False) -> DataFrame:
     """Cancels open jobs that fit all given filters; empty strings count as not given."""
     allowed = ["queued", "retry", *(["claimed"] if with_claimed else [])]
     wanted = [F.col("status").isin(*allowed)]
     wanted += [F.col(c) == v for c, v in (("queue_name", queue), ("job_type", job_type)) if v]
     wanted += [F.col("entity_id") == entity_id] if entity_id is not None else []
-    return _updated(jobs, reduce(lambda a, b: a & b, wanted), now, status=F.lit("cancelled"))
+    return _updated(jobs, reduce(lambda a, b: a & b, wanted), now, changed, status=F.lit("cancelled"))
 
 
 def depth(jobs: DataFrame) -> DataFrame:

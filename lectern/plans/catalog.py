@@ -11,6 +11,7 @@ from lectern.functions import text as T
 from lectern.functions.html import BREAKS, extract_html, note_text
 from lectern.operators import chunking, jobs, migrate, providers, status, sync, vector
 from lectern.plans import library, relational, sqlgate
+from lectern.plans.store import Conflict, Store
 from lectern.scratch import new_path
 from lectern.session import TABLES, read, spread, views
 from lectern.sources import biblio
@@ -127,6 +128,42 @@ def search_rerank_topk(spark, folder):
     return best.select("doc_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
+_TOPIC = "the thing that erened"
+_ASKED = providers.HashingEmbedder(64).embed([_TOPIC])[0]
+_split = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '{WS}+'), lambda x: x <> '')"
+_SCORE = f"(len(list_intersect(list_distinct({_split(repr(_TOPIC))}), {_split('d.text')})) / 4)"
+_TOP = f"(SELECT vec_id, list_distance(embedding::DOUBLE[], {[float(x) for x in _ASKED]}) AS distance FROM embeddings ORDER BY 2, 1 LIMIT {{}})"
+
+
+def _matched(spark, folder, statement: str) -> DataFrame:
+    """A statement of the gate over the vector view vec_documents, with the models registered."""
+    views(spark, folder, *sorted(sqlgate.relations(spark, sqlgate.rewrite(statement, providers.HashingEmbedder(64), ("vec_documents",))) & set(TABLES)))
+    read(spark, folder, "embeddings").createOrReplaceTempView("vec_documents")
+    vector.register(spark, "vec_documents")
+    providers.register(spark, lambda: providers.HashingEmbedder(64))
+    return sqlgate.search(spark, statement, providers.HashingEmbedder(64), ("vec_documents",))
+
+
+@query(f"SELECT d.doc_id, d.lang, l.quality, round(v.distance, 6) AS distance, round({_SCORE}, 6) AS score FROM {_TOP.format(30)} v JOIN documents d ON v.vec_id = d.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY {_SCORE} DESC, d.doc_id LIMIT 10")
+def match_joined_reranked(spark, folder):
+    """The documented search: nearest vectors, joined with two tables, reranked."""
+    return _matched(spark, folder, f"""SELECT d.doc_id, d.lang, l.quality, round(v.distance, 6) AS distance, round(rerank_score('{_TOPIC}', d.text), 6) AS score
+FROM vec_documents v
+JOIN documents d ON v.rowid = d.doc_id
+LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE v.embedding MATCH embed('{_TOPIC}')
+  AND k = 30
+ORDER BY rerank_score('{_TOPIC}', d.text) DESC, d.doc_id
+LIMIT 10""")
+
+
+@query(f"SELECT d.lang, count(*) AS n, round(min(v.distance), 6) AS nearest FROM documents d JOIN {_TOP.format(25)} v ON v.vec_id = d.doc_id WHERE d.doc_id IN (SELECT vec_id FROM {_TOP.format(40)}) AND d.n_chars > 100 GROUP BY d.lang")
+def match_in_subquery(spark, folder):
+    """k before MATCH, among other conditions of a join, and once more in a subquery."""
+    return _matched(spark, folder, f"""SELECT d.lang, count(*) AS n, round(min(v.distance), 6) AS nearest FROM documents d JOIN vec_documents AS v ON v.k = 25 AND v.rowid = d.doc_id AND v.embedding MATCH embed('{_TOPIC}')
+WHERE d.doc_id IN (SELECT rowid FROM vec_documents WHERE k = 40 AND embedding MATCH embed('{_TOPIC}')) AND d.n_chars > 100 GROUP BY d.lang""")
+
+
 # ---- text ----
 
 _MESSY = "concat(chr(9), chr(8195), text, chr(160), chr(133), chr(10))"
@@ -221,11 +258,11 @@ def chunk_page_ranges(spark, folder):
     """Spans of 120 or 320 characters at every 250th, over pages of 300."""
     d = spread(read(spark, folder, "documents"))
     pages = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 300).cast("int")), lambda i: F.substring(F.col("text"), 1 + i * 300, F.lit(300)))
-    # ends of pages once for each document, not for each of its spans
-    d = d.select("doc_id", pages.alias("pages")).withColumn("size", F.length(F.array_join("pages", "\n\n"))).where("size > 0").select("doc_id", "size", T.page_ends(F.col("pages")).alias("ends"))
-    at = d.select("doc_id", "ends", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 250).cast("int"))).alias("i"))
-    spans = at.select("doc_id", "ends", (F.col("i") * 250).alias("start"), (F.col("i") * 250 + 120 + 200 * (F.col("i") % 2)).alias("stop"))
-    return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), T.page_range(F.col("ends"), F.col("start"), F.col("stop")).alias("r")).select("doc_id", "start", "stop", F.col("r.page_start").cast("long").alias("page_start"), F.col("r.page_end").cast("long").alias("page_end"))
+    d = d.select("doc_id", pages.alias("pages"), F.length(F.array_join(pages, "\n\n")).alias("size")).where("size > 0")
+    at = d.select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 250).cast("int"))).alias("i"))
+    spans = at.select("id", (F.col("i") * 250).alias("start"), (F.col("i") * 250 + 120 + 200 * (F.col("i") % 2)).alias("end"))
+    placed = chunking.with_pages(spans, chunking.page_rows(d, "doc_id", "pages"))
+    return placed.select(F.col("id").alias("doc_id"), *(F.col(c).cast("long").alias(n) for c, n in (("start", "start"), ("end", "stop"), ("page_start", "page_start"), ("page_end", "page_end"))))
 
 
 @query(f"""SELECT page_id, starts_with(l, '<!doctype html') OR starts_with(l, '<html') OR starts_with(l, '<?xml') OR (contains(substr(l, 1, 2048), '<html') AND (contains(substr(l, 1, 2048), '<body') OR contains(substr(l, 1, 2048), '</html>'))) AS full_html
@@ -372,6 +409,68 @@ def job_stale_completion(spark, folder):
     return jobs.attempt_outcomes(table, _completions(table))
 
 
+@query(f"""{_CTE}, valid AS (SELECT id, CASE id::BIGINT % 4 WHEN 1 THEN NULL ELSE 'retryable_io' END AS error_class FROM jobs WHERE status = 'claimed' AND id::BIGINT % 12 <> 7)
+SELECT j.id, CASE WHEN v.id IS NULL THEN j.status WHEN v.error_class IS NULL THEN 'succeeded' WHEN j.attempts >= least(j.max_attempts, 5) THEN 'dead' ELSE 'retry' END AS status, CASE WHEN v.id IS NULL THEN j.claim_token END AS claim_token FROM jobs j LEFT JOIN valid v ON j.id = v.id""")
+def job_stale_and_valid(spark, folder):
+    """Each claimed job is told a stale completion, and most a valid one too."""
+    table = job_table(spark, folder)
+    n, claimed = F.col("id").cast("long"), table.where("status = 'claimed'")
+    stale = claimed.select("id", F.concat(F.lit("0"), "claim_token").alias("token"), F.lit("permanent_validation").alias("error_class"), F.lit("stale").alias("error_message"))
+    error = F.when(n % 4 != 1, F.lit("retryable_io"))
+    valid = claimed.where(n % 12 != 7).select("id", F.col("claim_token").alias("token"), error.alias("error_class"), error.alias("error_message"))
+    return jobs.complete(table, stale.unionByName(valid).unionByName(stale), NOW).select("id", "status", "claim_token")
+
+
+def _stored(spark, table, **options) -> Store:
+    """A store of its own that holds a table of jobs."""
+    store = Store(spark, new_path(spark, "store"), **options)
+    store.write("queue", table, key=["id"])
+    return store
+
+
+_TAKEN = "SELECT id FROM jobs WHERE status IN ('queued', 'retry') AND available_at <= {now} AND attempts < least(max_attempts, 5) ORDER BY priority, created_at, id LIMIT {n}"
+
+
+@query(f"{_CTE}, top AS ({_TAKEN.format(now=_NOW, n=64)}), placed AS (SELECT id, row_number() OVER (ORDER BY priority, created_at, id) AS nth FROM jobs WHERE id IN (SELECT id FROM top)) SELECT j.id, CASE WHEN nth IS NULL THEN status ELSE 'claimed' END AS status, CASE WHEN nth <= 32 THEN 'one' WHEN nth <= 64 THEN 'two' ELSE claimed_by END AS claimed_by, (attempts + CASE WHEN nth IS NULL THEN 0 ELSE 1 END)::INT AS attempts FROM jobs j LEFT JOIN placed USING (id)")
+def store_two_claimers(spark, folder):
+    """Two workers read the same state and claim. The second one's commit meets the first one's and is made again, so no job has two owners; each writes the rows that it claims and no others."""
+    store = _stored(spark, job_table(spark, folder))
+    late = store.transaction()
+    late.merge("queue", jobs.claim(late.read("queue"), NOW, "two", changed=True))
+    store.update(lambda t: t.merge("queue", jobs.claim(t.read("queue"), NOW, "one", changed=True)))
+    try:
+        late.commit()
+    except Conflict:
+        store.update(lambda t: t.merge("queue", jobs.claim(t.read("queue"), NOW, "two", changed=True)))
+    return store.read("queue").select("id", "status", "claimed_by", "attempts")
+
+
+_MERGED = f"{_CTE}, first AS (SELECT id, CASE WHEN id::BIGINT % 50 = 3 THEN 'first' ELSE status END AS status FROM jobs), second AS (SELECT id, CASE WHEN id::BIGINT % 75 = 3 THEN 'second' ELSE status END AS status FROM first WHERE id::BIGINT % 40 <> 0) SELECT id, status FROM second UNION ALL SELECT 'new ' || id, 'added' FROM jobs WHERE id::BIGINT % 500 = 1"
+
+
+def _changed_twice(spark, folder) -> Store:
+    table = job_table(spark, folder).select("id", "status")
+    store, n = _stored(spark, table), F.col("id").cast("long")
+    store.merge("queue", table.where(n % 50 == 3).withColumn("status", F.lit("first")), table.where(n % 40 == 0))
+    store.merge("queue", table.where(n % 75 == 3).withColumn("status", F.lit("second")).unionByName(table.where(n % 500 == 1).select(F.concat(F.lit("new "), "id").alias("id"), F.lit("added").alias("status"))))
+    return store
+
+
+@query(_MERGED)
+def store_merge_on_read(spark, folder):
+    """A table with two changes on top: rows that take others' place, new ones, and some that go."""
+    return _changed_twice(spark, folder).read("queue")
+
+
+@query(_MERGED)
+def store_compacted(spark, folder):
+    """The same after the buckets that changed were rewritten, and what is not needed any more was deleted."""
+    store = _changed_twice(spark, folder)
+    store.compact("queue")
+    store.vacuum(1)
+    return store.read("queue")
+
+
 @query(f"{_CTE}, top AS (SELECT id FROM jobs WHERE status = 'dead' ORDER BY updated_at DESC, id LIMIT 50) SELECT id, CASE WHEN id IN (SELECT id FROM top) THEN 'retry' ELSE status END AS status, attempts FROM jobs")
 def requeue_dead_topn(spark, folder):
     return jobs.requeue_dead(job_table(spark, folder), NOW, 50).select("id", "status", "attempts")

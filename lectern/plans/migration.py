@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import jobs as J
 from lectern.operators import migrate, sync
 from lectern.plans.store import Store
+from lectern.scratch import cut
 
 CHUNKS = "kind IN ('pdf_chunk', 'fulltext_chunk')"
 
@@ -19,8 +20,9 @@ def seeded(jobs: DataFrame, documents: DataFrame, files: DataFrame, now, policy:
 
 
 def migrated(store: Store, now, policy: J.Policy, dry_run: bool = False, seed: bool = True) -> dict:
-    """Migrates a store that needs it, and reports: reasons, numbers of rows changed, and of jobs seeded by queue. Texts must stay as they are."""
-    docs, files = store.read("documents"), store.read("document_files")
+    """Migrates a store that needs it, in one commit, and reports: reasons, numbers of rows changed, and of jobs seeded by queue. Texts must stay as they are."""
+    t = store.transaction()
+    docs, files = t.read("documents"), t.read("document_files")
     out = {"reasons": migrate.reasons(docs, files).first()["reasons"], **migrate.change_counts(docs, files).first().asDict()}
     if dry_run or not out["reasons"]:
         return out
@@ -29,13 +31,13 @@ def migrated(store: Store, now, policy: J.Policy, dry_run: bool = False, seed: b
         raise ValueError("chunks of the old kind are left")
     migrate.check_unchanged(*(migrate.text_digest(d.where(CHUNKS), "id", "content") for d in (docs, new_docs)))
     migrate.check_unchanged(*(migrate.text_digest(f, "id", "extracted_text") for f in (files, new_files)))
-    tables = {"documents": new_docs, "document_files": new_files}
+    t.write("documents", new_docs)
+    t.write("document_files", new_files)
     if seed:
-        jobs = store.read("jobs")
-        fresh = seeded(jobs, new_docs, new_files, now, policy)
+        fresh = cut(seeded(t.read("jobs"), new_docs, new_files, now, policy), "jobs")
         out["jobs"] = {r["queue_name"]: r["n"] for r in fresh.groupBy("queue_name").agg(F.count("*").alias("n")).collect()}
-        tables["jobs"] = jobs.unionByName(fresh, allowMissingColumns=True).select(jobs.columns)
-    store.commit(**tables)
+        t.merge("jobs", fresh)
+    t.commit()
     return out
 
 

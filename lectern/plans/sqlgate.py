@@ -1,8 +1,8 @@
 """Read-only SQL: a statement is parsed, its plan and its functions are held against allow-lists, and only then analysed and run.
 
 Some forms are rewritten first, outside of literals, quoted names and comments: embed('literal') becomes a constant vector,
-computed once on the driver; `WHERE embedding MATCH <vector> AND k = <n>` over a registered vector view becomes the n rows
-nearest to it, with distance; and names of other engines that no SQL function can stand for become Spark's."""
+computed once on the driver; `x.embedding MATCH <vector> AND k = <n>`, wherever it stands, turns the vector view x into its n
+rows nearest to it (see match.py); and names of other engines that no SQL function can stand for become Spark's."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators.providers import Embedder
+from lectern.plans.match import Denied, replaced
 
 #: Plan nodes that only read.
 ALLOWED = frozenset((
@@ -25,10 +26,6 @@ MISC_FUNCTIONS = frozenset(("typeof", "uuid", "version", "user", "current_user",
 TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"))
 
 
-class Denied(ValueError):
-    """The statement is not one that only reads registered views."""
-
-
 def parse(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
@@ -159,7 +156,6 @@ class _Code:
 
 #: Codes of strftime to patterns of date_format (fixed values).
 _DATES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
-_MATCH = re.compile(r"\bFROM\s+(?P<view>\w+)(?:\s+(?:AS\s+)?(?!WHERE\b)(?P<alias>\w+))?\s+WHERE\s+(?:\w+\.)?embedding\s+MATCH\s+(?P<q>array\([^()]*\))\s+AND\s+k\s*=\s*(?P<k>\d+)", re.IGNORECASE)
 
 
 def _other_names(code: _Code) -> None:
@@ -186,14 +182,7 @@ def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str,
 
         code.calls("embed", vector)
 
-    def searched(m: re.Match) -> str:
-        if m["view"].lower() not in vector_views:
-            raise Denied(f"{m['view']} is no vector view")
-        # a limit with an order is a top-k of each task; a rank over all rows would be one task
-        near = f"SELECT *, l2_distance(CAST(embedding AS ARRAY<DOUBLE>), {m['q']}) AS distance FROM {m['view']} ORDER BY distance, {id_col} LIMIT {m['k']}"
-        return f"FROM ({near}) AS {m['alias'] or m['view']}"
-
-    return code.shown(_MATCH.sub(searched, code.text))
+    return code.shown(replaced(code.text, tuple(v.lower() for v in vector_views), id_col))
 
 
 def search(spark: SparkSession, sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",), id_col: str = "vec_id") -> DataFrame:

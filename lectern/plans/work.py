@@ -63,8 +63,8 @@ def extract(jobs: DataFrame, files: DataFrame, documents: DataFrame, contents: D
     result = cut(cut(made, "extracted").unionByName(lost).unionByName(skipped), "extracted")
 
     ready = result.where("extraction_status = 'ready'")
-    parts = chunking.chunks(ready, "id", "extracted_text", spans=True).join(ready.select("id", "page_texts"), "id")
-    placed = chunking.with_pages(parts, "page_texts", "start", "end")
+    parts = chunking.chunks(ready, "id", "extracted_text", spans=True)
+    placed = chunking.with_pages(parts, chunking.page_rows(ready, "id", "page_texts"))
     loc = F.when(F.col("page_start").isNotNull(), F.struct(F.col("page_end").alias("page_end"), F.col("page_start").alias("page_start")))
     meta = F.to_json(F.struct(loc.alias("loc"), F.lit("extraction").alias("origin"), F.lit(1).alias("schema_version")))
     new = placed.select(F.xxhash64(F.lit("chunk"), "id", "chunk_index").bitwiseAND(F.lit((1 << 63) - 1)).alias("id"), F.col("id").alias("document_file_id"), F.lit("fulltext_chunk").alias("kind"), "content", "chunk_index", meta.alias("metadata_json"), F.lit("pending").alias("embedding_status"))

@@ -37,6 +37,8 @@ TABLES = {
     "job_attempts": _struct("id string, job_id string!, attempt_no int!, worker_id string!, backend_name string, backend_version string, started_at timestamp!, finished_at timestamp, outcome string, error_class string, error_message string, metrics_json string"),
     "worker_runs": _struct("worker_id string, worker_type string!, backend_name string!, backend_version string, config_hash string, started_at timestamp!, last_heartbeat_at timestamp!, status string!"),
 }
+#: What tells rows of a table apart.
+KEYS = {name: ("doc_id",) if name == "vectors" else ("worker_id",) if name == "worker_runs" else ("id",) for name in TABLES}
 #: What a missing column holds in rows written before it was added.
 DEFAULTS = {"document_files": {"extraction_status": "pending", "storage_kind": "local"}, "documents": {"embedding_status": "pending"}, "jobs": {"priority": 100, "attempts": 0, "max_attempts": 5}}
 

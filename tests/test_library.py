@@ -382,7 +382,7 @@ def test_store(spark, tmp_path):
     store.commit(jobs=job(spark), vectors=spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<float>"))
     for _ in range(3):
         store.write("jobs", J.claim(store.read("jobs"), NOW, "w"))
-    assert store.read("jobs").first()["status"] == "claimed" and len(store.versions("jobs")) == 4 and store.vacuum("jobs") == 2 and store.read("jobs").count() == 1
+    assert store.read("jobs").first()["status"] == "claimed" and len(store.versions("jobs")) == 4 and store.vacuum() == 2 and store.read("jobs").count() == 1
     with pytest.raises(KeyError):
         store.read("nothing")
 
