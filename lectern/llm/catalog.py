@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import alignment, chat, decontaminate, infill, language, licenses, lmscore, neardup, packing, quality, sharding, urls
+from lectern.llm import alignment, chat, decontaminate, infill, language, licenses, lmscore, neardup, packing, quality, secretscan, sharding, urls
 from lectern.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.spans(table(spark, sf_dir, "documents")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -163,4 +167,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS, "op13_fill_in_middle": infill.oracle_sql()}
+    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS, "op12_secret_scan": secretscan.oracle_sql(), "op13_fill_in_middle": infill.oracle_sql()}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import alignment, chat, common, decontaminate, infill, language, licenses, lmscore, neardup, packing, quality, sharding, urls
+from lectern.llm import alignment, chat, common, decontaminate, infill, language, licenses, lmscore, neardup, packing, quality, secretscan, sharding, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = "The quick brown fox jumps over the lazy dog while seven wizards brew a potion of ink and amber beside the quiet river"
@@ -44,12 +44,13 @@ def runs(spark, docs, labels):
         "packing": lambda: packing.pack_documents(docs),
         "decontaminate": lambda: decontaminate.digest(decontaminate.contamination(docs, bench)),
         "neardup": lambda: neardup.near_duplicates(docs),
+        "secretscan": lambda: secretscan.digest(secretscan.spans(docs)),
         "alignment": lambda: alignment.aligned(docs),
         "infill": lambda: infill.digest(infill.fill_in_middle(docs)),
     }
 
 
-NAMES = ["licenses", "lmscore", "quality", "language", "sharding", "packing", "decontaminate", "neardup", "alignment", "infill"]
+NAMES = ["licenses", "lmscore", "quality", "language", "sharding", "packing", "decontaminate", "neardup", "alignment", "infill", "secretscan"]
 
 
 @pytest.mark.parametrize("name", NAMES)
