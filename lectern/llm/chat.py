@@ -101,8 +101,7 @@ _stay = [math.log(1 - LAST_LINE[a]) for a in ROLES]
 
 def code_of(line: str, after_blank: bool, opens: bool) -> int:
     """A line's features as one number."""
-    head = line[:40]
-    role = marked_role(line) if ":" in head or "]" in head or ">" in head or "#" in head else None
+    role = marked_role(line) if ":" in line or "]" in line or ">" in line or "#" in line else None
     marker = 0 if role is None else 1 + ROLES.index(role)
     size = 0 if len(line) < 80 else 1 if len(line) < 300 else 2
     return (((marker * 2 + after_blank) * 2 + opens) * 3 + size) * 2 + line.rstrip().endswith("?")
