@@ -1,12 +1,14 @@
 """Document probability under a subword lattice.
 
 A text is lower-cased (A-Z) and taken as its words, each with a word mark before it, and one end token. The pieces of an
-existing vocabulary give every word a lattice of segmentations. Weights of pieces start from the vocabulary's own scores
-(its order, read as a Zipf law) and are estimated anew, ROUNDS times, from the training documents: expected counts of pieces over
-all segmentations of all training words, smoothed by the starting weights. A word's marginal probability is the sum over
-all its segmentations, by a forward recursion in log space; as no piece crosses a word mark, the document's is the
-product over its words and the end token. The score under the starting weights alone is given beside it. Characters that the vocabulary lacks are spelt by its byte pieces, so each text
-has a positive probability, and with the end token the probabilities of all texts sum to at most one.
+existing vocabulary give every word a lattice of segmentations, weighted by the vocabulary's own scores (its order, read as a
+Zipf law). A word's marginal probability is the sum over all its segmentations, by a forward recursion in log space; as no piece
+crosses a word mark, the document's is the product over its words and the end token: the score. Characters that the
+vocabulary lacks are spelt by its byte pieces, so each text has a positive probability, and with the end token the
+probabilities of all texts sum to at most one.
+
+Beside it stands the score under weights that the corpus has taught: estimated anew, ROUNDS times, from the expected counts
+of pieces over all segmentations of all training words, smoothed by the vocabulary's weights.
 
 The base score is an add-0.1 unigram model over words, from the same table of counts. That table covers every word of
 every document and stays distributed. The `hot` most frequent short words, a fixed number, are sent to the tasks, which
@@ -39,7 +41,6 @@ MARK = "▁"
 END = " "
 HOT = 65_536
 HOT_BYTES = 64
-LONGEST = 16
 FLUSH = 150_000
 #: Words that one step of the recursion takes, and the weight of the starting probabilities, in pieces.
 STEP_WORDS = 8192
@@ -109,7 +110,7 @@ def load(path: str | None = None) -> Pieces:
     scored, least = [], 0.0
     for i in range(sp.get_piece_size()):
         piece, score = sp.id_to_piece(i), sp.get_score(i)
-        if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or (MARK * 2 in piece) or score < -1e8 or len(piece) > LONGEST:
+        if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or (MARK * 2 in piece) or score < -1e8:
             continue
         scored.append((piece, -math.log(ZIPF - score)))
         least = min(least, scored[-1][1])
@@ -271,8 +272,8 @@ def _word_scoring(v: Pieces, start: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            scores = [pa.array(x / math.log(10)) for x in lattice_scores(words, v, [v.logp, start])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores], ["word", "c", "lattice", "first"])
+            scores = [pa.array(x / math.log(10)) for x in lattice_scores(words, v, [start, v.logp])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores], ["word", "c", "lattice", "estimated"])
 
     return run
 
@@ -287,7 +288,7 @@ def _document_scoring(hot: list[tuple[str, bool, float, float, float]], end: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score", "start"]
+        names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score", "anew"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -334,7 +335,7 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
 
 def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | None = None, hot_words: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score (under the starting weights; all log10), and the number of distinct training tokens V."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, estimated_score (under the weights that are estimated anew; all log10), and the number of distinct training tokens V."""
     arrow_ready(documents.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -355,16 +356,16 @@ def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | Non
 
     base_of = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
     frequent = sorted((r["word"], r["c"], r["base"]) for r in _most_frequent(table, hot_words).select("word", "c", base_of.alias("base")).collect())
-    lattice = [x / math.log(10) for x in lattice_scores([w for w, _, _ in frequent], pieces, [pieces.logp, start.logp])]
+    lattice = [x / math.log(10) for x in lattice_scores([w for w, _, _ in frequent], pieces, [start.logp, pieces.logp])]
     hot = [(w, c > 0, base, float(p), float(q)) for (w, c, base), p, q in zip(frequent, *lattice, strict=True)]
-    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), pieces.end / math.log(10), start.end / math.log(10))
+    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), start.end / math.log(10), pieces.end / math.log(10))
 
-    scored = table.select("word", "c").mapInArrow(_word_scoring(pieces, start.logp), "word string, c long, lattice double, first double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice", "first")
-    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double, start double")
+    scored = table.select("word", "c").mapInArrow(_word_scoring(pieces, start.logp), "word string, c long, lattice double, estimated double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice", "estimated")
+    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double, anew double")
     joined = rows.join(scored, "word", "left")
 
     def total_of(own: str, by_word: str) -> Column:
         return F.sum(F.col(own) + F.coalesce(F.col("times") * F.col(by_word), F.lit(0)))
 
-    summed = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), total_of("known", "k").alias("n_known"), total_of("base", "b").alias("base_score"), total_of("score", "lattice").alias("score"), total_of("start", "first").alias("vocabulary_score"))
-    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score", F.lit(v).cast("long").alias("train_types"))
+    summed = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), total_of("known", "k").alias("n_known"), total_of("base", "b").alias("base_score"), total_of("score", "lattice").alias("score"), total_of("anew", "estimated").alias("estimated_score"))
+    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "estimated_score", F.lit(v).cast("long").alias("train_types"))

@@ -278,7 +278,7 @@ def test_scores(spark, small, texts):
     v0, some = lmscore.load(), sorted(texts)[:20]
     for i in some:
         want = (sum(lmscore.word_log_probabilities(tokens[i][:-1], v0)) + v0.end) / math.log(10)
-        assert math.isclose(got[i]["vocabulary_score"], want, rel_tol=1e-9)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
     # the share of words that are sent to the tasks changes nothing
     other = {r["doc_id"]: r["score"] for r in lmscore.score_documents(table(spark, small, "documents")).collect()}
     assert all(math.isclose(other[i], got[i]["score"], rel_tol=1e-9) for i in other)
