@@ -8,9 +8,10 @@ which no more than `REFUSED` of them fall.
 
 The models read the whole host, path and query of every URL that no rule decides. Labels come from the rules (a URL that
 a rule decides is an example for that verdict; the host's end and the path's start that this very rule names are not read
-in it, as the models would only learn to stretch the rules) and from examples that the caller may pass. Of each verdict
-the `per_class` distinct URLs with the smallest hashes are fitted, of longer URLs the first `FIT_CHARS` characters. A rule's
-verdict always stands; the models judge the rest, and what they know is what rules and examples show.
+in it, as the models would only learn to stretch the rules) and from examples that the caller may pass. Of each verdict a
+bounded sample is fitted: the distinct URLs with the smallest hashes, `per_class` of them at most, and of these in turn each that
+fits into the `FIT_CHARS` characters that all together may have. Each URL is read whole. A rule's verdict always stands; the
+models judge the rest, and what they know is what rules and examples show.
 
 Nulls: a null URL, or one without `://`, has an empty host and path, no rule, and is judged by its characters (none for
 null). A URL without characters has ratio 0 and passes. Without both classes of labels everything is allowed, with ratio
@@ -29,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_ready, column_bytes, mix, part_of
+from lectern.llm.common import arrow_ready, column_bytes, cut, mix, part_of, steps
 
 ORDER = 5
 PER_CLASS = 20_000
 SLOTS = 1 << 17
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Characters of a labelled URL that are fitted.
-FIT_CHARS = 4096
+#: Characters of all URLs together that are fitted for a verdict.
+FIT_CHARS = 8 << 20
+#: Characters that one vectorised step takes.
+STEP_CHARS = 1 << 16
 #: Share of accepted URLs that the calibrated threshold may refuse.
 REFUSED = 0.05
 
@@ -69,14 +72,17 @@ class Counts:
 
     @classmethod
     def of(cls, urls: list[bytes], order: int = ORDER) -> Counts:
-        pairs, contexts, chars = _slots(urls, order)
-        out = cls(*(np.zeros((order + 1, SLOTS), np.float32) for _ in range(3)))
+        out = cls(*(np.zeros((order + 1, SLOTS), np.float64) for _ in range(3)))
+        seen = np.zeros((order + 1, SLOTS * 32), np.uint8)  # a bit for each character after each context
+        for _, pairs, contexts, chars in _steps(urls, order):
+            for k in range(order + 1):
+                out.pair[k] += np.bincount(pairs[k], minlength=SLOTS)
+                out.context[k] += np.bincount(contexts[k], minlength=SLOTS)
+                after = np.unique(contexts[k] * 256 + chars)
+                np.bitwise_or.at(seen[k], after >> 3, np.left_shift(1, after & 7).astype(np.uint8))
         for k in range(order + 1):
-            out.pair[k] = np.bincount(pairs[k], minlength=SLOTS)
-            out.context[k] = np.bincount(contexts[k], minlength=SLOTS)
-            different = np.unique(contexts[k].astype(np.int64) * 256 + chars) // 256
-            out.kinds[k] = np.bincount(different, minlength=SLOTS)
-        return out
+            out.kinds[k] = np.bitwise_count(seen[k]).reshape(SLOTS, 32).sum(axis=1)
+        return cls(*(x.astype(np.float32) for x in (out.pair, out.context, out.kinds)))
 
     def log_likelihood(self, pairs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         p = np.full(len(pairs[0]), 1 / 256)
@@ -103,6 +109,22 @@ def _slots(urls: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nda
     return pairs, contexts, c
 
 
+def _steps(urls: list[bytes], order: int, most: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """For each character in turn, in bounded steps, the URL that it is in and its slots. A long URL is taken in parts, each with the characters before it that contexts look back at."""
+    most = most or STEP_CHARS
+    for at, some in steps(urls, most):
+        if len(some) > 1 or len(some[0]) <= most:
+            yield at + np.repeat(np.arange(len(some)), [len(u) + 1 for u in some]), *_slots(some, order)
+            continue
+        u = some[0]
+        for i in range(0, len(u) + 1, most):
+            before = min(i, order)
+            # the end mark is there in the last part only
+            part = slice(before, None if i + most > len(u) else -1)
+            pairs, contexts, c = _slots([u[i - before : i + most]], order)
+            yield np.full(len(c[part]), at), [x[part] for x in pairs], [x[part] for x in contexts], c[part]
+
+
 @dataclass
 class Ratio:
     allow: Counts
@@ -111,10 +133,13 @@ class Ratio:
 
     def scores(self, urls: list[bytes]) -> np.ndarray:
         """Mean over characters of log P(accepted) - log P(rejected)."""
-        sizes = np.array([len(u) + 1 for u in urls])
-        pairs, contexts, _ = _slots(urls, len(self.allow.pair) - 1)
-        d = self.allow.log_likelihood(pairs, contexts) - self.block.log_likelihood(pairs, contexts)
-        out = np.add.reduceat(d, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes if urls else np.zeros(0)
+        sizes, total = np.array([len(u) + 1 for u in urls], np.int64), np.zeros(len(urls))
+        for owner, pairs, contexts, _ in _steps(urls, len(self.allow.pair) - 1):
+            d = self.allow.log_likelihood(pairs, contexts) - self.block.log_likelihood(pairs, contexts)
+            first = owner[0] if len(owner) else 0
+            sums = np.bincount(owner - first, d)
+            total[first : first + len(sums)] += sums
+        out = total / sizes
         out[sizes == 1] = 0
         return out
 
@@ -181,6 +206,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, per
     sample = []
     for verdict, n in sorted(sizes.items()):
         # the hash chooses among rows first, so that only chosen URLs are shuffled to tell them apart
-        chosen = labelled.where((F.col("ruled") == verdict) & part_of(F.col("h"), per_class, n)).select("h", F.substring("url", 1, FIT_CHARS).alias("url"), "rule").distinct()
-        sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), r["rule"]), verdict) for r in chosen.orderBy("h", "url", "rule").limit(per_class).collect()]
+        chosen = labelled.where((F.col("ruled") == verdict) & part_of(F.col("h"), per_class, n)).select("h", "url", "rule").distinct()
+        chosen = cut(chosen.withColumn("size", F.octet_length("url")), "labelled-urls")
+        told = chosen.select("h", "size").orderBy("h", "size").limit(per_class).collect()
+        taken, left = [], FIT_CHARS
+        for r in told:
+            if r["size"] <= left:
+                taken.append((r["h"], r["size"]))
+                left -= r["size"]
+        wanted = F.broadcast(pages.sparkSession.createDataFrame(taken, "h long, size int").distinct())  # `per_class` rows at most
+        found = chosen.join(wanted, ["h", "size"]).select("url", "rule").collect()
+        sample += [(comparable(r["url"].encode("utf-8", "surrogatepass"), r["rule"]), verdict) for r in found]
     return ruled.mapInArrow(_judging(fit(sample)), "page_id long, host string, path string, rule string, verdict string, ratio double, threshold double")
