@@ -5,25 +5,32 @@ the templates' k-grams; a gram at word p that equals a template's gram at word t
 summed up by document, template and diagonal; diagonals of one template that are at most `gap` apart belong to one
 passage with inserted or dropped words, and are merged. A merged passage is verified by the share of the template's grams
 that it holds in the template's order, each at most `gap` diagonals from the one before: all of a short template's, three
-quarters of a longer one's. A diagonal that holds all grams of a template is an exact place. Hashes only find candidates:
+quarters of a longer one's, as whole licenses come with other names and years. A diagonal that holds all grams of a template is an exact place. Hashes only find candidates:
 the join also compares the words.
 
+Short names and notices are known by pairs of words. Pairs of a whole license stand in any text, so a template of more than LONG
+words is known by WIDE words in a row; these are looked up by their first pair too, in the same join.
+
 The templates are a fixed, small table (their number is checked), so their side is broadcast and the grams of the
 corpus are never shuffled; only votes and a row for each document are.
 
 Nulls: a null text has no words, no places and score 0. Repeated rows, and rows with one doc_id or none, get their own
 row each. Ties: a gram that stands in a template more than once, or in several templates, votes for each. Very long texts are
-read whole; a step of the verification looks at a template's grams, so it takes time in proportion to a passage's votes.
+read whole; a step of the verification looks at a template's grams, so it takes time in proportion to a passage's votes. A template
+may have any number of words, so whole licenses are among them.
 Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words of a gram, at least two; no template is shorter.
+#: Words of a gram, at least two; no template is shorter. Words of a gram of a template that is longer than LONG.
 K = 2
+WIDE, LONG = 6, 30
 GAP = 3
 #: Words of a template up to which all its grams are needed; the share that a longer one needs.
 SHORT = 6
@@ -54,6 +61,40 @@ NOTICES = [
     ("all rights reserved", "reserved"),
 ]
 
+#: Whole licenses, as they are published, without the lines that name a holder.
+WHOLE = {
+    "mit": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+    """,
+    "isc": """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.
+    """,
+    "bsd": """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+        OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+    """,
+    "unlicense": """
+        This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large
+        and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+    """,
+}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -63,46 +104,58 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), "")
 
 
+def template_of(text: str) -> str:
+    """The words of a license's text, as templates have them."""
+    return " ".join(w for w in re.split(SEPARATORS, text.translate(str.maketrans(UPPER, LOWER))) if w)
+
+
+KNOWN = [*NOTICES, *((template_of(text), label) for label, text in WHOLE.items())]
+
+
 def _templates(spark: SparkSession, base: list[tuple[str, str]], notices: list[tuple[str, str]], k: int) -> DataFrame:
     rows = []
     for number, (phrase, label) in enumerate([*base, *notices]):
         words = phrase.split()
-        if not k <= len(words) <= 63 + k:
-            raise ValueError(f"a template has {k} to {63 + k} words: {phrase!r}")
-        rows += [(number, label, number < len(base), len(words), t, words[t : t + k]) for t in range(len(words) - k + 1)]
+        if len(words) < k:
+            raise ValueError(f"a template has {k} words at least: {phrase!r}")
+        width = WIDE if len(words) > LONG else k
+        rows += [(number, label, number < len(base), len(words), width, t, words[t : t + width]) for t in range(len(words) - width + 1)]
     if len(rows) > MOST_GRAMS:
         raise ValueError("too many templates to send to every task")
-    grams = spark.createDataFrame(rows, "template int, label string, base boolean, length int, at int, gram array<string>").coalesce(1)
-    return grams.select("template", "label", "base", "length", "at", *(F.col("gram")[i].alias(f"t{i}") for i in range(k))).withColumn("gram_hash", F.xxhash64(*(f"t{i}" for i in range(k))))
+    grams = spark.createDataFrame(rows, "template int, label string, base boolean, length int, width int, at int, gram array<string>").coalesce(1)
+    return grams.select("template", "label", "base", "length", "width", "at", *(F.get("gram", F.lit(i)).alias(f"t{i}") for i in range(max(k, WIDE)))).withColumn("gram_hash", F.xxhash64(*(f"t{i}" for i in range(k))))
 
 
 def votes(documents: DataFrame, base: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None, k: int = K) -> DataFrame:
     """A row for each vote, and one with null template for each document (at its last word, or null without words)."""
-    known = _templates(documents.sparkSession, BASE if base is None else base, NOTICES if notices is None else notices, k)
+    known = _templates(documents.sparkSession, BASE if base is None else base, KNOWN if notices is None else notices, k)
+    most = max(k, WIDE)
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    shifted = docs.select("row", "doc_id", F.col("words").alias("w0"), *(F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{i}") for i in range(1, k)))
-    rolled = shifted.select("row", "doc_id", F.posexplode_outer(F.arrays_zip(*(f"w{i}" for i in range(k)))).alias("pos", "g")).select("row", "doc_id", "pos", "g.*")
+    shifted = docs.select("row", "doc_id", F.col("words").alias("w0"), *(F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{i}") for i in range(1, most)))
+    rolled = shifted.select("row", "doc_id", F.posexplode_outer(F.arrays_zip(*(f"w{i}" for i in range(most)))).alias("pos", "g")).select("row", "doc_id", "pos", "g.*")
     whole = F.col(f"w{k - 1}").isNotNull()
     hashed = rolled.withColumn("gram_hash", F.when(whole, F.xxhash64(*(f"w{i}" for i in range(k)))))
-    same = F.expr(" AND ".join(["d.gram_hash = t.gram_hash", *(f"w{i} = t{i}" for i in range(k))]))
+    # the words past a template's gram are null in it
+    same = F.expr(" AND ".join(["d.gram_hash = t.gram_hash", *(f"w{i} = t{i}" for i in range(k)), *(f"(t{i} IS NULL OR coalesce(w{i} = t{i}, false))" for i in range(k, most))]))
     met = hashed.alias("d").join(F.broadcast(known.alias("t")), same, "left")
     last = F.col("w1").isNull()
-    return met.where(F.col("template").isNotNull() | last).select("row", "doc_id", F.when(last, F.coalesce(F.col("pos") + 1, F.lit(0))).alias("n_words"), "template", "label", "base", "length", "at", "pos")
+    return met.where(F.col("template").isNotNull() | last).select("row", "doc_id", F.when(last, F.coalesce(F.col("pos") + 1, F.lit(0))).alias("n_words"), "template", "label", "base", "length", "width", "at", "pos")
 
 
-def passages(found: DataFrame, k: int = K, gap: int = GAP) -> DataFrame:
+def passages(found: DataFrame, gap: int = GAP) -> DataFrame:
     """Merged passages: row, doc_id, template, label, base, start, stop (words), coverage, score, accepted, exact places (number, first, last); documents' own rows stay, with n_words."""
     by_row = found.repartition("row")
-    lines = by_row.groupBy("row", "doc_id", "template", "label", "base", "length", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.count("at").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    lines = by_row.groupBy("row", "doc_id", "template", "label", "base", "length", "width", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.count("at").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list("at").alias("ats"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     grouped = lines.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
-    grouped = grouped.withColumn("passage", F.sum("new").over(order)).withColumn("exact", F.col("votes") == F.col("length") - (k - 1))
-    spans = grouped.groupBy("row", "doc_id", "template", "label", "base", "length", "passage").agg(
-        F.max("n_words").alias("n_words"), F.min("first").alias("start"), (F.max("last") + k).alias("stop"), F.bit_count(F.bit_or("mask")).alias("held"), F.collect_list(F.struct("diagonal", "mask")).alias("lines"),
+    grouped = grouped.withColumn("passage", F.sum("new").over(order)).withColumn("exact", F.col("votes") == F.col("length") - F.col("width") + 1)
+    spans = grouped.groupBy("row", "doc_id", "template", "label", "base", "length", "width", "passage").agg(
+        F.max("n_words").alias("n_words"), F.min("first").alias("start"), (F.max("last") + F.first("width")).alias("stop"), F.collect_list(F.struct("diagonal", "ats")).alias("lines"),
         F.count_if("exact").alias("places"), F.min(F.when(F.col("exact"), F.col("diagonal"))).alias("first_place"), F.max(F.when(F.col("exact"), F.col("diagonal"))).alias("last_place"),
     )
-    grams = F.col("length") - (k - 1)
+    grams = F.col("length") - F.col("width") + 1
     needed = F.when(F.col("length") <= SHORT, F.lit(1.0)).otherwise(F.lit(SHARE))
+    spans = spans.withColumn("held", F.when(F.size("lines") == 1, F.size(F.get("lines", F.lit(0))["ats"])).otherwise(F.size(F.array_distinct(F.flatten(F.col("lines.ats"))))))
     # on one line grams are in order; of several lines that hold too few in any order nothing more is asked
     open_ = (F.size("lines") > 1) & (F.col("places") == 0) & (F.col("held") >= needed * grams)
     held = F.when(open_, in_order(F.col("lines"), grams, gap)).otherwise(F.col("held"))
@@ -111,9 +164,9 @@ def passages(found: DataFrame, k: int = K, gap: int = GAP) -> DataFrame:
 
 
 def in_order(lines: Column, grams: Column, gap: int) -> Column:
-    """Of votes given by diagonal and mask of template positions, the most that follow each other: in the order of the text, each at
+    """Of votes given by diagonal and the template's positions on it, the most that follow each other: in the order of the text, each at
     a later position of the template, and at most `gap` diagonals from the last vote there was for the position before it."""
-    placed = lambda x: F.transform(F.filter(F.sequence(F.lit(0), grams - 1), lambda t: F.getbit(x["mask"], t) == 1), lambda t: F.struct((x["diagonal"] + t).alias("pos"), (-t).alias("down"), x["diagonal"].alias("diagonal")))
+    placed = lambda x: F.transform(x["ats"], lambda t: F.struct((x["diagonal"] + t).alias("pos"), (-t).alias("down"), x["diagonal"].alias("diagonal")))
     votes = F.array_sort(F.flatten(F.transform(lines, placed)))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("diagonal"))
     start = F.struct(F.lit(0).alias("best"), F.transform(F.sequence(F.lit(0), grams - 1), lambda _: none).alias("ends"))
@@ -145,24 +198,25 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same, in DuckDB's SQL, without hashes."""
-    known = ", ".join(f"({n}, '{p}', '{label}', {str(n < len(BASE)).lower()})" for n, (p, label) in enumerate([*BASE, *NOTICES]))
+    known = ", ".join(f"({n}, '{p}', '{label}', {str(n < len(BASE)).lower()})" for n, (p, label) in enumerate([*BASE, *KNOWN]))
     return rf"""
 WITH RECURSIVE t AS (SELECT template, label, base, string_split(phrase, ' ') AS tw FROM (VALUES {known}) v(template, phrase, label, base)),
-tg AS (SELECT template, label, base, len(tw) AS length, i - 1 AS place, tw[i] AS t0, tw[i + 1] AS t1 FROM t, range(1, 64) r(i) WHERE i < len(tw)),
+tw AS (SELECT *, CASE WHEN len(tw) > {LONG} THEN {WIDE} ELSE {K} END AS width FROM t),
+tg AS (SELECT template, label, base, len(tw) - width + 1 AS grams, len(tw) AS length, i - 1 AS place, {", ".join(f"CASE WHEN width > {i} THEN tw[i + {i}] END AS t{i}" for i in range(WIDE))} FROM tw, range(1, (SELECT max(len(tw)) FROM t)) r(i) WHERE i + width - 1 <= len(tw)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT rid, unnest(w) AS w0, unnest(w[2:]) AS w1, unnest(range(0, len(w))) AS pos FROM d),
-met AS MATERIALIZED (SELECT rid, template, label, base, length, pos, place, pos - place AS diagonal FROM p JOIN tg ON w0 = t0 AND w1 = t1),
-votes AS (SELECT rid, template, label, base, length, diagonal, count(*) AS votes, bit_or(1::BIGINT << place) AS mask FROM met GROUP BY ALL),
+p AS (SELECT rid, {", ".join(f"unnest(w[{i + 1}:]) AS w{i}" for i in range(WIDE))}, unnest(range(0, len(w))) AS pos FROM d),
+met AS MATERIALIZED (SELECT rid, template, label, base, length, grams, pos, place, pos - place AS diagonal FROM p JOIN tg ON w0 = t0 AND w1 = t1 AND (t2 IS NULL OR ({" AND ".join(f"w{i} = t{i}" for i in range(2, WIDE))}))),
+votes AS (SELECT rid, template, label, base, length, grams, diagonal, count(*) AS votes, list(place) AS ats FROM met GROUP BY ALL),
 marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {GAP} THEN 0 ELSE 1 END AS fresh FROM votes WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
 numbered AS MATERIALIZED (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal)::BIGINT AS passage FROM marked),
 spans AS MATERIALIZED (
-  SELECT rid, template, label, base, length, passage, bit_count(bit_or(mask)) AS held, count(*) AS lines, count(*) FILTER (votes = length - 1) AS places, CASE WHEN length <= {SHORT} THEN 1.0 ELSE {SHARE} END AS needed,
-    min(diagonal) FILTER (votes = length - 1) AS first_place, max(diagonal) FILTER (votes = length - 1) AS last_place
-  FROM numbered GROUP BY rid, template, label, base, length, passage
+  SELECT rid, template, label, base, length, grams, passage, len(list_distinct(flatten(list(n.ats)))) AS held, count(*) AS lines, count(*) FILTER (votes = grams) AS places, CASE WHEN length <= {SHORT} THEN 1.0 ELSE {SHARE} END AS needed,
+    min(diagonal) FILTER (votes = grams) AS first_place, max(diagonal) FILTER (votes = grams) AS last_place
+  FROM numbered n GROUP BY rid, template, label, base, length, grams, passage
 ),
 unsure AS (
-  SELECT rid, template, passage, m.length - 1 AS grams, m.place, m.diagonal, row_number() OVER (PARTITION BY rid, template, passage ORDER BY m.pos, m.place DESC) AS number
-  FROM spans JOIN numbered n USING (rid, template, passage) JOIN met m USING (rid, template, diagonal) WHERE lines > 1 AND places = 0 AND held >= needed * (m.length - 1)
+  SELECT rid, template, passage, m.grams, m.place, m.diagonal, row_number() OVER (PARTITION BY rid, template, passage ORDER BY m.pos, m.place DESC) AS number
+  FROM spans JOIN numbered n USING (rid, template, passage) JOIN met m USING (rid, template, diagonal) WHERE lines > 1 AND places = 0 AND held >= needed * m.grams
 ),
 walk AS (
   SELECT rid, template, passage, 0::BIGINT AS number, 0::BIGINT AS best, list_transform(range(0, grams), lambda i: 0::BIGINT) AS ends, list_transform(range(0, grams), lambda i: 0::BIGINT) AS lines FROM unsure WHERE number = 1
@@ -172,7 +226,7 @@ walk AS (
     FROM walk w JOIN unsure u ON u.rid = w.rid AND u.template = w.template AND u.passage = w.passage AND u.number = w.number + 1)
 ),
 ordered AS (SELECT rid, template, passage, max(best) AS best FROM walk GROUP BY ALL),
-told AS (SELECT *, base AND places > 0 AS place, (base AND places > 0) OR coverage >= needed AS good FROM (SELECT s.*, coalesce(best, held) / (length - 1) AS coverage FROM spans s LEFT JOIN ordered USING (rid, template, passage)))
+told AS (SELECT *, base AND places > 0 AS place, (base AND places > 0) OR coverage >= needed AS good FROM (SELECT s.*, coalesce(best, held) / grams AS coverage FROM spans s LEFT JOIN ordered USING (rid, template, passage)))
 SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, coalesce(sum(places) FILTER (place), 0)::BIGINT AS n_base,
   (min(first_place) FILTER (place))::BIGINT AS first_word, (max(last_place) FILTER (place))::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (place)), ','), '') AS base_labels,
