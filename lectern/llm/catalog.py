@@ -78,6 +78,15 @@ def sharding_of_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARDS)
 
 
+#: Bytes of a shard at which some buckets split once more than their neighbours.
+UNEVEN_SHARDS = 160 << 10
+
+
+def sharding_of_uneven_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 where only the buckets that are too large split on another bit, so depths differ."""
+    return sharding.assign(table(spark, sf_dir, "documents"), UNEVEN_SHARDS)
+
+
 def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4's figures without the ratio, and what the base rules make of them."""
     return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -95,7 +104,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
-    return found | {f.__name__: f for f in (packing_of_instructions, sharding_of_small_shards, quality_base_figures, lm_base_scores, url_rules)}
+    return found | {f.__name__: f for f in (packing_of_instructions, sharding_of_small_shards, sharding_of_uneven_shards, quality_base_figures, lm_base_scores, url_rules)}
 
 
 def _sharding(limit: int) -> str:
@@ -167,4 +176,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS, "op12_secret_scan": secretscan.oracle_sql(), "op13_fill_in_middle": infill.oracle_sql()}
+    return {"op2_license_scan": licenses.oracle_sql(), "op6_sharding": _sharding(sharding.LIMIT), "sharding_of_small_shards": _sharding(SMALL_SHARDS), "sharding_of_uneven_shards": _sharding(UNEVEN_SHARDS), "op9_decontamination": _DECONTAMINATION, "quality_base_figures": _QUALITY, "lm_base_scores": _LM, "url_rules": _URLS, "op12_secret_scan": secretscan.oracle_sql(), "op13_fill_in_middle": infill.oracle_sql()}

@@ -21,12 +21,13 @@ whole, words in parts. Extra columns are ignored. Empty tables give empty result
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import RULE_BYTES, Words, arrow_ready, column_bytes, cut, steps, unused, windows
 
@@ -176,11 +177,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND_TYPE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 _FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _matching(rows: list, carried: list[str]):
-    """Documents with the words that windows cover and the items whose windows occur, from the rows of a prefix table that a task can hold."""
+def _matching(rows: list) -> Callable[[Column], Column]:
+    """A column function: of a text its number of words, the words that windows cover and the items whose windows occur, from the rows of a prefix table that a task can hold. Texts go to Python; other columns stay where they are."""
     numbers: dict[str, int] = {}
     wanted: list[tuple[list[bytes], list[str]]] = []
     prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -196,35 +198,34 @@ def _matching(rows: list, carried: list[str]):
     found = {width: _Seen(np.array(sorted(k), np.uint64)) for width, k in chosen.items()}
     prefix = dict(prefix)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts_all = column_bytes(batch, "text")
-            n_words = np.zeros(len(texts_all), np.int64)
-            spans: list[list[dict]] = [[] for _ in texts_all]
-            items: list[list] = [[] for _ in texts_all]
-            for base, texts in steps(texts_all):
-                w = Words(texts, RULE_BYTES)
-                n_words[base : base + len(texts)] = w.counts
-                places: dict[int, set[tuple[int, int]]] = defaultdict(set)
-                here: dict[int, set] = defaultdict(set)
-                for width, s in found.items():
-                    at, index = s.find(windows(w.hashes, width))
-                    docs = np.searchsorted(w.first, at, "right") - 1
-                    for p, k, d in zip(at.tolist(), index.tolist(), docs.tolist(), strict=True):
-                        for number, offset in prefix[int(s.keys[k])]:
-                            words, names = wanted[number]
-                            start, end = p - offset, p - offset + len(words)
-                            if start < w.first[d] or end > w.first[d + 1]:
-                                continue
-                            if all(w.word(start + j) == x for j, x in enumerate(words)):
-                                places[d].add((int(start - w.first[d]), int(end - w.first[d])))
-                                here[d].update(names)
-                for d, got in places.items():
-                    spans[base + d], items[base + d] = _merged(got), sorted(here[d])
-            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], [*carried, "n_words", "spans", "items"])
-
-    return run
+    @F.arrow_udf(_FOUND_TYPE)
+    def matched(texts: pa.Array) -> pa.Array:
+        texts_all = [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]
+        n_words = np.zeros(len(texts_all), np.int64)
+        spans: list[list[dict]] = [[] for _ in texts_all]
+        items: list[list] = [[] for _ in texts_all]
+        for base, some in steps(texts_all):
+            w = Words(some, RULE_BYTES)
+            n_words[base : base + len(some)] = w.counts
+            places: dict[int, set[tuple[int, int]]] = defaultdict(set)
+            here: dict[int, set] = defaultdict(set)
+            for width, s in found.items():
+                at, index = s.find(windows(w.hashes, width))
+                docs = np.searchsorted(w.first, at, "right") - 1
+                for p, k, d in zip(at.tolist(), index.tolist(), docs.tolist(), strict=True):
+                    for number, offset in prefix[int(s.keys[k])]:
+                        words, names = wanted[number]
+                        start, end = p - offset, p - offset + len(words)
+                        if start < w.first[d] or end > w.first[d + 1]:
+                            continue
+                        if all(w.word(start + j) == x for j, x in enumerate(words)):
+                            places[d].add((int(start - w.first[d]), int(end - w.first[d])))
+                            here[d].update(names)
+            for d, got in places.items():
+                spans[base + d], items[base + d] = _merged(got), sorted(here[d])
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+    return matched
 
 
 def _finishing(carried: list[str], spans: str, items: str):
@@ -275,7 +276,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         if (prefixes.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 64).alias("n")).first()["n"] or 0) > most_bytes:
             return _joined(docs, prefixes, widths, window, carried, kinds)
         rows = prefixes.collect()  # most_bytes at most
-    return docs.mapInArrow(_matching(rows, carried), kinds)
+    return docs.withColumn(found := unused(docs.columns, "found"), _matching(rows)(F.col("text"))).select(*(F.col(f"`{c}`") for c in carried), f"{found}.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -15,12 +15,12 @@ Nulls: a null text, or one without a letter, is `und` with score 0 and not ambig
 null doc_id is predicted like others, is not held out and is not learnt from. Without any labelled row every text is
 `und`. Repeated rows are predicted each; in fitting, rows with one doc_id and lang count once (the text that sorts first).
 Ties: of languages that are equally near, the one that sorts first wins, and the text is ambiguous. Very long texts are
-read whole, one at a time. Extra columns are ignored. An empty table gives no rows.
+read whole, one at a time and in parts. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import arrow_ready, column_bytes, part_of, steps
+from lectern.llm.common import STEP_BYTES, arrow_ready, column_bytes, part_of, steps, unused
 
 PER_LANGUAGE = 400
 MOST_ROWS = 6000
@@ -56,28 +57,63 @@ def _letter_table() -> np.ndarray:
     return _letters["is"]
 
 
-def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of square-rooted n-gram counts, and the number of letters, of at most TEXTS texts."""
-    is_letter = _letter_table()
-    whole = [t.decode("utf-8", "replace").lower() for t in texts]
-    sizes = np.array([len(t) + 2 for t in whole])
-    c = np.frombuffer(" ".join(["", *(t + " " for t in whole)]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)[: len(c)]
-    c = c[: len(row)]
-    letter = is_letter[c]
-    c = np.where(letter, c, 0x20).astype(np.uint64)
-    n_letters = np.bincount(row[letter], minlength=len(texts))
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # of runs of other characters only the first counts
-    c, row = c[keep], row[keep]
-    x = np.zeros(len(texts) * buckets)
+def _counted(c: np.ndarray, row: np.ndarray, x: np.ndarray, buckets: int, old: int = 0) -> None:
+    """Adds to x (a row of buckets for each text) the n-grams of the characters c that are in rows of texts, but for those that end among the first `old`."""
     shift = np.uint64(64 - buckets.bit_length() + 1)
     h = np.zeros(len(c), np.uint64)
     for n in range(1, 4):
-        h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + (c[n - 1 :] + np.uint64(n << 21))
+        h = h[: max(0, len(c) - n + 1)] * np.uint64(0x100000001B3) + (c[n - 1 :] + np.uint64(n << 21))
         here = row[: len(h)]
-        same = here == row[n - 1 :]
+        same = (here == row[n - 1 :]) & (np.arange(len(h)) + n > old)
         x += np.bincount(here[same] * buckets + ((h[same] * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), minlength=len(x))
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that end at a blank, where there is one, and at a character in any case. (Only a sigma where a word of such length is cut may be folded otherwise.)"""
+    at = 0
+    while at < len(text):
+        stop = text.rfind(b" ", at, at + STEP_BYTES) + 1
+        if not stop:
+            stop = at + STEP_BYTES
+            while stop < len(text) and text[stop] & 0xC0 == 0x80:
+                stop += 1
+        yield text[at:stop]
+        at = stop
+
+
+def _long_counts(text: bytes, buckets: int) -> tuple[np.ndarray, int]:
+    """The n-gram counts of one long text, part by part, and its letters: what a whole pass would count."""
+    is_letter, x = _letter_table(), np.zeros(buckets)
+    n_letters, tail, after_letter = 0, np.zeros(0, np.uint64), False
+    for part in (*_parts(text), b" "):
+        c = np.frombuffer(part.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = is_letter[c]
+        n_letters += int(letter.sum())
+        keep = letter | np.concatenate(([after_letter], letter[:-1]))
+        c, after_letter = np.where(letter, c, 0x20).astype(np.uint64)[keep], bool(letter[-1])
+        joined = np.concatenate((tail, c))
+        _counted(joined, np.zeros(len(joined), np.int64), x, buckets, len(tail))
+        tail = joined[-2:]
+    return x, n_letters
+
+
+def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of square-rooted n-gram counts, and the number of letters, of at most TEXTS texts."""
+    if len(texts) == 1 and len(texts[0]) > STEP_BYTES:
+        x, n = _long_counts(texts[0], buckets)
+        n_letters = np.array([n])
+    else:
+        is_letter = _letter_table()
+        whole = [t.decode("utf-8", "replace").lower() for t in texts]
+        sizes = np.array([len(t) + 2 for t in whole])
+        c = np.frombuffer("".join(f" {t} " for t in whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+        letter = is_letter[c]
+        n_letters = np.bincount(row[letter], minlength=len(texts))
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # of runs of other characters only the first counts
+        x = np.zeros(len(texts) * buckets)
+        _counted(np.where(letter, c, 0x20).astype(np.uint64)[keep], row[keep], x, buckets)
     x = np.sqrt(x.reshape(len(texts), buckets)).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), n_letters
 
@@ -189,31 +225,34 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int
     return fit(x, found["lang"].to_pylist())
 
 
-def _predicting(model: Model | None, carried: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, ambiguous = [], [], []
-            for _, texts in steps(column_bytes(batch, "text")):
-                for k in range(0, len(texts), TEXTS):
-                    x, letters = features(texts[k : k + TEXTS])
-                    known = (letters > 0) & (model is not None)
-                    best, p, near = model.decode(x) if model else (np.zeros(len(x), int),) * 3
-                    lang += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
-                    score += np.where(known, p, 0.0).tolist()
-                    ambiguous += (known & near.astype(bool)).tolist()
-            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], [*carried, "lang_pred", "score", "ambiguous"])
+_TOLD = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+
+
+def verdict(model: Model | None) -> Callable[[Column], Column]:
+    """A column function: what a text is told to be. Texts go to Python and verdicts come back, and other columns stay where they are."""
+
+    @F.arrow_udf(_TOLD)
+    def told(texts: pa.Array) -> pa.Array:
+        lang, score, ambiguous = [], [], []
+        for _, some in steps([b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]):
+            for k in range(0, len(some), TEXTS):
+                x, letters = features(some[k : k + TEXTS])
+                known = (letters > 0) & (model is not None)
+                best, p, near = model.decode(x) if model else (np.zeros(len(x), int),) * 3
+                lang += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
+                score += np.where(known, p, 0.0).tolist()
+                ambiguous += (known & near.astype(bool)).tolist()
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
-    return run
+    return told
 
 
 def identify(documents: DataFrame, model: Model | None, carried: list[str] | None = None) -> DataFrame:
     """lang_pred, score, ambiguous after the carried columns of each document (doc_id, if none are named)."""
     arrow_ready(documents.sparkSession)
     carried = ["doc_id"] if carried is None else carried
-    docs = documents.select(*dict.fromkeys([*carried, "text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(carried).schema]
-    return docs.mapInArrow(_predicting(model, carried), ", ".join([*kinds, "lang_pred string", "score double", "ambiguous boolean"]))
+    told = unused(documents.columns, "told")
+    return documents.withColumn(told, verdict(model)(F.col("text"))).select(*(F.col(f"`{c}`") for c in carried), f"{told}.*")
 
 
 def learn_from_folds(documents: DataFrame) -> Model | None:

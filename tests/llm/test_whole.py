@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from lectern.llm import chat, lmscore, urls
+from lectern.llm import chat, language, lmscore, urls
 
 
 @pytest.mark.parametrize("lead", [0, 1, 39, 41, 60, 500])
@@ -72,3 +72,23 @@ def test_the_sample_has_a_limit_for_all_together(spark, monkeypatch):
 def test_long_pieces_of_a_vocabulary_are_used():
     v = lmscore.build([("▁", -2.0), ("a", -2.0), ("▁" + "a" * 30, -1.0)], dict.fromkeys(range(256), -6.0))
     assert v.longest == 31 and lmscore.word_log_probabilities(["a" * 30], v)[0] > lmscore.word_log_probabilities(["a" * 29], v)[0]
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 17, 100])
+def test_letters_of_a_long_text_in_parts(monkeypatch, step):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAb\u00e9\u6f22 .,\n1\U0001f642Z ") for _ in range(rng.choice((2, 3, 50, 400)))).encode() for _ in range(60)]
+    whole = [language.features([t]) for t in texts]
+    monkeypatch.setattr(language, "STEP_BYTES", step)
+    for t, (x, n) in zip(texts, whole):
+        got, letters = language.features([t])
+        assert (got == x).all() and (letters == n).all()
+
+
+def test_features_of_a_long_text_need_bounded_memory():
+    text = b"some words of a text " * 500_000
+    tracemalloc.start()
+    language.features([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # 10 MB of text; 497e6 when it was one step
