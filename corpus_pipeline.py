@@ -1,8 +1,10 @@
 """The corpus pipeline: each stage works on all that its predecessor kept, and takes away what it rejects.
 
-Filters that look at one document judge each row and carry its columns, so no text is shuffled for them. The
-near-duplicate stage knows rows by a key of their own, so rows with null or repeated doc_id are matched by text like all
-others, and one row of each group stays. An empty table gives no rows. Extra columns of documents are carried on."""
+Filters that look at one document judge each row: only its text goes to Python, only a verdict comes back, and nothing is
+shuffled. The near-duplicate stage knows rows by a key of their own, so rows with null or repeated doc_id are matched by text
+like all others, and one row of each group stays. Ties: of a group the smallest doc_id stays, of rows that share it the first
+one read; other ties are broken as each operator says. Very long texts are judged whole, in parts where a stage needs memory beside
+them. Rows without a text or a language go with the first stage. An empty table gives no rows. Extra columns of documents are carried on."""
 
 from __future__ import annotations
 
@@ -16,13 +18,12 @@ from lectern.llm.common import cut, table
 def _carried(docs: DataFrame) -> DataFrame:
     """What a filter reads, beside the whole row in one column, whatever its columns are called."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
-    return docs.select(whole, "doc_id", "text", *(c for c in ("lang",) if c in docs.columns))
+    return docs.select(whole, "doc_id", "text")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: those without letters and those between two languages."""
-    rows = _carried(docs)
-    found = language.identify(rows, language.learn_from_folds(rows), ["document"])
+    found = language.identify(_carried(docs), language.learn_from_folds(docs), ["document"])
     return found.where(f"lang_pred <> '{language.UNDETERMINED}' AND NOT ambiguous").select("document.*")
 
 
