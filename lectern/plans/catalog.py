@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.html import BREAKS, extract_html, note_text
-from lectern.operators import chunking, jobs, migrate, providers, status, sync, vector
+from lectern.operators import cells, chunking, jobs, migrate, providers, status, sync, vector
 from lectern.plans import library, relational, sqlgate
 from lectern.plans.store import Conflict, Store
 from lectern.scratch import new_path
@@ -76,6 +76,14 @@ def knn_batch(spark, folder):
     return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM ({_BATCH}) WHERE rank <= 10")
+def knn_by_cells(spark, folder):
+    """The same by an index of cells, most of which are ruled out for a query."""
+    e = read(spark, folder, "embeddings")
+    near, _ = cells.knn_cells(e, e.where("vec_id % 20 = 0"), 10)
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_QUERY}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_QUERY}), vec_id LIMIT 5")
 def knn_table_function(spark, folder):
     """The table function for one query, which is a top-k of each task; many queries are knn_batch()."""
