@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.html import BREAKS, extract_html, note_text
-from lectern.operators import cells, chunking, jobs, migrate, providers, status, sync, vector
+from lectern.operators import cells, chunking, digests, jobs, migrate, providers, status, sync, vector
 from lectern.plans import library, relational, sqlgate
 from lectern.plans.store import Conflict, Store
 from lectern.scratch import new_path
@@ -346,6 +346,25 @@ def sync_delta_counts(spark, folder):
     return sync.counts(_changes(spark, folder), F.coalesce("new_source", "old_source"))
 
 
+@query(f"""WITH {_SNAPSHOTS} SELECT coalesce(artifact, 'Total') AS artifact, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome <> 'unchanged') AS changed
+FROM (SELECT coalesce(new_source, old_source) AS artifact, outcome FROM changes WHERE outcome <> 'absent') GROUP BY ROLLUP (artifact)""")
+def sync_delta_by_digests(spark, folder):
+    """The same by two trees of digests."""
+    d = read(spark, folder, "documents").select("doc_id", "lang", "source")
+    fresh = d.where("source <> 'src4'").withColumn("lang", F.when(F.col("lang") == "es", F.upper("lang")).otherwise(F.col("lang")))
+    old, new = (digests.snapshot(rows, ["doc_id"], ["lang", "source"], new_path(spark, "snapshot"), F.col("source"), incoming) for rows, incoming in ((d.where("source <> 'src3'"), False), (fresh, True)))
+    return digests.counts(old, new, F.coalesce("new_source", "old_source"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 61 = 5 THEN 'updated' WHEN doc_id % 97 = 7 THEN 'absent' ELSE 'unchanged' END AS outcome FROM documents WHERE doc_id % 61 = 5 OR doc_id % 97 = 7")
+def sync_few_changes_by_digests(spark, folder):
+    """A few rows that changed or went, found in the leaves that hold them."""
+    d = read(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    fresh = d.where("NOT (doc_id % 97 = 7 AND doc_id % 61 <> 5)").withColumn("n_chars", F.when(F.col("doc_id") % 61 == 5, -F.col("n_chars") - 1).otherwise(F.col("n_chars")))
+    old, new = (digests.snapshot(rows, ["doc_id"], ["source", "n_chars"], new_path(spark, "snapshot"), incoming=incoming) for rows, incoming in ((d, False), (fresh, True)))
+    return digests.changes(old, new)[0].where("outcome <> 'unchanged'").select("doc_id", "outcome")
+
+
 @query(f"WITH {_SNAPSHOTS} SELECT doc_id, CASE WHEN outcome IN ('added', 'updated') THEN new_lang ELSE old_lang END AS lang, CASE WHEN outcome IN ('added', 'updated') THEN new_source ELSE old_source END AS source, outcome FROM changes")
 def sync_upsert_snapshot(spark, folder):
     return sync.merged(_changes(spark, folder), ["doc_id"], ["lang", "source"])
