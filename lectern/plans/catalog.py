@@ -15,6 +15,7 @@ from lectern.plans.store import Conflict, Store
 from lectern.scratch import new_path
 from lectern.session import TABLES, read, spread, views
 from lectern.sources import biblio
+from lectern.streaming import leases
 from lectern.streaming import queue as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -794,3 +795,65 @@ def stream_queue_available_now(spark, folder):
 
     streaming.poll(stream, handle, new_path(spark, "poll")).awaitTermination()
     return streaming.latest_by_key(spark.read.parquet(out).drop("batch"), "user_id", ["event_id"])
+
+
+#: A row of an hour so late that watermarks pass all others; it is left out again.
+_LAST = "TIMESTAMP '2100-01-01 00:00:00'"
+_LEASES = """SELECT CAST(event_id AS {s}) AS id, event_id AS n, CAST(date_trunc('second', ts) AS TIMESTAMP) AS t, CAST(event_id % 6 AS INT) AS attempts, CAST(3 + event_id % 3 AS INT) AS most FROM events"""
+
+
+def _streamed(spark, rows, schema=None):
+    """Rows as a stream over files."""
+    path = new_path(spark, "streamed")
+    rows.write.parquet(path)
+    return spark.readStream.schema(schema or rows.schema).parquet(path)
+
+
+@query(f"""WITH j AS ({_LEASES.format(s='VARCHAR')}), e AS (SELECT *, t + INTERVAL '1' SECOND * CASE WHEN n % 3 = 0 THEN 280 ELSE 180 END AS ends, n % 4 = 1 OR (n % 8 = 3 AND n % 3 = 0) AS ended, CASE WHEN attempts < least(most, 5) THEN 'retry' ELSE 'dead' END AS again FROM j)
+SELECT id AS job_id, CASE WHEN NOT ended THEN ends WHEN n % 4 = 1 THEN t + INTERVAL '150' SECOND ELSE t + INTERVAL '200' SECOND END AS at, CASE WHEN ended AND n % 5 < 3 THEN 'succeeded' ELSE again END AS status, CASE WHEN NOT ended THEN 'lease expired' WHEN n % 5 >= 3 THEN 'retryable_io' END AS reason FROM e""")
+def stream_lease_timers(spark, folder):
+    """Each event is a job that is claimed; some leases are renewed, some jobs completed in time, too late or by another's token. What ends each lease, the timer or a completion."""
+    views(spark, folder, "events")
+    j = spark.sql(_LEASES.format(s="STRING"))
+    after = lambda seconds: F.timestamp_add("SECOND", F.lit(seconds), "t")
+    none, token, n = F.lit(None), F.concat(F.lit("token"), "id"), F.col("n")
+    event = lambda rows, at, kind, own, attempts, most, error: rows.select(F.col("id").alias("job_id"), at.alias("at"), F.lit(kind).alias("kind"), own.alias("token"), attempts.cast("int").alias("attempts"), most.cast("int").alias("max_attempts"), error.cast("string").alias("error_class"))
+    failed = F.when(n % 5 >= 3, F.lit("retryable_io"))
+    rows = event(j, F.col("t"), "claim", token, F.col("attempts"), F.col("most"), none)
+    rows = rows.unionByName(event(j.where(n % 3 == 0), after(100), "renew", token, none, none, none))
+    rows = rows.unionByName(event(j.where(n % 4 == 1), after(150), "complete", token, none, none, failed))
+    rows = rows.unionByName(event(j.where(n % 4 == 2), after(150), "complete", F.lit("another's"), none, none, failed))
+    rows = rows.unionByName(event(j.where(n % 8 == 3), after(200), "complete", token, none, none, failed))
+    rows = rows.unionByName(spark.range(1).select(F.lit("").alias("job_id"), F.expr(_LAST).alias("at"), F.lit("tick").alias("kind")), allowMissingColumns=True)
+    told = leases.collected(leases.transitions(_streamed(spark, rows, leases.EVENT)), new_path(spark, "transitions"), new_path(spark, "leases"))
+    return told.where("job_id <> '' AND status NOT IN ('claimed', 'stale')").select("job_id", "at", "status", "reason")
+
+
+@query("SELECT event_id::VARCHAR AS job_id, (event_id * 37 % 1500 - 200)::BIGINT AS seconds FROM events WHERE event_id % 7 > 0 AND event_id * 37 % 1500 BETWEEN 200 AND 800")
+def stream_attempts_join(spark, folder):
+    """Two streams joined on job and token within ten minutes."""
+    e = read(spark, folder, "events").select(F.col("event_id").cast("string").alias("job_id"), "event_id", F.date_trunc("second", "ts").alias("t"))
+    token = F.concat(F.lit("token"), "job_id")
+    claims = e.select("job_id", token.alias("token"), F.col("t").alias("at"))
+    attempts = e.select("job_id", F.when(F.col("event_id") % 7 > 0, token).otherwise(F.lit("another's")).alias("token"), F.timestamp_add("SECOND", (F.col("event_id") * 37 % 1500 - 200).cast("int"), "t").alias("at"))
+    joined = leases.attempts_with_claims(_streamed(spark, claims), _streamed(spark, attempts))
+    return leases.collected(joined, new_path(spark, "attempts"), new_path(spark, "joining")).select("job_id", "seconds")
+
+
+@query("""WITH e AS (SELECT user_id, date_trunc('second', ts) AS t FROM events), m AS (SELECT *, CASE WHEN t <= lag(t) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS session FROM m) SELECT user_id, min(t) AS session_start, max(t) + INTERVAL '6 hours' AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark, folder):
+    """Sessions of users, which a pause of six hours ends; each leaves the stream once the watermark is past it."""
+    e = read(spark, folder, "events").select(F.col("user_id").cast("long").alias("user_id"), F.date_trunc("second", "ts").alias("at"))
+    rows = e.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.expr(_LAST).alias("at")))
+    found = leases.sessions(_streamed(spark, rows), "user_id", gap="6 hours")
+    return leases.collected(found, new_path(spark, "sessions"), new_path(spark, "sessioning")).where("user_id IS NOT NULL").select("user_id", "session_start", "session_end", "n")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_watermarked_windows(spark, folder):
+    """Windows that leave once the watermark has passed them, and are then forgotten."""
+    e = read(spark, folder, "events").select("event_type", "ts", "value")
+    rows = e.unionByName(spark.range(1).select(F.expr(_LAST).alias("ts")), allowMissingColumns=True)
+    found = streaming.tumbling_counts(_streamed(spark, rows), late="2 hours")
+    return leases.collected(found, new_path(spark, "windows"), new_path(spark, "counting")).where("event_type IS NOT NULL").select("window_start", "event_type", "n")
