@@ -7,10 +7,28 @@ import sqlite3
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+    StringContains,
+    StringStartsWith,
+)
+from pyspark.sql.types import DataType, LongType, StringType, StructType
 
 #: Columns that are read of each table of the database (fixed names).
 SCHEMAS = {
@@ -27,6 +45,7 @@ SCHEMAS = {
 TITLE, ABSTRACT, DATE = 1, 2, 6
 CHILDREN = ("attachment", "note", "annotation")
 ROWS_A_PART = 200_000
+ROWS_A_BATCH = 8192
 
 
 def find_database(explicit: str | None = None, environ: dict | None = None, home: Path | None = None) -> str:
@@ -42,38 +61,113 @@ def find_database(explicit: str | None = None, environ: dict | None = None, home
 
 
 class _Rows(InputPartition):
-    def __init__(self, first: int, last: int) -> None:
-        self.first, self.last = first, last
+    """Rows from one rowid up to another, or to the end."""
+
+    def __init__(self, first: int, stop: int | None) -> None:
+        self.first, self.stop = first, stop
+
+
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, columns: list[str]) -> None:
-        self.path, self.table, self.columns = path, table, columns
+    """Filters that SQLite answers as Spark would are part of the scan; Spark applies the others."""
+
+    def __init__(self, path: str, table: str, schema: StructType) -> None:
+        self.path, self.table, self.schema = path, table, schema
+        self.conditions: list[str] = []
+        self.values: list = []
+
+    def _kind(self, path: tuple[str, ...]) -> DataType | None:
+        return {f.name: f.dataType for f in self.schema}.get(path[0]) if len(path) == 1 else None
+
+    def _named(self, path: tuple[str, ...]) -> str:
+        """A column as read() gives it, whatever type a row has there. Text is compared byte by byte, whatever the database says."""
+        if isinstance(self._kind(path), StringType):
+            return f'CAST("{path[0]}" AS TEXT) COLLATE BINARY'
+        return f"CASE WHEN typeof(\"{path[0]}\") = 'integer' THEN \"{path[0]}\" END"
+
+    def _column(self, path: tuple[str, ...], value) -> str | None:
+        """The column, if a value of its type is compared with it."""
+        kind = self._kind(path)
+        fits = isinstance(kind, StringType) and isinstance(value, str) or isinstance(kind, LongType) and type(value) is int
+        return self._named(path) if fits else None
+
+    def _condition(self, f: Filter) -> tuple[str, list] | None:
+        if isinstance(f, Not):
+            inner = self._condition(f.child)
+            return inner and (f"NOT ({inner[0]})", inner[1])
+        if not isinstance(self._kind(f.attribute), (StringType, LongType)):
+            return None
+        name = self._named(f.attribute)
+        if isinstance(f, IsNull):
+            return f"{name} IS NULL", []
+        if isinstance(f, IsNotNull):
+            return f"{name} IS NOT NULL", []
+        if isinstance(f, In):
+            columns = {self._column(f.attribute, v) for v in f.value}
+            return (f"{columns.pop()} IN ({', '.join('?' * len(f.value))})", list(f.value)) if len(columns) == 1 and None not in columns else None
+        column = self._column(f.attribute, f.value)
+        if column is None:
+            return None
+        if type(f) in _COMPARED:
+            return f"{column} {_COMPARED[type(f)]} ?", [f.value]
+        if isinstance(f, EqualNullSafe):
+            return f"{column} IS ?", [f.value]
+        if isinstance(f, StringContains):
+            return f"instr({column}, ?) > 0", [f.value]
+        if isinstance(f, StringStartsWith):
+            return f"substr({column}, 1, length(?)) = ?", [f.value, f.value]
+        return None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            found = self._condition(f)
+            if found is None:
+                yield f
+            else:
+                self.conditions.append(found[0])
+                self.values += found[1]
+
+    def statement(self, columns: str, *more: str) -> str:
+        held = " AND ".join([*self.conditions, *more])
+        return f'SELECT {columns} FROM "{self.table}"' + (f" WHERE {held}" if held else "")
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
+        """Equal numbers of rows that pass the filters, however their ids are spread."""
         db = self._open()
         try:
-            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            numbered = self.statement("rowid AS id, row_number() OVER (ORDER BY rowid) - 1 AS nth")
+            firsts = [r[0] for r in db.execute(f"SELECT id FROM ({numbered}) WHERE nth % {ROWS_A_PART} = 0 ORDER BY id", self.values)]
         finally:
             db.close()
-        if low is None:
-            return []
-        return [_Rows(i, min(i + ROWS_A_PART - 1, high)) for i in range(low, high + 1, ROWS_A_PART)]
+        return [_Rows(a, b) for a, b in zip(firsts, [*firsts[1:], None], strict=True)]
 
-    def read(self, partition: _Rows) -> Iterator[tuple]:
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         db = self._open()
+        db.text_factory = lambda raw: raw.decode("utf-8", "replace")
+        names = ", ".join(f'"{c}"' for c in self.schema.names)
+        bounds, values = (["rowid >= ?", "rowid < ?"], [partition.first, partition.stop]) if partition.stop is not None else (["rowid >= ?"], [partition.first])
         try:
-            names = ", ".join(f'"{c}"' for c in self.columns)
-            yield from db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.first, partition.last))
+            rows = db.execute(self.statement(names, *bounds), [*self.values, *values])
+            while part := rows.fetchmany(ROWS_A_BATCH):
+                yield pa.RecordBatch.from_arrays([_array(c, f.dataType) for c, f in zip(zip(*part, strict=True), self.schema, strict=True)], self.schema.names)
         finally:
             db.close()
 
 
+def _array(values: tuple, kind: DataType) -> pa.Array:
+    """A column of what SQLite holds, which may be of any type in any row: numbers as text in a text column, and null for what is no number in a column of numbers."""
+    if isinstance(kind, StringType):
+        return pa.array([v if v is None or isinstance(v, str) else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v) for v in values], pa.string())
+    return pa.array([v if isinstance(v, int) else None for v in values], pa.int64())
+
+
 class SqliteTable(DataSource):
-    """format("sqlite_table"), options path and table; read-only, split by ranges of rowid."""
+    """format("sqlite_table"), options path and table; read-only, in Arrow batches, split by numbers of rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,10 +177,11 @@ class SqliteTable(DataSource):
         return SCHEMAS[self.options["table"]]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options["table"], schema.names)
+        return _Reader(self.options["path"], self.options["table"], schema)
 
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteTable)
     return {t: spark.read.format("sqlite_table").option("path", path).option("table", t).load() for t in SCHEMAS}
 
