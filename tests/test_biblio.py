@@ -42,7 +42,7 @@ def test_the_scan_holds_the_filter(spark, database):
     assert [type(f).__name__ for f in rest] == ["StringEndsWith", "EqualTo"]
     assert reader.statement("*") == """SELECT * FROM "items" WHERE CASE WHEN typeof("itemTypeID") = 'integer' THEN "itemTypeID" END = ? AND NOT (CAST("key" AS TEXT) COLLATE BINARY = ?)""" and reader.values == [1, "K4"]
     found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
-    assert len(found) == 33 and all(r["itemTypeID"] == 1 for r in found)
+    assert len(found) == 34 and all(r["itemTypeID"] == 1 for r in found)
     plan = biblio.tables(spark, database)["items"].where(F.col("itemTypeID") == 1)._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.replace("PushedFilters", "").replace("DataFilters", "")
 
