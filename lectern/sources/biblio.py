@@ -144,7 +144,7 @@ class _Reader(DataSourceReader):
             firsts = [r[0] for r in db.execute(f"SELECT id FROM ({numbered}) WHERE nth % {ROWS_A_PART} = 0 ORDER BY id", self.values)]
         finally:
             db.close()
-        return [_Rows(a, b) for a, b in zip(firsts, [*firsts[1:], None], strict=True)]
+        return [_Rows(a, b) for a, b in zip(firsts, [*firsts[1:], None], strict=False)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         db = self._open()
