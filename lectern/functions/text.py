@@ -3,6 +3,8 @@ lengths leave them, as an expression can only build an array by copying it at ea
 
 from __future__ import annotations
 
+from mimetypes import MimeTypes
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -16,8 +18,8 @@ SENTENCE = r"[^.!?]*[.!?]|[^.!?]+\z"
 CHARS_PER_TOKEN = 4.0
 TARGET_TOKENS = 512
 PDF = "application/pdf"
-#: Extensions that a missing MIME type is guessed from (fixed values).
-MIME_BY_EXTENSION = {"pdf": PDF, "html": "text/html", "htm": "text/html", "txt": "text/plain", "md": "text/markdown"}
+#: Extensions that a missing MIME type is guessed from: those of the standard library, whatever the machine's own files say.
+MIME_BY_EXTENSION = {e[1:]: m for e, m in sorted(MimeTypes().types_map[True].items())}
 
 #: The characters of WS.
 _SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -51,10 +53,8 @@ def canonical_mime(c: Column) -> Column:
 def guessed_mime(mime: Column, path: Column) -> Column:
     """The canonical MIME type, or else that of the path's extension."""
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)\z", 1))
-    guess = F.lit(None).cast("string")
-    for e, m in MIME_BY_EXTENSION.items():
-        guess = F.when(extension == e, F.lit(m)).otherwise(guess)
-    return F.coalesce(canonical_mime(mime), guess)
+    known = F.create_map(*(F.lit(x) for pair in MIME_BY_EXTENSION.items() for x in pair))
+    return F.coalesce(canonical_mime(mime), F.try_element_at(known, extension))
 
 
 def _normal_block(block: Column) -> Column:

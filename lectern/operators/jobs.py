@@ -17,11 +17,13 @@ class Policy:
     backoff_base_seconds: int = 5
     backoff_max_seconds: int = 900
 
-    def config_hash(self) -> str:
-        import hashlib
+    def settings(self) -> tuple[int, ...]:
+        return self.lease_seconds, self.batch_size, self.max_attempts, self.backoff_base_seconds, self.backoff_max_seconds
 
-        values = (self.lease_seconds, self.batch_size, self.max_attempts, self.backoff_base_seconds, self.backoff_max_seconds)
-        return hashlib.sha256("|".join(map(str, values)).encode()).hexdigest()[:16]
+
+def config_hash(*settings: Column) -> Column:
+    """Tells configurations apart: the first sixteen digits of a hash of their settings."""
+    return F.substring(F.sha2(F.concat_ws("|", *(s.cast("string") for s in settings)), 256), 1, 16)
 
 
 def instant(now) -> Column:
@@ -168,7 +170,7 @@ def recent_failures(attempts: DataFrame, limit: int = 10) -> DataFrame:
 def register_worker(workers: DataFrame, now, worker_id: str, worker_type: str, backend: str, policy: Policy = Policy()) -> DataFrame:
     """The workers table with this one running; others of its type that were running are stopped."""
     rest = _stopped(workers.where(F.col("worker_id") != worker_id), worker_type)
-    own = workers.sparkSession.range(1).select(F.lit(worker_id).alias("worker_id"), F.lit(worker_type).alias("worker_type"), F.lit(backend).alias("backend_name"), F.lit(None).cast("string").alias("backend_version"), F.lit(policy.config_hash()).alias("config_hash"), instant(now).alias("started_at"), instant(now).alias("last_heartbeat_at"), F.lit("running").alias("status"))
+    own = workers.sparkSession.range(1).select(F.lit(worker_id).alias("worker_id"), F.lit(worker_type).alias("worker_type"), F.lit(backend).alias("backend_name"), F.lit(None).cast("string").alias("backend_version"), config_hash(*map(F.lit, policy.settings())).alias("config_hash"), instant(now).alias("started_at"), instant(now).alias("last_heartbeat_at"), F.lit("running").alias("status"))
     return rest.unionByName(own, allowMissingColumns=True)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.html import BREAKS, extract_html, note_text
-from lectern.operators import cells, chunking, digests, jobs, migrate, providers, status, sync, vector
+from lectern.operators import cells, chunking, digests, jobs, migrate, ngrams, providers, status, sync, vector
 from lectern.plans import library, relational, sqlgate
 from lectern.plans.store import Conflict, Store
 from lectern.scratch import new_path
@@ -582,10 +583,11 @@ def text_digest_ordered(spark, folder):
     return migrate.ordered_text_digest(read(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("SELECT substr(sha256('180|32|5|5|900'), 1, 16) AS config_hash")
+@query("SELECT s_suppkey AS worker, substr(sha256(concat_ws('|', 15 + s_suppkey % 7 * 30, 1 + s_suppkey % 3, 5, s_nationkey, 900)), 1, 16) AS config_hash FROM supplier")
 def config_hash(spark, folder):
-    p = jobs.Policy()
-    return spark.range(1).select(F.substring(F.sha2(F.concat_ws("|", *(F.lit(x).cast("string") for x in (p.lease_seconds, p.batch_size, p.max_attempts, p.backoff_base_seconds, p.backoff_max_seconds))), 256), 1, 16).alias("config_hash"))
+    """Of workers with settings of their own."""
+    s = read(spark, folder, "supplier")
+    return s.select(F.col("s_suppkey").alias("worker"), jobs.config_hash(15 + F.col("s_suppkey") % 7 * 30, 1 + F.col("s_suppkey") % 3, F.lit(5), F.col("s_nationkey"), F.lit(900)).alias("config_hash"))
 
 
 # ---- a small bibliography, made of other tables ----
@@ -857,3 +859,13 @@ def stream_watermarked_windows(spark, folder):
     rows = e.unionByName(spark.range(1).select(F.expr(_LAST).alias("ts")), allowMissingColumns=True)
     found = streaming.tumbling_counts(_streamed(spark, rows), late="2 hours")
     return leases.collected(found, new_path(spark, "windows"), new_path(spark, "counting")).where("event_type IS NOT NULL").select("window_start", "event_type", "n")
+
+
+@query("SELECT 'needle ' || p AS asked, doc_id FROM documents, (VALUES ('%tion%', true), ('%THE th%', true), ('%The the%', false), ('%th_n%nd%', false), ('%io%', false), ('%no such thing%', true)) v(p, either) WHERE CASE WHEN either THEN text ILIKE p ELSE text LIKE p END")
+def keyword_search_indexed(spark, folder):
+    """Parts of texts by the trigram index; one needle is too short for it."""
+    d = read(spark, folder, "documents").select("doc_id", "text")
+    index = ngrams.build(spread(d), "doc_id", "text", new_path(spark, "trigrams"))
+    asked = [("%tion%", True), ("%THE th%", True), ("%The the%", False), ("%th_n%nd%", False), ("%io%", False), ("%no such thing%", True)]
+    found = [ngrams.like(index, p, either).select(F.lit(f"needle {p}").alias("asked"), "doc_id") for p, either in asked]
+    return reduce(DataFrame.unionByName, found)

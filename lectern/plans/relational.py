@@ -48,7 +48,7 @@ SAME = {
     "cte_recursive": "WITH RECURSIVE days(d) AS (SELECT 1 UNION ALL SELECT d + 1 FROM days WHERE d < 30) SELECT CAST(d AS BIGINT) AS d, count(event_id) AS n FROM days LEFT JOIN events ON day(ts) = d GROUP BY d",
     "correlated_exists": "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49)",
     "scalar_subquery": "SELECT s_suppkey, s_acctbal FROM supplier s WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier t WHERE t.s_nationkey = s.s_nationkey)",
-    "values_case_limit": "SELECT k, CASE WHEN k > 2 THEN 'high' ELSE 'low' END AS side FROM (VALUES (1), (2), (3), (4)) AS v(k) ORDER BY k LIMIT 3",
+    "values_case_limit": "SELECT n_name, k, CASE WHEN k > 2 THEN 'high' ELSE 'low' END AS side FROM (VALUES (1), (2), (3), (4)) AS v(k) JOIN nation ON n_regionkey = k ORDER BY k, n_name LIMIT 12",
     "fn_string": "SELECT p_partkey, upper(p_name) AS u, substring(p_name, 2, 3) AS s, length(p_type) AS n, replace(p_brand, '#', '-') AS b, concat(p_brand, '/', p_type) AS c, trim(concat('  ', p_name, ' ')) AS t, lpad(CAST(p_size AS VARCHAR(10)), 4, '0') AS l FROM part",
     "fn_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(extract(DOY FROM o_orderdate) AS BIGINT) AS doy FROM orders",
     "fn_math": "SELECT p_partkey, abs(p_size - 25) AS a, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, CAST(ceil(p_retailprice / 7) AS BIGINT) AS c, round(sqrt(p_retailprice), 6) AS r, p_size % 7 AS m, round(ln(p_retailprice), 6) AS l, round(power(p_size, 2), 6) AS p FROM part",
