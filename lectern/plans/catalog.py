@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 def _statement(text: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        views(spark, folder, *sorted(sqlgate.relations(spark, text) & set(TABLES)))  # what the statement names, and no more
+        views(spark, folder, *sorted(sqlgate.relations(spark, sqlgate.rewrite(text)) & set(TABLES)))  # what the statement names, and no more
         sqlgate.register_names(spark)
         return sqlgate.search(spark, text)
 

@@ -39,6 +39,8 @@ SAME = {
     "win_lag_lead": "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "win_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_key, last_value(o_orderkey) OVER w AS last_key, nth_value(o_orderkey, 2) OVER w AS second_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "win_rows_frame": "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving FROM events",
+    "win_groups_frame": "SELECT doc_id, count(*) OVER (PARTITION BY lang ORDER BY n_chars GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n, CAST(sum(doc_id) OVER (ORDER BY source DESC GROUPS 1 PRECEDING) AS BIGINT) AS s, min(n_chars) OVER (PARTITION BY lang ORDER BY source GROUPS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM documents WHERE n_chars > 10",
+    "win_exclude": "SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY source GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS BIGINT) AS others, count(*) OVER (ORDER BY lang RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS n, max(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS around, round(avg(n_chars) OVER (PARTITION BY lang ORDER BY source GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW), 4) AS mean, min(n_chars) OVER (PARTITION BY source ORDER BY lang GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS least_other FROM documents d",
     "win_range_frame": "SELECT doc_id, count(*) OVER (PARTITION BY lang ORDER BY n_chars RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS like_length FROM documents",
     "setop_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "setop_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",

@@ -2,7 +2,7 @@
 
 Some forms are rewritten first, outside of literals, quoted names and comments: embed('literal') becomes a constant vector,
 computed once on the driver; `x.embedding MATCH <vector> AND k = <n>`, wherever it stands, turns the vector view x into its n
-rows nearest to it (see match.py); and names of other engines that no SQL function can stand for become Spark's."""
+rows nearest to it (see match.py); frames of GROUPS and with EXCLUDE become others (see frames.py); and names of other engines that no SQL function can stand for become Spark's."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators.providers import Embedder
+from lectern.plans import frames
 from lectern.plans.match import Denied, replaced
 
 #: Plan nodes that only read.
@@ -182,7 +183,7 @@ def rewrite(sql: str, embedder: Embedder | None = None, vector_views: tuple[str,
 
         code.calls("embed", vector)
 
-    return code.shown(replaced(code.text, tuple(v.lower() for v in vector_views), id_col))
+    return code.shown(frames.replaced(replaced(code.text, tuple(v.lower() for v in vector_views), id_col)))
 
 
 def search(spark: SparkSession, sql: str, embedder: Embedder | None = None, vector_views: tuple[str, ...] = ("vectors",), id_col: str = "vec_id") -> DataFrame:
