@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import schema
 from lectern.functions import text as T
 from lectern.functions.html import BREAKS, extract_html, note_text
 from lectern.operators import cells, chunking, digests, jobs, migrate, ngrams, providers, status, sync, vector
-from lectern.plans import library, relational, sqlgate
+from lectern.plans import library, relational, sqlgate, work
 from lectern.plans.store import Conflict, Store
 from lectern.scratch import new_path
 from lectern.session import TABLES, read, spread, views
@@ -348,6 +349,12 @@ def sync_delta_counts(spark, folder):
     return sync.counts(_changes(spark, folder), F.coalesce("new_source", "old_source"))
 
 
+@query(f"WITH {_SNAPSHOTS} SELECT doc_id, CASE WHEN outcome IN ('added', 'updated') THEN new_lang ELSE old_lang END AS lang, outcome FROM changes WHERE outcome <> 'absent'")
+def sync_mirror(spark, folder):
+    """The next snapshot where the source is mirrored: what it lacks goes."""
+    return sync.merged(_changes(spark, folder), ["doc_id"], ["lang", "source"], mirror=True).select("doc_id", "lang", "outcome")
+
+
 @query(f"""WITH {_SNAPSHOTS} SELECT coalesce(artifact, 'Total') AS artifact, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome <> 'unchanged') AS changed
 FROM (SELECT coalesce(new_source, old_source) AS artifact, outcome FROM changes WHERE outcome <> 'absent') GROUP BY ROLLUP (artifact)""")
 def sync_delta_by_digests(spark, folder):
@@ -869,3 +876,21 @@ def keyword_search_indexed(spark, folder):
     asked = [("%tion%", True), ("%THE th%", True), ("%The the%", False), ("%th_n%nd%", False), ("%io%", False), ("%no such thing%", True)]
     found = [ngrams.like(index, p, either).select(F.lit(f"needle {p}").alias("asked"), "doc_id") for p, either in asked]
     return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN chr(10) || ' ' ELSE text END AS content, 'embed_document:' || doc_id AS job FROM documents),
+mine AS (SELECT id FROM d ORDER BY job LIMIT 64)
+SELECT d.id, CASE WHEN m.id IS NULL THEN 'pending' WHEN d.id % 7 = 0 THEN 'error' ELSE 'ready' END AS embedding_status, CASE WHEN m.id IS NULL THEN 'queued' WHEN d.id % 7 = 0 THEN 'dead' ELSE 'succeeded' END AS job_status, CASE WHEN m.id IS NOT NULL AND d.id % 7 > 0 THEN 16 END AS dimensions FROM d LEFT JOIN mine m ON d.id = m.id""")
+def embed_worker_round(spark, folder):
+    """A round of the embedding worker: the first jobs are claimed, their documents embedded, and blank ones fail for good."""
+    d = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, F.lit("\n ")).otherwise(F.col("text")).alias("content"))
+    docs = schema.evolved(d.withColumn("kind", F.lit("note")).withColumn("reference_id", F.lit(1).cast("long")), "documents")
+    wanted = d.select(F.lit("embedding").alias("queue_name"), F.lit("embed_document").alias("job_type"), F.lit("document").alias("entity_type"), F.col("id").alias("entity_id"), F.concat(F.lit("embed_document:"), "id").alias("dedupe_key"))
+    table = schema.evolved(jobs.queued(wanted, NOW), "jobs")
+    done = work.embed(table, docs, spark.createDataFrame([], schema.TABLES["vectors"]), _Small, NOW, policy=jobs.Policy(batch_size=64))
+    told = done.documents.select("id", "embedding_status").join(done.jobs.select(F.col("entity_id").alias("id"), F.col("status").alias("job_status")), "id")
+    return told.join(done.vectors.select(F.col("doc_id").alias("id"), F.size("embedding").alias("dimensions")), "id", "left")
+
+
+def _Small():
+    return providers.HashingEmbedder(16)
