@@ -436,7 +436,6 @@ def test_packing_round_trip(spark, small, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts.items()}
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in catalog.op7_packing(spark, small).collect():
