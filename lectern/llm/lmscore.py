@@ -10,6 +10,11 @@ probabilities of all texts sum to at most one.
 Beside it stands the score under weights that the corpus has taught: estimated anew, ROUNDS times, from the expected counts
 of pieces over all segmentations of all training words, smoothed by the vocabulary's weights.
 
+The learnt score is that of a model over words which falls back to this lattice: a word has (c + A p) / (N + A), where c is its
+count in training, p its probability over all segmentations under the weights that the corpus has taught, N the number of training
+tokens and A that of words seen once (what Good and Turing hold back for words not seen). Words of training are so as probable as
+they are frequent, all others are spelt, and the probabilities of all texts still sum to at most one. Without training words A is 1.
+
 The base score is an add-0.1 unigram model over words, from the same table of counts. That table covers every word of
 every document and stays distributed. The `hot` most frequent short words, a fixed number, are sent to the tasks, which
 sum their scores where the documents are read; all other words are joined by a shuffle, in which no key is hot any more.
@@ -268,28 +273,35 @@ def _estimating(v: Pieces):
     return run
 
 
-def _word_scoring(v: Pieces, start: np.ndarray):
+def _learnt(c: np.ndarray, spelt: np.ndarray, n: int, held_back: int) -> np.ndarray:
+    """Natural-log probability of words with counts c in training, of which the lattice gives `spelt`; in logs, as a long word's own underflows."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.asarray(c, float)), math.log(held_back) + spelt) - math.log(n + held_back)
+
+
+def _word_scoring(v: Pieces, start: np.ndarray, n: int, held_back: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            scores = [pa.array(x / math.log(10)) for x in lattice_scores(words, v, [start, v.logp])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores], ["word", "c", "lattice", "estimated"])
+            own, taught = lattice_scores(words, v, [start, v.logp])
+            scores = [pa.array(x / math.log(10)) for x in (own, taught, _learnt(batch.column(1).to_numpy(zero_copy_only=False), taught, n, held_back))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores], ["word", "c", "lattice", "estimated", "learnt"])
 
     return run
 
 
-def _document_scoring(hot: list[tuple[str, bool, float, float, float]], end: tuple[bool, float, float, float]):
+def _document_scoring(hot: list[tuple[str, bool, float, float, float, float]], end: tuple[bool, float, float, float, float]):
     """A row for each document with what its hot words and its end token sum to, and a row for each distinct other word of it."""
     hashes = Words([" ".join(w for w, *_ in hot).encode()], BLANK_BYTES).hashes if hot else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
-    hashes, values = hashes[order], np.array([x[1:] for x in hot], float).reshape(-1, 4)[order]
+    hashes, values = hashes[order], np.array([x[1:] for x in hot], float).reshape(-1, 5)[order]
     bits = np.zeros(_SLOTS, bool)
     bits[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score", "anew"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["row", "doc_id", "word", "times", "n_tokens", "known", "base", "score", "anew", "learnt"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for at, texts in steps(column_bytes(batch, "text")):
@@ -301,7 +313,7 @@ def _document_scoring(hot: list[tuple[str, bool, float, float, float]], end: tup
                 index = np.searchsorted(hashes, w.hashes[maybe])
                 index[index == len(hashes)] = 0
                 real = hashes[index] == w.hashes[maybe] if len(hashes) else np.zeros(0, bool)
-                sums = [np.bincount(docs[maybe[real]], values[index[real], k], n) + float(end[k]) for k in range(4)]
+                sums = [np.bincount(docs[maybe[real]], values[index[real], k], n) + float(end[k]) for k in range(5)]
                 other = np.ones(len(w.hashes), bool)
                 other[maybe[real]] = False
                 other = np.flatnonzero(other)
@@ -312,7 +324,7 @@ def _document_scoring(hot: list[tuple[str, bool, float, float, float]], end: tup
                 place = np.concatenate([np.arange(n), np.array([d for d, _ in rest], np.int64)])
                 columns = [
                     pa.array(rows[place]), ids.slice(at, n).take(pa.array(place)), pa.array(keys, pa.string()), pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rest.values(), np.int64, len(rest))])),
-                    pa.array(np.concatenate([w.counts + 1, zeros])), pa.array(np.concatenate([sums[0].astype(np.int64), zeros])), *(pa.array(np.concatenate([sums[k], zeros.astype(float)])) for k in (1, 2, 3)),
+                    pa.array(np.concatenate([w.counts + 1, zeros])), pa.array(np.concatenate([sums[0].astype(np.int64), zeros])), *(pa.array(np.concatenate([sums[k], zeros.astype(float)])) for k in (1, 2, 3, 4)),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
@@ -335,14 +347,15 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
 
 def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | None = None, hot_words: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, estimated_score (under the weights that are estimated anew; all log10), and the number of distinct training tokens V."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, estimated_score (under the weights that are estimated anew), the number of distinct training tokens V, and learnt_score (of training words and the lattice); all scores log10."""
     arrow_ready(documents.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = docs.select("text", held.alias("held_out")).mapInArrow(_counting, "word string, c long, h long")
     table = cut(counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("h").alias("h")), "words")
-    seen = table.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
+    seen = table.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends"), F.count_if(F.col("c") == 1).alias("once")).first()
     n, v, ends = seen["n"] or 0, seen["v"] or 0, seen["ends"] or 0
+    held_back = max(1, seen["once"] or 0)
 
     pieces = load(vocabulary)
     learnt = table.where(f"c > 0 AND word <> '{END}'").select("word", "c")
@@ -356,16 +369,17 @@ def score_documents(documents: DataFrame, folds: int = 10, vocabulary: str | Non
 
     base_of = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
     frequent = sorted((r["word"], r["c"], r["base"]) for r in _most_frequent(table, hot_words).select("word", "c", base_of.alias("base")).collect())
-    lattice = [x / math.log(10) for x in lattice_scores([w for w, _, _ in frequent], pieces, [start.logp, pieces.logp])]
-    hot = [(w, c > 0, base, float(p), float(q)) for (w, c, base), p, q in zip(frequent, *lattice, strict=True)]
-    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), start.end / math.log(10), pieces.end / math.log(10))
+    own, taught = lattice_scores([w for w, _, _ in frequent], pieces, [start.logp, pieces.logp])
+    lattice = [x / math.log(10) for x in (own, taught, _learnt([c for _, c, _ in frequent], taught, n, held_back))]
+    hot = [(w, c > 0, base, *map(float, scores)) for (w, c, base), *scores in zip(frequent, *lattice, strict=True)]
+    end = (ends > 0, math.log10((ends + 0.1) / (n + 0.1 * (v + 1))), *(float(x) / math.log(10) for x in (start.end, pieces.end, _learnt(ends, pieces.end, n, held_back))))
 
-    scored = table.select("word", "c").mapInArrow(_word_scoring(pieces, start.logp), "word string, c long, lattice double, estimated double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice", "estimated")
-    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double, anew double")
+    scored = table.select("word", "c").mapInArrow(_word_scoring(pieces, start.logp, n, held_back), "word string, c long, lattice double, estimated double, learnt double").select("word", (F.col("c") > 0).cast("long").alias("k"), base_of.alias("b"), "lattice", "estimated", F.col("learnt").alias("l"))
+    rows = docs.mapInArrow(_document_scoring(hot, end), "row long, doc_id long, word string, times long, n_tokens long, known long, base double, score double, anew double, learnt double")
     joined = rows.join(scored, "word", "left")
 
     def total_of(own: str, by_word: str) -> Column:
         return F.sum(F.col(own) + F.coalesce(F.col("times") * F.col(by_word), F.lit(0)))
 
-    summed = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), total_of("known", "k").alias("n_known"), total_of("base", "b").alias("base_score"), total_of("score", "lattice").alias("score"), total_of("anew", "estimated").alias("estimated_score"))
-    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "estimated_score", F.lit(v).cast("long").alias("train_types"))
+    summed = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), total_of("known", "k").alias("n_known"), total_of("base", "b").alias("base_score"), total_of("score", "lattice").alias("score"), total_of("anew", "estimated").alias("estimated_score"), total_of("learnt", "l").alias("learnt_score"))
+    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "estimated_score", F.lit(v).cast("long").alias("train_types"), "learnt_score")

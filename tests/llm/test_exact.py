@@ -284,6 +284,28 @@ def test_scores(spark, small, texts):
     assert all(math.isclose(other[i], got[i]["score"], rel_tol=1e-9) for i in other)
 
 
+def test_the_score_has_learnt(spark, small, texts):
+    """op3's score is the learnt one: of known words by their counts, of others by the lattice; near the base score on held-out rows."""
+    got = {r["doc_id"]: r for r in catalog.op3_lm_score(spark, small).collect()}
+    held = [r for r in got.values() if r["held_out"]]
+    assert held and all(math.isfinite(r["score"]) for r in got.values()) and set(got) == set(texts)
+    gap = [sum(r["base_score"] - r[c] for r in held) / sum(r["n_tokens"] for r in held) for c in ("score", "vocabulary_score")]
+    assert gap[0] < 1.5 and gap[0] < gap[1] - 2
+    tokens = {i: [*BLANK_WORD.findall(lowered(t)), " "] for i, t in texts.items()}
+    c = Counter(w for i, ws in tokens.items() if not got[i]["held_out"] for w in ws)
+    n, once = c.total(), sum(k == 1 for k in c.values())
+    v = lmscore.load()
+    words = sorted(c.keys() - {" "})
+    better = v
+    for _ in range(lmscore.ROUNDS):
+        better = lmscore.re_estimated(v, lmscore.expected_counts(words, np.array([c[w] for w in words], float), better), float(c[" "]))
+    for r in held:
+        ws = tokens[r["doc_id"]]
+        spelt = [*lmscore.word_log_probabilities(ws[:-1], better), better.end]
+        want = sum(math.log10((c[w] + once * math.exp(p)) / (n + once)) for w, p in zip(ws, spelt, strict=True))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 def test_re_estimation_helps_on_held_out_words():
     v = lmscore.load()
     train, held = ["the", "shing", "edonre", "thing", "ander"] * 3, ["thething", "anderedon"]
