@@ -371,6 +371,25 @@ def test_the_ratio_is_that_of_two_multinomials(spark, small, texts, monkeypatch)
     assert math.isclose(got[0]["threshold"], limit, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_the_target_is_all_good_documents(spark, monkeypatch, sent):
+    """More than the 20,000 that were a sample once; the ids sent to the tasks, or joined."""
+    monkeypatch.setattr(quality, "SENT_IDS", sent)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 50, F.lit(" x")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.fit(docs, labels)[0].first()["ratios"]
+    raw, target = Counter(), Counter()
+    hashes = {r["w"]: r["h"] for r in docs.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    for i in range(30_000):
+        for w in (f"w{i % 50}", "x"):
+            raw[hashes[w] % quality.BUCKETS] += 1
+            if zlib.crc32(str(i).encode()) % 4:
+                target[hashes[w] % quality.BUCKETS] += 1
+    for k, n in raw.items():
+        want = math.log((target[k] + 1) / (target.total() + quality.BUCKETS)) - math.log((n + 1) / (raw.total() + quality.BUCKETS))
+        assert math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_quality_tells_junk(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
