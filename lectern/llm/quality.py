@@ -4,7 +4,7 @@ Words and pairs of neighbouring words are hashed into a fixed number of buckets.
 counted: the raw corpus (all words of all documents) and the trusted target (all documents labelled as good but for one in four,
 which are left to calibration). A document's score is the sum over its n-grams of log P(target) - log P(raw), over
 the number of its n-grams. Every document gets a verdict from one threshold, which is calibrated on labelled documents
-that were not counted for the target: halfway between the low end of good ones (all but `SPARED` of them are above it)
+that were not counted for the target, all of them, by exact percentiles: halfway between the low end of good ones (all but `SPARED` of them are above it)
 and the middle of bad ones, or `MARGIN` below that low end if no bad ones are labelled or their middle is above it.
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows. Windows are told apart by 64-bit hashes,
@@ -31,9 +31,11 @@ from lectern.llm.common import cut, part_of
 BUCKETS = 1 << 13
 #: Documents of the target, and of calibration: all that are labelled. A smaller number takes those with the smallest hashes.
 TARGET_ROWS = ALL = sys.maxsize
-CALIBRATION_ROWS = 10_000
+CALIBRATION_ROWS = ALL
 #: Labelled documents whose ids are sent to every task; of more, the texts are joined by a shuffle.
 SENT_IDS = 250_000
+#: Steps in which a place in the order of ratios is narrowed down, and rows that are looked at one by one in the end.
+BINS = 4096
 #: Counts added to each bucket.
 SMOOTH = 1.0
 SPARED = 0.005
@@ -103,6 +105,24 @@ def _ratios(counts: DataFrame) -> DataFrame:
     return pairs.select(F.transform("s", lambda x: x["r"]).alias("ratios"))
 
 
+def _rest(c: str, k: int) -> Column:
+    return F.slice(c, k + 1, F.greatest(F.size(c), F.lit(1)))
+
+
+def _both(c: str, k: int) -> Column:
+    return F.zip_with(c, _rest(c, k), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+
+
+def _with_ratio(rows: DataFrame, ratios: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Rows with hashes of words in h1, and now of pairs in h2; their number of words and their log ratio by n-gram."""
+    rows = rows.withColumn("h2", _both("h1", 1))
+    rows, table = rows.withColumn("ratios", ratios.scalar()), F.col("ratios")
+    total = F.aggregate("h1", F.lit(0.0), lambda s, h: s + F.element_at(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1))
+    total = F.aggregate("h2", total, lambda s, h: s + F.coalesce(F.element_at(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + BUCKETS + 1), F.lit(0.0)))
+    n = F.size("h1").cast("long")
+    return rows, n, F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0))
+
+
 def figures(documents: DataFrame, ratios: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """All figures of each document after its carried columns (doc_id, if none are named), without verdicts."""
     carried = ["doc_id"] if carried is None else carried
@@ -115,14 +135,9 @@ def figures(documents: DataFrame, ratios: DataFrame, carried: list[str] | None =
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h1"),
     )
-    rest = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c), F.lit(1)))
-    both = lambda c, k: F.zip_with(c, rest(c, k), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    rows = rows.withColumn("h2", both("h1", 1))
-    rows, table = rows.withColumn("ratios", ratios.scalar()), F.col("ratios")
-    total = F.aggregate("h1", F.lit(0.0), lambda s, h: s + F.element_at(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1))
-    total = F.aggregate("h2", total, lambda s, h: s + F.coalesce(F.element_at(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + BUCKETS + 1), F.lit(0.0)))
-    n = F.size("h1").cast("long")
-    rows = rows.select("own", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0)).alias("ratio"), F.when(n > WINDOW, both("h2", 2)).alias("h4"), n.alias("n"))
+    rest, both = _rest, _both
+    rows, n, ratio = _with_ratio(rows, ratios)
+    rows = rows.select("own", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", ratio.alias("ratio"), F.when(n > WINDOW, both("h2", 2)).alias("h4"), n.alias("n"))
     rows = rows.withColumn("h8", F.when(F.col("n") > WINDOW, F.slice(both("h4", 4), F.lit(1), F.greatest(F.size("h4") - (WINDOW - 1), F.lit(0))))).drop("h4")
     # only documents with a repeated window go on to find its places
     rows = rows.withColumn("h8", F.when(F.size(F.array_distinct("h8")) < F.size("h8"), F.col("h8")))
@@ -135,15 +150,49 @@ def figures(documents: DataFrame, ratios: DataFrame, carried: list[str] | None =
     return rows.select(F.inline(F.array(F.struct(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "ratio"))))
 
 
+def _calibrated(documents: DataFrame, ratios: DataFrame, sample: DataFrame) -> DataFrame:
+    """good, ratio of the stored calibration documents that have words. Of more than are sent to the tasks, the ratios are joined and no texts."""
+    docs, few = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample.count() <= SENT_IDS
+    if few:
+        docs = docs.join(F.broadcast(sample), "doc_id")
+    carried = ["doc_id", "good"] if few else ["doc_id"]
+    rows, n, ratio = _with_ratio(docs.select(*carried, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h1")), ratios)
+    rows = rows.select(*carried, n.alias("n_words"), ratio.alias("ratio"))
+    return cut((rows if few else rows.join(sample, "doc_id")).select("good", "n_words", "ratio"), "calibration").where("n_words > 0").select("good", "ratio")
+
+
+def _at(values: DataFrame, place: int) -> float:
+    """The ratio at a place, from 0, in the order of ratios: the rows are counted in BINS steps between the least and the largest,
+    and so again in the step that holds the place, so that no task and no driver sees more than BINS rows of counts."""
+    ends = values.agg(F.min("ratio").alias("low"), F.max("ratio").alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    while low < high:
+        within = values.where(F.col("ratio").between(low, high))
+        step = F.least(F.floor((F.col("ratio") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for r in sorted(within.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high")).collect(), key=lambda r: r["step"]):
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            place -= r["n"]
+    return low
+
+
+def _percentile(values: DataFrame, n: int, part: float) -> float:
+    """As percentile(), between neighbours in a straight line, of values too many for the map of one task."""
+    at = part * (n - 1)
+    first = int(at)
+    low = _at(values, first)
+    return low if at == first else low + (at - first) * (_at(values, first + 1) - low)
+
+
 def threshold(documents: DataFrame, ratios: DataFrame, sample: DataFrame) -> float:
-    """From the ratios of the calibration sample (CALIBRATION_ROWS ids at most, so every task can hold it)."""
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = figures(chosen, ratios, ["good"]).where("n_words > 0").groupBy("good")
-    found = {r["good"]: r for r in rows.agg(F.expr(f"percentile(ratio, {SPARED})").alias("low"), F.expr("percentile(ratio, 0.5)").alias("middle")).collect()}
-    if True not in found:
+    """From the ratios of all calibration documents."""
+    rows = _calibrated(documents, ratios, sample)
+    n = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    if True not in n:
         return float("-inf")
-    low = found[True]["low"]
-    middle = found[False]["middle"] if False in found else low
+    low = _percentile(rows.where("good"), n[True], SPARED)
+    middle = _percentile(rows.where("NOT good"), n[False], 0.5) if False in n else low
     return (low + middle) / 2 if middle < low else low - MARGIN
 
 

@@ -390,6 +390,20 @@ def test_the_target_is_all_good_documents(spark, monkeypatch, sent):
         assert math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_the_threshold_is_of_all_calibration_documents(spark, monkeypatch, sent):
+    """More than the 5,000 of a kind that were a sample once; percentiles as numpy has them, in a few steps each."""
+    monkeypatch.setattr(quality, "SENT_IDS", sent)
+    monkeypatch.setattr(quality, "BINS", 16)
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.when(F.col("id") % 3 == 0, F.lit("bad ")).otherwise(F.lit("")), F.lit("w"), F.col("id") % 700).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    ratios, sample = (common.cut(x, "x") for x in quality.fit(docs, labels))
+    assert sample.where("good").count() > 5_000 and sample.where("NOT good").count() > 16_000
+    rows = sample.join(quality.figures(docs, ratios), "doc_id").select("good", "ratio").collect()
+    low, middle = (np.percentile([r["ratio"] for r in rows if r["good"] == g], 100 * p) for g, p in ((True, quality.SPARED), (False, 0.5)))
+    assert math.isclose(quality.threshold(docs, ratios, sample), (low + middle) / 2 if middle < low else low - quality.MARGIN, rel_tol=1e-9)
+
+
 def test_quality_tells_junk(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
