@@ -69,16 +69,22 @@ class OverlapReranker:
         return out
 
 
+#: Texts that a model gets at once: what it returns for them, in Python's own numbers, is many times a vector's size.
+STEP = 256
+
+
 def embed_column(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
-    """A column function; the model is made once in each worker and gets whole batches. Null and empty texts give an empty vector."""
+    """A column function; the model is made once in each worker and gets STEP texts at a time. Null and empty texts give an empty vector."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
-        for texts in parts:
-            some = texts.notna() & (texts != "")
-            got = iter(model.embed(texts[some].tolist()) if some.any() else [])
-            yield pd.Series([next(got) if x else [] for x in some], dtype=object)
+        for batch in parts:
+            for at in range(0, len(batch), STEP):
+                texts = batch.iloc[at : at + STEP]
+                some = texts.notna() & (texts != "")
+                got = iter(model.embed(texts[some].tolist()) if some.any() else [])
+                yield pd.Series([np.asarray(next(got) if x else [], np.float32) for x in some], dtype=object)
 
     return embed
 

@@ -18,7 +18,21 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch that Spark hands to a Python function; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_ready(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches handed to Python, so that 10,000 long texts cannot fill a worker. A lower limit that the
+    session already has stays; otherwise this one holds for all that the session runs from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    arrow_ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
