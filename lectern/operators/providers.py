@@ -93,8 +93,10 @@ def rerank_column(make: Callable[[], Reranker]) -> Callable[[Column, Column], Co
     @F.pandas_udf(T.DoubleType())
     def rerank(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = make()
-        for query, text in parts:
-            yield pd.Series(model.score(list(zip(query.fillna(""), text.fillna(""), strict=True))), dtype=float)
+        for queries, texts in parts:
+            for at in range(0, len(texts), STEP):
+                query, text = queries.iloc[at : at + STEP].fillna(""), texts.iloc[at : at + STEP].fillna("")
+                yield pd.Series(model.score(list(zip(query, text, strict=True))), dtype=float)
 
     return rerank
 
