@@ -1,25 +1,28 @@
 """LIKE and ILIKE of a part of a text by an index of trigrams.
 
-For each three characters in a row, lower-cased, the index lists the documents that hold them. Ids are dealt out in blocks by
-their hash, so a list has a bounded length however many documents hold a trigram; a list is sorted and stored as the
+For each three characters in a row, lower-cased, the index lists the documents that hold them. Documents are taken in blocks as they
+are read, so a list has a bounded length however many documents hold a trigram, and each task has whole lists of its own blocks: only
+lists are shuffled, not a row for each trigram of each document. A list is sorted and stored as the
 differences of neighbours in as few bytes as they need. A search reads the lists of the needle's trigrams, which are stored by
 the trigram's hash, intersects them block by block, and holds the pattern itself against the documents that are left. A needle of
 fewer than three characters between wildcards has no trigram: then all texts are read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Characters of a gram, ids that a list has about, and parts that lists are stored in.
+#: Characters of a gram, documents of a block, entries of lists after which a block ends early, and parts that lists are stored in.
 SIZE = 3
 IDS = 50_000
+ENTRIES = 8_000_000
 PARTS = 64
 
 
@@ -61,14 +64,38 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def grams(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else sorted(grams_of(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+def _listed_rows(documents: Iterable[tuple[int, str]], most: int, block: int, entries: int) -> Iterator[pa.RecordBatch]:
+    """Lists of (id, text), in blocks of at most `most` documents that end early with so many entries."""
+    held: dict[str, array] = {}
+    rows = size = 0
+
+    def stored() -> Iterator[pa.RecordBatch]:
+        names = list(held)
+        for at in range(0, len(names), 4096):
+            ids = [np.unique(np.frombuffer(held[g], np.int64)) for g in names[at : at + 4096]]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(names[at : at + 4096], pa.string()), "block": pa.array([block] * len(ids), pa.int64()), "n": pa.array([len(x) for x in ids], pa.int32()), "ids": pa.array(map(packed, ids), pa.binary())})
+
+    for i, text in documents:
+        own = grams_of(text)
+        for g in own:
+            if g in held:
+                held[g].append(i)
+            else:
+                held[g] = array("q", (i,))
+        rows, size = rows + 1, size + len(own)
+        if rows >= most or size >= entries:
+            yield from stored()
+            held.clear()
+            block, rows, size = block + 1, 0, 0
+    yield from stored()
+
+
+def _listed(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield from _listed_rows(documents, most, TaskContext.get().partitionId() << 32, ENTRIES)
 
-
-@F.arrow_udf(T.BinaryType())
-def packed_lists(lists: pa.Array) -> pa.Array:
-    return pa.array([packed(np.unique(np.array(x.as_py(), np.int64))) for x in lists], pa.binary())
+    return run
 
 
 @dataclass
@@ -92,10 +119,8 @@ def _part(gram: Column) -> Column:
 def build(documents: DataFrame, id_col: str, text_col: str, path: str, ids: int = IDS) -> Index:
     """Indexes every row with an id and a text. Rows that share an id are found together, and each is held against the pattern."""
     rows = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    blocks = max(1, -(-rows.count() // ids))
-    each = rows.select(F.col(id_col).cast("long").alias("id"), F.explode(grams(F.col(text_col))).alias("gram"))
-    lists = each.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_set("id").alias("set"))
-    stored = lists.select("gram", "block", F.size("set").alias("n"), packed_lists("set").alias("ids"), _part(F.col("gram")).alias("part"))
+    lists = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_listed(ids), "gram string, block long, n int, ids binary")
+    stored = lists.withColumn("part", _part(F.col("gram")))
     stored.repartition("part").write.partitionBy("part").parquet(path)
     return Index(documents, id_col, text_col, path)
 

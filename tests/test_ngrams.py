@@ -42,3 +42,13 @@ def test_a_search_reads_the_lists_it_needs(spark, tmp_path):
     assert sorted(r["id"] for r in ngrams.candidates(index, "%er 17%").collect()) == [17, *range(170, 180)]
     plan = index.lists.where((F.col("part") == 3) & F.col("gram").isin("abc"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters: [IsNotNull(gram), EqualTo(gram,abc)]" in plan
+
+
+def test_no_row_for_each_gram_of_each_document(spark, tmp_path):
+    df = spark.range(0, 200, 1, 1).select("id", F.concat(F.lit("text number "), "id").alias("text"))
+    index = ngrams.build(df, "id", "text", f"file://{tmp_path}/index", 50)
+    assert [r["n"] for r in index.lists.where("gram = 'tex'").collect()] == [50] * 4
+    # what one task has made is whole: its lists need no other task's, so nothing is gathered by gram and document
+    lists = list(ngrams._listed_rows([(i, "abcd") for i in range(7)], 3, 0, 1 << 30))
+    assert [(r.num_rows, r["block"][0].as_py(), r["n"].to_pylist()) for r in lists] == [(2, 0, [3, 3]), (2, 1, [3, 3]), (2, 2, [1, 1])]
+    assert len(list(ngrams._listed_rows([(i, "abcd") for i in range(7)], 100, 0, 4))) == 4
