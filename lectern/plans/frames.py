@@ -1,9 +1,12 @@
 """Window frames that Spark has no words for: GROUPS, and EXCLUDE.
 
-Rows that are equal in a window's order are peers. A frame of GROUPS is one of RANGE over the peers' number, dense_rank() in that
-order, which a subquery around the relation adds. What EXCLUDE takes away is taken from the aggregate: the sum or the number over
-the frame, less that over the current row or its peers; for the least and the largest, of what stands before them in the frame, after
-them, and beside them. Sums of binary floats may differ in their last digits from those that were never added."""
+Rows that are equal in a window's order are peers, and have one frame of GROUPS or RANGE. So rows are first summed up by peers, in a
+GROUP BY that all tasks share; frames are made over these sums, of which there is one row for the peers, and are joined back to the rows.
+What EXCLUDE takes away is taken from the aggregate: the sum or the number over the frame, less that over the current row or its peers;
+for the least and the largest, of what stands before them in the frame, after them, and beside them. A relation that may give other rows
+when it is read again (LIMIT, rand) is read once: there a frame of GROUPS is one of RANGE over dense_rank(), row by row. Frames of ROWS are
+made row by row too. Sums of binary floats may differ in their last digits from those that were never added, and sums of decimals
+may be of a wider type."""
 
 from __future__ import annotations
 
@@ -19,6 +22,105 @@ _BOUND = r"(UNBOUNDED PRECEDING|UNBOUNDED FOLLOWING|CURRENT ROW|\d+ PRECEDING|\d
 _FRAME = re.compile(rf"(ROWS|RANGE|GROUPS) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})(?: EXCLUDE (NO OTHERS|CURRENT ROW|GROUP|TIES))?", re.IGNORECASE)
 
 
+#: Words of relations that may give other rows when they are read again.
+_UNSTEADY = frozenset("LIMIT OFFSET TABLESAMPLE RAND RANDN RANDOM RANDSTR UNIFORM UUID SHUFFLE MONOTONICALLY_INCREASING_ID SPARK_PARTITION_ID ROW_NUMBER NTILE LAG LEAD NTH_VALUE FIRST FIRST_VALUE LAST LAST_VALUE ANY_VALUE MODE COLLECT_LIST ARRAY_AGG LISTAGG STRING_AGG MIN_BY MAX_BY".split())
+_DIRECTION = re.compile(r"(.*?)(?:\s+(ASC|DESC))?(?:\s+NULLS\s+(FIRST|LAST))?", re.IGNORECASE | re.DOTALL)
+
+
+def _items(text: str) -> list[str]:
+    """What commas part."""
+    commas = [t.start for t in _tokens(text) if t.text == "," and not t.depth]
+    return [text[a:b].strip() for a, b in zip([0, *(c + 1 for c in commas)], [*commas, len(text)])] if text else []
+
+
+def _directed(order: str) -> list[tuple[str, bool, bool]]:
+    """Expressions of an ORDER BY, each with whether it descends, and whether nulls come first."""
+    found = [_DIRECTION.fullmatch(item) for item in _items(order)]
+    return [(m[1], down := (m[2] or "").upper() == "DESC", m[3].upper() == "FIRST" if m[3] else not down) for m in found]
+
+
+def _over(of: str, directed: list[tuple[str, bool, bool]], kind: str, first: str, last: str) -> str:
+    """A frame up to the partition's end becomes one from its start in the other order: Spark makes that in one pass, and the former anew for each row."""
+    if last == "UNBOUNDED FOLLOWING" and first != "UNBOUNDED PRECEDING":
+        directed = [(e, not down, not nulls_first) for e, down, nulls_first in directed]
+        first, last = "UNBOUNDED PRECEDING", first.replace("PRECEDING", "\0").replace("FOLLOWING", "PRECEDING").replace("\0", "FOLLOWING")
+    order = ", ".join(f"{e} {'DESC' if down else 'ASC'} NULLS {'FIRST' if nulls_first else 'LAST'}" for e, down, nulls_first in directed)
+    return f"OVER ({f'PARTITION BY {of} ' if of else ''}ORDER BY {order} {kind} BETWEEN {first} AND {last})"
+
+
+class _Peers:
+    """Subqueries _rows, the relation with columns of helpers; _sums, a row for all peers; _ends, the two ends of their values; and _frames, what is joined back."""
+
+    def __init__(self, n: int, of: str, order: str, inner: str) -> None:
+        self.n, self.inner = n, inner
+        self.of = {f"_of{n}_{i}": e for i, e in enumerate(_items(of))}
+        self.directed = _directed(order)
+        self.by = {f"_by{n}_{i}": e for i, (e, _, _) in enumerate(self.directed)}
+        self.arguments: dict[str, str] = {}
+        self.sums: dict[str, str] = {}
+        self.ends: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
+
+    def argument(self, x: str) -> str:
+        """The column of an argument; count(a, b) counts rows that have both."""
+        x = re.sub(r"^ALL\b", "", x, flags=re.IGNORECASE).strip()
+        if re.match(r"DISTINCT\b", x, re.IGNORECASE):
+            raise Denied("DISTINCT over GROUPS or with EXCLUDE is not there")
+        if len(several := _items(x)) > 1:
+            x = f"CASE WHEN {' AND '.join(f'({e}) IS NOT NULL' for e in several)} THEN 1 END"
+        return self.arguments.setdefault(x, f"_x{self.n}_{len(self.arguments)}")
+
+    def piece(self, expression: str) -> str:
+        """A column that all peers share."""
+        return self.pieces.setdefault(expression, f"_w{self.n}_{len(self.pieces)}")
+
+    def summed(self, name: str, x: str) -> str:
+        """The aggregate of an argument over peers."""
+        return self.sums.setdefault(f"{name}({x if x == '*' else self.argument(x)})", f"_s{self.n}_{len(self.sums)}")
+
+    def framed(self, name: str, x: str, kind: str, first: str, last: str) -> str:
+        """The aggregate over a frame, from those over peers. Peers are one row there: a frame of GROUPS is one of ROWS, and so is one of RANGE without distances."""
+        again = "sum" if name == "count" else name
+        if kind == "GROUPS" or not any(b[0].isdigit() for b in (first, last)):
+            kind = "ROWS"
+        over = _over(", ".join(self.of), [(c, *rest) for c, (_, *rest) in zip(self.by, self.directed)], kind, first, last)
+        made = f"{again}({self.summed(name, x)}) {over}"
+        return self.piece(f"coalesce({made}, 0)" if name == "count" else made)
+
+    def others(self, name: str, x: str) -> str:
+        """The least or largest value of a row's peers without the row."""
+        column = self.argument(x)
+        end = self.ends.setdefault(f"{column}{' DESC' if name == 'max' else ''}", f"_e{self.n}_{len(self.ends)}")
+        best, number, second = (self.piece(f"{end}.{c}") for c in ("_best", "_number", "_second"))
+        return f"CASE WHEN {column} = {best} AND {number} = 1 THEN {second} ELSE {best} END"
+
+    def helpers(self) -> list[str]:
+        return [*self.of, *self.by, *self.arguments.values(), *self.pieces.values()]
+
+    def columns(self) -> list[str]:
+        return [f"{e} AS {c}" for e, c in [*((e, c) for c, e in {**self.of, **self.by}.items()), *self.arguments.items()]]
+
+    def queries(self) -> list[str]:
+        keys = [*self.of, *self.by]
+        listed, same = ", ".join(keys), lambda a, b: " AND ".join(f"{a}.{k} <=> {b}.{k}" for k in keys)
+        made = [f"_sums{self.n} AS (SELECT {', '.join([listed, *(f'{e} AS {c}' for e, c in self.sums.items())])} FROM _rows GROUP BY {listed})"]
+        joins = ""
+        for column, name in self.ends.items():
+            value = column.split()[0]
+            two = f"SELECT {listed}, {value}, count(*) AS _c, row_number() OVER (PARTITION BY {listed} ORDER BY {column}) AS _r FROM _rows WHERE {value} IS NOT NULL GROUP BY {listed}, {value}"
+            cells = ", ".join(f"max(CASE WHEN _r = {r} THEN {v} END) AS {c}" for r, v, c in ((1, value, "_best"), (1, "_c", "_number"), (2, value, "_second")))
+            made.append(f"{name} AS (SELECT {listed}, {cells} FROM ({two}) WHERE _r <= 2 GROUP BY {listed})")
+            joins += f" LEFT JOIN {name} ON {same(f'_sums{self.n}', name)}"
+        own = ", ".join(f"_sums{self.n}.{k}" for k in keys)
+        # beside _ends, names of keys would mean two columns
+        shown = [re.sub(r"\b_(of|by)\d+_\d+\b", lambda m: f"_sums{self.n}.{m[0]}", e) for e in self.pieces]
+        made.append(f"_frames{self.n} AS (SELECT {', '.join([own, *(f'{e} AS {c}' for e, c in zip(shown, self.pieces.values()))])} FROM _sums{self.n}{joins})")
+        return made
+
+    def join(self) -> str:
+        return f" JOIN _frames{self.n} ON " + " AND ".join(f"_rows.{k} <=> _frames{self.n}.{k}" for k in [*self.of, *self.by])
+
+
 @dataclass
 class _Window:
     """`name(argument) OVER (PARTITION BY of ORDER BY order kind BETWEEN first AND last EXCLUDE without)`, from a place to another."""
@@ -34,46 +136,58 @@ class _Window:
     last: str
     without: str
 
-    def over(self, peers: str, first: str, last: str) -> str:
-        of = f"PARTITION BY {self.of} " if self.of else ""
-        return f"OVER ({of}ORDER BY {peers if self.kind == 'GROUPS' else self.order} {'RANGE' if self.kind == 'GROUPS' else self.kind} BETWEEN {first} AND {last})"
+    def over(self, peers: str, nth: str, first: str, last: str) -> str:
+        # of rows that are equal in the order, a reversed one would take others for the first ones
+        order = peers if self.kind == "GROUPS" else nth if self.kind == "ROWS" and self.last == "UNBOUNDED FOLLOWING" else self.order
+        return _over(self.of, _directed(order), "RANGE" if self.kind == "GROUPS" else self.kind, first, last)
 
     def holds_current(self) -> bool:
         beyond = lambda bound, side: bound.endswith(side) and not bound.startswith(("0 ", "UNBOUNDED"))
         return not (beyond(self.first, "FOLLOWING") or beyond(self.last, "PRECEDING"))
 
-    def text(self, peers: str, nth: str) -> str:
-        """The same without words that Spark lacks; peers and nth are columns with the peers' number, and a row's own among them."""
-        over, x = self.over(peers, self.first, self.last), self.argument
+    def text(self, peers: str, nth: str, sums: _Peers | None = None) -> str:
+        """The same without words that Spark lacks; peers and nth are columns with the peers' number, and a row's own in its partition. Over sums of peers, columns of these."""
+        x = self.argument
+        if sums is None:
+            own = x
+            near = lambda name, first, last: f"{name}({x}) {self.over(peers, nth, first, last)}"
+            beside = f"OVER (PARTITION BY {', '.join(filter(None, (self.of, peers)))})"
+            among = lambda name: f"{name}({x}) {beside}"
+        else:
+            own = x if x == "*" else sums.argument(x)
+            near = lambda name, first, last: sums.framed(name, x, self.kind, first, last)
+            among = lambda name: sums.piece(sums.summed(name, x))
         if self.without in ("", "NO OTHERS") or not self.holds_current():
-            return f"{self.name}({x}) {over}"
-        beside = f"OVER (PARTITION BY {', '.join(filter(None, (self.of, peers)))})"
-        number = lambda w: f"count({x}) {w}"
-        total = lambda w: f"coalesce(sum({x}) {w}, 0)"
-        own_n, own_x = ("1", "0") if x == "*" else (f"if({x} IS NULL, 0, 1)", f"coalesce({x}, 0)")
-        gone_n = {"CURRENT ROW": own_n, "GROUP": number(beside), "TIES": f"{number(beside)} - {own_n}"}[self.without]
-        left = f"({number(over)} - ({gone_n}))"
+            if sums is None or self.name != "avg":
+                return near(self.name, self.first, self.last)
+            number = near("count", self.first, self.last)
+            return f"CASE WHEN {number} > 0 THEN {near('sum', self.first, self.last)} / {number} END"
+        own_n, own_x = ("1", "0") if x == "*" else (f"if({own} IS NULL, 0, 1)", f"coalesce({own}, 0)")
+        gone_n = {"CURRENT ROW": lambda: own_n, "GROUP": lambda: among("count"), "TIES": lambda: f"{among('count')} - {own_n}"}[self.without]
+        left = lambda: f"({near('count', self.first, self.last)} - ({gone_n()}))"
         if self.name == "count":
-            return left
+            return left()
         if self.name in ("sum", "avg"):
-            gone = {"CURRENT ROW": own_x, "GROUP": total(beside), "TIES": f"{total(beside)} - {own_x}"}[self.without]
-            rest = f"({total(over)} - ({gone}))"
-            return f"CASE WHEN {left} > 0 THEN {rest}{f' / {left}' if self.name == 'avg' else ''} END"
+            total = lambda s: f"coalesce({s}, 0)"
+            gone = {"CURRENT ROW": lambda: own_x, "GROUP": lambda: total(among("sum")), "TIES": lambda: f"{total(among('sum'))} - {own_x}"}[self.without]
+            rest = f"({total(near('sum', self.first, self.last))} - ({gone()}))"
+            return f"CASE WHEN {left()} > 0 THEN {rest}{f' / {left()}' if self.name == 'avg' else ''} END"
         if self.kind == "RANGE":
             raise Denied(f"{self.name} over RANGE with EXCLUDE is not there: write GROUPS")
-        near = lambda first, last: f"{self.name}({x}) {self.over(peers, first, last)}"
         parts = []
         if self.first != "CURRENT ROW" and not self.first.startswith("0 "):
-            parts.append(near(self.first, "1 PRECEDING"))
+            parts.append(near(self.name, self.first, "1 PRECEDING"))
         if self.last != "CURRENT ROW" and not self.last.startswith("0 "):
-            parts.append(near("1 FOLLOWING", self.last))
+            parts.append(near(self.name, "1 FOLLOWING", self.last))
         if self.without == "TIES":
-            parts.append(x)
+            parts.append(own)
+        elif self.without == "CURRENT ROW" and self.kind == "GROUPS" and sums is not None:
+            parts.append(sums.others(self.name, x))
         elif self.without == "CURRENT ROW" and self.kind == "GROUPS":
-            among = f"OVER (PARTITION BY {', '.join(filter(None, (self.of, peers)))} ORDER BY {nth} ROWS BETWEEN"
-            parts += [f"{self.name}({x}) {among} UNBOUNDED PRECEDING AND 1 PRECEDING)", f"{self.name}({x}) {among} 1 FOLLOWING AND UNBOUNDED FOLLOWING)"]
+            of, by = ", ".join(filter(None, (self.of, peers))), [(nth, False, True)]
+            parts += [f"{self.name}({x}) {_over(of, by, 'ROWS', *bounds)}" for bounds in (("UNBOUNDED PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "UNBOUNDED FOLLOWING"))]
         either = {"min": "least", "max": "greatest"}[self.name]
-        return f"{either}({', '.join(parts)}, NULL)" if parts else f"if(true, NULL, {x})"
+        return f"{either}({', '.join(parts)}, NULL)" if parts else f"if(true, NULL, {own})"
 
 
 def _close(tokens: list[_Token], at: int) -> int:
@@ -139,17 +253,34 @@ def replaced(code: str) -> str:
             raise Denied("frames of GROUPS or with EXCLUDE are over one relation: put a join or a GROUP BY into a subquery")
         named = tokens[stop - 1]
         alias = named.text if named.depth == depth and re.fullmatch(r"\w+", named.text) else "framed"
-        orders = list(dict.fromkeys((w.of, w.order) for w in own))
-        columns, names = [], {}
-        for n, (of, order) in enumerate(orders):
+        inner = code[tokens[source].start : tokens[end - 1].stop]
+        begins = max(k for k in at_depth if k < source and tokens[k].word == "SELECT")
+        read = [*tokens[:begins], *tokens[source:end]]  # with what names stand for
+        steady = not any(t.word in _UNSTEADY and before.word != "NULLS" for before, t in zip([tokens[0], *read], read))
+        columns, helpers, sums, names = [], [], {}, {}
+        for n, (of, order) in enumerate(dict.fromkeys((w.of, w.order) for w in own)):
             names[of, order] = f"_peers{n}", f"_nth{n}"
+            these = [w for w in own if (w.of, w.order) == (of, order)]
+            if steady and any(w.kind != "ROWS" for w in these):
+                sums[of, order] = _Peers(n, of, order, inner)
             over = f"OVER ({f'PARTITION BY {of} ' if of else ''}ORDER BY {order})"
-            columns += [f"dense_rank() {over} AS _peers{n}", f"row_number() {over} AS _nth{n}"]
-        inner = code[tokens[source].start : tokens[end - 1].stop]
-        edits = [(tokens[source].start, tokens[end - 1].stop, f"FROM (SELECT *, {', '.join(columns)} {inner}) AS {alias}")]
-        edits += [(w.start, w.stop, w.text(*names[w.of, w.order])) for w in own]
-        helpers = ", ".join(x for pair in names.values() for x in pair)
-        edits += [(tokens[k].start, tokens[k].stop, f"* EXCEPT ({helpers})") for k in at_depth if tokens[k].text == "*" and k < source and (tokens[k - 1].word == "SELECT" or tokens[k - 1].text == ",")]
+            if not steady:
+                columns.append(f"dense_rank() {over} AS _peers{n}")
+                helpers.append(f"_peers{n}")
+            if not steady or any(w.kind == "ROWS" and w.last == "UNBOUNDED FOLLOWING" for w in these):
+                columns.append(f"row_number() {over} AS _nth{n}")
+                helpers.append(f"_nth{n}")
+        edits = [(w.start, w.stop, w.text(*names[w.of, w.order], sums.get((w.of, w.order)) if w.kind != "ROWS" else None)) for w in own]
+        for peers in sums.values():
+            columns += peers.columns()
+            helpers += peers.helpers()
+        relation = f"SELECT {', '.join(['*', *columns])} {inner}"
+        if sums:
+            shared = ", ".join(["_rows.*", *(c for peers in sums.values() for c in peers.pieces.values())])
+            relation = f"WITH {', '.join([f'_rows AS ({relation})', *(q for peers in sums.values() for q in peers.queries())])} SELECT {shared} FROM _rows{''.join(peers.join() for peers in sums.values())}"
+        edits.append((tokens[source].start, tokens[end - 1].stop, f"FROM ({relation}) AS {alias}"))
+        excepted = f" EXCEPT ({', '.join(helpers)})" if helpers else ""
+        edits += [(tokens[k].start, tokens[k].stop, f"*{excepted}") for k in at_depth if tokens[k].text == "*" and k < source and (tokens[k - 1].word == "SELECT" or tokens[k - 1].text in (",", "."))]
         for a, b, new in sorted(edits, reverse=True):
             code = code[:a] + new + code[b:]
     return code

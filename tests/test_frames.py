@@ -70,3 +70,28 @@ def test_what_cannot_be_is_refused(sql):
 def test_other_statements_stay():
     for sql in ("SELECT groups FROM t", "SELECT sum(a) OVER (ORDER BY b ROWS 1 PRECEDING) FROM t", "SELECT * EXCEPT (a) FROM t", "SELECT exclude, rows FROM range"):
         assert frames.replaced(sql) == sql
+
+
+def test_frames_of_groups_are_made_over_sums_of_peers(spark):
+    rows = spark.range(30_000).selectExpr("id", "CAST(id % 2 AS STRING) AS p", "CAST(IF(id % 3 = 0, NULL, id % 5) AS INT) AS o")
+    rows.createOrReplaceTempView("framed_copies")
+    sql = "SELECT r.*, sum(r.id) OVER (ORDER BY p GROUPS 1 PRECEDING) AS s, min(id) OVER (PARTITION BY p ORDER BY o DESC GROUPS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after, count(o, id) OVER (ORDER BY o GROUPS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS n FROM framed_copies r"
+    assert "dense_rank" not in frames.replaced(sql)  # no task has to number all rows, and no row adds up its frame anew
+    found = sqlgate.search(spark, sql)
+    assert found.columns == ["id", "p", "o", "s", "after", "n"]
+    table = rows.toPandas()
+    total = {p: int(table[table.p <= p].id.sum()) for p in "01"}
+    number = table.o.value_counts().to_dict()
+    least = {p: table[table.p == p].groupby("o", dropna=False).id.min().to_dict() for p in "01"}
+    for r in found.where("id % 97 = 0 OR id > 29950").collect():
+        assert r["s"] == total[r["p"]]
+        below = [v for k, v in least[r["p"]].items() if r["o"] is not None and (k != k or k < r["o"])]
+        assert r["after"] == (min(below) if below else None)
+        assert r["n"] == number.get(0.0 if r["o"] is None else r["o"] + 1.0, 0)
+
+
+def test_relations_that_may_change_are_read_once(spark, both):
+    sql = "WITH w AS (SELECT * FROM framed_rows ORDER BY id LIMIT 40) SELECT id, sum(x) OVER (PARTITION BY p ORDER BY o NULLS FIRST GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS s FROM w"
+    assert "JOIN" not in frames.replaced(sql) and "JOIN" in frames.replaced(sql.replace("LIMIT 40", ""))
+    number = lambda v: None if v is None or v != v else int(v)
+    assert sorted((r["id"], r["s"]) for r in sqlgate.search(spark, sql).collect()) == sorted((i, number(s)) for i, s in both.execute(sql).fetchall())
