@@ -95,3 +95,17 @@ def test_relations_that_may_change_are_read_once(spark, both):
     assert "JOIN" not in frames.replaced(sql) and "JOIN" in frames.replaced(sql.replace("LIMIT 40", ""))
     number = lambda v: None if v is None or v != v else int(v)
     assert sorted((r["id"], r["s"]) for r in sqlgate.search(spark, sql).collect()) == sorted((i, number(s)) for i, s in both.execute(sql).fetchall())
+
+
+def test_exclude_in_large_groups_of_peers(spark):
+    """Each of 20,000 peers is left out in turn; the second least stands in for the least only where that is one row's."""
+    rows = spark.range(40_000).selectExpr("id", "CAST(id % 2 AS STRING) AS p", "CASE WHEN id < 4 THEN IF(id % 2 = 0, 1, id + 1) WHEN id % 5 > 0 THEN 9 + id END AS x")
+    rows.createOrReplaceTempView("framed_peers")
+    sql = "SELECT id, p, x, min(x) OVER (ORDER BY p GROUPS BETWEEN CURRENT ROW AND CURRENT ROW EXCLUDE CURRENT ROW) AS least, max(x) OVER (ORDER BY p GROUPS CURRENT ROW EXCLUDE CURRENT ROW) AS most, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING EXCLUDE TIES) AS n FROM framed_peers"
+    assert " ROWS BETWEEN" not in frames.replaced(sql).split("AS least")[0].split("FROM")[0]
+    for r in sqlgate.search(spark, sql).where("id < 20 OR id > 39980").collect():
+        p = int(r["p"])
+        values = sorted((1 if p == 0 else i + 1) if i < 4 else 9 + i for i in range(p, 40_000, 2) if i < 4 or i % 5)
+        if r["x"] is not None:
+            values.remove(r["x"])
+        assert (r["least"], r["most"], r["n"]) == (values[0], values[-1], p * 20_000 + 1)
