@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.scratch import new_path
+
 #: What a check reports.
 REASONS = {
     "pdf_chunk": "documents.kind contains legacy 'pdf_chunk' rows",
@@ -63,14 +67,50 @@ def change_counts(documents: DataFrame, files: DataFrame) -> DataFrame:
     return d.withColumn("one", F.lit(1)).join(F.broadcast(f.withColumn("one", F.lit(1))), "one").drop("one")
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sha, rows, chars = hashlib.sha256(), 0, 0
+#: Bytes of records that one task hashes at most, if no record is longer.
+PART_BYTES = 64 << 20
+
+
+def _libcrypto() -> ctypes.CDLL | None:
+    """The library that hashlib itself uses, if its SHA-256 with a state is in reach: what hashlib gives cannot be handed to another process."""
+    try:
+        import _hashlib
+
+        found = ctypes.CDLL(_hashlib.__file__)
+        return found if all(hasattr(found, f"SHA256_{f}") for f in ("Init", "Update", "Final")) else None
+    except (ImportError, AttributeError, OSError):
+        return None
+
+
+class _Sha256:
+    """SHA-256 that goes on from a state (SHA256_CTX: 112 bytes, which nobody looks into)."""
+
+    def __init__(self, state: bytes | None = None) -> None:
+        self.library, self.held = _libcrypto(), ctypes.create_string_buffer(112)
+        if state is None:
+            self.library.SHA256_Init(self.held)
+        else:
+            self.held.raw = state
+
+    def update(self, data: bytes) -> None:
+        self.library.SHA256_Update(self.held, ctypes.c_char_p(data), ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self.held.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.library.SHA256_Final(out, self.held)
+        return out.raw.hex()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], sha) -> Iterator[pa.RecordBatch]:
+    rows, chars = 0, 0
     for batch in batches:
         rows += batch.num_rows
         chars += pc.sum(batch.column(1)).as_py() or 0
-        for record in batch.column(0):
-            sha.update(record.as_py() or b"")
-    yield pa.RecordBatch.from_pydict({"rows": [rows], "total_chars": [chars], "sha256": [sha.hexdigest()]})
+        sha.update(b"".join(r.as_py() or b"" for r in batch.column(0)))
+    yield pa.RecordBatch.from_pydict({"rows": [rows], "total_chars": [chars], "sha256": [sha.state() if isinstance(sha, _Sha256) else sha.digest()]})
 
 
 def _record(id_col: str, text_col: str) -> Column:
@@ -85,11 +125,30 @@ def text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sums.select("rows", "total_chars", F.sha2(F.concat_ws("|", *(F.col(f"part{k}").cast("string") for k in range(8))), 256).alias("sha256"))
 
 
-def ordered_text_digest(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rows, total_chars and the SHA-256 of id, 0x1F, text, 0x1E of all rows in the order of ids. This hash can only be taken in order, so one task sorts the records, on disk if need be, and hashes them one by one: for comparisons with digests that were taken so, not for large tables."""
+def ordered_text_digest(rows: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """rows, total_chars and the SHA-256 of id, 0x1F, text, 0x1E of all rows in the order of ids, for comparisons with digests that were taken
+    so. Records are dealt by ranges of ids into parts of part_bytes in the shared folder. As this hash can only be taken in order, parts are
+    hashed one after another, each by a task that goes on from the state that the one before it has left. Runs at once."""
+    spark = rows.sparkSession
     records = rows.select(F.col(id_col).alias("i"), _record(id_col, text_col).cast("binary").alias("r"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"))
-    found = records.repartition(1).sortWithinPartitions("i", "r").select("r", "n").mapInArrow(_hashed, "rows long, total_chars long, sha256 string")
-    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("total_chars"), F.lit(0)).alias("total_chars"), F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))
+    schema = "rows long, total_chars long, sha256 binary"
+    in_order = lambda part, begin: part.sortWithinPartitions("i", "r").select("r", "n").mapInArrow(lambda batches: _hashed(batches, begin()), schema).first()
+    if _libcrypto() is None:  # no state can be handed on: one task for all
+        n, chars, digest = in_order(records.repartition(1), hashlib.sha256)
+        return spark.createDataFrame([(n, chars, bytes(digest).hex())], "rows long, total_chars long, sha256 string")
+    size = records.agg(F.sum(F.octet_length("r"))).first()[0] or 0
+    path = new_path(spark, "ordered")
+    # rows of one id lie in the order of their records
+    dealt = records.repartitionByRange(max(1, math.ceil(size / part_bytes)), "i", F.substring("r", 1, 64))
+    dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(path)
+    kinds = dealt.schema
+    parts = sorted(r["part"] for r in spark.read.schema(f"i {kinds['i'].dataType.simpleString()}, part int").parquet(path).select("part").distinct().collect()) if size else []
+    n, chars, state = 0, 0, _Sha256().state()
+    for k in parts:
+        part = spark.read.schema(kinds).parquet(f"{path}/part={k}").coalesce(1)
+        more, more_chars, state = in_order(part, lambda state=bytes(state): _Sha256(state))
+        n, chars = n + more, chars + more_chars
+    return spark.createDataFrame([(n, chars, _Sha256(bytes(state)).hexdigest())], "rows long, total_chars long, sha256 string")
 
 
 def check_unchanged(before: DataFrame, after: DataFrame) -> None:

@@ -6,6 +6,7 @@ import random
 import sqlite3
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import ParseException
@@ -149,6 +150,22 @@ def test_digests_of_texts(spark, tmp_path):
     assert migrate.text_digest(none, "id", "t").first()["rows"] == 0
 
 
+@pytest.mark.parametrize("resumed", [True, False])
+def test_an_ordered_digest_is_taken_in_parts(spark, monkeypatch, tmp_path, resumed):
+    """Each task hashes one range of ids, and hands its state on; where the library has no state to hand on, one task hashes all."""
+    monkeypatch.setattr(migrate, "new_path", lambda spark, name: str(tmp_path / name))
+    if not resumed:
+        monkeypatch.setattr(migrate, "_libcrypto", lambda: None)
+    ids = random.Random(4).sample(range(-2000, 2000), 4000) + [7] * 300 + [None]
+    rows = [(i, None if n % 50 == 0 else f"{'' if n % 3 else 'a' * 90}{n} \u00e9" * (n % 5)) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    records = sorted((-(10**9) if i is None else i, b"" if i is None else f"{i}\x1f{t or ''}\x1e".encode()) for i, t in rows)
+    found = migrate.ordered_text_digest(df, "id", "t", part_bytes=30_000)
+    assert tuple(found.first()) == (4301, sum(len(t or "") for _, t in rows), hashlib.sha256(b"".join(r for _, r in records)).hexdigest())
+    of_parts = [sum(pq.read_table(f, columns=["r"]).nbytes for f in p.glob("*.parquet")) for p in (tmp_path / "ordered").glob("part=*")]
+    assert (len(of_parts) > 8 and max(of_parts) < 100_000) if resumed else not of_parts
+
+
 def test_of_rows_with_one_key_the_last_counts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(1, "x", 5), (1, "a", 9), (2, "c", 1), (2, "b", 0), (3, "p", 1), (3, "q", 1)], "k int, v string, seen int")
