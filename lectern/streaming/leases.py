@@ -1,4 +1,4 @@
-"""Leases of claimed jobs as a keyed stream with a timer for each, and streams of attempts beside their claims.
+"""Leases of claimed jobs as a stream keyed by shards of jobs, with a timer at the first end in each, and streams of attempts beside their claims.
 
 Events of a job (claims, renewals, completions) come with a time. A claim starts a lease and a timer for its end; a renewal by the
 claim's token moves both; a completion by the token ends them. A lease that nobody ended by its time goes back to retry, or to
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -21,88 +22,115 @@ from lectern.operators.jobs import Policy
 EVENT = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("kind", T.StringType()), T.StructField("token", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("max_attempts", T.IntegerType()), T.StructField("error_class", T.StringType())])
 #: What leaves: the job's new status, when, and by whose token; `stale` for a renewal or a completion that is not the lease's.
 TRANSITION = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("status", T.StringType()), T.StructField("token", T.StringType()), T.StructField("reason", T.StringType())])
-_LEASE = T.StructType([T.StructField("token", T.StringType()), T.StructField("ends", T.LongType()), T.StructField("attempts", T.IntegerType()), T.StructField("most", T.IntegerType())])
+#: Leases of a shard, column by column.
+_LEASES = T.StructType([T.StructField("jobs", T.ArrayType(T.StringType())), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("attempts", T.ArrayType(T.IntegerType())), T.StructField("most", T.ArrayType(T.IntegerType()))])
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 #: As TRANSITION, with the time in milliseconds.
 _TOLD = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("ms", T.LongType()), *TRANSITION.fields[2:]])
+#: What is read of an event, with its time in milliseconds.
+_READ = ("job_id", "ms", "kind", "token", "attempts", "max_attempts", "error_class")
+#: Jobs are dealt into so many shards by a hash; a task holds the events of one shard and batch at a time.
+SHARDS = 4096
 
 
 class Leases(StatefulProcessor):
-    """One job's lease: (token, end in milliseconds, attempts, limit of attempts), and a timer at its end."""
+    """Leases of one shard of jobs: (token, end in milliseconds, attempts, limit of attempts) by job, and one timer at the first end. A
+    state and a timer for each job would mean several calls from Python to Spark for each, which take far longer than the job does."""
 
     def __init__(self, policy: Policy) -> None:
         self.policy = policy
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.lease = handle.getValueState("lease", _LEASE)
+        self.held = handle.getValueState("leases", _LEASES)
 
     def _again(self, attempts: int, most: int | None) -> str:
         return "retry" if attempts < min(self.policy.max_attempts, most if most is not None else self.policy.max_attempts) else "dead"
 
-    def _held(self, lease: tuple | None, was: tuple | None) -> None:
-        """Stores what is left of a batch, and moves the timer with it."""
-        if was is not None and (lease is None or lease[1] != was[1]):
-            self.handle.deleteTimer(was[1])
-        if lease is None:
-            if was is not None:
-                self.lease.clear()
-            return
-        if was is None or lease[1] != was[1]:
-            self.handle.registerTimer(lease[1])
-        self.lease.update(lease)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        was = lease = tuple(self.lease.get()) if self.lease.exists() else None
+    def _leases(self) -> dict[str, tuple]:
+        if not self.held.exists():
+            return {}
+        jobs, *columns = self.held.get()
+        return dict(zip(jobs, zip(*columns)))
+
+    def _keep(self, leases: dict[str, tuple], timer: int | None) -> None:
+        """Stores what is left, and moves the timer, which stood at a time or not at all, to the first end."""
+        first = min((lease[1] for lease in leases.values()), default=None)
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if leases:
+            self.held.update(([*leases], *map(list, zip(*leases.values()))))
+        elif timer is not None:
+            self.held.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        leases = self._leases()
+        timer = min((lease[1] for lease in leases.values()), default=None)
         length = self.policy.lease_seconds * 1000
         out = []
         # of events at one time a completion comes first, so that a worker may claim at once what another has left
         rank = {"complete": 0, "renew": 1, "claim": 2}
-        for e in sorted(rows, key=lambda r: (r.ms, rank.get(r.kind, 3), r.token or "")):
-            now = e.ms
+        # a missing number comes as NaN, a missing string as None
+        columns = [c for part in rows for c in zip(*(part[name].tolist() for name in _READ))]
+        for job, now, kind, token, attempts, most, error in sorted(columns, key=lambda e: (e[1], rank.get(e[2], 3), e[3] or "")):
+            lease = leases.get(job)
             if lease is not None and lease[1] <= now:
-                out.append(self._expired(key, lease))
+                out.append(self._expired(job, lease))
+                del leases[job]
                 lease = None
-            own = lease is not None and e.token is not None and lease[0] == e.token
-            if e.kind == "claim":
+            own = lease is not None and token is not None and lease[0] == token
+            if kind == "claim":
                 if lease is None:
-                    lease = (e.token, now + length, e.attempts or 0, e.max_attempts)
-                    out.append(Row(job_id=key[0], ms=now, status="claimed", token=e.token, reason=None))
+                    leases[job] = (token, now + length, 0 if pd.isna(attempts) else int(attempts), None if pd.isna(most) else int(most))
+                    out.append((job, now, "claimed", token, None))
                 else:
-                    out.append(Row(job_id=key[0], ms=now, status="stale", token=e.token, reason="claimed by another"))
+                    out.append((job, now, "stale", token, "claimed by another"))
             elif not own:
-                out.append(Row(job_id=key[0], ms=now, status="stale", token=e.token, reason=e.kind))
-            elif e.kind == "renew":
-                lease = (lease[0], now + length, lease[2], lease[3])
+                out.append((job, now, "stale", token, kind))
+            elif kind == "renew":
+                leases[job] = (lease[0], now + length, *lease[2:])
             else:
-                failed = e.error_class is not None
-                status = "succeeded" if not failed else "dead" if e.error_class.startswith("permanent_") else self._again(lease[2], lease[3])
-                out.append(Row(job_id=key[0], ms=now, status=status, token=e.token, reason=e.error_class))
-                lease = None
-        self._held(lease, was)
-        yield from out
-
-    def _expired(self, key, lease: tuple) -> Row:
-        return Row(job_id=key[0], ms=lease[1], status=self._again(lease[2], lease[3]), token=lease[0], reason="lease expired")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.lease.exists():
-            lease = tuple(self.lease.get())
-            if lease[1] <= expiredTimerInfo.getExpiryTimeInMs():
-                self.lease.clear()
-                yield self._expired(key, lease)
+                status = "succeeded" if error is None else "dead" if error.startswith("permanent_") else self._again(*lease[2:])
+                out.append((job, now, status, token, error))
+                del leases[job]
+        self._keep(leases, timer)
+        yield from _told(out)
+
+    def _expired(self, job: str, lease: tuple) -> tuple:
+        return job, lease[1], self._again(*lease[2:]), lease[0], "lease expired"
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All that the watermark has passed; the next timer is behind it."""
+        leases, passed = self._leases(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        gone = {job: lease for job, lease in leases.items() if lease[1] <= passed}
+        if gone:
+            left = {job: lease for job, lease in leases.items() if job not in gone}
+            if left:
+                self._keep(left, None)
+            else:
+                self.held.clear()
+            yield from _told([self._expired(job, lease) for job, lease in gone.items()])
 
     def close(self) -> None:
         pass
 
 
-def transitions(events: DataFrame, policy: Policy = Policy(), late: str = "1 minute") -> DataFrame:
-    """TRANSITION rows of a stream of EVENT rows. Timers fire as the watermark, `late` behind the latest event, passes them."""
+def _told(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame(rows, columns=_TOLD.names)
+
+
+def transitions(events: DataFrame, policy: Policy = Policy(), late: str = "1 minute", shards: int = SHARDS) -> DataFrame:
+    """TRANSITION rows of a stream of EVENT rows. Timers fire as the watermark, `late` behind the latest event, passes them. The number of shards is fixed with a stream's checkpoint."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     timed = events.where("job_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
-    told = timed.groupBy("job_id").transformWithState(Leases(policy), _TOLD, "Append", "EventTime")
+    sharded = timed.withColumn("shard", F.pmod(F.xxhash64("job_id"), F.lit(shards))).select("shard", "at", *_READ)
+    told = sharded.groupBy("shard").transformWithStateInPandas(Leases(policy), _TOLD, "Append", "EventTime")
     return told.select("job_id", F.timestamp_millis("ms").alias("at"), *TRANSITION.names[2:])
 
 

@@ -94,3 +94,27 @@ def test_sessions_and_joins_over_several_runs(spark, tmp_path):
     read = lambda n: spark.readStream.schema(claims.schema).parquet(f"{tmp_path}/{n}")
     got = leases.collected(leases.attempts_with_claims(read("claims"), read("tries")), f"{tmp_path}/joined", f"{tmp_path}/joining").collect()
     assert sorted((r["job_id"], r["seconds"]) for r in got) == [("a", 600), ("b", 0)]
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_jobs_share_states_and_timers(spark, tmp_path, shards):
+    """A shard has one state row and one timer at most, however many leases it holds; ends in one shard come one after another, over several runs."""
+    policy = Policy(lease_seconds=180, max_attempts=4)
+    events = [(f"k{n}", n % 700, "claim", "t", n % 6, 5, None) for n in range(200)] + [(f"k{n}", n % 700 + 170, "renew", "t", 0, 0, None) for n in range(0, 200, 3)]
+    events += [(f"k{n}", n % 700 + 300 - n % 2, "complete", "t", 0, 0, "permanent_x" if n % 4 else None) for n in range(0, 200, 6)]
+    told = [(j, at(t), *rest) for j, t, *rest in events]
+    told += [("lone", at(10), "claim", None, None, None, None), ("end", at(20_000), "renew", "x", None, None, None)]
+    parts = [([e for e in told if a <= e[1] < b], leases.EVENT) for a, b in ((at(0), at(250)), (at(250), at(10**6)))]
+    kept = []
+
+    def stream(source):
+        return leases.transitions(source, policy, shards=shards)
+
+    for i in range(2):
+        got = run(spark, tmp_path / str(i), parts[: i + 1], stream)
+        kept.append(len(got))
+    found = sorted((r["job_id"], r["at"], r["status"], r["token"]) for r in got if r["job_id"] not in ("end", "lone"))
+    assert found == replayed(events, policy, 19_000) and kept[0] < kept[1]
+    assert sorted((r["at"], r["status"], r["token"], r["reason"]) for r in got if r["job_id"] == "lone") == [(at(10), "claimed", None, None), (at(190), "retry", None, "lease expired")]
+    states = spark.read.format("statestore").option("stateVarName", "leases").load(f"{tmp_path}/0/checkpoint")
+    assert 0 < states.count() <= shards
