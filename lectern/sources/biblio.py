@@ -193,10 +193,18 @@ def authors(creators: DataFrame) -> DataFrame:
     return creators.select("itemID", "orderIndex", name.alias("name")).groupBy("itemID").agg(F.expr("listagg(name, '; ') WITHIN GROUP (ORDER BY orderIndex)").alias("authors"))
 
 
+#: Attribute rows that one task sorts by item.
+PIVOTED_A_PART = 250_000
+
+
 def pivoted(item_data: DataFrame, values: DataFrame) -> DataFrame:
-    """Attribute rows to one row for each item: title, abstract_note, date."""
-    rows = item_data.where(F.col("fieldID").isin(TITLE, ABSTRACT, DATE)).join(values, "valueID")
-    return rows.groupBy("itemID").agg(*(F.max(F.when(F.col("fieldID") == k, F.col("value"))).alias(n) for k, n in ((TITLE, "title"), (ABSTRACT, "abstract_note"), (DATE, "date"))))
+    """Attribute rows to one row for each item: title, abstract_note, date. The largest string is sought by sorting, so rows are counted, and
+    dealt by item into parts of PIVOTED_A_PART before; a file's split holds as many as its compression allows. Values are never broadcast:
+    a small file of them may be large in memory."""
+    data = item_data.where(F.col("fieldID").isin(TITLE, ABSTRACT, DATE))
+    rows = data.join(values.hint("merge"), "valueID").select("itemID", "fieldID", "value")
+    dealt = rows.repartition(max(1, -(-data.count() // PIVOTED_A_PART)), "itemID")
+    return dealt.groupBy("itemID").agg(*(F.max(F.when(F.col("fieldID") == k, F.col("value"))).alias(n) for k, n in ((TITLE, "title"), (ABSTRACT, "abstract_note"), (DATE, "date"))))
 
 
 def items(t: dict[str, DataFrame]) -> DataFrame:

@@ -61,3 +61,21 @@ def test_sparse_ids_are_few_tasks(spark, database, monkeypatch):
 def test_values_of_other_types(spark, database):
     rows = {r["key"]: r for r in biblio.tables(spark, database)["items"].where("itemID IS NULL OR itemID = 5").collect()}
     assert rows["k1"]["itemID"] is None and rows["k1"]["dateModified"] == "7" and rows["K'; --"]["dateModified"] == "\u00e9" and None in rows
+
+
+def test_attributes_are_sorted_in_parts(spark, monkeypatch):
+    """As many parts as rows need, whatever the splits of the input; no table of values is broadcast, though one small in its file may be large."""
+    monkeypatch.setattr(biblio, "PIVOTED_A_PART", 50)
+    fields = {biblio.TITLE: "title", biblio.ABSTRACT: "abstract_note", biblio.DATE: "date"}
+    rows = [(i, f, f"v{i % 40}-{f}") for i in range(200) for f in (*fields, 99) if (i + f) % 3]
+    values = sorted({(v, f"text {v}") for _, _, v in rows})
+    found = biblio.pivoted(spark.createDataFrame(rows, "itemID long, fieldID long, valueID string").coalesce(1), spark.createDataFrame(values, "valueID string, value string").coalesce(1))
+    kept = [r for r in rows if r[1] in fields]
+    assert found.rdd.getNumPartitions() == -(-len(kept) // 50) > 4
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {i: dict.fromkeys(fields.values()) for i, *_ in kept}
+    for i, f, v in kept:
+        want[i][fields[f]] = f"text {v}"
+    assert {r["itemID"]: {n: r[n] for n in fields.values()} for r in found.collect()} == want
+    none = biblio.pivoted(spark.createDataFrame([], "itemID long, fieldID long, valueID string"), spark.createDataFrame(values, "valueID string, value string"))
+    assert none.collect() == []
