@@ -5,8 +5,9 @@ GROUP BY that all tasks share; frames are made over these sums, of which there i
 What EXCLUDE takes away is taken from the aggregate: the sum or the number over the frame, less that over the current row or its peers;
 for the least and the largest, of what stands before them in the frame, after them, and beside them. A relation that may give other rows
 when it is read again (LIMIT, rand) is read once: there a frame of GROUPS is one of RANGE over dense_rank(), row by row. Frames of ROWS are
-made row by row too. Sums of binary floats may differ in their last digits from those that were never added, and sums of decimals
-may be of a wider type."""
+made row by row too; if no bound is UNBOUNDED, partitions are cut into parts along their order, which tasks share, and frames that reach over
+a cut are made over the rows near cuts. Sums of binary floats may differ in their last digits from those that were never added, and sums of
+decimals may be of a wider type."""
 
 from __future__ import annotations
 
@@ -24,6 +25,8 @@ _FRAME = re.compile(rf"(ROWS|RANGE|GROUPS) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BO
 
 #: Words of relations that may give other rows when they are read again.
 _UNSTEADY = frozenset("LIMIT OFFSET TABLESAMPLE RAND RANDN RANDOM RANDSTR UNIFORM UUID SHUFFLE MONOTONICALLY_INCREASING_ID SPARK_PARTITION_ID ROW_NUMBER NTILE LAG LEAD NTH_VALUE FIRST FIRST_VALUE LAST LAST_VALUE ANY_VALUE MODE COLLECT_LIST ARRAY_AGG LISTAGG STRING_AGG MIN_BY MAX_BY".split())
+#: The number of a part of _Parts: frames in parts are no less steady than those of the statement.
+_NUMBER = "spark_partition_id() AS _part"
 _DIRECTION = re.compile(r"(.*?)(?:\s+(ASC|DESC))?(?:\s+NULLS\s+(FIRST|LAST))?", re.IGNORECASE | re.DOTALL)
 
 
@@ -48,6 +51,16 @@ def _over(of: str, directed: list[tuple[str, bool, bool]], kind: str, first: str
     return f"OVER ({f'PARTITION BY {of} ' if of else ''}ORDER BY {order} {kind} BETWEEN {first} AND {last})"
 
 
+def _argument(x: str) -> str:
+    """An argument as one value; count(a, b) counts rows that have both."""
+    x = re.sub(r"^ALL\b", "", x, flags=re.IGNORECASE).strip()
+    if re.match(r"DISTINCT\b", x, re.IGNORECASE):
+        raise Denied("DISTINCT over GROUPS or with EXCLUDE is not there")
+    if len(several := _items(x)) > 1:
+        x = f"CASE WHEN {' AND '.join(f'({e}) IS NOT NULL' for e in several)} THEN 1 END"
+    return x
+
+
 class _Peers:
     """Subqueries _rows, the relation with columns of helpers; _sums, a row for all peers; _ends, the two ends of their values; and _frames, what is joined back."""
 
@@ -62,13 +75,8 @@ class _Peers:
         self.pieces: dict[str, str] = {}
 
     def argument(self, x: str) -> str:
-        """The column of an argument; count(a, b) counts rows that have both."""
-        x = re.sub(r"^ALL\b", "", x, flags=re.IGNORECASE).strip()
-        if re.match(r"DISTINCT\b", x, re.IGNORECASE):
-            raise Denied("DISTINCT over GROUPS or with EXCLUDE is not there")
-        if len(several := _items(x)) > 1:
-            x = f"CASE WHEN {' AND '.join(f'({e}) IS NOT NULL' for e in several)} THEN 1 END"
-        return self.arguments.setdefault(x, f"_x{self.n}_{len(self.arguments)}")
+        """The column of an argument."""
+        return self.arguments.setdefault(_argument(x), f"_x{self.n}_{len(self.arguments)}")
 
     def piece(self, expression: str) -> str:
         """A column that all peers share."""
@@ -121,6 +129,57 @@ class _Peers:
         return f" JOIN _frames{self.n} ON " + " AND ".join(f"_rows.{k} <=> _frames{self.n}.{k}" for k in [*self.of, *self.by])
 
 
+class _Parts:
+    """Frames of ROWS in parts of their partitions. A frame reaches `before` rows back and `after` rows on: rows that are so near to an end of their part have it
+    from the edges, which are the first and last `before + after` rows of all parts, in order; there a frame lacks none of its rows, nor any between them."""
+
+    def __init__(self, n: int, of: str, order: str, bounds: list[str]) -> None:
+        self.part, self.at, self.many, self.edge = (f"_{c}{n}" for c in ("part", "at", "many", "edge"))
+        self.n = n
+        self.of = {f"_in{n}_{i}": e for i, e in enumerate(_items(of))}
+        self.directed = _directed(order)
+        self.by = {f"_on{n}_{i}": e for i, (e, _, _) in enumerate(self.directed)}
+        self.before, self.after = (max([0, *(int(b.split()[0]) for b in bounds if b.endswith(side))]) for side in ("PRECEDING", "FOLLOWING"))
+        self.arguments: dict[str, str] = {}
+        self.within: dict[str, str] = {}
+        self.across: dict[str, str] = {}
+        # parts follow the first expressions that go one way; a hint knows but one order, with nulls first
+        self.down = self.directed[0][1]
+        self.ranges: dict[str, str] = {}
+        for c, (e, down, nulls_first) in zip(self.by, self.directed):
+            if down != self.down:
+                break
+            self.ranges |= {c: e} if nulls_first != down else {f"{c}_null": f"({e}) IS NULL", c: e}
+
+    def argument(self, x: str) -> str:
+        """The column of an argument."""
+        return self.arguments.setdefault(_argument(x), f"_a{self.n}_{len(self.arguments)}")
+
+    def framed(self, name: str, x: str, first: str, last: str) -> str:
+        """The aggregate over a frame, from the row's part or from the edges."""
+        x = x if x == "*" else self.argument(x)
+        within = _over(", ".join([*self.of, self.part]), [(c, *rest) for c, (_, *rest) in zip(self.by, self.directed)], "ROWS", first, last)
+        across = _over(", ".join([*self.of, f"if({self.edge}, -1, {self.part})"]), [(self.part, self.down, True), (self.at, False, True)], "ROWS", first, last)
+        inside, over = (made.setdefault(f"{name}({x}) {w}", f"_{c}{self.n}_{len(made)}") for made, w, c in ((self.within, within, "u"), (self.across, across, "v")))
+        return f"CASE WHEN {self.at} <= {self.before} OR {self.many} - {self.at} < {self.after} THEN {over} ELSE {inside} END"
+
+    def helpers(self) -> list[str]:
+        return [*self.of, *self.by, *(c for c in self.ranges if c not in self.by), *self.arguments.values(), self.part, self.at, self.many, self.edge, *self.within.values(), *self.across.values()]
+
+    def columns(self) -> list[str]:
+        return [f"{e} AS {c}" for c, e in {**self.of, **self.by, **self.ranges, **{c: e for e, c in self.arguments.items()}}.items()]
+
+    def relation(self, rows: str) -> str:
+        """Rows with these frames."""
+        part = _over(", ".join([*self.of, self.part]), [(c, *rest) for c, (_, *rest) in zip(self.by, self.directed)], "ROWS", "UNBOUNDED PRECEDING", "{}")
+        within = [f"count(*) {part.format('CURRENT ROW')} AS {self.at}", f"count(*) {part.format('UNBOUNDED FOLLOWING')} AS {self.many}", *(f"{e} AS {c}" for e, c in self.within.items())]
+        reach = self.before + self.after
+        # a hint holds for what its SELECT returns, so the number of the part is taken from outside
+        dealt = f"SELECT *, {_NUMBER}{self.n} FROM (SELECT /*+ REPARTITION_BY_RANGE({', '.join([*self.of, *self.ranges])}) */ * FROM {rows})"
+        edges = f"SELECT *, {self.at} <= {reach} OR {self.many} - {self.at} < {reach} AS {self.edge} FROM (SELECT *, {', '.join(within)} FROM ({dealt}))"
+        return f"(SELECT {', '.join(['*', *(f'{e} AS {c}' for e, c in self.across.items())])} FROM ({edges}))"
+
+
 @dataclass
 class _Window:
     """`name(argument) OVER (PARTITION BY of ORDER BY order kind BETWEEN first AND last EXCLUDE without)`, from a place to another."""
@@ -145,10 +204,18 @@ class _Window:
         beyond = lambda bound, side: bound.endswith(side) and not bound.startswith(("0 ", "UNBOUNDED"))
         return not (beyond(self.first, "FOLLOWING") or beyond(self.last, "PRECEDING"))
 
-    def text(self, peers: str, nth: str, sums: _Peers | None = None) -> str:
-        """The same without words that Spark lacks; peers and nth are columns with the peers' number, and a row's own in its partition. Over sums of peers, columns of these."""
+    def in_parts(self) -> bool:
+        """Frames of all rows before or after one would need every part."""
+        return self.kind == "ROWS" and not any(b.startswith("UNBOUNDED") for b in (self.first, self.last))
+
+    def text(self, peers: str, nth: str, sums: _Peers | None = None, parts: _Parts | None = None) -> str:
+        """The same without words that Spark lacks; peers and nth are columns with the peers' number, and a row's own in its partition. Over sums of peers or in parts, columns of these."""
         x = self.argument
-        if sums is None:
+        if parts is not None:
+            own = x if x == "*" else parts.argument(x)
+            near = lambda name, first, last: parts.framed(name, x, first, last)
+            among = None
+        elif sums is None:
             own = x
             near = lambda name, first, last: f"{name}({x}) {self.over(peers, nth, first, last)}"
             beside = f"OVER (PARTITION BY {', '.join(filter(None, (self.of, peers)))})"
@@ -174,20 +241,20 @@ class _Window:
             return f"CASE WHEN {left()} > 0 THEN {rest}{f' / {left()}' if self.name == 'avg' else ''} END"
         if self.kind == "RANGE":
             raise Denied(f"{self.name} over RANGE with EXCLUDE is not there: write GROUPS")
-        parts = []
+        others = []
         if self.first != "CURRENT ROW" and not self.first.startswith("0 "):
-            parts.append(near(self.name, self.first, "1 PRECEDING"))
+            others.append(near(self.name, self.first, "1 PRECEDING"))
         if self.last != "CURRENT ROW" and not self.last.startswith("0 "):
-            parts.append(near(self.name, "1 FOLLOWING", self.last))
+            others.append(near(self.name, "1 FOLLOWING", self.last))
         if self.without == "TIES":
-            parts.append(own)
+            others.append(own)
         elif self.without == "CURRENT ROW" and self.kind == "GROUPS" and sums is not None:
-            parts.append(sums.others(self.name, x))
+            others.append(sums.others(self.name, x))
         elif self.without == "CURRENT ROW" and self.kind == "GROUPS":
             of, by = ", ".join(filter(None, (self.of, peers))), [(nth, False, True)]
-            parts += [f"{self.name}({x}) {_over(of, by, 'ROWS', *bounds)}" for bounds in (("UNBOUNDED PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "UNBOUNDED FOLLOWING"))]
+            others += [f"{self.name}({x}) {_over(of, by, 'ROWS', *bounds)}" for bounds in (("UNBOUNDED PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "UNBOUNDED FOLLOWING"))]
         either = {"min": "least", "max": "greatest"}[self.name]
-        return f"{either}({', '.join(parts)}, NULL)" if parts else f"if(true, NULL, {own})"
+        return f"{either}({', '.join(others)}, NULL)" if others else f"if(true, NULL, {own})"
 
 
 def _close(tokens: list[_Token], at: int) -> int:
@@ -256,13 +323,15 @@ def replaced(code: str) -> str:
         inner = code[tokens[source].start : tokens[end - 1].stop]
         begins = max(k for k in at_depth if k < source and tokens[k].word == "SELECT")
         read = [*tokens[:begins], *tokens[source:end]]  # with what names stand for
-        steady = not any(t.word in _UNSTEADY and before.word != "NULLS" for before, t in zip([tokens[0], *read], read))
-        columns, helpers, sums, names = [], [], {}, {}
+        steady = not any(t.word in _UNSTEADY and before.word != "NULLS" and not code.startswith(_NUMBER, t.start) for before, t in zip([tokens[0], *read], read))
+        columns, helpers, sums, parts, names = [], [], {}, {}, {}
         for n, (of, order) in enumerate(dict.fromkeys((w.of, w.order) for w in own)):
             names[of, order] = f"_peers{n}", f"_nth{n}"
             these = [w for w in own if (w.of, w.order) == (of, order)]
             if steady and any(w.kind != "ROWS" for w in these):
                 sums[of, order] = _Peers(n, of, order, inner)
+            if steady and (bounds := [b for w in these if w.in_parts() for b in (w.first, w.last)]):
+                parts[of, order] = _Parts(n, of, order, bounds)
             over = f"OVER ({f'PARTITION BY {of} ' if of else ''}ORDER BY {order})"
             if not steady:
                 columns.append(f"dense_rank() {over} AS _peers{n}")
@@ -270,14 +339,19 @@ def replaced(code: str) -> str:
             if not steady or any(w.kind == "ROWS" and w.last == "UNBOUNDED FOLLOWING" for w in these):
                 columns.append(f"row_number() {over} AS _nth{n}")
                 helpers.append(f"_nth{n}")
-        edits = [(w.start, w.stop, w.text(*names[w.of, w.order], sums.get((w.of, w.order)) if w.kind != "ROWS" else None)) for w in own]
-        for peers in sums.values():
-            columns += peers.columns()
-            helpers += peers.helpers()
+        edits = [(w.start, w.stop, w.text(*names[k := (w.of, w.order)], sums.get(k) if w.kind != "ROWS" else None, parts.get(k) if w.in_parts() else None)) for w in own]
+        for made in (*sums.values(), *parts.values()):
+            columns += made.columns()
+            helpers += made.helpers()
         relation = f"SELECT {', '.join(['*', *columns])} {inner}"
+        rows = "_rows" if sums else f"({relation})"
+        for p in parts.values():
+            rows = p.relation(rows)
         if sums:
             shared = ", ".join(["_rows.*", *(c for peers in sums.values() for c in peers.pieces.values())])
-            relation = f"WITH {', '.join([f'_rows AS ({relation})', *(q for peers in sums.values() for q in peers.queries())])} SELECT {shared} FROM _rows{''.join(peers.join() for peers in sums.values())}"
+            relation = f"WITH {', '.join([f'_rows AS ({relation})', *(q for peers in sums.values() for q in peers.queries())])} SELECT {shared} FROM {rows}{' AS _rows' if parts else ''}{''.join(peers.join() for peers in sums.values())}"
+        elif parts:
+            relation = f"SELECT * FROM {rows}"
         edits.append((tokens[source].start, tokens[end - 1].stop, f"FROM ({relation}) AS {alias}"))
         excepted = f" EXCEPT ({', '.join(helpers)})" if helpers else ""
         edits += [(tokens[k].start, tokens[k].stop, f"*{excepted}") for k in at_depth if tokens[k].text == "*" and k < source and (tokens[k - 1].word == "SELECT" or tokens[k - 1].text in (",", "."))]

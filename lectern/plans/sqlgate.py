@@ -23,7 +23,7 @@ ALLOWED = frozenset((
 ))
 #: Groups of built-in functions that compute from their arguments alone, and the few of the miscellaneous group that do.
 FUNCTION_GROUPS = frozenset(f"{g}_funcs" for g in ("agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "datetime", "generator", "hash", "json", "lambda", "map", "math", "predicate", "string", "struct", "url", "variant", "window", "xml"))
-MISC_FUNCTIONS = frozenset(("typeof", "uuid", "version", "user", "current_user", "session_user", "monotonically_increasing_id", "bitmap_count", "hll_sketch_estimate"))
+MISC_FUNCTIONS = frozenset(("typeof", "uuid", "version", "user", "current_user", "session_user", "monotonically_increasing_id", "spark_partition_id", "bitmap_count", "hll_sketch_estimate"))
 TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"))
 
 

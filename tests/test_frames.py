@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.plans import frames, sqlgate
 from lectern.plans.match import Denied
@@ -109,3 +110,42 @@ def test_exclude_in_large_groups_of_peers(spark):
         if r["x"] is not None:
             values.remove(r["x"])
         assert (r["least"], r["most"], r["n"]) == (values[0], values[-1], p * 20_000 + 1)
+
+
+@pytest.fixture
+def sixteen(spark):
+    """As many parts as tasks, though there are few rows."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_frames_of_rows_are_dealt_out(spark, sixteen, tmp_path):
+    """Of 4,000 rows 3,900 are of one partition: no task has them all, and frames that reach over a cut, or over many small parts, lack no row."""
+    rows = spark.range(4_000).selectExpr("id * 7919 % 4001 AS id", "CASE WHEN id % 40 > 0 THEN 'a' WHEN id % 80 > 0 THEN 'b' END AS p", "CASE WHEN id % 7 > 0 THEN id * 7919 % 10007 END AS x", "CASE WHEN id % 3 > 0 THEN id % 50 END AS o")
+    rows.write.parquet(path := str(tmp_path / "rows"))
+    spark.read.parquet(path).createOrReplaceTempView("framed_parts")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW framed_parts AS SELECT * FROM '{path}/*.parquet'")
+    number = lambda v: None if v is None else round(float(v), 6)
+    for bounds in (("BETWEEN 3 PRECEDING AND 2 FOLLOWING", "BETWEEN 3 PRECEDING AND 2 PRECEDING", "BETWEEN CURRENT ROW AND CURRENT ROW"), ("1 PRECEDING",), ("BETWEEN 1 FOLLOWING AND 4 FOLLOWING",), ("BETWEEN 300 PRECEDING AND 30 FOLLOWING",)):
+        calls = [f"{name}(x) OVER (PARTITION BY p ORDER BY {{}} ROWS {b} EXCLUDE CURRENT ROW)" for name in ("sum", "max", "count") for b in bounds]
+        for order in ("o NULLS FIRST, id DESC", "id DESC", "id", "o DESC NULLS LAST, id DESC", "o DESC NULLS FIRST, id", "o NULLS LAST, id")[: 6 if len(bounds) > 1 else 1]:
+            sql = f"SELECT id, {', '.join(f'{call.format(order)} AS c{i}' for i, call in enumerate(calls))} FROM framed_parts r WHERE r.id % 9 <> 4"
+            assert [[number(v) for v in r] for r in sqlgate.search(spark, sql).orderBy("id").collect()] == [[number(v) for v in r] for r in c.execute(sql + " ORDER BY id").fetchall()], (bounds, order)
+    found = sqlgate.search(spark, "SELECT *, sum(x) OVER (PARTITION BY p ORDER BY id ROWS 3 PRECEDING EXCLUDE CURRENT ROW) AS s FROM framed_parts")
+    assert found.columns == ["id", "p", "x", "o", "s"]
+    assert max(r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("s")).collect()) < 2_000
+
+
+def test_frames_of_rows_over_frames_of_rows(spark, sixteen, both):
+    sql = "WITH w AS (SELECT *, sum(x) OVER (ORDER BY id ROWS 1 PRECEDING EXCLUDE CURRENT ROW) AS y FROM framed_rows) SELECT id, sum(y) OVER (PARTITION BY p ORDER BY o NULLS FIRST GROUPS 1 PRECEDING) AS s, max(y) OVER (ORDER BY id DESC ROWS 2 PRECEDING EXCLUDE CURRENT ROW) AS m, min(x) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING EXCLUDE CURRENT ROW) AS u FROM w"
+    assert "dense_rank" not in frames.replaced(sql)
+    number = lambda v: None if v is None or v != v else int(v)
+    assert sorted([number(v) for v in r] for r in sqlgate.search(spark, sql).collect()) == sorted([number(v) for v in r] for r in both.execute(sql).fetchall())
+    both_there = "SELECT id, count({}) OVER (ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS n FROM framed_rows ORDER BY id"
+    assert [tuple(r) for r in sqlgate.search(spark, both_there.format("o, x")).collect()] == both.execute(both_there.format("CASE WHEN o IS NOT NULL AND x IS NOT NULL AND x = x THEN 1 END")).fetchall()
